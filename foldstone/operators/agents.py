@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from foldstone.functions import payload as P
 from foldstone.operators.scan import last, running
 from foldstone.schema import ANCHOR_TYPES
+from foldstone.session import stage
 
 KEY = ["agent_type", "agent_id", "model_version"]
 _OUTPUTS = ("CreditAnalysisCompleted", "FraudScreeningCompleted", "ComplianceCheckCompleted", "DecisionGenerated")
@@ -22,14 +23,14 @@ def attributed_outputs(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFra
     t = F.col("event_type")
     session = F.coalesce(P.filled(F.col("p.session_id")), P.filled(F.col("p.orchestrator_session_id")))
     start = F.when(t.isin(*ANCHOR_TYPES), F.struct(*[F.col(f"p.{c}").alias(c) for c in KEY], F.col("recorded_at").alias("started_at")))
-    rows = parsed.select(
+    rows = stage(parsed.select(
         *keys, session.alias("session_id"), "global_position", "recorded_at", t, start.alias("_start"),
         F.col("p.application_id").alias("application_id"),
         F.when(t == "CreditAnalysisCompleted", F.col("p.decision.confidence"))
         .when(t == "DecisionGenerated", F.col("p.confidence")).try_cast("decimal(18,6)").alias("confidence"),
         F.when(t == "CreditAnalysisCompleted", F.col("p.analysis_duration_ms")).try_cast("decimal(18,3)").alias("duration_ms"),
         F.when(t == "DecisionGenerated", F.upper("p.recommendation")).alias("recommendation"),
-    ).where("session_id is not null")
+    ).where("session_id is not null"))
     seen = running(rows, [*keys, "session_id"], "global_position", {"_session": last(F.col("_start"))})
     return seen.where("_session is not null").select(
         *keys, *[F.col(f"_session.{c}").alias(c) for c in KEY], "session_id", "application_id", "global_position", "recorded_at",
@@ -56,7 +57,7 @@ def override_credits(ledger: DataFrame, attributed: DataFrame, keys: tuple[str,
 def agent_performance(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Sessions, outputs, confidence, duration, recommendation mix and overrides per agent and model."""
     by = [*keys, *KEY]
-    outputs = attributed_outputs(ledger, keys)
+    outputs = stage(attributed_outputs(ledger, keys))
     overrides = override_credits(ledger, outputs, keys)
     rows = outputs.select(*by, "global_position", "recorded_at", "event_type", "confidence", "duration_ms", "recommendation").unionByName(
         overrides.select(*by, "global_position", "recorded_at", F.lit("override").alias("event_type")), allowMissingColumns=True
@@ -80,6 +81,7 @@ def agent_performance(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
         F.max(F.when(~started, F.col("global_position"))).alias("_assigned_pos"),
         F.max_by("recorded_at", F.when(~started, F.col("global_position"))).alias("_assigned_at"),
     )
+    totals = stage(totals)
     # The last output sets last_seen_at; only starts after it can raise it further.
     later = (
         rows.where(started).select(*by, "global_position", "recorded_at")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldstone.functions import ids, payload as P
-from foldstone.operators.scan import chunked_lists, last, running
+from foldstone.operators.scan import chunked_lists
 from foldstone.schema import (
     HARD_BLOCK_REASON,
     OTHER_RECOMMENDATION_STATE,
@@ -13,6 +13,7 @@ from foldstone.schema import (
     SUMMARY_STATES,
     SUMMARY_TYPES,
 )
+from foldstone.session import stage
 
 _FIELDS = (
     "application_id",
@@ -53,8 +54,8 @@ def _at(types, extra: Column | None = None) -> Column:
 def application_summary(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Fold to one row per application (and per extra key, e.g. a branch label).
 
-    Everything is a latest-value aggregate with partial aggregation before the shuffle. Only the outcome of a decline
-    depends on earlier events; it is resolved on the small subset of completions and declines.
+    Everything is a latest-value aggregate over one scan, combined before the shuffle. Only the outcome of a decline
+    depends on what was known at that moment, and it needs a second look only where a later check changed the status.
     """
     by = [*keys, "application_id"]
     handled = _handled(ledger)
@@ -76,8 +77,15 @@ def application_summary(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFr
     final_types = ["ApplicationApproved", "ApplicationDeclined"]
     stated = F.when(t == "ApplicationApproved", F.col(p + "approved_at")).otherwise(F.col(p + "declined_at"))
 
+    state_types = [*SUMMARY_STATES, "DecisionGenerated", "ApplicationDeclined"]
+    reasoned = F.exists("p.decline_reasons", lambda r: F.coalesce(r.contains(HARD_BLOCK_REASON), F.lit(False)))
+    session = F.when(t == "AgentSessionCompleted", P.filled(F.col("p.session_id")))
     folded = handled.groupBy(*by).agg(
-        F.max_by(state, _at([*SUMMARY_STATES, "DecisionGenerated", "ApplicationDeclined"])).alias("_state"),
+        F.max_by(state, _at(state_types)).alias("_state"),
+        F.max(_at(state_types)).alias("_state_at"),
+        F.max(_at("ApplicationDeclined")).alias("_declined_at"),
+        F.max_by(F.coalesce(reasoned, F.lit(False)), _at("ApplicationDeclined")).alias("_hard_reason"),
+        F.max(_at("ComplianceCheckCompleted")).alias("_status_at"),
         F.max_by(F.col(p + "applicant_id"), _at("ApplicationSubmitted", has_applicant)).alias("applicant_id"),
         F.max_by(P.money(F.col(p + "requested_amount_usd")), _at("ApplicationSubmitted")).alias("requested_amount_usd"),
         F.max_by(amount, _at(["DecisionGenerated", "ApplicationApproved"], amount.isNotNull())).alias("approved_amount_usd"),
@@ -85,26 +93,19 @@ def application_summary(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFr
         F.max_by(F.col(p + "fraud_score").try_cast("double"), _at("FraudScreeningCompleted")).alias("fraud_score"),
         F.max_by(F.col(p + "overall_verdict"), _at("ComplianceCheckCompleted")).alias("compliance_status"),
         F.max_by(decision, _at(is_decision)).alias("decision"),
+        F.count_distinct(session).alias("sessions_completed"),
         F.max_by(t, F.col("global_position")).alias("last_event_type"),
         F.max_by(F.col("recorded_at"), F.col("global_position")).alias("last_event_at"),
         F.max_by(F.col(p + "reviewer_id"), _at("HumanReviewCompleted")).alias("human_reviewer_id"),
         F.max_by(F.coalesce(P.instant(stated), F.col("recorded_at")), _at(final_types)).alias("final_decision_at"),
-        F.max(_at([*SUMMARY_STATES, "DecisionGenerated", "ApplicationDeclined"])).alias("_state_at"),
     )
-
-    outcomes = _decline_outcomes(handled, by)
-    sessions = (
-        handled.where((t == "AgentSessionCompleted") & P.filled(F.col("p.session_id")).isNotNull())
-        .select(*by, F.col("p.session_id").alias("session_id"))
-        .distinct()
-        .groupBy(*by)
-        .agg(F.count("*").alias("sessions_completed"))
-    )
-    joined = folded.join(outcomes, by, "left").join(sessions, by, "left")
-    declined_last = F.col("_state_at") == F.col("_decline_at")
-    return joined.select(
+    folded = stage(folded)
+    resolved = folded.join(_status_when_declined(handled, folded, by), by, "left")
+    status_then = F.when(F.col("_status_at") < F.col("_declined_at"), F.col("compliance_status")).otherwise(F.col("_earlier_status"))
+    declined = F.when((status_then == "BLOCKED") | F.col("_hard_reason"), F.lit("DECLINED_COMPLIANCE")).otherwise(F.lit("FINAL_DECLINED"))
+    return resolved.select(
         *by,
-        F.when(declined_last, F.col("_outcome")).otherwise(F.coalesce("_state", F.lit("NEW"))).alias("state"),
+        F.when(F.col("_state_at") == F.col("_declined_at"), declined).otherwise(F.coalesce("_state", F.lit("NEW"))).alias("state"),
         "applicant_id",
         "requested_amount_usd",
         "approved_amount_usd",
@@ -112,7 +113,7 @@ def application_summary(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFr
         "fraud_score",
         "compliance_status",
         "decision",
-        F.coalesce("sessions_completed", F.lit(0)).alias("sessions_completed"),
+        "sessions_completed",
         "last_event_type",
         "last_event_at",
         "human_reviewer_id",
@@ -120,24 +121,16 @@ def application_summary(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFr
     )
 
 
-def _decline_outcomes(handled: DataFrame, by: list[str]) -> DataFrame:
-    """Latest decline per application and the state it led to, given the compliance status known at that moment."""
-    t = F.col("event_type")
-    relevant = handled.where(t.isin("ComplianceCheckCompleted", "ApplicationDeclined")).select(
-        *by,
-        "global_position",
-        F.when(t == "ComplianceCheckCompleted", F.struct(F.col("p.overall_verdict").alias("status"))).alias("_verdict"),
-        F.when(
-            t == "ApplicationDeclined",
-            F.coalesce(F.exists("p.decline_reasons", lambda r: F.coalesce(r.contains(HARD_BLOCK_REASON), F.lit(False))), F.lit(False)),
-        ).alias("_blocked_by_reason"),
-    )
-    seen = running(relevant, by, "global_position", {"_seen": last(F.col("_verdict"))})
-    declines = seen.where("_blocked_by_reason is not null")
-    blocked = F.coalesce(F.col("_seen.status") == "BLOCKED", F.lit(False)) | F.col("_blocked_by_reason")
-    outcome = F.when(blocked, F.lit("DECLINED_COMPLIANCE")).otherwise(F.lit("FINAL_DECLINED"))
-    return declines.groupBy(*by).agg(
-        F.max("global_position").alias("_decline_at"), F.max_by(outcome, F.col("global_position")).alias("_outcome")
+def _status_when_declined(handled: DataFrame, folded: DataFrame, by: list[str]) -> DataFrame:
+    """Compliance status at the final decline, for the few applications that completed another check after it."""
+    late = folded.where("_state_at = _declined_at and _status_at > _declined_at").select(*by, "_declined_at")
+    checks = handled.where("event_type = 'ComplianceCheckCompleted'")
+    checks = checks.select(*by, "global_position", F.col("p.overall_verdict").alias("_status"))
+    return (
+        checks.join(late, by)
+        .where("global_position < _declined_at")
+        .groupBy(*by)
+        .agg(F.max_by("_status", "global_position").alias("_earlier_status"))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foldstone.operators import agents, summary
 from foldstone.plans.ctes import LOAN, agents_cte, summary_cte
 from foldstone.plans.registry import as_double, joined, micros, query, rounded
-from foldstone.sources import adapters
+from foldstone.sources import stored
 
 
 def summary_columns(df, *keys):
@@ -24,7 +24,7 @@ SUMMARY_SELECT = """application_id, state, applicant_id, requested_amount_usd, a
 
 @query("application_summary", f"WITH {LOAN}, {summary_cte()} SELECT app AS {SUMMARY_SELECT} FROM summ")
 def application_summary(spark, folder):
-    return summary_columns(summary.application_summary(adapters.loan_ledger(spark, folder)))
+    return summary_columns(summary.application_summary(stored.loan_ledger(spark, folder)))
 
 
 @query(
@@ -33,7 +33,7 @@ def application_summary(spark, folder):
     SELECT app AS application_id, 0 AS chunk, string_agg(sess, '|' ORDER BY g) AS agent_sessions_completed FROM f GROUP BY 1""",
 )
 def application_session_lists(spark, folder):
-    lists = summary.completed_sessions(adapters.loan_ledger(spark, folder))
+    lists = summary.completed_sessions(stored.loan_ledger(spark, folder))
     return lists.select("application_id", "chunk", joined("agent_sessions_completed"))
 
 
@@ -47,7 +47,7 @@ def application_session_lists(spark, folder):
     FROM perf""",
 )
 def agent_performance(spark, folder):
-    df = agents.agent_performance(adapters.loan_ledger(spark, folder))
+    df = agents.agent_performance(stored.loan_ledger(spark, folder))
     return df.select(
         *agents.KEY, "total_sessions", "analyses_completed", "decisions_generated", rounded("avg_confidence_score"),
         rounded("avg_duration_ms"), "approve_count", "decline_count", "refer_count", "human_override_count",

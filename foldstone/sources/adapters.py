@@ -35,7 +35,9 @@ def _pick(index: Column, values) -> Column:
 
 
 def _base_events(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select(
+    """Events clustered by position, so that the files of a stored ledger prune on it and payloads are built in parallel."""
+    source = table(spark, folder, "events").repartitionByRange("event_id").sortWithinPartitions("event_id")
+    return source.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id").cast("string").alias("app"),
@@ -144,9 +146,9 @@ def numbered(ledger: DataFrame) -> DataFrame:
     return ranked.select(*ledger.columns)
 
 
-def linked_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """Loan ledger whose events name the event just before them in their application when k is a multiple of 3."""
-    ledger = loan_ledger(spark, folder).withColumn("_app", F.get_json_object("payload", "$.application_id"))
+def linked(ledger: DataFrame) -> DataFrame:
+    """The same events, each third one naming the event just before it in its application as its cause."""
+    ledger = ledger.withColumn("_app", F.get_json_object("payload", "$.application_id"))
     with_prev = running(ledger, ["_app"], "global_position", {"_prev": before(F.col("event_id"))})
     k = F.col("global_position") % 3
     meta = F.to_json(F.struct(F.concat(F.lit("c"), F.col("_app")).alias("correlation_id"), F.when(k == 0, F.col("_prev")).alias("causation_id")))
