@@ -122,10 +122,24 @@ def chunked_lists(
     )
 
 
-def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], position: str, value: str, inclusive: bool = False) -> DataFrame:
-    """Attach to each left row the ``value`` of the latest right row of its key placed before it (or at it)."""
-    rank = F.lit(0 if inclusive else 1)
-    tagged_right = right.select(*keys, position, F.lit(None).alias("_row"), F.col(value).alias("_val"), rank.alias("_side"))
-    tagged_left = left.select(*keys, position, F.struct(*left.columns).alias("_row"), F.lit(None).alias("_val"), F.lit(1 if inclusive else 0).alias("_side"))
-    joined = running(tagged_left.unionByName(tagged_right), keys, position, {"_found": last(F.col("_val"))}, ties=["_side"])
-    return joined.where(F.col("_row").isNotNull()).select("_row.*", F.col("_found").alias(value))
+def asof(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], position: str, value: str, inclusive: bool = False,
+    ties: Sequence[str] = (), block: Column | None = None,
+) -> DataFrame:
+    """Attach to each left row the ``value`` of the latest right row of its key placed before it (or at it).
+
+    ``ties`` orders right rows of one position. No pairs are formed: both sides are merged in order and scanned once.
+    """
+    right_first = inclusive
+    tied = [F.col(c).alias(f"_tie_{c}") for c in ties]
+    blank = [F.lit(None).cast(right.schema[c].dataType).alias(f"_tie_{c}") for c in ties]
+    tagged_right = right.select(
+        *keys, position, F.lit(0 if right_first else 1).alias("_side"), *tied, F.lit(None).alias("_row"), F.col(value).alias("_val")
+    )
+    tagged_left = left.select(
+        *keys, position, F.lit(1 if right_first else 0).alias("_side"), *blank, F.struct(*left.columns).alias("_row"), F.lit(None).alias("_val")
+    )
+    merged = running(
+        tagged_left.unionByName(tagged_right), keys, position, {"_found": last(F.col("_val"))}, ["_side", *[f"_tie_{c}" for c in ties]], block
+    )
+    return merged.where(F.col("_row").isNotNull()).select("_row.*", F.col("_found").alias(value))
