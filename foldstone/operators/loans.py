@@ -58,8 +58,8 @@ FAIL_WORD = ERROR * len(LETTERS)
 
 
 def state_name(letter: Column) -> Column:
-    names = F.array(*[F.lit(s) for s in (*LOAN_STATES, "ERROR")])
-    return names[F.ascii(letter) - ord(LETTERS[0])]
+    names = F.create_map(*[F.lit(x) for pair in zip(LETTERS, (*LOAN_STATES, "ERROR")) for x in pair])
+    return names[letter]
 
 
 def _letter(name: Column) -> Column:
