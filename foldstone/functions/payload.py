@@ -29,3 +29,16 @@ def instant(text: Column) -> Column:
     """ISO text to timestamp; a blank before the zone offset is read as the plus sign it once was."""
     repaired = F.regexp_replace(F.trim(text), r" (\d{2}:\d{2})$", "+$1")
     return repaired.try_cast("timestamp")
+
+
+def merged(base: Column, overlay: Column) -> Column:
+    """Two JSON objects as one; fields of ``overlay`` win. Values keep their JSON types."""
+    low = F.from_json(F.coalesce(base, F.lit("{}")), "map<string,variant>")
+    high = F.from_json(F.coalesce(overlay, F.lit("{}")), "map<string,variant>")
+    kept = F.map_filter(low, lambda k, v: ~F.array_contains(F.map_keys(high), k))
+    return F.to_json(F.map_concat(kept, high))
+
+
+def without_fields(base: Column, *names: str) -> Column:
+    doc = F.from_json(F.coalesce(base, F.lit("{}")), "map<string,variant>")
+    return F.to_json(F.map_filter(doc, lambda k, v: ~k.isin(*names)))

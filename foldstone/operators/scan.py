@@ -75,6 +75,7 @@ def running(
     per_block = staged.groupBy(*keys, BLOCK).agg(
         *[_block_value(spec.kind, F.col(f"_in_{name}"), ordinal).alias(f"_blk_{name}") for name, spec in outputs.items()]
     )
+    # Without keys this window sees one row per block of the whole input, never the rows themselves.
     across = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carried = per_block.select(
         *keys, BLOCK, *[_fold(spec.kind, F.col(f"_blk_{name}")).over(across).alias(f"_carry_{name}") for name, spec in outputs.items()]

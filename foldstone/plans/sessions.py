@@ -25,7 +25,7 @@ fe AS (SELECT stream_id, conv, arg_min(t, spos) AS ft, arg_min(n, spos) * 10 AS
       coalesce(bool_or(t = 'AgentSessionCompleted' AND (err IS NULL OR spos < err)), false) AS completed,
       coalesce(bool_or(t = 'AgentSessionFailed' AND (err IS NULL OR spos < err)), false) AS failed,
       CASE WHEN err IS NULL THEN count(*) FILTER (WHERE t = 'AgentOutputWritten') END AS outputs_written, err AS error_position
-    FROM fe f JOIN se USING (stream_id) GROUP BY ALL""",
+    FROM fe f JOIN se USING (stream_id) GROUP BY f.stream_id, f.conv, lastpos, err, ft, fm, tok""",
 )
 def session_records(spark, folder):
     r = sessions.session_records(stored.session_ledger(spark, folder))
