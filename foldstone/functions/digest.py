@@ -33,19 +33,48 @@ def event_digest(df: DataFrame) -> Column:
     return F.sha2(envelope, 256)
 
 
+def _joined() -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_d"))), lambda x: x["_d"]), "")
+
+
+def _climb(level: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Hash groups of FAN_IN items level by level until one digest per key is left."""
+    for _ in range(LEVELS - 1):
+        grouped = level.groupBy(*keys, F.floor(F.col("_i") / FAN_IN).alias("_g"))
+        level = grouped.agg(F.when(F.count("*") == 1, F.max("_d")).otherwise(F.sha2(_joined(), 256)).alias("_d"))
+        level = level.withColumnRenamed("_g", "_i")
+    return level.select(*keys, F.col("_d").alias(name))
+
+
+def _leaves(df: DataFrame, keys: Sequence[str], ordinal: str, digest: str) -> DataFrame:
+    items = df.select(*keys, (F.col(ordinal) - 1).alias("_i"), F.col(digest).alias("_d"))
+    grouped = items.groupBy(*keys, F.floor(F.col("_i") / FAN_IN).alias("_g")).agg(F.sha2(_joined(), 256).alias("_d"))
+    return grouped.withColumnRenamed("_g", "_i")
+
+
 def ordered_digest(df: DataFrame, keys: Sequence[str], ordinal: str, digest: str, name: str) -> DataFrame:
     """One digest per key over ``digest`` in order of the dense 1-based ``ordinal``.
 
     Up to FAN_IN items it is the digest of their concatenation. Longer sequences are hashed as a tree of such groups,
     so no task joins more than FAN_IN digests; a group of one passes its digest up unchanged.
     """
-    level = df.select(*keys, F.floor((F.col(ordinal) - 1) / FAN_IN).alias("_g"), (F.col(ordinal) - 1).alias("_i"), F.col(digest).alias("_d"))
-    for depth in range(LEVELS):
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_d"))), lambda x: x["_d"]), "")
-        value = F.sha2(joined, 256) if depth == 0 else F.when(F.count("*") == 1, F.max("_d")).otherwise(F.sha2(joined, 256))
-        level = level.groupBy(*keys, "_g").agg(value.alias("_d"), F.count("*").alias("_n"))
-        level = level.select(*keys, F.floor(F.col("_g") / FAN_IN).alias("_g2"), F.col("_g").alias("_i"), "_d").withColumnRenamed("_g2", "_g")
-    return level.select(*keys, F.col("_d").alias(name))
+    return _climb(_leaves(df, keys, ordinal, digest), keys, name)
+
+
+def prefix_digests(df: DataFrame, keys: Sequence[str], ordinal: str, digest: str, probes: DataFrame, count: str, name: str) -> DataFrame:
+    """Digest of the first ``count`` items for each probe row (columns ``keys``, ``count`` and ``probe_id``).
+
+    Whole groups are hashed once and shared by all probes of a key; a probe adds only its last, partial group.
+    """
+    groups = _leaves(df, keys, ordinal, digest)
+    asked = probes.select(*keys, F.col(count).cast("bigint").alias("_n"), "probe_id")
+    whole = groups.join(asked, [*keys]).where(F.col("_i") < F.floor(F.col("_n") / FAN_IN)).select("probe_id", "_i", "_d")
+    rest = asked.where(F.col("_n") % FAN_IN > 0).withColumn("_g", F.floor(F.col("_n") / FAN_IN))
+    tail = df.select(*keys, (F.col(ordinal) - 1).alias("_i"), F.col(digest).alias("_d")).withColumn("_g", F.floor(F.col("_i") / FAN_IN))
+    partial = tail.join(rest, [*keys, "_g"]).where("_i < _n").groupBy("probe_id", "_g").agg(F.sha2(_joined(), 256).alias("_d"))
+    level = whole.unionByName(partial.select("probe_id", F.col("_g").alias("_i"), "_d"))
+    found = _climb(level, ["probe_id"], name)
+    return asked.select("probe_id").join(found, "probe_id", "left").withColumn(name, F.coalesce(name, F.sha2(F.lit(""), 256)))
 
 
 def chain_digest(previous: Column, stream_digest: Column) -> Column:
