@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldstone.plans import compliance, lineage, log, readmodels, sessions  # noqa: F401
+from foldstone.plans import compliance, documents, lineage, log, readmodels, sessions  # noqa: F401
 from foldstone.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -248,3 +248,125 @@ def session_ledger(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("{}").alias("metadata"),
         F.timestamp_seconds(F.lit(1700000000) + position % 100000).alias("recorded_at"),
     )
+
+
+# ---- registry and documents ---------------------------------------------------------------------------------------
+def company_key(key: Column) -> Column:
+    return F.concat(F.lit("COMP-"), key.cast("string"))
+
+
+def companies(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "customer")
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    return c.select(
+        company_key(key).alias("company_id"),
+        F.col("c_name").alias("name"),
+        F.when(key % 4 == 0, F.lit("Retail")).otherwise(F.lower("c_mktsegment")).alias("industry"),
+        F.when(nation == 3, F.lit("MT")).otherwise(F.concat(F.lit("N"), nation.cast("string"))).alias("jurisdiction"),
+        F.when(key % 9 != 0, F.lit("LLC")).alias("legal_type"),
+        (F.lit(1990) + key % 36).cast("int").alias("founded_year"),
+        F.when(F.col("c_acctbal") < 0, F.lit("HIGH")).when(F.col("c_acctbal") < 3000, F.lit("MEDIUM")).otherwise(F.lit("LOW")).alias("risk_segment"),
+        _pick(key % 5, ("GROWTH", "STABLE", "GROWTH", "RECOVERING", "DECLINING")).alias("trajectory"),
+    )
+
+
+def company_flags(spark: SparkSession, folder: str) -> DataFrame:
+    o = table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'")
+    return o.select(
+        F.col("o_orderkey").alias("id"), company_key(F.col("o_custkey")).alias("company_id"), F.lit("AML_WATCH").alias("flag_type"), F.lit("LOW").alias("severity"),
+        (F.col("o_orderstatus") == "P").alias("is_active"), F.to_date("o_orderdate").alias("added_date"),
+    )
+
+
+def company_loans(spark: SparkSession, folder: str) -> DataFrame:
+    o = table(spark, folder, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("id"), company_key(F.col("o_custkey")).alias("company_id"), F.col("o_totalprice").cast("decimal(15,2)").alias("loan_amount"),
+        F.year("o_orderdate").alias("loan_year"), (F.col("o_orderstatus") == "F").alias("was_repaid"),
+        ((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 450000)).alias("default_occurred"),
+    )
+
+
+def company_history(spark: SparkSession, folder: str) -> DataFrame:
+    o = table(spark, folder, "orders")
+    return o.groupBy(company_key(F.col("o_custkey")).alias("company_id"), F.year("o_orderdate").alias("fiscal_year")).agg(
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("total_revenue")
+    )
+
+
+def company_figures(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole-dollar revenue per customer; every other figure of its documents follows from it."""
+    o = table(spark, folder, "orders")
+    revenue = F.floor(F.sum(F.col("o_totalprice").cast("decimal(18,2)"))).cast("bigint")
+    return o.groupBy(F.col("o_custkey").alias("k")).agg(revenue.alias("r")).withColumn("company_id", company_key(F.col("k")))
+
+
+def _share(numerator: int, denominator: int) -> Column:
+    return F.floor(F.col("r") * numerator / denominator).cast("bigint")
+
+
+def _figures() -> dict[str, Column]:
+    k = F.col("k")
+    assets, debts = F.col("r") * 2, _share(12, 10)
+    return {
+        "Revenue": F.col("r"), "Gross Profit": _share(4, 10), "Operating Expenses": _share(2, 10), "Operating Income (EBIT)": _share(15, 100),
+        "EBITDA": _share(3, 10), "Depreciation & Amortization": _share(5, 100), "Interest Expense": F.when(k % 11 != 0, _share(2, 100)).otherwise(F.lit(0)),
+        "Income Before Tax": _share(13, 100), "Income Tax Expense": _share(3, 100), "Net Income": _share(10, 100),
+        "Cash & Equivalents": _share(1, 10), "Accounts Receivable": _share(2, 10), "Inventory": _share(1, 20), "Total Current Assets": _share(6, 10),
+        "TOTAL ASSETS": assets, "Total Current Liabilities": _share(5, 10), "Long-Term Debt": F.when(k % 6 == 0, _share(3, 1)).otherwise(_share(1, 1)),
+        "TOTAL LIABILITIES": debts, "TOTAL EQUITY": assets - debts - F.when(k % 5 == 0, F.lit(600)).otherwise(F.lit(100)),
+    }
+
+
+INCOME_LINES = ("Revenue", "Gross Profit", "Operating Expenses", "Operating Income (EBIT)", "EBITDA", "Depreciation & Amortization", "Interest Expense",
+                "Income Before Tax", "Income Tax Expense", "Net Income")
+BALANCE_LINES = ("Cash & Equivalents", "Accounts Receivable", "Inventory", "Total Current Assets", "TOTAL ASSETS", "Total Current Liabilities", "Long-Term Debt",
+                 "TOTAL LIABILITIES", "TOTAL EQUITY")
+
+
+def statement_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Income statement, balance sheet and proposal text per customer."""
+    f, k = _figures(), F.col("k")
+
+    def line(name: str) -> Column:
+        shown = F.format_number(f[name], 0)
+        if name == "Operating Expenses":
+            text = F.concat(F.lit(name + "  ($"), shown, F.lit(")"))
+        elif name == "Cash & Equivalents":
+            text = F.concat(F.lit("Cash and Cash Equivalents $"), shown)
+        else:
+            text = F.concat(F.lit(name + " $"), shown)
+        return F.when((F.lit(name) != "EBITDA") | (k % 7 != 0), text)
+
+    income = F.concat_ws("\n", F.lit("Income Statement FY2024"), *[line(n) for n in INCOME_LINES])
+    balance = F.concat_ws("\n", F.lit("Balance Sheet"), *[line(n) for n in BALANCE_LINES])
+    proposal = F.concat_ws(
+        "\n", F.concat(F.lit("Legal Entity Name: Customer "), k.cast("string")), F.concat(F.lit("Founded: "), (F.lit(1990) + k % 36).cast("string")),
+        F.concat(F.lit("Employees: "), F.format_number(k * 7 + 1000, 0)), F.when(k % 8 != 0, F.concat(F.lit("Requested Amount: $"), F.format_number(_share(5, 10), 0))),
+        F.concat(F.lit("Purpose: "), _pick(k % 4, ("Working Capital", "Expansion", "Real Estate", "Something else"))),
+    )
+    kinds = {"income_statement": income, "balance_sheet": balance, "application_proposal": proposal}
+    rows = F.array(*[F.struct(F.lit(n).alias("document_type"), t.alias("text")) for n, t in kinds.items()])
+    return company_figures(spark, folder).select("company_id", F.inline(rows))
+
+
+def workbook_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Workbook of each customer in long form; revenue is 6000 higher for every fourth one."""
+    f, k = _figures(), F.col("k")
+    rows = []
+    for sheet, names in (("Income Statement", INCOME_LINES), ("Balance Sheet", BALANCE_LINES)):
+        for n in names:
+            value = f[n] + F.when((k % 4 == 0) & (F.lit(n) == "Revenue"), F.lit(6000)).otherwise(F.lit(0))
+            rows.append(F.struct(F.lit(sheet).alias("sheet"), F.lit(n).alias("label"), value.cast("string").alias("value")))
+    return company_figures(spark, folder).select("company_id", F.inline(F.array(*rows)))
+
+
+def summary_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Summary file rows of each customer; net income is 7000 higher for every third one."""
+    f, k = _figures(), F.col("k")
+    values = {
+        "total_revenue": f["Revenue"].cast("string"), "net_income": (f["Net Income"] + F.when(k % 3 == 0, F.lit(7000)).otherwise(F.lit(0))).cast("string"),
+        "interest_coverage_ratio": F.lit("7.5"), "balance_sheet_check": F.when(k % 5 == 0, F.lit("False")).otherwise(F.lit("True")), "unknown_field": F.lit("1"),
+    }
+    rows = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in values.items()])
+    return company_figures(spark, folder).select("company_id", F.inline(rows))
