@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foldstone.operators import documents as D, policy
 from foldstone.plans.registry import as_double, joined, query, rounded
 from foldstone.session import stage
-from foldstone.sources import adapters, files, registry
+from foldstone.sources import adapters, files, registry, stored
 
 COMPANIES = """
 co AS (SELECT c_custkey AS k, 'COMP-' || c_custkey AS company_id, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN 'Retail' ELSE lower(c_mktsegment) END AS industry,
@@ -24,11 +24,13 @@ fx AS (SELECT k, 'COMP-' || k AS company_id, r, r * 4 // 10 AS gp, r * 2 // 10 A
 
 
 def _facts(spark, folder):
-    texts = stage(adapters.statement_texts(spark, folder))
-    statements = D.statement_facts(texts)
-    book = D.workbook_facts(adapters.workbook_rows(spark, folder))
-    summary = D.summary_facts(adapters.summary_rows(spark, folder))
-    return texts, stage(D.document_facts(statements, book, summary))
+    """Statement texts and the facts of all documents, loaded once per session."""
+    texts = stored.derived("statement-texts", adapters.statement_texts, spark, folder)
+
+    def build(s, f):
+        return D.document_facts(D.statement_facts(texts), D.workbook_facts(adapters.workbook_rows(s, f)), D.summary_facts(adapters.summary_rows(s, f)))
+
+    return texts, stored.derived("document-facts", build, spark, folder)
 
 
 @query("registry_first_by_jurisdiction", f"WITH {COMPANIES} SELECT jurisdiction, arg_min(company_id, company_id) AS company_id, arg_min(name, company_id) AS name FROM co GROUP BY 1")
@@ -122,7 +124,7 @@ def document_catalog(spark, folder):
     SELECT company_id, 'balance_sheet', NULL, NULL, NULL, ta, cash, NULL, NULL, round(ca / cl, 6), k % 5 <> 0, CASE WHEN k % 5 = 0 THEN 'Balance sheet discrepancy detected: 600.00' ELSE '' END FROM fx""",
 )
 def statement_facts(spark, folder):
-    f = D.statement_facts(stage(adapters.statement_texts(spark, folder)))
+    f = D.statement_facts(adapters.statement_texts(spark, folder))
     return f.select("company_id", "document_type", as_double("total_revenue"), as_double("operating_expenses"), as_double("ebitda"), as_double("total_assets"), as_double("cash_and_equivalents"),
                     rounded("gross_margin"), rounded("interest_coverage"), rounded("current_ratio"), "balance_sheet_balances", joined("notes"))
 
@@ -181,10 +183,10 @@ def consistency_notes(spark, folder):
 
 def _quality(spark, folder):
     texts, facts = _facts(spark, folder)
-    merged = stage(D.merge_facts(facts))
-    notes = stage(D.consistency_notes(facts, merged))
+    merged = stored.derived("merged-facts", lambda s, f: D.merge_facts(facts), spark, folder)
+    notes = stored.derived("consistency-notes", lambda s, f: D.consistency_notes(facts, merged), spark, folder)
     parts = facts.select("company_id", "document_type", "notes").unionByName(D.proposal_fields(texts).select("company_id", "document_type", "notes"))
-    return texts, facts, merged, notes, stage(D.quality_assessments(parts, notes))
+    return texts, facts, merged, notes, D.quality_assessments(parts, notes)
 
 
 # Package notes reach a document when they contain the first word of its type.
@@ -238,10 +240,11 @@ def _cases(spark, folder):
     income_notes = facts.where("document_type = 'income_statement'").select("company_id", F.col("notes").alias("income_notes"))
     proposals = D.proposal_fields(texts).select("company_id", F.col("requested_amount_usd").alias("stated_amount"), F.col("purpose").alias("stated_purpose"))
     base = merged.join(notes, "company_id").join(income_notes, "company_id", "left").join(proposals, "company_id", "left").join(_profiles(spark, folder), "company_id")
-    return stage(base.select(
+    cases = base.select(
         "*", policy.quality_caveats(F.col("income_notes"), F.col("field_sources")["ebitda"], F.col("consistency_notes")).alias("caveats"),
         policy.requested_amount(F.col("stated_amount"), F.col("company_id")).alias("requested_amount_usd"), policy.loan_purpose(F.col("stated_purpose")).alias("loan_purpose"),
-    ))
+    )
+    return stored.derived("credit-cases", lambda s, f: cases, spark, folder)
 
 
 CASES = f"""{NOTES}, {PROFILES},
@@ -270,7 +273,7 @@ def loan_requests(spark, folder):
     (SELECT company_id, 'income_statement' AS document_type, CASE WHEN k % 7 = 0 THEN 'ebitda, total_assets' ELSE 'total_assets' END AS miss FROM fx UNION ALL SELECT company_id, 'balance_sheet', 'total_revenue, ebitda' FROM fx)""")
 def credit_deferrals(spark, folder):
     """Which single statements would be too little to start credit analysis."""
-    f = D.statement_facts(stage(adapters.statement_texts(spark, folder)))
+    f = D.statement_facts(adapters.statement_texts(spark, folder))
     return f.select("company_id", "document_type", policy.deferral(f).alias("deferral"))
 
 

@@ -370,3 +370,59 @@ def summary_rows(spark: SparkSession, folder: str) -> DataFrame:
     }
     rows = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in values.items()])
     return company_figures(spark, folder).select("company_id", F.inline(rows))
+
+
+# ---- one well-formed application per customer, advanced to a depth given by its key ---------------------------------
+def lifecycle_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """customer -> applications W<key> that went 1 to 18 steps through the loan process."""
+    c = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"))
+    k = F.col("k")
+    key, app = k.cast("string"), F.concat(F.lit("W"), k.cast("string"))
+    hard = k % 5 == 0
+    session = F.concat(F.lit("w"), key)
+    agent_stream = F.concat(F.lit("agent-credit_analysis-"), session)
+
+    def stream(family: str) -> Column:
+        return F.concat(F.lit(family + "-"), app)
+
+    def fields(**named) -> Column:
+        return F.to_json(F.struct(app.alias("application_id"), *[(v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in named.items()]))
+
+    rec = _pick(k % 3, ("APPROVE", "DECLINE", "REFER"))
+    final = F.when(k % 2 == 0, F.lit("APPROVE")).otherwise(F.lit("DECLINE"))
+    credit = F.struct(_pick(k % 3, ("LOW", "MEDIUM", "HIGH")).alias("risk_tier"), (F.lit(9000) + k * 12).cast("string").alias("recommended_limit_usd"), (F.lit(0.5) + (k % 50) / 100.0).alias("confidence"))
+    written = F.array(F.struct(stream("credit").alias("stream_id"), F.lit("CreditAnalysisCompleted").alias("event_type"), F.lit(1).alias("stream_position")))
+    reason = F.array(F.lit("Compliance hard block: REG-002"))
+    steps = [
+        (stream("loan"), "ApplicationSubmitted", fields(applicant_id=company_key(k), requested_amount_usd=(F.lit(10000) + k * 10).cast("string"), loan_purpose="bridge", loan_term_months=24,
+                                                        submission_channel="web", application_reference=F.concat(F.lit("ref-"), key))),
+        (stream("loan"), "DocumentUploadRequested", fields(requested_by="desk")),
+        (stream("docpkg"), "PackageReadyForAnalysis", fields(package_id=stream("docpkg"))),
+        (stream("loan"), "CreditAnalysisRequested", fields(requested_by="desk")),
+        (agent_stream, "AgentSessionStarted", fields(session_id=session, agent_type="credit_analysis", agent_id=F.concat(F.lit("a"), (k % 7).cast("string")), model_version=F.concat(F.lit("m"), (k % 2).cast("string")),
+                                                     context_source="fresh", context_token_count=500)),
+        (stream("credit"), "CreditAnalysisCompleted", fields(session_id=session, decision=credit, model_version=F.concat(F.lit("m"), (k % 2).cast("string")), analysis_duration_ms=40)),
+        (stream("loan"), "FraudScreeningRequested", fields(triggered_by_event_id=F.concat(stream("credit"), F.lit(":1")))),
+        (stream("fraud"), "FraudScreeningCompleted", fields(session_id=session, fraud_score=(k % 100) / 100.0)),
+        (stream("loan"), "ComplianceCheckRequested", fields(triggered_by_event_id=F.concat(stream("fraud"), F.lit(":1")))),
+        (stream("compliance"), "ComplianceCheckInitiated", fields(session_id=session, regulation_set_version="2026-Q1", rules_to_evaluate=F.array(F.lit("REG-001"), F.lit("REG-002"), F.lit("REG-006")))),
+        (stream("compliance"), "ComplianceRulePassed", fields(session_id=session, rule_id="REG-001")),
+        (stream("compliance"), F.when(hard, F.lit("ComplianceRuleFailed")).otherwise(F.lit("ComplianceRulePassed")), fields(session_id=session, rule_id="REG-002", is_hard_block=F.when(hard, F.lit(True)))),
+        (stream("compliance"), "ComplianceCheckCompleted", fields(session_id=session, has_hard_block=hard, overall_verdict=F.when(hard, F.lit("BLOCKED")).otherwise(F.lit("CLEAR")))),
+        (stream("loan"), F.when(hard, F.lit("ApplicationDeclined")).otherwise(F.lit("DecisionRequested")), fields(decline_reasons=F.when(hard, reason))),
+        (agent_stream, "AgentOutputWritten", fields(session_id=session, events_written=written)),
+        (stream("loan"), "DecisionGenerated", fields(orchestrator_session_id=session, recommendation=rec, confidence=(F.lit(0.5) + (k % 50) / 100.0), contributing_sessions=F.array(agent_stream))),
+        (stream("loan"), "HumanReviewCompleted", fields(reviewer_id="r1", override=(rec != final) & (rec != "REFER"), original_recommendation=rec, final_decision=final)),
+        (stream("loan"), F.when(final == "APPROVE", F.lit("ApplicationApproved")).otherwise(F.lit("ApplicationDeclined")), fields(approved_amount_usd=F.when(final == "APPROVE", F.lit("8000")), decline_reasons=F.when(final == "DECLINE", F.array(F.lit("review"))))),
+    ]
+    depth = F.when(hard, F.least(k % 18 + 1, F.lit(15))).otherwise(k % 18 + 1)
+    structs = F.array(*[
+        F.struct(F.lit(i).alias("step"), s.alias("stream_id"), (t if isinstance(t, Column) else F.lit(t)).alias("event_type"), p.alias("payload")) for i, (s, t, p) in enumerate(steps, start=1)
+    ])
+    rows = c.select("k", F.inline(F.slice(structs, F.lit(1), depth.cast("int"))))
+    position = F.col("k") * 32 + F.col("step")
+    return rows.select(
+        F.concat(F.lit("w"), position.cast("string")).alias("event_id"), "stream_id", F.lit(None).cast("bigint").alias("stream_position"), position.alias("global_position"), "event_type",
+        F.lit(2).alias("event_version"), "payload", F.to_json(F.struct(F.concat(F.lit("cw"), F.col("k").cast("string")).alias("correlation_id"))).alias("metadata"),
+        F.timestamp_seconds(F.lit(1704067200) + position).alias("recorded_at"),
+    )

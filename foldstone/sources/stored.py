@@ -35,3 +35,12 @@ def rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 def session_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return _load("sessions", adapters.session_ledger, spark, folder)
+
+
+def lifecycle_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return _load("lifecycle", lambda s, f: adapters.numbered(stage(adapters.lifecycle_ledger(s, f))), spark, folder)
+
+
+def derived(kind: str, build: Callable[[SparkSession, str], DataFrame], spark: SparkSession, folder: str) -> DataFrame:
+    """A table that several queries read, written once per session."""
+    return _load(kind, build, spark, folder)
