@@ -84,8 +84,10 @@ def accepted_events(requests: DataFrame, decisions: DataFrame, last_global_posit
     spread = requests.join(ok, "request_id").select("*", F.posexplode("events").alias("_i", "_e"))
     shared = P.without_fields(F.col("metadata"), "stream_metadata", "outbox_destinations") if "metadata" in requests.columns else F.lit("{}")
     cause = F.col("causation_id") if "causation_id" in requests.columns else F.lit(None).cast("string")
+    # An absent id is derived from the place in the log, so a repeated task writes the same one.
+    place = F.md5(F.concat_ws(":", "stream_id", (F.col("first_position") + F.col("_i")).cast("string")))
     rows = spread.select(
-        "request_order", "_i", F.col("_e.event_id").alias("event_id"), "stream_id", (F.col("first_position") + F.col("_i")).alias("stream_position"),
+        "request_order", "_i", F.coalesce("_e.event_id", place).alias("event_id"), "stream_id", (F.col("first_position") + F.col("_i")).alias("stream_position"),
         F.col("_e.event_type").alias("event_type"), F.coalesce("_e.event_version", F.lit(1)).alias("event_version"),
         F.coalesce("_e.payload", F.lit("{}")).alias("payload"), merged_metadata(shared, F.col("_e.metadata"), cause).alias("metadata"),
         F.coalesce("_e.recorded_at", F.current_timestamp()).alias("recorded_at"),

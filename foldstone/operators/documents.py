@@ -142,14 +142,17 @@ def statement_facts(texts: DataFrame) -> DataFrame:
     """Facts and notes from income statement and balance sheet texts (company_id, document_type, text)."""
     rows = texts.where(F.col("document_type").isin("income_statement", "balance_sheet"))
     income = F.col("document_type") == "income_statement"
-    columns, notes = [], []
+    raw, columns, notes = [], [], []
     for labels, here, title in ((INCOME_LABELS, income, "income statement"), (BALANCE_LABELS, ~income, "balance sheet")):
         for field, label in labels.items():
-            value = parse_money(first_match(F.col("text"), label + AMOUNT))
+            # Matching is a step of its own: parsing refers to a match several times and must not repeat it.
+            raw.append(F.when(here, F.regexp_extract("text", "(?im)" + label + AMOUNT, 1)).alias(f"_{field}"))
+            value = parse_money(F.col(f"_{field}"))
             value = F.abs(value) if field in ABSOLUTE_FIELDS else value
-            columns.append(F.when(here, value).alias(field))
+            columns.append(value.alias(field))
             notes.append(F.when(here & F.col(field).isNull(), F.lit(f"Missing {field} in {title} PDF")))
-    facts = with_ratios(rows.select("company_id", "document_type", F.length("text").alias("text_length"), *columns))
+    matched = rows.select("company_id", "document_type", F.length("text").alias("text_length"), *raw)
+    facts = with_ratios(matched.select("company_id", "document_type", "text_length", *columns))
     unbalanced = F.when(~income & ~F.col("balance_sheet_balances"), F.concat(F.lit("Balance sheet discrepancy detected: "), F.col("balance_discrepancy_usd").cast("string")))
     return facts.withColumn("notes", F.array_compact(F.array(*notes, unbalanced)))
 
@@ -184,10 +187,11 @@ def _pivoted(rows: DataFrame, document_type: str, missing_note: str) -> DataFram
     def pick(name: str, value: Column) -> Column:
         return F.max_by(value, F.when(F.col("field") == name, order))
 
-    wide = rows.groupBy("company_id").agg(
-        *[pick(f, parse_money(F.col("value"))).alias(f) for f in MONEY_FIELDS],
-        *[pick(f, F.col("value").try_cast("double")).alias(f) for f in RATIO_FIELDS],
-        pick("balance_sheet_check", parse_flag(F.col("value"))).alias("balance_sheet_balances"),
+    read = rows.select("*", parse_money(F.col("value")).alias("_money"), F.col("value").try_cast("double").alias("_ratio"), parse_flag(F.col("value")).alias("_flag"))
+    wide = read.groupBy("company_id").agg(
+        *[pick(f, F.col("_money")).alias(f) for f in MONEY_FIELDS],
+        *[pick(f, F.col("_ratio")).alias(f) for f in RATIO_FIELDS],
+        pick("balance_sheet_check", F.col("_flag")).alias("balance_sheet_balances"),
     )
     wide = wide.withColumn("document_type", F.lit(document_type)).withColumn("text_length", F.lit(0))
     facts = with_ratios(wide)

@@ -263,7 +263,7 @@ def read_model_lag(checkpoints: DataFrame, ledger: DataFrame) -> DataFrame:
     # One row per read model on the left, one row in all on the right.
     joined = done.join(events, "_at", "left").select("*", one).join(F.broadcast(latest.select("*", one)), "_one")
     behind = F.when(F.col("latest_position").isNull(), F.lit(0)).when(F.col("last_position") == 0, F.col("latest_position")).otherwise(F.greatest(F.lit(0), F.col("latest_position") - F.col("_at")))
-    ms = F.coalesce(F.greatest(F.lit(0), F.unix_millis("latest_recorded_at") - F.unix_millis("last_processed_at")), F.lit(0))
+    ms = F.coalesce(F.greatest(F.lit(0), F.floor((F.unix_micros("latest_recorded_at") - F.unix_micros("last_processed_at")) / 1000)), F.lit(0))
     return joined.select("projection_name", "last_position", "updated_at", "latest_position", "last_processed_at", behind.cast("bigint").alias("lag_positions"), ms.cast("bigint").alias("lag_ms"))
 
 

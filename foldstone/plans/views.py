@@ -263,7 +263,7 @@ def read_model_sizes(spark, folder):
     "read_model_health",
     """WITH top AS (SELECT max(event_id) AS p, arg_max(ts, event_id) AS top_at FROM events),
     cp(projection_name, last_position, target, upd) AS (SELECT 'application_summary', p + 1, 500, TIMESTAMP '2024-01-31' FROM top UNION ALL SELECT 'agent_performance', p // 2, 1000, TIMESTAMP '2024-01-30' FROM top UNION ALL SELECT 'compliance_audit', 0, 2000, TIMESTAMP '2024-01-31' FROM top),
-    j AS (SELECT cp.*, p, top_at, e.ts, CASE WHEN last_position = 0 THEN p ELSE greatest(0, p - (last_position - 1)) END AS lagp, coalesce(greatest(0, epoch_ms(top_at) - epoch_ms(e.ts)), 0) AS lagms FROM cp LEFT JOIN events e ON e.event_id = last_position - 1, top)
+    j AS (SELECT cp.*, p, top_at, e.ts, CASE WHEN last_position = 0 THEN p ELSE greatest(0, p - (last_position - 1)) END AS lagp, coalesce(greatest(0, (epoch_us(top_at) - epoch_us(e.ts)) // 1000), 0) AS lagms FROM cp LEFT JOIN events e ON e.event_id = last_position - 1, top)
     SELECT projection_name, lagp AS lag_positions, lagms AS lag_ms, target AS slo_target_ms,
       CASE WHEN last_position = 0 THEN 'not_started' WHEN lagp = 0 AND lagms <= target THEN 'healthy' WHEN epoch_ms(TIMESTAMP '2024-01-31 00:00:10') - epoch_ms(upd) > 60000 AND lagp > 0 THEN 'stalled' ELSE 'lagging' END AS status FROM j""",
 )
