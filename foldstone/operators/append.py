@@ -45,6 +45,8 @@ def decide_appends(requests: DataFrame, heads: DataFrame) -> DataFrame:
     from the first request that fits the stored head, so a stream with very many requests needs no single task.
     """
     sized = requests.select("request_id", "request_order", "stream_id", "expected_version", F.size("events").alias("_n"))
+    # Only heads of requested streams take part; the small side travels.
+    heads = heads.join(requests.select("stream_id").distinct(), "stream_id", "left_semi")
     known = heads.select("stream_id", F.col("current_version").alias("_head"), F.col("archived_at").isNotNull().alias("_archived"))
     rows = sized.join(known, "stream_id", "left").select(
         *sized.columns, F.coalesce("_head", F.lit(-1)).cast("bigint").alias("_head"), F.coalesce("_archived", F.lit(False)).alias("_archived"),

@@ -42,7 +42,9 @@ def grouped_events(ledger: DataFrame) -> DataFrame:
     streams = named.groupBy("stream_id").agg(F.max_by("_application_id", "global_position").alias("_by_stream"))
     audit = P.filled(F.regexp_extract("stream_id", "^audit-(?:loan|application)-(.*)$", 1))
     owner = F.coalesce("_application_id", P.filled(F.col("_by_session")), ids.package_owner(F.col("_package_id")), P.filled(F.col("_by_stream")), ids.stream_owner(), audit)
-    joined = rows.join(sessions, "_session_id", "left").join(streams, "stream_id", "left")
+    # Events without a session would all meet in one partition; their own id spreads them and matches nothing.
+    spread = rows.withColumn("_session_id", F.coalesce("_session_id", F.concat(F.lit("\x01"), "event_id")))
+    joined = spread.join(sessions, "_session_id", "left").join(streams, "stream_id", "left")
     return joined.select(owner.alias("application_id"), *ledger.columns).where("application_id is not null")
 
 
@@ -260,8 +262,9 @@ def read_model_lag(checkpoints: DataFrame, ledger: DataFrame) -> DataFrame:
     done = checkpoints.withColumn("_at", F.col("last_position") - 1)
     events = ledger.select(F.col("global_position").alias("_at"), F.col("recorded_at").alias("last_processed_at"))
     one = F.lit(1).alias("_one")
-    # One row per read model on the left, one row in all on the right.
-    joined = done.join(events, "_at", "left").select("*", one).join(F.broadcast(latest.select("*", one)), "_one")
+    # The checkpoint table has one row per read model, so it is sent to the log instead of shuffling the log.
+    reached = events.join(F.broadcast(done.select("_at").distinct()), "_at")
+    joined = done.join(reached, "_at", "left").select("*", one).join(F.broadcast(latest.select("*", one)), "_one")
     behind = F.when(F.col("latest_position").isNull(), F.lit(0)).when(F.col("last_position") == 0, F.col("latest_position")).otherwise(F.greatest(F.lit(0), F.col("latest_position") - F.col("_at")))
     ms = F.coalesce(F.greatest(F.lit(0), F.floor((F.unix_micros("latest_recorded_at") - F.unix_micros("last_processed_at")) / 1000)), F.lit(0))
     return joined.select("projection_name", "last_position", "updated_at", "latest_position", "last_processed_at", behind.cast("bigint").alias("lag_positions"), ms.cast("bigint").alias("lag_ms"))

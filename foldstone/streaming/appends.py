@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foldstone.operators import append
-from foldstone.schema import LEDGER_DDL
 from foldstone.session import stage
 
 REQUEST_DDL = f"request_id string, request_order bigint, stream_id string, expected_version bigint, events {append.EVENTS_DDL}, causation_id string, metadata string"
+HEAD_DDL = "stream_id string, current_version bigint, global_position bigint, archived_at timestamp"
 OUTBOX_DDL = "id string, event_id string, global_position bigint, destination string, payload string, created_at timestamp, published_at timestamp, attempts int"
 
 
@@ -27,15 +27,19 @@ def append_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         asked = stage(batch)
-        earlier = _earlier(spark, f"{root}/events", batch_id)
-        heads = append.stream_heads(earlier)
+        earlier = _earlier(spark, f"{root}/heads", batch_id)
+        heads = earlier.groupBy("stream_id").agg(F.max("current_version").alias("current_version"), F.max("archived_at").alias("archived_at"))
         last = earlier.agg(F.coalesce(F.max("global_position"), F.lit(0))).first()[0]
         decided = stage(append.decide_appends(asked, heads))
         events = append.accepted_events(asked, decided, last)
         events.write.mode("overwrite").parquet(f"{root}/events/batch={batch_id}")
         decided.write.mode("overwrite").parquet(f"{root}/decisions/batch={batch_id}")
+        written = spark.read.parquet(f"{root}/events/batch={batch_id}")
+        moved = written.groupBy("stream_id").agg(
+            F.max("stream_position").alias("current_version"), F.max("global_position").alias("global_position"), F.lit(None).cast("timestamp").alias("archived_at")
+        )
+        moved.write.mode("overwrite").parquet(f"{root}/heads/batch={batch_id}")
         if destinations is not None:
-            written = spark.read.parquet(f"{root}/events/batch={batch_id}")
             append.outbox_rows(written, destinations(written), F.col("recorded_at")).write.mode("overwrite").parquet(f"{root}/outbox/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/checkpoint")
@@ -43,9 +47,10 @@ def append_stream(
 
 
 def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """Head rows left by earlier batches: one per stream that a batch moved, never the log itself."""
     if batch_id == 0:
-        return spark.createDataFrame([], LEDGER_DDL)
-    rows = spark.read.schema(LEDGER_DDL + ", batch bigint").parquet(path)
+        return spark.createDataFrame([], HEAD_DDL)
+    rows = spark.read.schema(HEAD_DDL + ", batch bigint").parquet(path)
     return rows.where(F.col("batch") < batch_id).drop("batch")
 
 

@@ -14,7 +14,8 @@ from foldstone.operators.model import ReadModel
 from foldstone.schema import LEDGER_COLUMNS, LEDGER_DDL
 from foldstone.session import stage
 
-BUCKETS = 256
+# Number of key buckets of the log; a large log wants thousands, fixed when the log is created.
+BUCKETS_CONF, BUCKETS_DEFAULT = "foldstone.log.buckets", 32
 _BUCKETED = LEDGER_DDL + ", key_bucket int"
 
 
@@ -23,12 +24,12 @@ def write_log(events: DataFrame, path: str, model_key: Column | None = None) ->
     from foldstone.operators.model import application_key
 
     key = model_key if model_key is not None else application_key(events)
-    bucketed = events.select(*LEDGER_COLUMNS, F.coalesce(_bucket(key), F.lit(0)).alias("key_bucket"))
+    bucketed = events.select(*LEDGER_COLUMNS, F.coalesce(F.pmod(F.xxhash64(key), F.lit(log_buckets(events.sparkSession))).cast("int"), F.lit(0)).alias("key_bucket"))
     bucketed.write.mode("append").partitionBy("key_bucket").parquet(path)
 
 
-def _bucket(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def log_buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get(BUCKETS_CONF, str(BUCKETS_DEFAULT)))
 
 
 def follow(spark: SparkSession, log_path: str, model: ReadModel, root: str, max_attempts: int = 3, continuous: str | None = None) -> StreamingQuery:
@@ -57,8 +58,9 @@ def _fold_batch(spark: SparkSession, log_path: str, model: ReadModel, root: str,
         log = log.where(model.problem(log).isNull())
     if model.key is not None:
         touched = stage(handled.select(model.key(handled).alias("_key"), "key_bucket").where("_key is not null").distinct())
-        buckets = [r[0] for r in touched.select("key_bucket").distinct().limit(BUCKETS).collect()]
-        history = log.where(F.col("key_bucket").isin(*buckets)) if len(buckets) < BUCKETS else log
+        # At most one small number per bucket of the log comes to the driver.
+        buckets = [r[0] for r in touched.select("key_bucket").distinct().collect()]
+        history = log.where(F.col("key_bucket").isin(*buckets)) if len(buckets) < log_buckets(spark) else log
         history = history.withColumn("_key", model.key(history)).join(touched.select("_key").distinct(), "_key", "left_semi").drop("_key")
     else:
         history = log
