@@ -26,7 +26,7 @@ blk AS (
   JOIN cnt f ON f.app = c.app AND f.segment = c.segment AND f.t = 'ComplianceRuleFailed' AND f.gpos <= c.gpos AND (f.hard OR (x.cut <= c.gpos AND f.gpos <= x.cut))
   GROUP BY 1),
 hist AS (
-  SELECT c.app AS application_id, ver AS snapshot_version, segment, c.gpos AS global_position, epoch_us(ts) AS as_of, t AS last_event_type,
+  SELECT c.app AS application_id, ver AS snapshot_version, CAST(c.segment AS BIGINT) AS segment, c.gpos AS global_position, epoch_us(ts) AS as_of, t AS last_event_type,
     CASE WHEN op IS NOT NULL THEN 's' || c.app END AS session_id, op.rs AS regulation_set_version, coalesce(array_to_string(op.rq, '|'), '') AS required_rules,
     np AS passed_count, nf AS failed_count, nn AS noted_count, coalesce(hb, '') AS hard_block_rules, coalesce(cl.c, false) AS completed,
     cl.v AS overall_verdict, c.gpos + 1 AS checkpoint_position, ts

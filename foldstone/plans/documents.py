@@ -204,7 +204,7 @@ ql AS (SELECT company_id, k, document_type,
 @query(
     "quality_assessments",
     f"""WITH {QUALITY} SELECT company_id, document_type, missing, anomalies,
-      CASE WHEN missing > 0 AND document_type IN ('income_statement','balance_sheet') THEN 0.55 WHEN anomalies > 0 THEN 0.7 ELSE 0.95 END AS overall_confidence,
+      CASE WHEN missing > 0 AND document_type IN ('income_statement','balance_sheet') THEN 0.55 WHEN anomalies > 0 THEN 0.7 ELSE 0.95 END :: DOUBLE AS overall_confidence,
       anomalies = 0 AS is_coherent, missing > 0 OR anomalies > 0 AS reextraction_recommended FROM ql""",
 )
 def quality_assessments(spark, folder):

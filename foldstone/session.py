@@ -60,12 +60,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def staged_path(df: DataFrame) -> str:
+    """Write a result as Parquet below the shared folder and return where."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate result that several branches read, as Parquet in the shared folder.
 
     Readers keep column pruning and filter pushdown, the log is parsed once, and a lost executor costs a re-read.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(staged_path(df))

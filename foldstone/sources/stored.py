@@ -5,20 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-from foldstone.session import prepare, shared_folder, stage
+from foldstone.session import prepare, stage, staged_path
 from foldstone.sources import adapters
 
-_LOADED: dict[tuple[str, str, str], DataFrame] = {}
+# (application, table, folder) -> where it was written; only paths are remembered.
+_LOADED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def _load(kind: str, build: Callable[[SparkSession, str], DataFrame], spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     key = (spark.sparkContext.applicationId, kind, folder)
     if key not in _LOADED:
-        shared_folder(spark)
-        _LOADED[key] = stage(build(spark, folder))
-    return _LOADED[key]
+        built = build(spark, folder)
+        _LOADED[key] = (staged_path(built), built.schema)
+    path, schema = _LOADED[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def loan_ledger(spark: SparkSession, folder: str) -> DataFrame:
