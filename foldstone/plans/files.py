@@ -10,6 +10,7 @@ from foldstone.operators import branches, lineage
 from foldstone.operators.model import AGENT_PERFORMANCE, APPLICATION_SUMMARY, COMPLIANCE_AUDIT
 from foldstone.plans import compliance as compliance_plans, log as log_plans, readmodels
 from foldstone.plans.ctes import LOAN, summary_cte
+from foldstone.plans.lineage import OUTCOMES
 from foldstone.plans.registry import SQL, query
 from foldstone.session import shared_folder, stage
 from foldstone.sources import ledger as ledger_source, stored
@@ -137,7 +138,16 @@ def streamed_appends(spark, folder):
     return spark.read.parquet(f"{root}/decisions").select("request_id", "status", "last_position")
 
 
-@query("branch_agent_rows")
+@query(
+    "branch_agent_rows",
+    f"""WITH RECURSIVE {OUTCOMES},
+    st AS (SELECT branch, app, sess, gpos, akind, 'agent-' || (k % 7) AS a, 'm' || (k % 2) AS m FROM tl WHERE t = 'AgentSessionStarted'),
+    oo AS (SELECT s.branch, s.app, s.akind, s.a, s.m, o.t FROM (SELECT * FROM tl WHERE eid NOT LIKE 'i%' AND t IN ('CreditAnalysisCompleted','FraudScreeningCompleted','ComplianceCheckCompleted','DecisionGenerated')) o
+      ASOF JOIN st s ON o.branch = s.branch AND o.app = s.app AND o.sess = s.sess AND o.gpos > s.gpos),
+    u AS (SELECT branch, app, akind, a, m, 'start' AS what FROM st UNION ALL SELECT * FROM oo)
+    SELECT branch, app AS scope, akind AS agent_type, a AS agent_id, m AS model_version, count(*) FILTER (WHERE what = 'start') AS total_sessions,
+      count(*) FILTER (WHERE what NOT IN ('start', 'DecisionGenerated')) AS analyses_completed, count(*) FILTER (WHERE what = 'DecisionGenerated') AS decisions_generated FROM u GROUP BY 1, 2, 3, 4, 5""",
+)
 def branch_agent_rows(spark, folder):
     """Agent rows of the real and counterfactual timelines of each application."""
     ledger = stored.linked_ledger(spark, folder)

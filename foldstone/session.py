@@ -67,9 +67,25 @@ def staged_path(df: DataFrame) -> str:
     return path
 
 
+_STAGES: list[str] = []
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the intermediate results that ``stage`` wrote; call it once their readers are done."""
+    files = spark._jvm.org.apache.hadoop.fs.Path
+    configuration = spark._jsc.hadoopConfiguration()
+    dropped = 0
+    while _STAGES:
+        path = files(_STAGES.pop())
+        dropped += bool(path.getFileSystem(configuration).delete(path, True))
+    return dropped
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate result that several branches read, as Parquet in the shared folder.
 
     Readers keep column pruning and filter pushdown, the log is parsed once, and a lost executor costs a re-read.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(staged_path(df))
+    path = staged_path(df)
+    _STAGES.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -92,3 +92,34 @@ def test_replay_good_path_errors_and_snapshots(spark, tiny_blocks):
     again = {r.application_id: r for r in loans.replay_loans(frame, saved).collect()}
     for app in ("A1", "B1"):
         assert (again[app].state, again[app].version, again[app].requested_amount_usd, again[app].credit_requested) == (rows[app].state, rows[app].version, rows[app].requested_amount_usd, rows[app].credit_requested)
+
+
+def test_long_streams_replay_like_a_plain_loop(spark, tiny_blocks):
+    """Sixty applications with up to seventy random events each, folded in blocks of twelve."""
+    import random
+
+    from foldstone.schema import LOAN_TRANSITIONS
+
+    allowed = {line.split(" -> ")[0]: line.split(" -> ")[1].split() for line in LOAN_TRANSITIONS.strip().splitlines()}
+    rng, log, want = random.Random(3), Log(), {}
+    quiet = ["DocumentUploadRequested", "HumanReviewRequested", "PackageNoted"]
+    path = [("ApplicationSubmitted", "SUBMITTED"), ("CreditAnalysisRequested", "AWAITING_ANALYSIS"), ("FraudScreeningRequested", "ANALYSIS_COMPLETE"),
+            ("ComplianceCheckRequested", "COMPLIANCE_REVIEW"), ("DecisionRequested", "PENDING_DECISION"), ("ApplicationApproved", "FINAL_APPROVED")]
+    for a in range(60):
+        app, state, error, at = f"Z{a}", "NEW", None, 0
+        for _ in range(rng.randint(1, 70)):
+            name, target = rng.choice([(q, None) for q in quiet] * 6 + [path[at % len(path)]] + ([rng.choice(path)] if rng.random() < 0.1 else []))
+            payload = {**submitted(app), "approved_amount_usd": "1"}
+            log.add(f"loan-{app}", name, payload)
+            if error is not None or target is None:
+                continue
+            if target == state:
+                continue
+            if target in allowed.get(state, ()):
+                state, at = target, at + 1
+            else:
+                error = (log.heads[f"loan-{app}"], target)
+        want[app] = (state, error)
+    got = {r.application_id: (r.state, (r.error_position, r.error_target) if r.error_position is not None else None) for r in loans.replay_loans(log.frame(spark)).collect()}
+    assert got == want
+    assert any(e for _, e in want.values()) and any(e is None for _, e in want.values())
