@@ -84,10 +84,14 @@ def test_jsonl_positions_follow_file_order(spark, tmp_path, tiny_blocks):
     lines = ['{"stream_id":"loan-%d","event_type":"E","payload":{"n":%d,"m":"1.50"},"recorded_at":"2026-01-01T00:00:00"}' % (i % 3, i) for i in range(50)]
     (tmp_path / "a.jsonl").write_text("\n".join(lines[:30]) + "\n\n")
     (tmp_path / "b.jsonl").write_text("\n".join(lines[30:]))
+    # Files are read in several splits.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
     got = read_jsonl(spark, str(tmp_path)).orderBy("global_position").collect()
     assert [int(r.payload.split('"n":')[1].split(",")[0]) for r in got] == list(range(50))
     assert [r.global_position for r in got] == list(range(1, 51))
     assert [r.stream_position for r in got if r.stream_id == "loan-1"] == list(range(1, 18))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     out = str(tmp_path / "ledger")
     write_ledger(read_jsonl(spark, str(tmp_path / "*.jsonl")), out)
     part = stream_events(read_ledger(spark, out), stream_id="loan-2", from_position=3, to_position=4)
