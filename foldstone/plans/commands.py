@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foldstone.operators import append, commands as C, loans, policy, summary, verify
 from foldstone.plans.ctes import LOAN, summary_cte
-from foldstone.plans.registry import as_double, query
+from foldstone.plans.registry import query
 from foldstone.session import stage
 from foldstone.sources import adapters, stored
 

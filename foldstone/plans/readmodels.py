@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from foldstone.operators import agents, summary
 from foldstone.plans.ctes import LOAN, agents_cte, summary_cte
 from foldstone.plans.registry import as_double, joined, micros, query, rounded

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from foldstone.operators import branches, costs, evolution, integrity, lineage, package, sessions
 from foldstone.session import stage
-from helpers import Log, approved_path, submitted
+from helpers import Log, approved_path
 
 
 def test_upgrades_fill_by_time_and_leave_stored_rows(spark):

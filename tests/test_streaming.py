@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from foldstone.operators import append, views
+from foldstone.operators import views
 from foldstone.operators.model import AGENT_PERFORMANCE, APPLICATION_SUMMARY, COMPLIANCE_AUDIT, READ_MODELS, ReadModel, application_key
 from foldstone.operators.summary import application_summary
 from foldstone.streaming import appends, follow, state
