@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from foldstone.operators import documents as D, policy
 from foldstone.plans.registry import as_double, joined, query, rounded
-from foldstone.session import stage
+from foldstone.session import shared_folder, stage
 from foldstone.sources import adapters, files, registry, stored
 
 COMPANIES = """
@@ -150,6 +152,24 @@ def document_fact_parts(spark, folder):
     return parts.select("company_id", "document_type", as_double("total_revenue"), as_double("net_income"), as_double("ebitda"), rounded("interest_coverage"), "balance_sheet_balances")
 
 
+@query(
+    "summary_files",
+    """WITH r AS (SELECT n_name, CAST(floor(sum(CAST(o_totalprice AS DECIMAL(18,2)))) AS BIGINT) AS r FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1)
+    SELECT n_name AS company_id, CAST(r AS DOUBLE) AS total_revenue, CAST(r // 10 AS DOUBLE) AS net_income, round((r // 10) / r, 6) AS net_margin, CAST(7.5 AS DOUBLE) AS interest_coverage, true AS balance_sheet_balances FROM r""",
+)
+def summary_files(spark, folder):
+    """One summary file per nation, written as CSV folders and read back with the company taken from the path."""
+    path = f"{shared_folder(spark)}/summaries-{uuid.uuid4().hex}"
+    orders = adapters.table(spark, folder, "orders").join(adapters.table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    nations = orders.join(adapters.table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    totals = nations.groupBy(F.col("n_name").alias("company_id")).agg(F.floor(F.sum(F.col("o_totalprice").cast("decimal(18,2)"))).cast("bigint").alias("r"))
+    lines = {"total_revenue": F.col("r").cast("string"), "net_income": F.floor(F.col("r") / 10).cast("string"), "interest_coverage_ratio": F.lit("7.5"), "balance_sheet_check": F.lit("True"), "other": F.lit("x")}
+    rows = totals.select("company_id", F.inline(F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value"), F.lit("2024").alias("fiscal_year"), F.lit("USD").alias("currency")) for n, v in lines.items()])))
+    rows.write.partitionBy("company_id").option("header", "true").csv(path)
+    f = D.summary_facts(files.read_summary_files(spark, path))
+    return f.select("company_id", as_double("total_revenue"), as_double("net_income"), rounded("net_margin"), rounded("interest_coverage"), "balance_sheet_balances")
+
+
 @query(
     "merged_facts",
     f"""WITH {FIGURES} SELECT company_id, CAST(r AS DOUBLE) AS total_revenue, CAST(eb AS DOUBLE) AS ebitda, CASE WHEN k % 7 = 0 THEN 'financial_workbook' ELSE 'income_statement' END AS ebitda_source, CAST(ni AS DOUBLE) AS net_income,

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foldstone.operators.documents import REQUIRED_FILES
 
-COMPANY_OF_PATH = r"([^/]+)/[^/]+$"
+# A company's folder is its id, plain or as a partition folder.
+COMPANY_OF_PATH = r"/(?:company_id=)?([^/]+)/[^/]+$"
 
 
 def _company(path: Column) -> Column:
