@@ -6,31 +6,50 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldstone.llm import decontaminate, exact_dedup, mixing
+from foldstone.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity
 from foldstone.session import prepare, shared_folder
 
+# Trained scores are no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go."""
+    prepare(spark)
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     prepare(spark)
     return exact_dedup.keep_first(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at a similarity of 0.8 stays."""
+    prepare(spark)
+    return ngram_join.one_of_each(docs, words=5, percent=80)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     prepare(spark)
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("exact dedup", exact), ("benchmark decontamination", decontaminated)]
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes words of, with their size, their source's target and the words taken."""
+    prepare(spark)
+    return mixing.mixed_documents(docs)
+
+
+STAGES = [("toxicity", not_toxic), ("exact dedup", exact), ("n-gram Jaccard join", near), ("benchmark decontamination", decontaminated), ("mixing sources", mixed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, function in STAGES:
         path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        function(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldstone.llm import decontaminate, exact_dedup, mixing, url_filter
+from foldstone.llm import decontaminate, exact_dedup, html_text, mixing, ngram_join, quality, substring_dedup, token_counts, toxicity, url_filter
 from foldstone.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op1_exact_dedup(spark, folder):
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+@query("op2_toxicity")
+def op2_toxicity(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query(
     "op3_source_mix",
     r"""WITH RECURSIVE d AS (
@@ -61,6 +66,11 @@ def op3_source_mix(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
 
 
+@query("op4_quality")
+def op4_quality(spark, folder):
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query(
     "op5_url_filter",
     r"""WITH rest AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
@@ -74,6 +84,42 @@ def op5_url_filter(spark, folder):
     return url_filter.judge(table(spark, folder, "pages"), spark.createDataFrame(RULES, "rule string, verdict string"))
 
 
+@query(
+    "op6_ngram_join",
+    r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct([array_to_string(w[k:k + 3], ' ') FOR k IN range(1, len(w) - 2)])
+      WHEN len(w) > 0 THEN ['short: ' || array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+    e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+    o AS (SELECT a.doc_id AS u, b.doc_id AS v, a.n AS m, b.n AS n, count(*) AS c FROM e a JOIN e b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2, 3, 4),
+    l AS (SELECT u, v FROM o WHERE 100 * c >= 85 * (m + n - c)),
+    r AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+    c AS (SELECT u, min(v) AS component_id FROM r GROUP BY 1), k AS (SELECT u, count(*) AS n_links FROM l GROUP BY 1)
+    SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links FROM s JOIN c ON c.u = doc_id LEFT JOIN k ON k.u = doc_id""",
+)
+def op6_ngram_join(spark, folder):
+    return ngram_join.linked_sets(table(spark, folder, "documents"))
+
+
+@query(
+    "op7_substring_dedup",
+    r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    a AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS p, w FROM d WHERE len(w) >= 13),
+    win AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS g FROM a),
+    f AS (SELECT g, min(doc_id) AS first_id FROM win GROUP BY g),
+    gone AS (SELECT DISTINCT doc_id, p + k AS p FROM win JOIN f USING (g), range(0, 13) t(k) WHERE first_id < doc_id),
+    word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+    kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+    SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+)
+def op7_substring_dedup(spark, folder):
+    return substring_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark, folder):
+    return token_counts.section_tokens(table(spark, folder, "documents"))
+
+
 @query(
     "op9_decontamination",
     r"""WITH i AS (SELECT item_id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM benchmark),
@@ -86,3 +132,8 @@ def op5_url_filter(spark, folder):
 )
 def op9_decontamination(spark, folder):
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op10_html_text")
+def op10_html_text(spark, folder):
+    return html_text.main_text(table(spark, folder, "pages"))

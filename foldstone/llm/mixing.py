@@ -73,3 +73,14 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     epochs = F.when(F.col("p.source_size") > 0, F.floor(budget / F.col("p.source_size"))).otherwise(0).cast("long")
     rest = F.least(F.col("p.size"), F.greatest(F.lit(0), budget - epochs * F.col("p.source_size") - before))
     return placed.alias("p").join(offsets.alias("o"), at).select("p.doc_id", "p.source", "p.size", "p.source_size", "p.target", (epochs * F.col("p.size") + rest).cast("long").alias("taken"))
+
+
+def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """The documents that the mix takes words of, all columns and texts whole, with mix_size, mix_target and mix_taken.
+
+    Documents are joined with their decision by id; rows without an id, or that repeat one, share the decision of the row
+    that takes most.
+    """
+    taken = mix(documents, weights, share, most, seed).where("taken > 0").groupBy(F.col("doc_id").alias("__id"))
+    taken = stage(taken.agg(F.max("size").alias("mix_size"), F.max("target").alias("mix_target"), F.max("taken").alias("mix_taken")))
+    return documents.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
