@@ -79,8 +79,8 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, sh
     """The documents that the mix takes words of, all columns and texts whole, with mix_size, mix_target and mix_taken.
 
     Documents are joined with their decision by id; rows without an id, or that repeat one, share the decision of the row
-    that takes most.
+    that takes most; columns of those names are replaced.
     """
     taken = mix(documents, weights, share, most, seed).where("taken > 0").groupBy(F.col("doc_id").alias("__id"))
     taken = stage(taken.agg(F.max("size").alias("mix_size"), F.max("target").alias("mix_target"), F.max("taken").alias("mix_taken")))
-    return documents.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    return documents.drop("mix_size", "mix_target", "mix_taken").join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")

@@ -27,11 +27,18 @@ GRAMS = (3, 4)  # bytes of a character n-gram, spaces included
 
 
 def features(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Buckets of all words, then of the character n-grams by size, and for each of these where every text's begin."""
+    """Buckets of all words, of pairs of words, then of character n-grams by size, and for each where every text's begin."""
     words = Words(column)
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
-    parts = [((words.hashes() * STEP) >> shift).astype(np.int32)]
+    hashes = words.hashes()
+    parts = [((hashes * STEP) >> shift).astype(np.int32)]
     bounds = [words.first.astype(np.int64)]
+    # Pairs of words have two vectors only: the second word is the first one again, or another.
+    inner = np.ones(max(len(hashes) - 1, 0), bool)
+    cuts = words.first[1:-1] - 1
+    inner[cuts[(cuts >= 0) & (cuts < len(inner))]] = False
+    parts.append((BUCKETS - 1 - (hashes[1:] == hashes[:-1]))[inner].astype(np.int32))
+    bounds.append(np.concatenate([[0], np.cumsum(inner)])[np.minimum(words.first, len(inner))])
     data = words.data.astype(np.uint64)
     for n in GRAMS:
         size = max(0, len(data) - n + 1)
@@ -55,8 +62,9 @@ def train(sample: list[tuple[str, int]], share: float) -> tuple[np.ndarray, floa
     if len(set(y.tolist())) < 2:
         return None
     rng = np.random.default_rng(7)
-    vectors = (rng.standard_normal((BUCKETS, DIMENSIONS)) / DIMENSIONS).astype(np.float32)
-    output, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
+    # Vectors begin near zero, so features never seen in training carry next to nothing.
+    vectors = (rng.standard_normal((BUCKETS, DIMENSIONS)) * 1e-3).astype(np.float32)
+    output, bias = rng.standard_normal((2, DIMENSIONS)).astype(np.float32) / 4, np.zeros(2, np.float32)
     bags = []
     for text, _ in sample:
         parts, _ = features(pa.array([text], pa.large_string()))

@@ -114,7 +114,7 @@ def _shard(window: int):
                 least[in_order] = np.minimum.reduceat(np.append(owners[index.rows], LAST), bounds)[::2]
             found = least[inverse.ravel()]
         ends = np.cumsum(counts)
-        return pd.DataFrame({"anchor": asked["anchor"].to_numpy(), "fragment_hash": asked["fragment_hash"].to_numpy(), "firsts": [found[e - c : e] for e, c in zip(ends, counts)]})
+        return pd.DataFrame({"anchor": asked["anchor"].to_numpy(), "fragment_hash": asked["fragment_hash"].to_numpy(), "firsts": pd.Series([found[e - c : e] for e, c in zip(ends, counts)], dtype=object)})
 
     return of
 

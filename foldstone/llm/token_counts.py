@@ -38,7 +38,7 @@ def attribute(token_ends: np.ndarray, section_ends: np.ndarray) -> tuple[np.ndar
     The rule: a token belongs to the section that holds most of its characters, and of equal parts to the earliest. A token
     without a whole character (one of several for a character) belongs where the character is that it ends in.
     """
-    starts = np.concatenate([[0], token_ends[:-1]]).astype(np.int64)
+    starts = np.concatenate([[0], token_ends])[:-1].astype(np.int64)
     low = np.searchsorted(section_ends, starts, side="right")
     high = np.maximum(low, np.searchsorted(section_ends, token_ends, side="left"))
     low, high = np.minimum(low, len(section_ends) - 1), np.minimum(high, len(section_ends) - 1)

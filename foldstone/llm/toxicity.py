@@ -2,8 +2,8 @@
 
 The kernel of two words is the gap-weighted count of their common subsequences of three letters, normalised; a sentence
 compares with a landmark by its best matching word, so inserted, dropped and exchanged letters cost only some
-similarity. Words are runs of letters between spaces with all other signs taken out, and runs of single letters count as a
-word, too, so spelled-out and dotted insults are seen. The landmarks are words of the training sentences.
+similarity. Words are runs of letters between spaces with all other signs taken out and their start as a letter of its
+own; runs of single letters count as a word, too, so spelled-out and dotted insults are seen. The landmarks are words of the training sentences.
 """
 
 from __future__ import annotations
@@ -20,22 +20,27 @@ from foldstone.llm.labelled import remainder, training_sample
 from foldstone.llm.words import STEP, Words, mix, slices
 
 PARTS, HELD_OUT = 3, 1
-SAMPLE_PER_CLASS = 1200
+SAMPLE_PER_CLASS = 1000
 SAMPLE_CHARS = 20_000
-LANDMARKS, BACKGROUND = 64, 16
+LANDMARKS, BACKGROUND = 64, 8
+# A letter run must set label 1 apart by this factor and be in so many of its documents; each should have so many
+# landmarks, and no two are more alike than this.
+APART, SUPPORT, COVER, ALIKE = 15, 4, 8, 0.6
+PENALTY, SHRINK = 1e-3, 1e-5
 THRESHOLD = 0.7
 
-LETTERS = 28  # a-z, and one for all letters beyond ASCII
+LETTERS = 34  # a-z, six kinds of bytes of other characters, and the start of a word
+START = 33
 SPAN = 6  # three letters lie within so many places
 DECAY = 0.6  # for each place that a subsequence spans
-NEAR = 0.35  # kernel values below count as zero
+NEAR = 0.4  # kernel values below count as zero
 PIECE = 16  # longer words are compared in overlapping pieces
 LEAST_NORM = (2 + 2 * DECAY**2) ** 0.5  # of a word of four letters; longer ones have no less
 
 CODES = np.full(256, 255, np.uint8)
 CODES[97:123] = np.arange(1, 27)
 CODES[65:91] = np.arange(1, 27)
-CODES[0xC0:] = 27  # the first byte of a character; the others carry nothing
+CODES[0x80:0xC0] = 27 + np.arange(0x80, 0xC0) % 6  # the first byte of a character carries little
 GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 
 
@@ -69,16 +74,22 @@ class Units:
         size = end - begin
         long_enough = size >= 4
         begin, size, sentence = begin[long_enough], size[long_enough], sentence[long_enough]
-        pieces = np.where(size > PIECE, (size - PIECE + 7) // 8 + 1, 1)
+        room = PIECE - 1
+        pieces = np.where(size > room, (size - room + 7) // 8 + 1, 1)
         owner = np.repeat(np.arange(len(size)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        shift = np.minimum(nth * 8, np.maximum(size[owner] - PIECE, 0))
-        self.begin, self.size, self.sentence = begin[owner] + shift, np.minimum(size[owner], PIECE), sentence[owner]
+        shift = np.minimum(nth * 8, np.maximum(size[owner] - room, 0))
+        self.first = shift == 0
+        self.begin, self.size, self.sentence = begin[owner] + shift, np.minimum(size[owner], room), sentence[owner]
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Letters of the distinct units, and which of them each unit is."""
-        at = np.minimum(self.begin[:, None] + np.arange(PIECE), max(len(self.letters) - 1, 0))
-        rows = np.where(np.arange(PIECE) < self.size[:, None], self.letters[at] if len(self.letters) else 0, 0).astype(np.uint8)
+        column = np.arange(PIECE - 1)
+        at = np.minimum(self.begin[:, None] + column, max(len(self.letters) - 1, 0))
+        rows = np.zeros((len(self.begin), PIECE), np.uint8)
+        rows[:, 1:] = np.where(column < self.size[:, None], self.letters[at], 0) if len(self.letters) else 0
+        rows[self.first, 0] = START
+        rows[~self.first] = np.roll(rows[~self.first], -1, axis=1)
         key = rows.view(np.uint64)
         _, one, which = np.unique(mix(key[:, 0] * STEP + mix(key[:, 1])), return_index=True, return_inverse=True)
         by_size = np.argsort(self.size[one], kind="stable")  # neighbours of one size need the fewest columns
@@ -161,7 +172,7 @@ class Model:
         known, row = np.unique(sentence, return_inverse=True)
         kernel = np.zeros((len(known), self.table.shape[1]), np.float32)
         np.maximum.at(kernel, (row.ravel(), landmark[spread]), value[spread])
-        return known, kernel**2
+        return known, kernel
 
     def scores(self, column: pa.Array) -> np.ndarray:
         units = Units(column)
@@ -171,44 +182,75 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -40, 40)))
 
 
-def _grams(rows: np.ndarray) -> np.ndarray:
-    """Codes of the runs of four letters, 0 where there is none."""
+def _letter_runs(rows: np.ndarray, n: int) -> np.ndarray:
+    """Codes of the runs of n letters, 0 where there is none."""
     a = rows.astype(np.int64)
-    runs = ((a[:, :-3] * LETTERS + a[:, 1:-2]) * LETTERS + a[:, 2:-1]) * LETTERS + a[:, 3:]
-    return np.where(a[:, 3:] > 0, runs, 0)
+    code = np.zeros((len(rows), PIECE - n + 1), np.int64)
+    for k in range(n):
+        code = code * LETTERS + a[:, k : PIECE - n + 1 + k]
+    return np.where(a[:, n - 1 :] > 0, code, 0)
 
 
 def choose_landmarks(units: Units, y: np.ndarray) -> np.ndarray:
-    """Words of the training sentences: those made of letter runs that set label 1 apart, unlike each other, and a few others."""
+    """Parts of words of the training sentences: runs of letters that set label 1 apart, chosen so that every document of
+    label 1 has some of them, and a few other words.
+
+    Runs are taken by the number of documents that still lack ``COVER`` landmarks, longer ones rather, if at least
+    ``SUPPORT`` do.
+    """
     rows, which = units.distinct()
-    grams = _grams(rows)
     text = units.text_of[units.sentence]
-    pairs = np.unique(text[:, None] * LETTERS**4 + grams[which])
-    pairs = pairs[pairs % LETTERS**4 > 0]
-    codes, number = np.unique(pairs % LETTERS**4, return_inverse=True)
-    one = y[pairs // LETTERS**4] == 1
-    ones = np.bincount(number.ravel()[one], minlength=len(codes))
-    zeros = np.bincount(number.ravel()[~one], minlength=len(codes))
-    odds = np.log((ones + 0.5) / (y.sum() + 1)) - np.log((zeros + 0.5) / ((1 - y).sum() + 1))
-    odds = np.where(ones >= 3, odds, 0)
-    at = np.searchsorted(codes, grams)
-    value = np.where(grams > 0, odds[np.minimum(at, len(codes) - 1)], 0).sum(1) / np.maximum((grams > 0).sum(1), 1)
-    order = np.argsort(-value, kind="stable")
-    chosen: list[int] = []
+    seen = np.unique(text * np.int64(len(rows)) + which)
+    doc, word = seen // len(rows), seen % len(rows)
+    candidates: list[tuple[int, np.ndarray, np.ndarray]] = []
+    ones_of, zeros_of = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
+    for n in range(4, 11):
+        codes = _letter_runs(rows, n)
+        flat, first, at = np.unique(codes, return_index=True, return_inverse=True)
+        at = at.reshape(codes.shape)[word]
+        pairs = np.unique((at * np.int64(len(y)) + doc[:, None])[flat[at] > 0])
+        number, owner = pairs // len(y), pairs % len(y)
+        ones = np.bincount(number[y[owner] == 1], minlength=len(flat))
+        zeros = np.bincount(number[y[owner] == 0], minlength=len(flat))
+        good = np.flatnonzero((ones >= SUPPORT) & (zeros / zeros_of <= ones / ones_of / APART))
+        bounds = np.searchsorted(number, np.arange(len(flat) + 1))
+        for g in good.tolist():
+            holders = owner[bounds[g] : bounds[g + 1]]
+            place = first[g]
+            w, k = place // codes.shape[1], place % codes.shape[1]
+            candidates.append((n, np.pad(rows[w, k : k + n], (0, PIECE - n)), holders[y[holders] == 1]))
+    candidates.sort(key=lambda c: (-len(c[2]) * c[0] ** 0.5, c[1].tobytes()))
+    lacking, chosen = np.where(y == 1, COVER, 0), []
     vectors = np.zeros((0, LETTERS**3), np.float32)
-    for begin in range(0, len(order), 64):
-        block = order[begin : begin + 64]
-        if len(chosen) >= LANDMARKS or value[block[0]] < 1.0:
+    for _, run, holders in candidates:
+        if len(chosen) >= LANDMARKS or (lacking[holders] > 0).sum() < SUPPORT:
+            continue
+        vector = embedding(run[None])
+        if not (vectors @ vector[0] > ALIKE).any():
+            chosen.append(run)
+            vectors = np.vstack([vectors, vector])
+            lacking[holders] -= 1
+    plain = [rows[k] for k in range(0, len(rows), max(1, len(rows) // BACKGROUND))][:BACKGROUND]
+    return np.array([*chosen, *plain], np.uint8).reshape(-1, PIECE) if chosen else np.zeros((0, PIECE), np.uint8)
+
+
+def fit(x: np.ndarray, target: np.ndarray, weight: np.ndarray, penalty: float, steps: int = 30) -> np.ndarray:
+    """Linear support vector machine with squared hinge loss, by Newton steps over the rows that are short of the margin."""
+    w = np.zeros(x.shape[1])
+    ridge = penalty * np.eye(x.shape[1])
+    ridge[-1, -1] = 1e-9  # the last column is the offset
+    short = np.ones(len(x), bool)
+    for _ in range(steps):
+        part = x[short] * weight[short][:, None]
+        w = np.linalg.solve(ridge + part.T @ x[short], part.T @ target[short])
+        now = target * (x @ w) < 1
+        if (now == short).all():
             break
-        for k, v in zip(block.tolist(), embedding(rows[block])):
-            if len(chosen) < LANDMARKS and value[k] >= 1.0 and not (vectors @ v > 0.85).any():
-                chosen.append(k)
-                vectors = np.vstack([vectors, v[None]])
-    plain = np.flatnonzero(value < 0.2)
-    return rows[np.array([*chosen, *plain[:: max(1, len(plain) // BACKGROUND)][:BACKGROUND].tolist()], np.int64)]
+        short = now
+    return w
 
 
-def train(sample: list[tuple[str, int]], share: float, rounds: int = 4, steps: int = 400) -> Model | None:
+def train(sample: list[tuple[str, int]], share: float, rounds: int = 4) -> Model | None:
     """Multiple-instance training: of a document of label 1 the sentence that scores highest stands for it."""
     y = np.array([label for _, label in sample], np.int64)
     if len(set(y.tolist())) < 2:
@@ -220,30 +262,28 @@ def train(sample: list[tuple[str, int]], share: float, rounds: int = 4, steps: i
     vectors = embedding(landmarks)
     model = Model(np.ascontiguousarray(vectors.T), np.zeros(len(landmarks), np.float32), 0.0, 1.0, 0.0)
     known, kernel = model.sentences(units)
-    text = units.text_of[known]
-    values, basis = np.linalg.eigh((vectors @ vectors.T).astype(np.float64) ** 2)
+    values, basis = np.linalg.eigh((vectors @ vectors.T).astype(np.float64))
     whiten = basis / np.sqrt(np.maximum(values, 1e-2)) @ basis.T
+    # Every document has an empty sentence, too; one of label 1 that resembles no landmark teaches nothing.
+    text = np.concatenate([units.text_of[known], np.arange(len(y))])
     features = np.vstack([kernel @ whiten, np.zeros((len(y), len(landmarks)))])
-    text = np.concatenate([text, np.arange(len(y))])  # every document has an empty sentence, too
-    decision = features.sum(1)
+    x = np.column_stack([features, np.ones(len(features))])
+    decision = np.concatenate([kernel.sum(1), np.zeros(len(y))])
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
         order = np.lexsort((-decision, text))
         best = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])]
-        used = np.concatenate([best[y[text[best]] == 1], np.flatnonzero(y[text] == 0)])
+        used = np.concatenate([best[(y[text[best]] == 1) & features[best].any(1)], np.flatnonzero(y[text] == 0)])
         target = np.where(y[text[used]] == 1, 1.0, -1.0)
-        weight = np.where(target > 0, 0.5 / (target > 0).sum(), 0.5 / (target < 0).sum())
-        w, b, x = np.zeros(features.shape[1]), 0.0, features[used]
-        for step in range(steps):
-            short = (target * (x @ w + b) < 1) * weight * target
-            rate = 4.0 / (1 + 0.05 * step)
-            w += rate * (x.T @ short - 1e-3 * w)
-            b += rate * short.sum()
-        decision = features @ w + b
+        if (target < 0).all():
+            return None
+        w = fit(x[used], target, np.where(target > 0, 1 / (target > 0).sum(), 1 / (target < 0).sum()), PENALTY)
+        decision = x @ w
     top = np.full(len(y), -np.inf)
     np.maximum.at(top, text, decision)
     weight = np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum()))
     slope, shift = _calibrated(top, y, weight)
-    return Model(model.table, (whiten @ w).astype(np.float32), float(b), slope, shift)
+    return Model(model.table, (whiten @ w[:-1]).astype(np.float32), float(w[-1]), slope, shift)
 
 
 def _calibrated(decision: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -252,8 +292,8 @@ def _calibrated(decision: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tupl
     theta = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        gradient = x.T @ (weight * (y - p)) - 1e-3 * theta
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        gradient = x.T @ (weight * (y - p)) - SHRINK * theta
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + SHRINK * np.eye(2)
         theta = theta + np.linalg.solve(hessian, gradient)
     return max(float(theta[0]), 1e-3), float(theta[1])
 
