@@ -27,16 +27,22 @@ NULL_IDS = LAST - (1 << 40)
 # N-grams that one chunk of a block holds, about; a task holds two chunks.
 CHUNK_NGRAMS = 400_000
 
-PROFILE = "place long, raw long, doc_id long, n long, a long, b long, needed int, prefix array<long>, lead array<boolean>"
+PROFILE = "place long, raw long, doc_id long, n long, a long, b long, prefix array<long>"
 
 
 def _place():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_IDS) + F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
 
 
-def least_overlap(n: int, percent: int) -> int:
-    """Elements that a set of n must share with another: the ceiling of percent * n / 100."""
-    return -(-percent * n // 100)
+def prefix_length(n, percent: int):
+    """Elements of which one at least is shared: a linked set lacks at most n - ceiling(percent * n / 100) of n. Numbers or columns."""
+    return (n * (100 - percent) - n * (100 - percent) % 100) / 100 + 1
+
+
+def looked_at(n: int, percent: int) -> int:
+    """Elements that are looked at: half as many again. All but those that a linked set may lack must be shared."""
+    prefix = n * (100 - percent) // 100 + 1
+    return min(n, prefix + prefix // 2)
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
@@ -57,22 +63,17 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
 def _profiles(words: int, percent: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            n, a, b, needed, prefixes, leads = [], [], [], [], [], []
+            n, a, b, prefixes = [], [], [], []
             for grams in _sets(batch, words):
                 size = len(grams)
-                prefix = size - least_overlap(size, percent) + 1 if size else 0
-                longer = min(size, prefix + prefix // 2)
                 n.append(size)
                 a.append(int(mix(grams).sum(dtype=np.uint64).view(np.int64)))
                 b.append(int(mix(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-                needed.append(longer - prefix + 1 if size else 0)
-                prefixes.append(grams[:longer].view(np.int64))
-                leads.append(np.arange(longer) < prefix)
+                prefixes.append(grams[: looked_at(size, percent)].view(np.int64))
             counts = [len(p) for p in prefixes]
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            marks = np.concatenate(leads) if leads else np.zeros(0, bool)
             own = [batch.column("place"), batch.column("raw"), batch.column("doc_id")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(needed, pa.int32()), lists(flat, counts, pa.int64()), lists(marks, counts, pa.bool_())], ["place", "raw", "doc_id", "n", "a", "b", "needed", "prefix", "lead"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists(flat, counts, pa.int64())], ["place", "raw", "doc_id", "n", "a", "b", "prefix"])
 
     return of
 
@@ -205,12 +206,16 @@ def linked_sets(documents: DataFrame, words: int = 4, percent: int = 85, chunk_n
 
 def _links(placed: DataFrame, profiles: DataFrame, sets: DataFrame, words: int, percent: int, chunk_ngrams: int) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v) between first documents of linked sets, a spanning forest of each block, and their numbers of links."""
-    grams = profiles.select("place", "raw", "needed", F.col("a").alias("of"), F.explode(F.arrays_zip("prefix", "lead")).alias("g")).select("place", "raw", "needed", "of", F.col("g.prefix").alias("gram"), F.col("g.lead").alias("lead"))
+    grams = profiles.select("place", "n", F.col("a").alias("of"), F.posexplode("prefix").alias("at", "gram"))
     several = stage(grams.groupBy("gram").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("gram"))
-    shared = stage(grams.join(several, "gram", "left_semi").select("place", "raw", "needed", "gram", "lead"))
-    enough = shared.groupBy("place", "raw", "needed").count().where("count >= needed").select("place", "raw")
-    near = stage(sets.join(enough, ["place", "raw"]).select("place", "raw", "n", "copies"))
-    leads = stage(shared.where("lead").join(near.select("place", "raw"), ["place", "raw"], "left_semi").select("place", "gram").distinct())
+    # Most n-grams are in one set only; the filter keeps those from being shuffled again.
+    repeated = possible_hits(grams.select("place", (F.col("at") < prefix_length(F.col("n"), percent)).alias("lead"), "gram"), F.col("gram"), blocked_filter(several, "gram"))
+    shared = stage(repeated.join(several, "gram", "left_semi"))
+    prefix = prefix_length(F.col("n"), percent)
+    least = F.least(F.col("n"), prefix + F.floor(prefix / 2)) - prefix + 1
+    enough = shared.groupBy("place").count()
+    near = stage(sets.join(enough, "place").where(F.col("count") >= least).select("place", "raw", "n", "copies"))
+    leads = stage(shared.where("lead").join(near.select("place"), "place", "left_semi").select("place", "gram").distinct())
     heads = stage(leads.groupBy("gram").agg(F.min("place").alias("head"), F.count("*").alias("m")).where("m > 1").select("gram", "head"))
     blocks = stage(components(leads.join(heads, "gram").select(F.col("place").alias("u"), F.col("head").alias("v"))))
     members = near.join(blocks.select(F.col("node").alias("place"), F.col("component").alias("block")), "place")
