@@ -1,8 +1,8 @@
 """N-gram Jaccard join (operator 6): prefix filtering finds blocks of documents, a trie joins the sets of each block.
 
 The n-grams of a document are a set of 64-bit hashes. Two sets of the wanted similarity lack few of each other's n-grams,
-so each of them must find most of its smallest n-grams in some other set; what does not is left out early. The rest falls
-into blocks connected by n-grams of their prefixes. Within a block, or between two chunks of a large one, sets ordered by
+so each of them must find enough of its smallest n-grams in other sets; what does not is left out early. The rest falls
+into blocks connected by n-grams of their prefixes, in an order that puts frequent n-grams last. Within a block, or between two chunks of a large one, sets ordered by
 falling frequency are stored in a trie: one walk carries the overlaps of all asking sets along shared paths.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldstone.llm.components import components
@@ -26,6 +26,10 @@ LAST = 2**63 - 1
 NULL_IDS = LAST - (1 << 40)
 # N-grams that one chunk of a block holds, about; a task holds two chunks.
 CHUNK_NGRAMS = 400_000
+# Quarters of a prefix that the second look takes.
+CLOSER = 16
+# An n-gram counts as frequent from so many sets on; the filter of frequent n-grams has so many blocks of 64 bits.
+FREQUENT, FREQUENT_BLOCKS = 64, 1 << 16
 
 PROFILE = "place long, raw long, doc_id long, n long, a long, b long, prefix array<long>"
 
@@ -39,10 +43,16 @@ def prefix_length(n, percent: int):
     return (n * (100 - percent) - n * (100 - percent) % 100) / 100 + 1
 
 
-def looked_at(n: int, percent: int) -> int:
-    """Elements that are looked at: half as many again. All but those that a linked set may lack must be shared."""
+def looked_at(n: int, percent: int, quarters: int = 5) -> int:
+    """Elements that are looked at, in quarters of a prefix. All but those that a linked set may lack must be shared."""
     prefix = n * (100 - percent) // 100 + 1
-    return min(n, prefix + prefix // 2)
+    return min(n, prefix * quarters // 4)
+
+
+def needed(n: Column, percent: int, quarters: int = 5) -> Column:
+    """How many of the elements that are looked at must be shared."""
+    prefix = prefix_length(n, percent)
+    return F.least(n, F.floor(prefix * quarters / 4)) - prefix + 1
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
@@ -78,12 +88,40 @@ def _profiles(words: int, percent: int):
     return of
 
 
-def _members(words: int):
+def _passes(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The test of ``native.blocked_filter`` on an array: may the n-grams be in the filter?"""
+    key = grams.view(np.int64)
+    mask = np.zeros(len(key), np.int64)
+    for shift in (28, 36, 44, 52):
+        mask |= np.int64(1) << ((key >> np.int64(shift)) & np.int64(63))
+    return bits[key & np.int64(len(bits) - 1)] & mask == mask
+
+
+def _members(words: int, percent: int, bits: np.ndarray):
+    """Whole sets, and their prefixes with frequent n-grams put last."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [s.tobytes() for s in _sets(batch, words)]
-            keep = ["place", "copies", "block", "own", "chunks"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(sets, pa.binary())], [*keep, "grams"])
+            sets, leads = [], []
+            for grams in _sets(batch, words):
+                frequent = _passes(grams, bits)
+                ordered = np.concatenate([grams[~frequent], grams[frequent]])
+                leads.append(ordered[: len(grams) * (100 - percent) // 100 + 1].view(np.int64))
+                sets.append(grams.tobytes())
+            flat = np.concatenate(leads) if leads else np.zeros(0, np.int64)
+            keep = [batch.column(c) for c in ("place", "n", "copies")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(sets, pa.binary()), lists(flat, [len(x) for x in leads], pa.int64())], ["place", "n", "copies", "grams", "leads"])
+
+    return of
+
+
+def _closer(percent: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(g.as_buffer(), np.int64) for g in batch.column("grams")]
+            parts = [g[: looked_at(len(g), percent, CLOSER)] for g in sets]
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("place"), lists(flat, [len(p) for p in parts], pa.int64())], ["place", "part"])
 
     return of
 
@@ -206,27 +244,35 @@ def linked_sets(documents: DataFrame, words: int = 4, percent: int = 85, chunk_n
 
 def _links(placed: DataFrame, profiles: DataFrame, sets: DataFrame, words: int, percent: int, chunk_ngrams: int) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v) between first documents of linked sets, a spanning forest of each block, and their numbers of links."""
-    grams = profiles.select("place", "n", F.col("a").alias("of"), F.posexplode("prefix").alias("at", "gram"))
-    several = stage(grams.groupBy("gram").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("gram"))
+    grams = profiles.select("place", F.col("a").alias("of"), F.explode("prefix").alias("gram"))
+    several = stage(grams.groupBy("gram").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count("*").alias("m")).where("x <> y").select("gram", "m"))
     # Most n-grams are in one set only; the filter keeps those from being shuffled again.
-    repeated = possible_hits(grams.select("place", (F.col("at") < prefix_length(F.col("n"), percent)).alias("lead"), "gram"), F.col("gram"), blocked_filter(several, "gram"))
-    shared = stage(repeated.join(several, "gram", "left_semi"))
-    prefix = prefix_length(F.col("n"), percent)
-    least = F.least(F.col("n"), prefix + F.floor(prefix / 2)) - prefix + 1
-    enough = shared.groupBy("place").count()
-    near = stage(sets.join(enough, "place").where(F.col("count") >= least).select("place", "raw", "n", "copies"))
-    leads = stage(shared.where("lead").join(near.select("place"), "place", "left_semi").select("place", "gram").distinct())
-    heads = stage(leads.groupBy("gram").agg(F.min("place").alias("head"), F.count("*").alias("m")).where("m > 1").select("gram", "head"))
+    repeated = possible_hits(grams.select("place", "gram"), F.col("gram"), blocked_filter(several, "gram"))
+    enough = repeated.join(several, "gram").groupBy("place").count()
+    near = stage(sets.join(enough, "place").where(F.col("count") >= needed(F.col("n"), percent)).select("place", "raw", "n", "copies"))
+    # What many sets share, such as a common passage, comes last in the order, so it brings only sets together that have
+    # little else. The filter has a fixed size; an n-gram that passes by chance is last for all sets alike.
+    bits = np.zeros(FREQUENT_BLOCKS, np.int64)
+    for block, found in blocked_filter(several.where(F.col("m") >= FREQUENT), "gram", FREQUENT_BLOCKS).collect():
+        bits[block] = found
+    known = blocked_filter(near.select(F.xxhash64("place", "raw").alias("h")), "h")
+    texts = possible_hits(placed.drop("doc_id"), F.xxhash64("place", "raw"), known).join(near, ["place", "raw"]).dropDuplicates(["place", "raw"])
+    held = stage(texts.select("place", "n", "copies", "text").mapInArrow(_members(words, percent, bits), "place long, n long, copies long, grams binary, leads array<long>"))
+    # The few sets that are left are looked at more closely, among themselves.
+    grams = held.select("place", "grams").mapInArrow(_closer(percent), "place long, part array<long>").select("place", F.explode("part").alias("gram"))
+    twice = stage(grams.groupBy("gram").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("gram"))
+    enough = possible_hits(grams, F.col("gram"), blocked_filter(twice, "gram")).join(twice, "gram").groupBy("place").count()
+    solid = stage(held.select("place", "n").join(enough, "place").where(F.col("count") >= needed(F.col("n"), percent, CLOSER)).select("place", "n"))
+    leads = held.select("place", "leads").join(solid.select("place"), "place").select("place", F.explode("leads").alias("gram"))
+    heads = stage(leads.groupBy("gram").agg(F.min("place").alias("head"), F.max("place").alias("other")).where("head <> other").select("gram", "head"))
     blocks = stage(components(leads.join(heads, "gram").select(F.col("place").alias("u"), F.col("head").alias("v"))))
-    members = near.join(blocks.select(F.col("node").alias("place"), F.col("component").alias("block")), "place")
-    sizes = stage(members.groupBy("block").agg(F.ceil(F.sum("n") / chunk_ngrams).cast("int").alias("chunks")))
-    members = stage(members.join(sizes, "block").withColumn("own", F.pmod(F.xxhash64("place"), F.col("chunks")).cast("int")))
-    bits = blocked_filter(members.select(F.xxhash64("place", "raw").alias("h")), "h")
-    texts = possible_hits(placed.drop("doc_id"), F.xxhash64("place", "raw"), bits).join(members, ["place", "raw"]).dropDuplicates(["place", "raw"])
-    held = texts.select("place", "copies", "block", "own", "chunks", "text").mapInArrow(_members(words), "place long, copies long, block long, own int, chunks int, grams binary")
-    other = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    members = held.drop("leads").join(blocks.select(F.col("node").alias("place"), F.col("component").alias("block")), "place")
+    sizes = solid.join(blocks.select(F.col("node").alias("place"), F.col("component").alias("block")), "place")
+    sizes = stage(sizes.groupBy("block").agg(F.ceil(F.sum("n") / chunk_ngrams).cast("int").alias("chunks"), F.sum("n").alias("total")))
+    dealt = members.join(sizes.select("block", "chunks"), "block").withColumn("own", F.pmod(F.xxhash64("place"), F.col("chunks")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     meetings = other.select("place", "copies", "block", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "grams")
-    total = members.agg(F.sum(F.col("n") * F.col("chunks"))).first()[0] or 0
+    total = sizes.agg(F.sum(F.col("total") * F.col("chunks"))).first()[0] or 0
     tasks = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // chunk_ngrams + 1)
     found = meetings.withColumn("task", F.pmod(F.xxhash64("block", "i", "j"), F.lit(tasks))).groupBy("task").applyInPandas(_joined(percent), "u long, v long, links long")
     found = stage(found)
