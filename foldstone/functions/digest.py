@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-FAN_IN = 4096
-LEVELS = 4
+
+
+class Tree(NamedTuple):
+    """Shape of a sequence digest; it is part of the digest's definition. ``fan_in ** levels`` items are the most it holds."""
+
+    fan_in: int = 4096
+    levels: int = 4
+
+
+TREE = Tree()
 
 
 def canonical_json(text: Column) -> Column:
@@ -33,47 +42,49 @@ def event_digest(df: DataFrame) -> Column:
     return F.sha2(envelope, 256)
 
 
-def _joined() -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_d"))), lambda x: x["_d"]), "")
+def _hashed(tag: str) -> Column:
+    """Digest of a group: its tag and its members' digests in order."""
+    members = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_d"))), lambda x: x["_d"])
+    return F.sha2(F.concat(F.lit(tag), F.array_join(members, "")), 256)
 
 
-def _climb(level: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Hash groups of FAN_IN items level by level until one digest per key is left."""
-    for _ in range(LEVELS - 1):
-        grouped = level.groupBy(*keys, F.floor(F.col("_i") / FAN_IN).alias("_g"))
-        level = grouped.agg(F.when(F.count("*") == 1, F.max("_d")).otherwise(F.sha2(_joined(), 256)).alias("_d"))
-        level = level.withColumnRenamed("_g", "_i")
-    return level.select(*keys, F.col("_d").alias(name))
+def _climb(level: DataFrame, keys: Sequence[str], name: str, tree: Tree) -> DataFrame:
+    """Hash groups of digests level by level. Every level hashes, also a group of one, so all sizes have one definition."""
+    for _ in range(tree.levels - 1):
+        level = level.groupBy(*keys, F.floor(F.col("_i") / tree.fan_in).alias("_g")).agg(_hashed("node:").alias("_d")).withColumnRenamed("_g", "_i")
+    fits = F.when(F.col("_i") == 0, F.col("_d")).otherwise(F.raise_error(F.lit("a sequence is longer than its digest tree holds")))
+    return level.select(*keys, fits.alias(name))
 
 
-def _leaves(df: DataFrame, keys: Sequence[str], ordinal: str, digest: str) -> DataFrame:
+def _leaves(df: DataFrame, keys: Sequence[str], ordinal: str, digest: str, tree: Tree) -> DataFrame:
     items = df.select(*keys, (F.col(ordinal) - 1).alias("_i"), F.col(digest).alias("_d"))
-    grouped = items.groupBy(*keys, F.floor(F.col("_i") / FAN_IN).alias("_g")).agg(F.sha2(_joined(), 256).alias("_d"))
+    grouped = items.groupBy(*keys, F.floor(F.col("_i") / tree.fan_in).alias("_g")).agg(_hashed("leaf:").alias("_d"))
     return grouped.withColumnRenamed("_g", "_i")
 
 
-def ordered_digest(df: DataFrame, keys: Sequence[str], ordinal: str, digest: str, name: str) -> DataFrame:
+def ordered_digest(df: DataFrame, keys: Sequence[str], ordinal: str, digest: str, name: str, tree: Tree = TREE) -> DataFrame:
     """One digest per key over ``digest`` in order of the dense 1-based ``ordinal``.
 
-    Up to FAN_IN items it is the digest of their concatenation. Longer sequences are hashed as a tree of such groups,
-    so no task joins more than FAN_IN digests; a group of one passes its digest up unchanged.
+    A tree of ``levels`` levels: ``fan_in`` items make a leaf, as many leaves a node, and so on up to the root, so no task
+    joins more than that many digests.
     """
-    return _climb(_leaves(df, keys, ordinal, digest), keys, name)
+    return _climb(_leaves(df, keys, ordinal, digest, tree), keys, name, tree)
 
 
-def prefix_digests(df: DataFrame, keys: Sequence[str], ordinal: str, digest: str, probes: DataFrame, count: str, name: str) -> DataFrame:
+def prefix_digests(df: DataFrame, keys: Sequence[str], ordinal: str, digest: str, probes: DataFrame, count: str, name: str, tree: Tree = TREE) -> DataFrame:
     """Digest of the first ``count`` items for each probe row (columns ``keys``, ``count`` and ``probe_id``).
 
-    Whole groups are hashed once and shared by all probes of a key; a probe adds only its last, partial group.
+    Whole leaves are hashed once and shared by all probes of a key; a probe adds only its last, partial leaf. No items
+    have the digest of an empty text.
     """
-    groups = _leaves(df, keys, ordinal, digest)
+    leaves = _leaves(df, keys, ordinal, digest, tree)
     asked = probes.select(*keys, F.col(count).cast("bigint").alias("_n"), "probe_id")
-    whole = groups.join(asked, [*keys]).where(F.col("_i") < F.floor(F.col("_n") / FAN_IN)).select("probe_id", "_i", "_d")
-    rest = asked.where(F.col("_n") % FAN_IN > 0).withColumn("_g", F.floor(F.col("_n") / FAN_IN))
-    tail = df.select(*keys, (F.col(ordinal) - 1).alias("_i"), F.col(digest).alias("_d")).withColumn("_g", F.floor(F.col("_i") / FAN_IN))
-    partial = tail.join(rest, [*keys, "_g"]).where("_i < _n").groupBy("probe_id", "_g").agg(F.sha2(_joined(), 256).alias("_d"))
+    whole = leaves.join(asked, [*keys]).where(F.col("_i") < F.floor(F.col("_n") / tree.fan_in)).select("probe_id", "_i", "_d")
+    rest = asked.where(F.col("_n") % tree.fan_in > 0).withColumn("_g", F.floor(F.col("_n") / tree.fan_in))
+    tail = df.select(*keys, (F.col(ordinal) - 1).alias("_i"), F.col(digest).alias("_d")).withColumn("_g", F.floor(F.col("_i") / tree.fan_in))
+    partial = tail.join(rest, [*keys, "_g"]).where("_i < _n").groupBy("probe_id", "_g").agg(_hashed("leaf:").alias("_d"))
     level = whole.unionByName(partial.select("probe_id", F.col("_g").alias("_i"), "_d"))
-    found = _climb(level, ["probe_id"], name)
+    found = _climb(level, ["probe_id"], name, tree)
     return asked.select("probe_id").join(found, "probe_id", "left").withColumn(name, F.coalesce(name, F.sha2(F.lit(""), 256)))
 
 

@@ -129,7 +129,7 @@ def validate_fraud(commands: DataFrame, states: States) -> DataFrame:
 def validate_compliance(commands: DataFrame, states: States) -> DataFrame:
     """``rule_results``: array of structs with rule_id, outcome, is_hard_block (one per rule of the regulation set)."""
     df = _with_states(commands, states, session=True)
-    odd = F.exists("rule_results", lambda r: ~F.upper(r["outcome"]).isin("PASS", "FAIL", "NOTE"))
+    odd = F.exists("rule_results", lambda r: ~F.upper(F.coalesce(r["outcome"], F.lit("unknown"))).isin("PASS", "FAIL", "NOTE"))
     return _judged(df, commands, _first(
         ((F.col("state") != "COMPLIANCE_REVIEW") | ~F.col("compliance_requested"), NOT_COMPLIANCE), *_session_checks(P.filled(F.col("model_version"))),
         (F.col("compliance_completed"), COMPLIANCE_DONE), (odd, BAD_OUTCOME),
@@ -179,52 +179,73 @@ def _event(name: str, *fields: Column, version: int = 1) -> Column:
     return F.struct(F.lit(name).alias("event_type"), F.lit(version).alias("event_version"), F.to_json(F.struct(*fields)).alias("payload"))
 
 
+def _taken(df: DataFrame, *names: str) -> list[Column]:
+    """The named fields of a command, as far as it has them."""
+    return [F.col(n) for n in names if n in df.columns]
+
+
+def _or_else(df: DataFrame, name: str, value: Column) -> Column:
+    """A field of the command; where it is absent or null, the given value."""
+    return F.coalesce(F.col(name), value) if name in df.columns else value
+
+
 def produced_events(kind: str, validated: DataFrame, heads: DataFrame) -> DataFrame:
     """Events per accepted command: command_id, stream_id, expected_version, seq, event_type, event_version, payload.
 
     ``heads`` (stream_id, current_version) places follow-ups: they name the event that triggered them as stream:position.
+    Payload fields are those of the command; a command that has all required fields gives valid events.
     """
     ok = validated.where("accepted")
-    app = F.col("application_id")
+    app, session, at = F.col("application_id"), F.col("session_id"), F.col("at")
     side = {"credit": "credit", "fraud": "fraud", "compliance": "compliance"}.get(kind)
-    if side is not None:
+    if side is not None or kind == "session":
         known = heads.select(F.col("stream_id").alias("_side"), F.col("current_version").alias("_side_version"))
-        ok = ok.withColumn("_side", F.concat(F.lit(side + "-"), app)).join(known, "_side", "left").withColumn("_side_version", F.coalesce("_side_version", F.lit(-1)).cast("bigint"))
+        name = F.concat(F.lit(side + "-"), app) if side else F.concat_ws("-", F.lit("agent"), "agent_type", "session_id")
+        ok = ok.withColumn("_side", name).join(known, "_side", "left").withColumn("_side_version", F.coalesce("_side_version", F.lit(-1)).cast("bigint"))
     loan = F.concat(F.lit("loan-"), app)
     base = F.greatest(F.col("_side_version"), F.lit(0)) if side else None
-    at = F.col("at")
+    first_of_side = F.concat_ws(":", "_side", (base + 1).cast("string")).alias("triggered_by_event_id") if side else None
     if kind == "submit":
+        fields = _taken(ok, "application_id", "applicant_id", "requested_amount_usd", "loan_purpose", "loan_term_months", "submission_channel", "contact_email", "contact_name", "application_reference")
         batches = [(loan, F.col("version"), F.array(
-            _event("ApplicationSubmitted", *[F.col(c) for c in validated.columns if c not in ("command_id", "accepted", "reason", "version", "at")], at.alias("submitted_at")),
-            _event("DocumentUploadRequested", app, (at + F.expr("interval 7 days")).alias("deadline")),
+            _event("ApplicationSubmitted", *fields, at.alias("submitted_at")),
+            _event(
+                "DocumentUploadRequested", app, *[c.alias("required_document_types") for c in _taken(ok, "requested_document_types")],
+                _or_else(ok, "deadline", at + F.expr("interval 7 days")).alias("deadline"), *_taken(ok, "requested_by"),
+            ),
         ))]
+    elif kind == "session":
+        fields = _taken(ok, "session_id", "agent_type", "agent_id", "application_id", "model_version", "langgraph_graph_version", "context_source", "context_token_count")
+        batches = [(F.col("_side"), F.col("_side_version"), F.array(_event("AgentSessionStarted", *fields, at.alias("started_at"))))]
     elif kind == "credit":
+        fields = _taken(ok, "decision", "model_version", "model_deployment_id", "input_data_hash", "analysis_duration_ms", "regulatory_basis")
         batches = [
-            (F.col("_side"), F.col("_side_version"), F.array(_event("CreditAnalysisCompleted", app, F.col("session_id"), F.col("decision"), F.col("model_version"), at.alias("completed_at"), version=2))),
-            (loan, F.col("version"), F.array(_event("FraudScreeningRequested", app, F.concat_ws(":", "_side", (base + 1).cast("string")).alias("triggered_by_event_id"), at.alias("requested_at")))),
+            (F.col("_side"), F.col("_side_version"), F.array(_event("CreditAnalysisCompleted", app, session, *fields, at.alias("completed_at"), version=2))),
+            (loan, F.col("version"), F.array(_event("FraudScreeningRequested", app, first_of_side, at.alias("requested_at")))),
         ]
     elif kind == "fraud":
+        model = _taken(ok, "screening_model_version") or [c.alias("screening_model_version") for c in _taken(ok, "model_version")]
+        fields = _taken(ok, "fraud_score", "risk_level", "anomalies_found", "recommendation", "input_data_hash")
         batches = [
-            (F.col("_side"), F.col("_side_version"), F.array(_event("FraudScreeningCompleted", app, F.col("session_id"), F.col("fraud_score"), F.col("risk_level"), at.alias("completed_at")))),
+            (F.col("_side"), F.col("_side_version"), F.array(_event("FraudScreeningCompleted", app, session, *fields, *model, at.alias("completed_at")))),
             (loan, F.col("version"), F.array(_event(
-                "ComplianceCheckRequested", app, F.concat_ws(":", "_side", (base + 1).cast("string")).alias("triggered_by_event_id"), at.alias("requested_at"),
+                "ComplianceCheckRequested", app, first_of_side, at.alias("requested_at"),
                 F.lit(REGULATION_SET).alias("regulation_set_version"), F.array(*[F.lit(r) for r in REGULATION_RULES]).alias("rules_to_evaluate"),
             ))),
         ]
     elif kind == "compliance":
-        batches = _compliance_batches(loan, base, at)
+        batches = _compliance_batches(loan, base, at, ok.schema["rule_results"].dataType.elementType.names)
     elif kind == "decision":
-        decision = _event(
-            "DecisionGenerated", app, F.col("session_id").alias("orchestrator_session_id"), F.col("recommendation"), F.col("confidence"), F.col("approved_amount_usd"),
-            F.col("contributing_sessions"), at.alias("generated_at"), version=2,
-        )
+        fields = _taken(ok, "recommendation", "confidence", "approved_amount_usd", "conditions", "executive_summary", "key_risks", "contributing_sessions", "model_versions")
+        decision = _event("DecisionGenerated", app, session.alias("orchestrator_session_id"), *fields, at.alias("generated_at"), version=2)
         review = _event("HumanReviewRequested", app, F.lit(REVIEW_REASON).alias("reason"), F.concat(F.lit("decision/"), F.col("command_id")).alias("decision_event_id"), at.alias("requested_at"))
         batches = [(loan, F.col("version"), F.array_compact(F.array(decision, F.when(F.col("recommendation") == "REFER", review))))]
     elif kind == "review":
         done = _event("HumanReviewCompleted", *[F.col(c) for c in ("application_id", "reviewer_id", "override", "original_recommendation", "final_decision", "override_reason")], at.alias("reviewed_at"))
-        approved = _event("ApplicationApproved", app, F.col("approved_amount_usd"), F.col("interest_rate_pct"), F.col("term_months"), F.col("reviewer_id").alias("approved_by"), F.to_date(at).cast("string").alias("effective_date"), at.alias("approved_at"))
+        approved = _event("ApplicationApproved", app, F.col("approved_amount_usd"), F.col("interest_rate_pct"), F.col("term_months"), *_taken(ok, "conditions"), F.col("reviewer_id").alias("approved_by"), F.to_date(at).cast("string").alias("effective_date"), at.alias("approved_at"))
         reasons = F.when(F.size("decline_reasons") > 0, F.col("decline_reasons")).otherwise(F.array(F.lit(DEFAULT_DECLINE)))
-        declined = _event("ApplicationDeclined", app, reasons.alias("decline_reasons"), F.col("reviewer_id").alias("declined_by"), at.alias("declined_at"))
+        notice = _or_else(ok, "adverse_action_notice_required", F.lit(True)).alias("adverse_action_notice_required")
+        declined = _event("ApplicationDeclined", app, reasons.alias("decline_reasons"), F.col("reviewer_id").alias("declined_by"), notice, *_taken(ok, "adverse_action_codes"), at.alias("declined_at"))
         batches = [(loan, F.col("version"), F.array(done, F.when(F.upper("final_decision") == "APPROVE", approved).otherwise(declined)))]
     else:
         raise ValueError(f"unknown command kind {kind}")
@@ -233,7 +254,7 @@ def produced_events(kind: str, validated: DataFrame, heads: DataFrame) -> DataFr
     return spread.select("command_id", "stream_id", "expected_version", F.posexplode("events").alias("seq", "e")).select("command_id", "stream_id", "expected_version", "seq", "e.*")
 
 
-def _compliance_batches(loan: Column, base: Column, at: Column) -> list[tuple[Column, Column, Column]]:
+def _compliance_batches(loan: Column, base: Column, at: Column, given: list[str]) -> list[tuple[Column, Column, Column]]:
     app, session = F.col("application_id"), F.col("session_id")
     results = F.col("rule_results")
 
@@ -241,12 +262,22 @@ def _compliance_batches(loan: Column, base: Column, at: Column) -> list[tuple[Co
         return lambda r: F.upper(r["outcome"]) == name
 
     def rule_event(r: Column) -> Column:
-        common = (app, session, r["rule_id"].alias("rule_id"), at.alias("evaluated_at"))
-        return (
-            F.when(F.upper(r["outcome"]) == "PASS", _event("ComplianceRulePassed", *common))
-            .when(F.upper(r["outcome"]) == "FAIL", _event("ComplianceRuleFailed", *common, F.coalesce(r["failure_reason"], F.lit("rule_failed")).alias("failure_reason"), r["is_hard_block"].alias("is_hard_block")))
-            .otherwise(_event("ComplianceRuleNoted", *common, F.lit("NOTE").alias("note_type")))
+        def own(*names: str) -> list[Column]:
+            return [r[n].alias(n) for n in names if n in given]
+
+        def text(name: str, value: str) -> Column:
+            found = F.nullif(r[name], F.lit("")) if name in given else F.lit(None).cast("string")
+            return F.coalesce(found, F.lit(value)).alias(name)
+
+        common = (app, session, *own("rule_id", "rule_name"), at.alias("evaluated_at"))
+        remedy = F.coalesce(r["remediation_available"], F.lit(False)) if "remediation_available" in given else F.lit(False)
+        passed = _event("ComplianceRulePassed", *common, *own("rule_version", "evidence_hash"), text("evaluation_notes", ""))
+        failed = _event(
+            "ComplianceRuleFailed", *common, *own("rule_version", "evidence_hash"), text("failure_reason", "rule_failed"), F.coalesce(r["is_hard_block"], F.lit(False)).alias("is_hard_block"),
+            remedy.alias("remediation_available"), *own("remediation_description"),
         )
+        noted = _event("ComplianceRuleNoted", *common, text("note_type", "NOTE"), text("note_text", ""))
+        return F.when(F.upper(r["outcome"]) == "PASS", passed).when(F.upper(r["outcome"]) == "FAIL", failed).otherwise(noted)
 
     failed = F.filter(results, outcome_is("FAIL"))
     hard = F.exists(failed, lambda r: F.coalesce(r["is_hard_block"], F.lit(False)))

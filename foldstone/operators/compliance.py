@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldstone.functions import payload as P
-from foldstone.operators.scan import asof, chunked_lists, count_so_far, last, running, total
+from foldstone.operators.scan import asof, count_so_far, last, listed, running, total
 from foldstone.schema import COMPLIANCE_TYPES, NOTE_ONLY_RULES
 from foldstone.session import stage
 
@@ -101,13 +101,13 @@ def compliance_at(history: DataFrame, probes: DataFrame, block_us: int = HOUR_US
     return found.select(*probes.columns, "state.*")
 
 
-def rule_lists(ledger: DataFrame, chunk: int = 1000) -> DataFrame:
-    """Rule results of the open segment per application and class, in order, duplicates kept, in bounded pieces."""
+def rule_lists(ledger: DataFrame) -> DataFrame:
+    """Rule results of the open segment per application and class, in order, duplicates kept, one row each."""
     rows = stage(_parsed(ledger, ()))
     opened = F.col("event_type") == "ComplianceCheckInitiated"
     latest = rows.groupBy("application_id").agg(F.max(F.when(opened, F.col("global_position"))).alias("_opened_at"))
     current = rows.where("rule_class is not null").join(latest, "application_id").where("_opened_at is null or global_position > _opened_at")
-    return chunked_lists(current, ["application_id", "rule_class"], "global_position", F.col("rule_id"), "rules", chunk)
+    return listed(current, ["application_id", "rule_class"], "global_position", F.col("rule_id"), "rule_id")
 
 
 def compliance_record(ledger: DataFrame) -> DataFrame:

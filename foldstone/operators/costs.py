@@ -86,8 +86,8 @@ def call_costs(ledger: DataFrame, application_ids: Sequence[str] = (), applicati
     )
 
 
-def session_costs(ledger: DataFrame, applications: DataFrame) -> DataFrame:
-    """Completed-session cost per application (zero for applications without sessions), 2 decimals."""
+def _completed(ledger: DataFrame) -> DataFrame:
+    """Completed sessions with their cost and ``c``, the application and agent type of their latest anchor, else their own."""
     wanted = ledger.where(F.col("event_type").isin(*ANCHOR_TYPES, "AgentSessionCompleted"))
     parsed = P.with_fields(wanted, "application_id", "agent_type", "total_cost_usd")
     own = F.struct(F.coalesce("p.application_id", F.lit("")).alias("application_id"), F.coalesce("p.agent_type", F.lit("")).alias("agent_type"))
@@ -96,8 +96,17 @@ def session_costs(ledger: DataFrame, applications: DataFrame) -> DataFrame:
         F.coalesce(P.money(F.col("p.total_cost_usd"), 20, 10), F.lit(0).cast("decimal(20,10)")).alias("cost"),
     ))
     seen = running(rows, ["stream_id"], "global_position", {"_context": last(F.col("_anchor"))})
-    done = seen.where("event_type = 'AgentSessionCompleted'").withColumn("c", F.coalesce("_context", "_own"))
-    per_app = done.groupBy(F.col("c.application_id").alias("application_id")).agg(F.sum("cost").alias("cost"))
+    return seen.where("event_type = 'AgentSessionCompleted'").withColumn("c", F.coalesce("_context", "_own"))
+
+
+def session_costs_by_agent(ledger: DataFrame) -> DataFrame:
+    """Sessions completed and their cost per agent type, 2 decimals."""
+    return _completed(ledger).groupBy(F.col("c.agent_type").alias("agent_type")).agg(F.count("*").alias("sessions"), F.round(F.sum("cost"), 2).alias("total_cost_usd"))
+
+
+def session_costs(ledger: DataFrame, applications: DataFrame) -> DataFrame:
+    """Completed-session cost per application (zero for applications without sessions), 2 decimals."""
+    per_app = _completed(ledger).groupBy(F.col("c.application_id").alias("application_id")).agg(F.sum("cost").alias("cost"))
     return applications.select("application_id").distinct().join(per_app, "application_id", "full").select(
         "application_id", F.coalesce(F.round("cost", 2), F.lit(0).cast("decimal(20,2)")).alias("total_cost_usd")
     )

@@ -287,7 +287,7 @@ def quality_assessments(documents: DataFrame, notes: DataFrame) -> DataFrame:
     """Quality per document (company_id, document_type, notes) given the package notes."""
     rows = documents.select("company_id", "document_type", F.coalesce("notes", F.array().cast("array<string>")).alias("notes")).join(notes, "company_id", "left")
     package_notes = F.coalesce("consistency_notes", F.array().cast("array<string>"))
-    missing = F.transform(F.filter("notes", lambda n: F.lower(n).startswith("missing ")), lambda n: F.trim(F.split_part(F.substring(F.lower(n), 9, 10000), F.lit(" in "), F.lit(1))))
+    missing = F.transform(F.filter("notes", lambda n: F.lower(n).startswith("missing ")), lambda n: F.trim(F.split_part(F.regexp_replace(F.lower(n), "^missing ", ""), F.lit(" in "), F.lit(1))))
     expected = F.transform(missing, lambda f: F.concat(F.lit("Missing "), f, F.lit(" in income statement PDF")))
     own = F.filter("notes", lambda n: ~F.array_contains(expected, n))
     word = F.split_part("document_type", F.lit("_"), F.lit(1))

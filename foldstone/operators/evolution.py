@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldstone.functions import payload as P
-from foldstone.schema import ANCHOR_TYPES, CURRENT_VERSIONS, ENUMS, FIELD_KINDS, NULLABLE_REQUIRED, REPLAY_FIELDS, credit_regimes, event_fields
+from foldstone.schema import ANCHOR_TYPES, CREDIT_REGIMES, CURRENT_VERSIONS, ENUMS, FIELD_KINDS, NULLABLE_REQUIRED, REPLAY_FIELDS, event_fields
 
 # Text patterns a value of each kind must match.
 _KIND_PATTERNS = {
@@ -27,11 +27,11 @@ def _mistyped(field: Column, value: Column) -> Column:
     for kind, names in reversed(FIELD_KINDS):
         bad = F.when(field.rlike(names), ~value.rlike(_KIND_PATTERNS[kind])).otherwise(bad)
     for name, values in ENUMS.items():
-        bad = F.when(field == name, ~value.isin(*values.split())).otherwise(bad)
+        bad = F.when(field == name, ~value.isin(*values)).otherwise(bad)
     return F.coalesce(bad, F.lit(False))
 
 
-def _registry(fields: dict[str, list[str]]) -> Column:
+def _registry(fields: dict[str, Sequence[str]]) -> Column:
     return F.create_map(*[x for name, names in fields.items() for x in (F.lit(name), F.array(*[F.lit(n) for n in names]))])
 
 
@@ -66,7 +66,7 @@ def validation_report(validated: DataFrame) -> DataFrame:
 
 def malformed_events(ledger: DataFrame) -> DataFrame:
     """Events a replay cannot use, with the first absent field."""
-    wanted = _registry({k: v.split() for k, v in REPLAY_FIELDS.items()})[F.col("event_type")]
+    wanted = _registry(REPLAY_FIELDS)[F.col("event_type")]
     present = F.coalesce(F.json_object_keys("payload"), F.array().cast("array<string>"))
     absent = F.array_except(wanted, present)
     return ledger.where(F.col("event_type").isin(*REPLAY_FIELDS)).select(
@@ -113,7 +113,7 @@ def upgrade_events(ledger: DataFrame, steps: Sequence[Upgrade], current: dict[st
 def credit_upgrade() -> Upgrade:
     """Credit analyses of version 1 get the model and rule sets in force when they were recorded."""
     model, rules = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
-    for start, end, name, sets in reversed(credit_regimes()):
+    for start, end, name, sets in reversed(CREDIT_REGIMES):
         inside = (F.col("recorded_at") >= F.lit(start).cast("timestamp")) & (F.col("recorded_at") < F.lit(end).cast("timestamp"))
         model = F.when(inside, F.lit(name)).otherwise(model)
         rules = F.when(inside, F.array(*[F.lit(r) for r in sets])).otherwise(rules)
@@ -139,8 +139,11 @@ def decision_upgrade() -> Upgrade:
     """Decisions of version 1 get the model versions of their contributing sessions."""
 
     def prepare(df: DataFrame, log: DataFrame) -> DataFrame:
-        old = df.where("event_type = 'DecisionGenerated' and event_version = 1")
-        return df.join(session_models(old, log), "event_id", "left")
+        is_old = F.coalesce((F.col("event_type") == "DecisionGenerated") & (F.col("event_version") == 1), F.lit(False))
+        old = df.where(is_old)
+        models = session_models(old, log)
+        rest = df.where(~is_old).withColumn("_models", F.lit(None).cast("map<string,string>"))
+        return old.join(models, "event_id", "left").select(*rest.columns).unionByName(rest)
 
     def payload(df: DataFrame) -> Column:
         has = P.truthy(F.get_json_object("payload", "$.model_versions"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldstone.functions import ids, payload as P
-from foldstone.functions.digest import chain_digest, event_digest, ordered_digest, prefix_digests
+from foldstone.functions.digest import TREE, Tree, chain_digest, event_digest, ordered_digest, prefix_digests
 from foldstone.operators.scan import before, running
 from foldstone.schema import LEDGER_COLUMNS
 from foldstone.session import stage
@@ -34,7 +34,7 @@ def parsed_checks(ledger: DataFrame) -> DataFrame:
     )
 
 
-def integrity_checks(ledger: DataFrame, entities: DataFrame, audit_events: DataFrame | None, at: Column, digest: Column | None = None) -> DataFrame:
+def integrity_checks(ledger: DataFrame, entities: DataFrame, audit_events: DataFrame | None, at: Column, digest: Column | None = None, tree: Tree = TREE) -> DataFrame:
     """Run one check per entity (entity_type, entity_id) and return its result.
 
     The previous check of an entity is recomputed over the events it covered. A mismatch, or a previous check that was
@@ -44,7 +44,7 @@ def integrity_checks(ledger: DataFrame, entities: DataFrame, audit_events: DataF
         "*", ids.source_stream(F.col("entity_type"), F.col("entity_id")).alias("stream_id"), F.concat_ws("-", F.lit("audit"), "entity_type", "entity_id").alias("audit_stream_id")
     )
     hashed = stage(event_digests(ledger, digest).join(asked.select("stream_id").distinct(), "stream_id", "left_semi"))
-    whole = ordered_digest(hashed, ["stream_id"], "stream_position", "event_hash", "stream_hash")
+    whole = ordered_digest(hashed, ["stream_id"], "stream_position", "event_hash", "stream_hash", tree)
     sizes = hashed.groupBy("stream_id").agg(F.count("*").alias("events_verified"))
     result = asked.join(whole.join(sizes, "stream_id"), "stream_id", "left")
     if audit_events is not None:
@@ -54,7 +54,7 @@ def integrity_checks(ledger: DataFrame, entities: DataFrame, audit_events: DataF
         )
         last = stage(last)
         probes = asked.join(last, "audit_stream_id").select("stream_id", F.col("prior.events_verified_count").alias("n"), F.col("audit_stream_id").alias("probe_id"))
-        recomputed = prefix_digests(hashed, ["stream_id"], "stream_position", "event_hash", probes, "n", "prefix_hash").withColumnRenamed("probe_id", "audit_stream_id")
+        recomputed = prefix_digests(hashed, ["stream_id"], "stream_position", "event_hash", probes, "n", "prefix_hash", tree).withColumnRenamed("probe_id", "audit_stream_id")
         result = result.join(last, "audit_stream_id", "left").join(recomputed, "audit_stream_id", "left")
     else:
         result = result.withColumn("prior", F.lit(None).cast(
@@ -74,7 +74,7 @@ def check_events(results: DataFrame, first_global_position: int) -> DataFrame:
     from foldstone.operators.scan import number_rows
 
     keyed = results.withColumn("_order", F.xxhash64("audit_stream_id"))
-    numbered = number_rows(keyed, [], "_order", "_g", ties=["audit_stream_id"], block=F.pmod("_order", F.lit(64)) * 0)
+    numbered = number_rows(keyed, [], "_order", "_g", ties=["audit_stream_id"], block=F.shiftright("_order", 44))
     body = F.to_json(F.struct(
         "entity_type", "entity_id", F.date_format("check_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("check_timestamp"),
         F.col("events_verified").alias("events_verified_count"), "integrity_hash", "previous_hash", "chain_valid", "tamper_detected",

@@ -17,7 +17,6 @@ from foldstone.session import block_rows, stage
 LETTERS = "ABCDEFGHIJKLM"
 ERROR = LETTERS[len(LOAN_STATES)]
 _LETTER = dict(zip(LOAN_STATES, LETTERS))
-_ALLOWED = {line.split(" -> ")[0]: line.split(" -> ")[1].split() for line in LOAN_TRANSITIONS.strip().splitlines()}
 
 TARGETS = {
     "ApplicationSubmitted": "SUBMITTED",
@@ -47,7 +46,7 @@ def _word(image) -> str:
 
 
 def _move_word(target: str) -> str:
-    return _word(lambda s: _LETTER[target] if s == target or target in _ALLOWED.get(s, ()) else ERROR)
+    return _word(lambda s: _LETTER[target] if s == target or target in LOAN_TRANSITIONS.get(s, ()) else ERROR)
 
 
 REVIEW_WORD = _word(lambda s: _LETTER["PENDING_HUMAN_REVIEW"] if s in ("APPROVED_PENDING_HUMAN", "DECLINED_PENDING_HUMAN") else _LETTER[s])
@@ -62,6 +61,10 @@ def state_name(letter: Column) -> Column:
     return names[letter]
 
 
+def application_of_loan() -> Column:
+    return F.regexp_replace("stream_id", "^loan-", "")
+
+
 def _letter(name: Column) -> Column:
     return F.char(F.array_position(F.array(*[F.lit(s) for s in LOAN_STATES]), name) + ord(LETTERS[0]) - 1)
 
@@ -73,7 +76,7 @@ def _steps(ledger: DataFrame) -> DataFrame:
     present = F.json_object_keys("payload")
     missing = F.lit(None).cast("string")
     for name in ("ApplicationSubmitted", "DocumentUploaded", "DecisionGenerated", "HumanReviewCompleted", "ApplicationApproved"):
-        wanted = F.array(*[F.lit(f) for f in REPLAY_FIELDS[name].split()])
+        wanted = F.array(*[F.lit(f) for f in REPLAY_FIELDS[name]])
         missing = F.when(t == name, F.try_element_at(F.array_except(wanted, F.coalesce(present, F.array().cast("array<string>"))), F.lit(1))).otherwise(missing)
     target = F.create_map(*[F.lit(x) for pair in TARGETS.items() for x in pair])[t]
     target = (
@@ -86,7 +89,7 @@ def _steps(ledger: DataFrame) -> DataFrame:
         .when(target.isNotNull(), words[target]).otherwise(LETTERS)
     )
     return events.withColumn("_missing", missing).select(
-        "stream_id", F.substring("stream_id", 6, 1 << 30).alias("application_id"), "stream_position", "event_type", "p", target.alias("_target"), "_missing",
+        "stream_id", application_of_loan().alias("application_id"), "stream_position", "event_type", "p", target.alias("_target"), "_missing",
         word.alias("_move"), F.when(F.col("_missing").isNotNull(), F.lit(FAIL_WORD)).otherwise(word).alias("_word"),
     )
 
@@ -196,7 +199,7 @@ def _captured(steps: DataFrame, walked: DataFrame, errors: DataFrame, base: Data
     flags = list(FLAGS)
     if base is not None:
         joined = joined.join(base, "stream_id", "full")
-        joined = joined.withColumn("application_id", F.substring("stream_id", 6, 1 << 30))
+        joined = joined.withColumn("application_id", application_of_loan())
     snap = (lambda name: F.col(f"_snap.{name}")) if base is not None else (lambda name: F.lit(None))
     state = F.when(F.col("e").isNotNull(), F.col("e.from_state")).otherwise(
         F.coalesce(state_name(F.col("_s")), snap("state").cast("string"), F.lit("NEW"))

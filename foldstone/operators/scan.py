@@ -112,15 +112,10 @@ def number_rows(df: DataFrame, keys: Sequence[str], position: str, name: str = "
     return running(df, keys, position, {name: count_so_far()}, ties, block)
 
 
-def chunked_lists(
-    df: DataFrame, keys: Sequence[str], position: str, value: Column, name: str, chunk: int = 1000, ties: Sequence[str] = ()
-) -> DataFrame:
-    """Ordered lists per key in pieces of at most ``chunk`` items; short lists come as the single piece 0."""
-    ranked = number_rows(df.withColumn("_item", value), keys, position, "_rank", ties)
-    pieces = ranked.groupBy(*keys, F.floor((F.col("_rank") - 1) / chunk).alias("chunk"))
-    return pieces.agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_item"))), lambda x: x["_item"]).alias(name)
-    )
+def listed(df: DataFrame, keys: Sequence[str], position: str, value: Column, name: str, ties: Sequence[str] = ()) -> DataFrame:
+    """Ordered lists as rows: per key every item with its 1-based ``ordinal``."""
+    items = df.select(*keys, position, *ties, value.alias(name))
+    return number_rows(items, keys, position, "ordinal", ties).select(*keys, "ordinal", name)
 
 
 def asof(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from foldstone.functions import payload as P
-from foldstone.operators.scan import chunked_lists
+from foldstone.operators.scan import listed
 from foldstone.schema import ANCHOR_TYPES
 
 CONTEXT_FIELDS = ("session_id", "agent_type", "agent_id", "application_id", "model_version", "context_source")
@@ -90,10 +90,10 @@ def session_contexts(ledger: DataFrame, requests: DataFrame, token_budget: int =
     )
 
 
-def session_tools(ledger: DataFrame, chunk: int = 1000) -> DataFrame:
-    """Tool names per session stream in call order, in bounded pieces."""
+def session_tools(ledger: DataFrame) -> DataFrame:
+    """Tool names per session stream in call order, one row each."""
     calls = _agent_events(ledger).where("event_type = 'AgentToolCalled'").where(P.filled(F.col("p.tool_name")).isNotNull())
-    return chunked_lists(calls, ["stream_id"], "stream_position", F.col("p.tool_name"), "tools", chunk)
+    return listed(calls, ["stream_id"], "stream_position", F.col("p.tool_name"), "tool")
 
 
 def session_outputs(ledger: DataFrame) -> DataFrame:

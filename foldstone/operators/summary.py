@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldstone.functions import ids, payload as P
-from foldstone.operators.scan import chunked_lists
+from foldstone.operators.scan import listed
 from foldstone.schema import (
     HARD_BLOCK_REASON,
     OTHER_RECOMMENDATION_STATE,
@@ -134,12 +134,12 @@ def _status_when_declined(handled: DataFrame, folded: DataFrame, by: list[str])
     )
 
 
-def completed_sessions(ledger: DataFrame, chunk: int = 1000) -> DataFrame:
-    """Sessions completed per application in order of first completion, as lists of at most ``chunk`` ids."""
+def completed_sessions(ledger: DataFrame) -> DataFrame:
+    """Sessions completed per application in order of first completion, one row each."""
     handled = _handled(ledger).where("event_type = 'AgentSessionCompleted'")
     firsts = (
         handled.where(P.filled(F.col("p.session_id")).isNotNull())
         .groupBy("application_id", F.col("p.session_id").alias("session_id"))
         .agg(F.min("global_position").alias("first_position"))
     )
-    return chunked_lists(firsts, ["application_id"], "first_position", F.col("session_id"), "agent_sessions_completed", chunk)
+    return listed(firsts, ["application_id"], "first_position", F.col("session_id"), "session_id")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldstone.operators import append, commands as C, loans, policy, summary, verify
-from foldstone.plans.ctes import LOAN, summary_cte
+from foldstone.operators import agents, append, commands as C, evolution, loans, policy, summary, verify
+from foldstone.plans.ctes import LOAN, agents_cte, summary_cte
 from foldstone.plans.registry import query
 from foldstone.session import stage
 from foldstone.sources import adapters, stored
@@ -96,7 +96,8 @@ def _compliance_commands(spark, folder):
     k = F.col("k")
 
     def result(rule: str, outcome, hard):
-        return F.struct(F.lit(rule).alias("rule_id"), outcome.alias("outcome"), hard.alias("is_hard_block"), F.lit(None).cast("string").alias("failure_reason"))
+        return F.struct(F.lit(rule).alias("rule_id"), F.lit("Rule").alias("rule_name"), F.lit("1").alias("rule_version"), F.lit("hash").alias("evidence_hash"), outcome.alias("outcome"), hard.alias("is_hard_block"),
+                        F.lit(None).cast("string").alias("failure_reason"))
 
     rules = F.array(
         result("REG-001", F.when(k % 11 == 0, "MAYBE").otherwise("pass"), F.lit(False)), result("REG-002", F.when(k % 7 == 0, "FAIL").otherwise("PASS"), k % 7 == 0), result("REG-006", F.lit("NOTE"), F.lit(False))
@@ -145,6 +146,7 @@ def _decision_commands(spark, folder):
     return _cases(spark, folder).select(
         "*", F.array(F.concat_ws("-", F.lit("agent"), "agent_type", "session_id")).alias("contributing_sessions"), F.when(k % 2 == 0, "APPROVE").otherwise("REFER").alias("recommendation"),
         (k % 10 / 10.0).alias("confidence"), F.lit(None).cast("string").alias("orchestrator_model"), F.lit(7000).cast("decimal(18,2)").alias("approved_amount_usd"),
+        F.lit("Within policy.").alias("executive_summary"),
     )
 
 
@@ -167,13 +169,16 @@ def produced_decision_events(spark, folder):
     SELECT app AS application_id, reason IS NULL AS accepted, reason FROM r""",
 )
 def command_reviews(spark, folder):
+    return _verdict(C.validate_reviews(_review_commands(spark, folder), _states(spark, folder)))
+
+
+def _review_commands(spark, folder):
     k = F.col("k")
-    c = _cases(spark, folder).select(
+    return _cases(spark, folder).select(
         "*", F.lit("r1").alias("reviewer_id"), (k % 4 == 0).alias("override"), F.when(k % 8 == 0, "seen").alias("override_reason"), F.lit("APPROVE").alias("original_recommendation"),
         F.when(k % 3 == 1, "DECLINE").otherwise("APPROVE").alias("final_decision"), (F.lit(8000) + k * 12 + k % 7 * 1000).cast("decimal(18,2)").alias("approved_amount_usd"),
         F.when(k % 6 != 5, 7.5).alias("interest_rate_pct"), F.lit(24).alias("term_months"), F.array().cast("array<string>").alias("decline_reasons"),
     )
-    return _verdict(C.validate_reviews(c, _states(spark, folder)))
 
 
 @query(
@@ -236,3 +241,123 @@ def state_distribution(spark, folder):
 @query("verdict_distribution", f"WITH {LOAN}, {summary_cte()} SELECT coalesce(compliance_status, 'INCOMPLETE') AS compliance_status, count(*) AS rows FROM summ GROUP BY 1")
 def verdict_distribution(spark, folder):
     return verify.distribution(summary.application_summary(stored.loan_ledger(spark, folder)), "compliance_status", "INCOMPLETE")
+
+
+@query("agent_type_distribution", f"WITH {LOAN}, {agents_cte()} SELECT agent_type, count(*) AS rows FROM perf GROUP BY 1")
+def agent_type_distribution(spark, folder):
+    return verify.distribution(agents.agent_performance(stored.loan_ledger(spark, folder)), "agent_type")
+
+
+# ---- events of accepted commands, with all their payload fields ---------------------------------------------------
+
+
+def _submit_commands(spark, folder):
+    key = F.col("k").cast("string")
+    return _cases(spark, folder).select(
+        F.concat(F.lit("n"), "command_id").alias("command_id"), F.concat(F.lit("N"), key).alias("application_id"), "at", F.concat(F.lit("COMP-"), key).alias("applicant_id"),
+        F.lit("25000.00").alias("requested_amount_usd"), F.lit("bridge").alias("loan_purpose"), F.lit(24).alias("loan_term_months"), F.lit("web").alias("submission_channel"), F.lit("a@example.com").alias("contact_email"),
+        F.lit("A").alias("contact_name"), F.concat(F.lit("ref-"), key).alias("application_reference"), F.array(F.lit("income_statement"), F.lit("balance_sheet")).alias("requested_document_types"), F.lit("desk").alias("requested_by"),
+    )
+
+
+def _session_commands(spark, folder):
+    return _cases(spark, folder).select(
+        "command_id", "application_id", "agent_type", "session_id", "at", F.concat(F.lit("a"), (F.col("k") % 7).cast("string")).alias("agent_id"), F.lit("m1").alias("model_version"),
+        F.lit("g1").alias("langgraph_graph_version"), F.lit("fresh").alias("context_source"), F.lit(500).alias("context_token_count"),
+    )
+
+
+def _credit_commands(spark, folder):
+    decision = F.struct(F.lit("LOW").alias("risk_tier"), F.lit("9000").alias("recommended_limit_usd"))
+    return _cases(spark, folder).select(
+        "*", F.concat(F.lit("m"), (F.col("k") % 2).cast("string")).alias("model_version"), decision.alias("decision"), F.lit("d1").alias("model_deployment_id"),
+        F.concat(F.lit("hash-"), F.col("k").cast("string")).alias("input_data_hash"), F.lit(40).alias("analysis_duration_ms"),
+    )
+
+
+def _fraud_commands(spark, folder):
+    return _cases(spark, folder).select(
+        "*", F.concat(F.lit("m"), (F.col("k") % 2).cast("string")).alias("model_version"), F.lit("0.25").alias("fraud_score"), F.lit("LOW").alias("risk_level"), F.lit(0).alias("anomalies_found"), F.lit("CLEAR").alias("recommendation"),
+        F.concat(F.lit("hash-"), F.col("k").cast("string")).alias("input_data_hash"),
+    )
+
+
+def _produced(spark, folder, kind):
+    states, heads = _states(spark, folder), append.stream_heads(stored.lifecycle_ledger(spark, folder))
+    judged = {
+        "submit": lambda: C.validate_submissions(_submit_commands(spark, folder), states), "session": lambda: C.validate_session_starts(_session_commands(spark, folder), states),
+        "credit": lambda: C.validate_credit(_credit_commands(spark, folder), states), "fraud": lambda: C.validate_fraud(_fraud_commands(spark, folder), states),
+        "compliance": lambda: C.validate_compliance(_compliance_commands(spark, folder), states), "decision": lambda: C.validate_decisions(_decision_commands(spark, folder), states),
+        "review": lambda: C.validate_reviews(_review_commands(spark, folder), states),
+    }[kind]()
+    return C.produced_events(kind, judged, heads)
+
+
+def _payloads(spark, folder, kind):
+    return _produced(spark, folder, kind).select("stream_id", "expected_version", "seq", "event_type", "payload")
+
+
+NOW = AT + "T00:00:00.000Z"
+
+
+@query(
+    "produced_submit_events",
+    f"""SELECT 'loan-N' || c_custkey AS stream_id, -1 AS expected_version, 0 AS seq, 'ApplicationSubmitted' AS event_type, '{{"application_id":"N' || c_custkey || '","applicant_id":"COMP-' || c_custkey ||
+      '","requested_amount_usd":"25000.00","loan_purpose":"bridge","loan_term_months":24,"submission_channel":"web","contact_email":"a@example.com","contact_name":"A","application_reference":"ref-' || c_custkey || '","submitted_at":"{NOW}"}}' AS payload FROM customer
+    UNION ALL SELECT 'loan-N' || c_custkey, -1, 1, 'DocumentUploadRequested', '{{"application_id":"N' || c_custkey || '","required_document_types":["income_statement","balance_sheet"],"deadline":"2024-06-08T00:00:00.000Z","requested_by":"desk"}}' FROM customer""",
+)
+def produced_submit_events(spark, folder):
+    return _payloads(spark, folder, "submit")
+
+
+@query(
+    "produced_session_events",
+    f"""WITH {WORK} SELECT 'agent-credit_analysis-w' || k AS stream_id, -1 AS expected_version, 0 AS seq, 'AgentSessionStarted' AS event_type, '{{"session_id":"w' || k || '","agent_type":"credit_analysis","agent_id":"a' || (k % 7) ||
+      '","application_id":"' || app || '","model_version":"m1","langgraph_graph_version":"g1","context_source":"fresh","context_token_count":500,"started_at":"{NOW}"}}' AS payload FROM ws WHERE depth < 5""",
+)
+def produced_session_events(spark, folder):
+    return _payloads(spark, folder, "session")
+
+
+@query(
+    "produced_credit_events",
+    f"""WITH {WORK}, ok AS (SELECT * FROM ws WHERE state = 'AWAITING_ANALYSIS' AND depth = 5)
+    SELECT 'credit-' || app AS stream_id, -1 AS expected_version, 0 AS seq, 'CreditAnalysisCompleted' AS event_type, '{{"application_id":"' || app || '","session_id":"w' || k || '","decision":{{"risk_tier":"LOW","recommended_limit_usd":"9000"}},"model_version":"m' || (k % 2) ||
+      '","model_deployment_id":"d1","input_data_hash":"hash-' || k || '","analysis_duration_ms":40,"completed_at":"{NOW}"}}' AS payload FROM ok
+    UNION ALL SELECT 'loan-' || app, version, 0, 'FraudScreeningRequested', '{{"application_id":"' || app || '","triggered_by_event_id":"credit-' || app || ':1","requested_at":"{NOW}"}}' FROM ok""",
+)
+def produced_credit_events(spark, folder):
+    return _payloads(spark, folder, "credit")
+
+
+@query(
+    "produced_fraud_events",
+    f"""WITH {WORK}, ok AS (SELECT *, CASE WHEN depth >= 8 THEN 1 ELSE -1 END AS sv FROM ws WHERE state = 'ANALYSIS_COMPLETE')
+    SELECT 'fraud-' || app AS stream_id, sv AS expected_version, 0 AS seq, 'FraudScreeningCompleted' AS event_type, '{{"application_id":"' || app || '","session_id":"w' || k || '","fraud_score":"0.25","risk_level":"LOW","anomalies_found":0,"recommendation":"CLEAR","input_data_hash":"hash-' || k ||
+      '","screening_model_version":"m' || (k % 2) || '","completed_at":"{NOW}"}}' AS payload FROM ok
+    UNION ALL SELECT 'loan-' || app, version, 0, 'ComplianceCheckRequested', '{{"application_id":"' || app || '","triggered_by_event_id":"fraud-' || app || ':' || (greatest(sv, 0) + 1) || '","requested_at":"{NOW}","regulation_set_version":"2026-Q1","rules_to_evaluate":["REG-001","REG-002","REG-003","REG-004","REG-005","REG-006"]}}' FROM ok""",
+)
+def produced_fraud_events(spark, folder):
+    return _payloads(spark, folder, "fraud")
+
+
+@query(
+    "produced_event_problems",
+    f"""WITH {JUDGED}, n AS (SELECT 'submit' AS kind, 2 * count(*) AS events FROM customer
+    UNION ALL SELECT 'session', count(*) FROM ws WHERE depth < 5
+    UNION ALL SELECT 'credit', 2 * count(*) FROM ws WHERE state = 'AWAITING_ANALYSIS' AND depth = 5
+    UNION ALL SELECT 'fraud', 2 * count(*) FROM ws WHERE state = 'ANALYSIS_COMPLETE'
+    UNION ALL SELECT 'compliance', sum(CASE WHEN depth = 9 THEN 6 ELSE 5 END) FROM r WHERE reason IS NULL
+    UNION ALL SELECT 'decision', sum(1 + k % 2) FROM ws WHERE depth = 15 AND state = 'PENDING_DECISION' AND NOT (k % 10 < 6 AND k % 2 = 0)
+    UNION ALL SELECT 'review', 2 * count(*) FROM rr WHERE reason IS NULL)
+    SELECT kind, events::BIGINT AS events, 0 AS invalid FROM n WHERE events > 0""".replace(", n AS (SELECT 'submit'", """, rr AS (SELECT app, CASE WHEN state NOT IN ('APPROVED_PENDING_HUMAN','DECLINED_PENDING_HUMAN','PENDING_HUMAN_REVIEW') THEN 'x' WHEN k % 4 = 0 AND k % 8 <> 0 THEN 'x' WHEN k % 3 = 1 AND k % 4 <> 0 THEN 'x'
+      WHEN k % 3 <> 1 AND k % 6 = 5 THEN 'x' WHEN k % 3 <> 1 AND k % 7 >= 2 THEN 'x' END AS reason FROM ws), n AS (SELECT 'submit'"""),
+)
+def produced_event_problems(spark, folder):
+    """Every event that any command produces is valid under the event schemas."""
+    made = None
+    for kind in ("submit", "session", "credit", "fraud", "compliance", "decision", "review"):
+        part = _produced(spark, folder, kind).select("stream_id", "event_type", "event_version", "payload", F.lit(kind).alias("kind"))
+        made = part if made is None else made.unionByName(part)
+    checked = evolution.validate_events(made)
+    return checked.groupBy("kind").agg(F.count("*").alias("events"), F.count_if(~F.col("valid")).alias("invalid"))

@@ -64,7 +64,7 @@ def compliance_as_of(spark, folder):
     ledger = stored.rule_ledger(spark, folder)
     history = compliance.compliance_history(ledger)
     probes = ledger.select(
-        F.col("global_position").alias("probe"), F.substring("stream_id", 12, 1000).alias("application_id"),
+        F.col("global_position").alias("probe"), F.regexp_replace("stream_id", "^compliance-", "").alias("application_id"),
         (F.col("recorded_at") - F.expr("interval 30 minutes")).alias("at"),
     )
     found = compliance.compliance_at(history, probes)
@@ -75,12 +75,11 @@ def compliance_as_of(spark, folder):
     "compliance_rule_lists",
     f"""WITH {RULES}, o AS (SELECT app, max(gpos) AS g FROM rl WHERE t = 'ComplianceCheckInitiated' GROUP BY 1)
     SELECT rl.app AS application_id, CASE t WHEN 'ComplianceRulePassed' THEN 'passed' WHEN 'ComplianceRuleFailed' THEN 'failed' ELSE 'noted' END AS rule_class,
-      0 AS chunk, string_agg(rule, '|' ORDER BY gpos) AS rules
-    FROM rl LEFT JOIN o ON rl.app = o.app WHERE t LIKE 'ComplianceRule%' AND (g IS NULL OR gpos > g) GROUP BY 1, 2""",
+      row_number() OVER (PARTITION BY rl.app, t ORDER BY gpos) AS ordinal, rule AS rule_id
+    FROM rl LEFT JOIN o ON rl.app = o.app WHERE t LIKE 'ComplianceRule%' AND (g IS NULL OR gpos > g)""",
 )
 def compliance_rule_lists(spark, folder):
-    lists = compliance.rule_lists(stored.rule_ledger(spark, folder))
-    return lists.select("application_id", "rule_class", "chunk", joined("rules"))
+    return compliance.rule_lists(stored.rule_ledger(spark, folder))
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldstone.functions.digest import canonical_json
+from foldstone.functions.digest import Tree, canonical_json
 from foldstone.operators import branches, integrity, lineage
 from foldstone.plans.ctes import LOAN, summary_cte
 from foldstone.plans.registry import as_double, micros, query
@@ -26,11 +26,32 @@ def _scalar_digest():
     return F.sha2(F.concat_ws("|", "event_id", "stream_id", F.col("stream_position").cast("string"), "event_type"), 256)
 
 
+# A fan-in that the streams of the supplied tables exceed several times over.
+SMALL_TREE = Tree(fan_in=4, levels=6)
+
+
+def _tree_sql(name: str, source: str, digest: str) -> str:
+    """CTEs that end in ``name`` (app, d): the digest tree over a source with app, pos and a digest column."""
+    steps = [f"{name}_0 AS (SELECT app, (pos - 1) // {SMALL_TREE.fan_in} AS g, sha256('leaf:' || string_agg({digest}, '' ORDER BY pos)) AS d FROM {source} GROUP BY 1, 2)"]
+    for k in range(1, SMALL_TREE.levels):
+        steps.append(f"{name}_{k} AS (SELECT app, g // {SMALL_TREE.fan_in} AS up, sha256('node:' || string_agg(d, '' ORDER BY g)) AS d FROM {name}_{k - 1} GROUP BY 1, 2)".replace("AS up", "AS g2"))
+        steps.append(f"{name}_{k}r AS (SELECT app, g2 AS g, d FROM {name}_{k})")
+    text = ",\n".join(steps)
+    for k in range(1, SMALL_TREE.levels - 1):
+        text = text.replace(f"FROM {name}_{k} GROUP BY", f"FROM {name}_{k}r GROUP BY")
+    return text + f",\n{name} AS (SELECT app, d FROM {name}_{SMALL_TREE.levels - 1}r)"
+
+
 CHAIN = f"""{LOAN},
 nn AS (SELECT stream_id, gpos, ts, k, t, app, eid, row_number() OVER (PARTITION BY stream_id ORDER BY gpos) AS pos FROM led WHERE stream_id LIKE 'loan-%'),
 hh AS (SELECT *, sha256(eid || '|' || stream_id || '|' || pos || '|' || t) AS h, sha256(eid || '|' || stream_id || '|' || pos || '|' || CASE WHEN k = 7 THEN 'X' ELSE t END) AS h2 FROM nn),
-one AS (SELECT app, count(*) AS n, sha256(':' || sha256(string_agg(h, '' ORDER BY pos))) AS ih FROM hh WHERE ts < TIMESTAMP '{CUT}' GROUP BY 1),
-two AS (SELECT hh.app, count(*) AS n, string_agg(h2, '' ORDER BY pos) AS al, string_agg(h2, '' ORDER BY pos) FILTER (WHERE pos <= one.n) AS pre FROM hh LEFT JOIN one ON one.app = hh.app GROUP BY 1)
+early AS (SELECT * FROM hh WHERE ts < TIMESTAMP '{CUT}'), counted AS (SELECT app, count(*) AS n FROM early GROUP BY 1),
+again AS (SELECT hh.* FROM hh JOIN counted USING (app) WHERE pos <= n),
+{_tree_sql("first_tree", "early", "h")},
+{_tree_sql("whole_tree", "hh", "h2")},
+{_tree_sql("prefix_tree", "again", "h2")},
+one AS (SELECT app, n, sha256(':' || d) AS ih FROM counted JOIN first_tree USING (app)),
+two AS (SELECT w.app, (SELECT count(*) FROM hh WHERE hh.app = w.app) AS n, w.d AS al, p.d AS pre FROM whole_tree w LEFT JOIN prefix_tree p ON p.app = w.app)
 """
 
 
@@ -38,28 +59,28 @@ two AS (SELECT hh.app, count(*) AS n, string_agg(h2, '' ORDER BY pos) AS al, str
 def integrity_first_check(spark, folder):
     ledger = stored.loan_ledger(spark, folder).where(F.col("recorded_at") < F.lit(CUT).cast("timestamp"))
     ledger = ledger.where(F.col("stream_id").startswith("loan-"))
-    entities = ledger.select(F.lit("loan").alias("entity_type"), F.substring("stream_id", 6, 1000).alias("entity_id")).distinct()
-    r = integrity.integrity_checks(ledger, entities, None, F.lit(CUT).cast("timestamp"), _scalar_digest())
+    entities = ledger.select(F.lit("loan").alias("entity_type"), F.regexp_replace("stream_id", "^loan-", "").alias("entity_id")).distinct()
+    r = integrity.integrity_checks(ledger, entities, None, F.lit(CUT).cast("timestamp"), _scalar_digest(), SMALL_TREE)
     return r.select("entity_id", "source_stream_id", "events_verified", "integrity_hash", "chain_valid", "tamper_detected")
 
 
 def _two_checks(spark, folder):
     ledger = stored.loan_ledger(spark, folder).where(F.col("stream_id").startswith("loan-"))
     at = F.lit(CUT).cast("timestamp")
-    entities = ledger.select(F.lit("loan").alias("entity_type"), F.substring("stream_id", 6, 1000).alias("entity_id")).distinct()
+    entities = ledger.select(F.lit("loan").alias("entity_type"), F.regexp_replace("stream_id", "^loan-", "").alias("entity_id")).distinct()
     early = ledger.where(F.col("recorded_at") < at)
-    known = early.select(F.lit("loan").alias("entity_type"), F.substring("stream_id", 6, 1000).alias("entity_id")).distinct()
-    first = stage(integrity.check_events(integrity.integrity_checks(early, known, None, at, _scalar_digest()), 1 << 40))
+    known = early.select(F.lit("loan").alias("entity_type"), F.regexp_replace("stream_id", "^loan-", "").alias("entity_id")).distinct()
+    first = stage(integrity.check_events(integrity.integrity_checks(early, known, None, at, _scalar_digest(), SMALL_TREE), 1 << 40))
     changed = F.when(F.get_json_object("metadata", "$.causation_id") == F.concat(F.lit("e"), (F.col("global_position") - 7).cast("string")), F.lit("X")).otherwise(F.col("event_type"))
     tampered = ledger.withColumn("event_type", changed)
-    second = integrity.integrity_checks(tampered, entities, first, F.lit("2024-02-01").cast("timestamp"), _scalar_digest())
+    second = integrity.integrity_checks(tampered, entities, first, F.lit("2024-02-01").cast("timestamp"), _scalar_digest(), SMALL_TREE)
     return first, stage(second)
 
 
 @query(
     "integrity_second_check",
-    f"""WITH {CHAIN} SELECT two.app AS entity_id, two.n AS events_verified, sha256(coalesce(one.ih, '') || ':' || sha256(al)) AS integrity_hash, one.ih AS previous_hash,
-      one.ih IS NULL OR sha256(':' || sha256(pre)) = one.ih AS chain_valid, NOT (one.ih IS NULL OR sha256(':' || sha256(pre)) = one.ih) AS tamper_detected,
+    f"""WITH {CHAIN} SELECT two.app AS entity_id, two.n AS events_verified, sha256(coalesce(one.ih, '') || ':' || al) AS integrity_hash, one.ih AS previous_hash,
+      one.ih IS NULL OR sha256(':' || pre) = one.ih AS chain_valid, NOT (one.ih IS NULL OR sha256(':' || pre) = one.ih) AS tamper_detected,
       CASE WHEN one.ih IS NULL THEN 1 ELSE 2 END AS check_stream_position
     FROM two LEFT JOIN one ON one.app = two.app""",
 )
@@ -71,7 +92,7 @@ def integrity_second_check(spark, folder):
 
 @query(
     "audit_ledgers",
-    f"""WITH {CHAIN}, sec AS (SELECT two.app, sha256(coalesce(one.ih, '') || ':' || sha256(al)) AS ih, one.ih AS prev, one.ih IS NULL OR sha256(':' || sha256(pre)) = one.ih AS ok FROM two LEFT JOIN one ON one.app = two.app)
+    f"""WITH {CHAIN}, sec AS (SELECT two.app, sha256(coalesce(one.ih, '') || ':' || al) AS ih, one.ih AS prev, one.ih IS NULL OR sha256(':' || pre) = one.ih AS ok FROM two LEFT JOIN one ON one.app = two.app)
     SELECT 'audit-loan-' || app AS audit_stream_id, CASE WHEN prev IS NULL THEN 1 ELSE 2 END AS checks, ih AS latest_integrity_hash, prev AS previous_hash, ok AS chain_valid, NOT ok AS tamper_detected,
       epoch_us(TIMESTAMP '2024-02-01') AS latest_check_timestamp, true AS append_only, CAST(NULL AS VARCHAR) AS replay_error FROM sec""",
 )
@@ -119,7 +140,7 @@ def causal_violations(spark, folder):
 )
 def reference_resolution(spark, folder):
     ledger = stored.loan_ledger(spark, folder)
-    k = F.coalesce(F.col("global_position") - F.substring(F.get_json_object("metadata", "$.causation_id"), 2, 20).cast("bigint"), F.lit(0))
+    k = F.coalesce(F.col("global_position") - F.regexp_replace(F.get_json_object("metadata", "$.causation_id"), "^e", "").cast("bigint"), F.lit(0))
     refs = ledger.select("event_id", F.concat_ws(":", "stream_id", (k + 1).cast("string")).alias("reference"))
     return lineage.resolved_references(refs, ledger)
 

@@ -28,11 +28,10 @@ def application_summary(spark, folder):
 @query(
     "application_session_lists",
     f"""WITH {LOAN}, f AS (SELECT app, sess, min(gpos) AS g FROM led WHERE t = 'AgentSessionCompleted' GROUP BY 1, 2)
-    SELECT app AS application_id, 0 AS chunk, string_agg(sess, '|' ORDER BY g) AS agent_sessions_completed FROM f GROUP BY 1""",
+    SELECT app AS application_id, row_number() OVER (PARTITION BY app ORDER BY g) AS ordinal, sess AS session_id FROM f""",
 )
 def application_session_lists(spark, folder):
-    lists = summary.completed_sessions(stored.loan_ledger(spark, folder))
-    return lists.select("application_id", "chunk", joined("agent_sessions_completed"))
+    return summary.completed_sessions(stored.loan_ledger(spark, folder))
 
 
 @query(

@@ -61,10 +61,10 @@ def session_contexts(spark, folder):
 
 @query(
     "session_tools",
-    f"""WITH {SESSIONS} SELECT stream_id, 0 AS chunk, string_agg('tool_' || (n % 6), '|' ORDER BY spos) AS tools FROM se WHERE t = 'AgentToolCalled' GROUP BY 1""",
+    f"""WITH {SESSIONS} SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY spos) AS ordinal, 'tool_' || (n % 6) AS tool FROM se WHERE t = 'AgentToolCalled'""",
 )
 def session_tools(spark, folder):
-    return sessions.session_tools(stored.session_ledger(spark, folder)).select("stream_id", "chunk", joined("tools"))
+    return sessions.session_tools(stored.session_ledger(spark, folder))
 
 
 @query(
@@ -168,6 +168,15 @@ def session_costs(spark, folder):
     return _session_costs(spark, folder).select("application_id", as_double("total_cost_usd"))
 
 
+@query(
+    "session_costs_by_agent",
+    f"""WITH {SESSIONS}, d AS (SELECT split_part(stream_id, '-', 2) AS agent_type, CAST(n / 10000 AS DECIMAL(12,6)) AS c FROM se WHERE t = 'AgentSessionCompleted')
+    SELECT agent_type, count(*) AS sessions, CAST(round(sum(c), 2) AS DOUBLE) AS total_cost_usd FROM d GROUP BY 1""",
+)
+def session_costs_by_agent(spark, folder):
+    return costs.session_costs_by_agent(stored.session_ledger(spark, folder)).select("agent_type", "sessions", as_double("total_cost_usd"))
+
+
 @query(
     "session_cost_spread",
     f"""WITH {DONE} SELECT CAST(sum(total_cost_usd) AS DOUBLE) AS grand_total_usd, round(CAST(sum(total_cost_usd) AS DOUBLE) / count(*), 2) AS average_usd,

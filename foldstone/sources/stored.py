@@ -10,6 +10,8 @@ from pyspark.sql.types import StructType
 from foldstone.session import prepare, stage, staged_path
 from foldstone.sources import adapters
 
+LEDGERS = ("loan", "linked", "rules", "sessions", "lifecycle")
+
 # (application, table, folder) -> where it was written; only paths are remembered.
 _LOADED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
@@ -47,3 +49,9 @@ def lifecycle_ledger(spark: SparkSession, folder: str) -> DataFrame:
 def derived(kind: str, build: Callable[[SparkSession, str], DataFrame], spark: SparkSession, folder: str) -> DataFrame:
     """A table that several queries read, written once per session."""
     return _load(kind, build, spark, folder)
+
+
+def forget_derived() -> None:
+    """Derived tables are built again when next asked for; the loaded ledgers stay."""
+    for key in [k for k in _LOADED if k[1] not in LEDGERS]:
+        del _LOADED[key]

@@ -100,7 +100,7 @@ def test_long_streams_replay_like_a_plain_loop(spark, tiny_blocks):
 
     from foldstone.schema import LOAN_TRANSITIONS
 
-    allowed = {line.split(" -> ")[0]: line.split(" -> ")[1].split() for line in LOAN_TRANSITIONS.strip().splitlines()}
+    allowed = LOAN_TRANSITIONS
     rng, log, want = random.Random(3), Log(), {}
     quiet = ["DocumentUploadRequested", "HumanReviewRequested", "PackageNoted"]
     path = [("ApplicationSubmitted", "SUBMITTED"), ("CreditAnalysisRequested", "AWAITING_ANALYSIS"), ("FraudScreeningRequested", "ANALYSIS_COMPLETE"),

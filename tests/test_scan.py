@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foldstone.functions import digest
 from foldstone.operators.closure import reachable
-from foldstone.operators.scan import asof, before, chunked_lists, count_so_far, highest, last, number_rows, running, total
+from foldstone.operators.scan import asof, before, count_so_far, highest, last, listed, number_rows, running, total
 
 
 def _rows(seed=1, n=200):
@@ -39,11 +39,10 @@ def test_asof_takes_latest_before_and_at(spark, tiny_blocks):
     assert {r.id: r.v for r in asof(left, right, ["k"], "pos", "v", inclusive=True).collect()} == {1: "x", 2: "y", 3: None}
 
 
-def test_chunked_lists_keep_order_and_everything(spark, tiny_blocks):
+def test_lists_keep_order_and_everything(spark, tiny_blocks):
     df = spark.createDataFrame([("a", i, str(i)) for i in range(25)], "k string, pos bigint, v string")
-    got = chunked_lists(df, ["k"], "pos", F.col("v"), "items", chunk=10).orderBy("chunk").collect()
-    assert [len(r["items"]) for r in got] == [10, 10, 5]
-    assert [x for r in got for x in r["items"]] == [str(i) for i in range(25)]
+    got = listed(df, ["k"], "pos", F.col("v"), "item").orderBy("ordinal").collect()
+    assert [(r["ordinal"], r["item"]) for r in got] == [(i + 1, str(i)) for i in range(25)]
 
 
 def test_reachability_of_chains_and_random_graphs(spark):
@@ -61,17 +60,23 @@ def test_reachability_of_chains_and_random_graphs(spark):
     assert {r.id for r in got.collect()} == want
 
 
-def test_ordered_digest_is_plain_up_to_one_group_and_prefixes_agree(spark, monkeypatch):
+def tree_root(items, fan_in, levels):
+    level, tag = items, "leaf:"
+    for _ in range(levels):
+        level = [hashlib.sha256((tag + "".join(level[i : i + fan_in])).encode()).hexdigest() for i in range(0, len(level), fan_in)]
+        tag = "node:"
+    return level[0]
+
+
+def test_digest_trees_have_one_definition_and_prefixes_agree(spark):
     rows = [("a", i, hashlib.sha256(str(i).encode()).hexdigest()) for i in range(1, 30)]
     df = spark.createDataFrame(rows, "k string, n bigint, h string")
-    one = digest.ordered_digest(df, ["k"], "n", "h", "d").first().d
-    assert one == hashlib.sha256("".join(r[2] for r in rows).encode()).hexdigest()
-    monkeypatch.setattr(digest, "FAN_IN", 3)
-    monkeypatch.setattr(digest, "LEVELS", 5)
+    hashes = [r[2] for r in rows]
+    assert digest.ordered_digest(df, ["k"], "n", "h", "d").first().d == tree_root(hashes, 4096, 4)
+    small = digest.Tree(3, 5)
     probes = spark.createDataFrame([("a", n, f"p{n}") for n in (0, 1, 3, 4, 9, 10, 27, 29)], "k string, count bigint, probe_id string")
-    got = {r.probe_id: r.d for r in digest.prefix_digests(df, ["k"], "n", "h", probes, "count", "d").collect()}
+    got = {r.probe_id: r.d for r in digest.prefix_digests(df, ["k"], "n", "h", probes, "count", "d", small).collect()}
     for n in (1, 3, 4, 9, 10, 27, 29):
-        whole = digest.ordered_digest(df.where(F.col("n") <= n), ["k"], "n", "h", "d").first().d
-        assert got[f"p{n}"] == whole, n
-    assert got["p0"] == hashlib.sha256(b"").hexdigest()
-    assert len(set(got.values())) == len(got)
+        assert got[f"p{n}"] == tree_root(hashes[:n], 3, 5), n
+    assert digest.ordered_digest(df, ["k"], "n", "h", "d", small).first().d == got["p29"]
+    assert got["p0"] == hashlib.sha256(b"").hexdigest() and len(set(got.values())) == len(got)
