@@ -2,12 +2,14 @@
 
 The n-grams of a document are a set of 64-bit hashes. Two sets of the wanted similarity lack few of each other's n-grams,
 so each of them must find enough of its smallest n-grams in other sets; what does not is left out early. The rest falls
-into blocks connected by n-grams of their prefixes, in an order that puts frequent n-grams last. Within a block, or between two chunks of a large one, sets ordered by
-falling frequency are stored in a trie: one walk carries the overlaps of all asking sets along shared paths.
+into blocks connected by n-grams of their prefixes, in an order that puts frequent n-grams last. Within a block the sets of
+neighbouring size classes are compared, large classes in chunks: sets ordered by falling frequency are stored in a trie,
+and one walk carries the overlaps of all asking sets along shared paths.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,33 +190,46 @@ def trie_join(indexed: list[np.ndarray], asking: list[np.ndarray], percent: int)
 
 
 def _joined(percent: int):
-    """Links found in the meetings (block, i, j) of a task: rows (u, v) of a spanning forest, and (u, links) counts."""
+    """Links found in the meetings (cell, i, j) of a task: rows (u, v) of a spanning forest, and (u, links) counts.
 
-    def meeting(rows: pd.DataFrame, same: bool, out: list[tuple]) -> None:
+    A cell has the sets of one size class of a block as natives and those of the class below as guests; natives meet
+    natives and guests. Chunks i and j of a cell meet in one task.
+    """
+
+    def meeting(rows: pd.DataFrame, out: list[tuple]) -> None:
         sets = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
         place, copies = rows["place"].to_numpy(), rows["copies"].to_numpy()
-        left = np.arange(len(rows)) if same else np.flatnonzero(rows["own"] == rows["i"])
-        right = left if same else np.flatnonzero(rows["own"] != rows["i"])
-        if not len(left) or not len(right):
-            return
+        native, first = rows["native"].to_numpy(), (rows["own"] == rows["i"]).to_numpy()
         group, links = np.arange(len(rows)), np.zeros(len(rows), np.int64)
-        for i, found in trie_join([sets[k] for k in left], [sets[k] for k in right], percent):
-            me, others = left[i], right[found]
-            others = others[others != me]
-            links[me] += copies[others].sum()
-            if not same:
-                links[others] += copies[me]
-            groups, one = np.unique(group[others], return_index=True)
-            for g, o in zip(groups.tolist(), others[one].tolist()):
-                if g != group[me]:
-                    out.append((int(place[me]), int(place[o]), None))
-                    group[group == g] = group[me]
+
+        def compare(left: np.ndarray, right: np.ndarray, mutual: bool = False) -> None:
+            if not len(left) or not len(right):
+                return
+            for i, found in trie_join([sets[k] for k in left], [sets[k] for k in right], percent):
+                me, others = left[i], right[found]
+                others = others[others != me]
+                links[me] += copies[others].sum()
+                if not mutual:  # else the others find this one, too
+                    links[others] += copies[me]
+                groups, one = np.unique(group[others], return_index=True)
+                for g, o in zip(groups.tolist(), others[one].tolist()):
+                    if g != group[me]:
+                        out.append((int(place[me]), int(place[o]), None))
+                        group[group == g] = group[me]
+
+        if first.all():
+            compare(np.flatnonzero(native), np.flatnonzero(native), mutual=True)
+            compare(np.flatnonzero(native), np.flatnonzero(~native))
+        else:
+            compare(np.flatnonzero(native & first), np.flatnonzero(~first))
+            compare(np.flatnonzero(native & ~first), np.flatnonzero(~native & first))
         out.extend((p, None, n) for p, n in zip(place.tolist(), links.tolist()) if n)
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        for (_, i, j), part in rows.groupby(["block", "i", "j"], sort=False):
-            meeting(part, i == j, out)
+        for (_, i, j), part in rows.groupby(["cell", "i", "j"], sort=False):
+            if i == j or part["own"].nunique() == 2:
+                meeting(part, out)
         return pd.DataFrame({"u": pd.array([o[0] for o in out], "Int64"), "v": pd.array([o[1] for o in out], "Int64"), "links": pd.array([o[2] for o in out], "Int64")})
 
     return of
@@ -266,15 +281,19 @@ def _links(placed: DataFrame, profiles: DataFrame, sets: DataFrame, words: int,
     leads = held.select("place", "leads").join(solid.select("place"), "place").select("place", F.explode("leads").alias("gram"))
     heads = stage(leads.groupBy("gram").agg(F.min("place").alias("head"), F.max("place").alias("other")).where("head <> other").select("gram", "head"))
     blocks = stage(components(leads.join(heads, "gram").select(F.col("place").alias("u"), F.col("head").alias("v"))))
-    members = held.drop("leads").join(blocks.select(F.col("node").alias("place"), F.col("component").alias("block")), "place")
-    sizes = solid.join(blocks.select(F.col("node").alias("place"), F.col("component").alias("block")), "place")
-    sizes = stage(sizes.groupBy("block").agg(F.ceil(F.sum("n") / chunk_ngrams).cast("int").alias("chunks"), F.sum("n").alias("total")))
-    dealt = members.join(sizes.select("block", "chunks"), "block").withColumn("own", F.pmod(F.xxhash64("place"), F.col("chunks")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    meetings = other.select("place", "copies", "block", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "grams")
+    # Sizes of linked sets differ by less than a class is wide (a little more than the similarity allows).
+    width = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9
+    size_class = F.floor(F.log("n") / width)
+    cells = F.explode(F.array(F.struct(size_class.alias("q"), F.lit(True).alias("native")), F.struct((size_class + 1).alias("q"), F.lit(False).alias("native"))))
+    placed_in = solid.join(blocks.select(F.col("node").alias("place"), F.col("component").alias("block")), "place").select("place", "n", "block", cells.alias("c"))
+    placed_in = stage(placed_in.select("place", "n", F.xxhash64("block", "c.q").alias("cell"), "c.native"))
+    sizes = stage(placed_in.groupBy("cell").agg(F.ceil(F.sum("n") / chunk_ngrams).cast("int").alias("chunks"), F.sum("n").alias("total"), F.count_if("native").alias("natives"), F.count("*").alias("m")).where("natives > 0 and m > 1"))
+    dealt = placed_in.join(sizes.select("cell", "chunks"), "cell").withColumn("own", F.pmod(F.xxhash64("place"), F.col("chunks")).cast("int")).drop("n")
+    other = held.select("place", "copies", "grams").join(dealt, "place").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    meetings = other.select("place", "copies", "cell", "native", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "grams")
     total = sizes.agg(F.sum(F.col("total") * F.col("chunks"))).first()[0] or 0
     tasks = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // chunk_ngrams + 1)
-    found = meetings.withColumn("task", F.pmod(F.xxhash64("block", "i", "j"), F.lit(tasks))).groupBy("task").applyInPandas(_joined(percent), "u long, v long, links long")
+    found = meetings.withColumn("task", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(tasks))).groupBy("task").applyInPandas(_joined(percent), "u long, v long, links long")
     found = stage(found)
     return found.where("v IS NOT NULL").select("u", "v"), found.where("links IS NOT NULL").groupBy(F.col("u").alias("place")).agg(F.sum("links").alias("links"))
 
