@@ -46,15 +46,23 @@ def prefix_length(n, percent: int):
 
 
 def looked_at(n: int, percent: int, quarters: int = 5) -> int:
-    """Elements that are looked at, in quarters of a prefix. All but those that a linked set may lack must be shared."""
+    """Elements that are looked at, in quarters of a prefix."""
     prefix = n * (100 - percent) // 100 + 1
     return min(n, prefix * quarters // 4)
 
 
 def needed(n: Column, percent: int, quarters: int = 5) -> Column:
-    """How many of the elements that are looked at must be shared."""
-    prefix = prefix_length(n, percent)
-    return F.least(n, F.floor(prefix * quarters / 4)) - prefix + 1
+    """How many of the elements that are looked at must be shared with the part of a linked set, whatever its size.
+
+    Sets of n and m elements that link share at least t. Elements that only one of the two has may all come first, so their
+    parts share no less than t minus what either part lacks to the whole set. The least over all sizes m that can link counts.
+    """
+
+    def offered(m: Column) -> Column:
+        shared = F.ceil(percent * (n + m) / (100 + percent))
+        return F.least(shared, *[shared - (size - F.least(size, F.floor(prefix_length(size, percent) * quarters / 4))) for size in (n, m)])
+
+    return F.array_min(F.transform(F.sequence(F.ceil(n * percent / 100), F.floor(n * 100 / percent)), offered))
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:

@@ -42,6 +42,23 @@ def test_join_of_awkward_rows(spark):
     assert [r["doc_id"] for r in ngram_join.one_of_each(table(spark, [(2, essay(1), "a"), (1, essay(1), "a"), (3, essay(9), "a")])).orderBy("doc_id").collect()] == [1, 3]
 
 
+@pytest.mark.parametrize("words, percent", [(1, 85), (1, 80), (1, 50), (5, 80)])
+def test_join_of_every_pair_of_sizes(spark, words, percent):
+    """For all sizes below 60 a pair that shares just enough; pairs share nothing with each other."""
+    rows = []
+    for n in range(1, 60):
+        for m in range(-(-percent * n // 100), n + 1):
+            least = -(-percent * (n + m) // (100 + percent))
+            name = f"p{len(rows)}"
+            if words == 1 and least <= m:
+                sets = [[f"{name}s{i}" for i in range(least)] + [f"{name}{own}{i}" for i in range(size - least)] for own, size in (("x", n), ("y", m))]
+                rows += [(len(rows) + k, " ".join(s), "a") for k, s in enumerate(sets)]
+            elif words > 1:  # the same text without its last words
+                rows += [(len(rows) + k, " ".join(f"{name}s{i}" for i in range(size + words - 1)), "a") for k, size in enumerate((n, m))]
+    got = tuples(ngram_join.linked_sets(table(spark, rows), words, percent), "doc_id", "n_links")
+    assert got == sorted([(i, 1) for i, _, _ in rows], key=str)
+
+
 def test_trie_join_equals_all_pairs():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(60)]
