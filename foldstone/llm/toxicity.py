@@ -3,7 +3,9 @@
 The kernel of two words is the gap-weighted count of their common subsequences of three letters, normalised; a sentence
 compares with a landmark by its best matching word, so inserted, dropped and exchanged letters cost only some
 similarity. Words are runs of letters between spaces with all other signs taken out and their start as a letter of its
-own; runs of single letters count as a word, too, so spelled-out and dotted insults are seen. The landmarks are words of the training sentences.
+own; runs of single letters count as a word, too, so spelled-out and dotted insults are seen. So do two and three
+neighbouring words of a sentence with a short one among them, which finds insults with gaps in them. Only words of one
+letter have no unit of their own. The landmarks are words of the training sentences.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ SPAN = 6  # three letters lie within so many places
 DECAY = 0.6  # for each place that a subsequence spans
 NEAR = 0.4  # kernel values below count as zero
 PIECE = 16  # longer words are compared in overlapping pieces
-LEAST_NORM = (2 + 2 * DECAY**2) ** 0.5  # of a word of four letters; longer ones have no less
+LEAST_NORM = (2 + 2 * DECAY**2) ** 0.5  # of four codes, such as the start and three letters; more have no less
+SHORT, JOINED = 3, 12  # letters of a short word, and of neighbours that are read as one word, at most
 
 CODES = np.full(256, 255, np.uint8)
 CODES[97:123] = np.arange(1, 27)
@@ -71,16 +74,30 @@ class Units:
             first, last = np.array(spelled).T
             begin, end = np.concatenate([begin, begin[first]]), np.concatenate([end, end[last - 1]])
             sentence = np.concatenate([sentence, sentence[first]])
+        own = len(begin)
+        # Two and three neighbouring words of a sentence that a gap may have made of one: two with a short one, or three short ones.
+        short = (end[:total] - begin[:total] <= SHORT) & (end[:total] > begin[:total])
+        written = end[:total] > begin[:total]
+        for count in (2, 3):
+            last = np.arange(count - 1, total)
+            first = last - count + 1
+            joins = (sentence[first] == sentence[last]) & (end[last] - begin[first] <= JOINED) & (end[last] - begin[first] > SHORT)
+            if count == 2:
+                joins &= (short[first] | short[last]) & written[first] & written[last]
+            else:
+                joins &= short[first] & short[first + 1] & short[last]
+            begin, end, sentence = np.concatenate([begin, begin[first[joins]]]), np.concatenate([end, end[last[joins]]]), np.concatenate([sentence, sentence[first[joins]]])
         size = end - begin
-        long_enough = size >= 4
-        begin, size, sentence = begin[long_enough], size[long_enough], sentence[long_enough]
+        plain = np.arange(len(size)) < own
+        long_enough = size >= 2
+        begin, size, sentence, plain = begin[long_enough], size[long_enough], sentence[long_enough], plain[long_enough]
         room = PIECE - 1
         pieces = np.where(size > room, (size - room + 7) // 8 + 1, 1)
         owner = np.repeat(np.arange(len(size)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         shift = np.minimum(nth * 8, np.maximum(size[owner] - room, 0))
         self.first = shift == 0
-        self.begin, self.size, self.sentence = begin[owner] + shift, np.minimum(size[owner], room), sentence[owner]
+        self.begin, self.size, self.sentence, self.plain = begin[owner] + shift, np.minimum(size[owner], room), sentence[owner], plain[owner]
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Letters of the distinct units, and which of them each unit is."""
@@ -120,14 +137,25 @@ def embedding(rows: np.ndarray) -> np.ndarray:
 
 def near_landmarks(rows: np.ndarray, table: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, landmark, kernel value) of all pairs that are near; ``table`` has a row of landmark weights for each code."""
-    found = []
+    found, landmarks = [], table.shape[1]
+    # Most codes are in no landmark: the table's entries by code.
+    code_of, of, entry = *np.nonzero(table), table[table != 0]
+    bounds = np.searchsorted(code_of, np.arange(len(table) + 1))
+    known = np.diff(bounds) > 0
     for begin in range(0, len(rows), step):
         part = rows[begin : begin + step]
         codes, weights = subsequences(part)
         used = np.flatnonzero(codes.any(0))
-        sums = np.einsum("wck,c->wk", table[codes[:, used]], weights[used], optimize=False) if len(used) else np.zeros((len(part), table.shape[1]), np.float32)
+        codes, weights = np.ascontiguousarray(codes[:, used]), weights[used]
+        row, column = np.nonzero(known[codes])
+        code = codes[row, column]
+        times = bounds[code + 1] - bounds[code]
+        spread = np.repeat(np.arange(len(code)), times)
+        at = np.arange(len(spread)) - np.repeat(np.cumsum(times) - times, times) + bounds[code][spread]
+        sums = np.bincount(row[spread] * landmarks + of[at], entry[at] * weights[column[spread]], len(part) * landmarks).reshape(len(part), landmarks).astype(np.float32)
         # Most words are settled by the least norm that a word can have.
-        maybe = np.flatnonzero((sums >= NEAR * LEAST_NORM).any(1))
+        least = NEAR * np.where(np.count_nonzero(part, axis=1) > 3, LEAST_NORM, 1.0)
+        maybe = np.flatnonzero((sums >= least[:, None]).any(1))
         if len(maybe):
             values = sums[maybe] / np.maximum(norms(codes[maybe], weights), 1e-9)[:, None]
             w, k = np.nonzero(values >= NEAR)
@@ -145,6 +173,8 @@ def norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     new = np.ones(ordered.shape, bool)
     new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
     starts = np.flatnonzero(new.ravel())
+    if not len(starts):
+        return np.zeros(len(codes))
     sums = np.add.reduceat(heavy.ravel(), starts) ** 2
     return np.sqrt(np.bincount(starts // ordered.shape[1], weights=sums, minlength=len(codes)))
 
@@ -199,13 +229,15 @@ def choose_landmarks(units: Units, y: np.ndarray) -> np.ndarray:
     ``SUPPORT`` do.
     """
     rows, which = units.distinct()
-    text = units.text_of[units.sentence]
+    which, text = which[units.plain], units.text_of[units.sentence[units.plain]]
     seen = np.unique(text * np.int64(len(rows)) + which)
     doc, word = seen // len(rows), seen % len(rows)
     candidates: list[tuple[int, np.ndarray, np.ndarray]] = []
     ones_of, zeros_of = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
-    for n in range(4, 11):
+    for n in range(3, 11):
         codes = _letter_runs(rows, n)
+        if n == 3:  # whole words of two letters only
+            codes[(rows[:, 0] != START) | (rows[:, 3] > 0)] = 0
         flat, first, at = np.unique(codes, return_index=True, return_inverse=True)
         at = at.reshape(codes.shape)[word]
         pairs = np.unique((at * np.int64(len(y)) + doc[:, None])[flat[at] > 0])

@@ -62,6 +62,20 @@ def test_disguised_insults_are_seen(spark):
     assert kept.columns == documents.columns and {r["doc_id"] for r in kept.collect()} == {k for k, r in got.items() if not r["predicted"]}
 
 
+def test_insults_with_gaps_and_short_ones_are_seen(spark):
+    documents, labels = labelled(spark)
+    plain = "the rest of it is as others are"
+    insults = ["moron", "scum", "stupid", "loser", "kek", "zz", "\u0431\u044f\u043a"]
+    rows = [(2000 + k, f"{plain} {insults[k % len(insults)]} {plain}", "a") for k in range(420)]
+    rows += [(3000 + k, f"{plain} {plain}", "a") for k in range(420)]
+    more = spark.createDataFrame([(i, 1, int(i < 3000)) for i, _, _ in rows], LABELS)
+    split = [(w[:k], w[k:]) for w in insults if len(w) > 3 for k in range(1, len(w))] + [("st", "up", "id"), ("mo", "r", "on"), ("lo", "se", "r"), ("kek",), ("zz",), ("\u0431\u044f\u043a",)]
+    asked = [(5000 + k, f"{plain} {' '.join(parts)} {plain}", "a") for k, parts in enumerate(split)] + [(6000, plain, "a")]
+    scored = toxicity.toxicity(documents.union(table(spark, rows + asked)), labels.union(more)).collect()
+    got = {r["doc_id"]: r["predicted"] for r in scored if r["doc_id"] is not None and r["doc_id"] >= 5000}
+    assert {split[k - 5000]: p for k, p in got.items() if k < 6000} == dict.fromkeys(split, 1) and got[6000] == 0
+
+
 @pytest.mark.parametrize("function, label", [(toxicity.toxicity, "toxic"), (quality.quality, "quality")])
 def test_classifiers_without_labels_or_rows(spark, function, label):
     documents, none = table(spark, awkward()), spark.createDataFrame([(1, None, None), (None, 1, 1)], LABELS)
