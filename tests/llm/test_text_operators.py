@@ -137,3 +137,12 @@ def test_host_repetitions_are_boilerplate(spark):
     rows += [(10, "http://two.org/", f"<div>{notice}</div>"), (11, "http://two.org/", f"<div>{notice}</div>")]
     got = tuples(html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id", "text")
     assert got == sorted([(k, f"own{k} text{k} of{k}\nlead{k} tail{k}") for k in range(4)] + [(10, notice), (11, notice)], key=str)
+
+
+def test_sequences_of_a_large_host_are_counted_as_a_whole(spark):
+    """More than a million words of distinct blocks, all with one notice between words of their own."""
+    notice = "this sentence of the house stands on every single page of it"
+    own = [[f"{side}{k}n{i}" for i in range(2_000)] for k in range(280) for side in "lr"]
+    rows = [(k, "http://large.org/", f"<div>{' '.join(own[2 * k])} {notice if k < 3 else ''} {' '.join(own[2 * k + 1])}</div>") for k in range(280)]
+    got = dict(tuples(html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id", "text"))
+    assert got == {k: " ".join(own[2 * k] + own[2 * k + 1]) for k in range(280)}
