@@ -146,3 +146,12 @@ def test_sequences_of_a_large_host_are_counted_as_a_whole(spark):
     rows = [(k, "http://large.org/", f"<div>{' '.join(own[2 * k])} {notice if k < 3 else ''} {' '.join(own[2 * k + 1])}</div>") for k in range(280)]
     got = dict(tuples(html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id", "text"))
     assert got == {k: " ".join(own[2 * k] + own[2 * k + 1]) for k in range(280)}
+
+
+def test_repetitions_on_one_page_are_no_boilerplate(spark):
+    phrase = "the lessee shall bear all costs of the repair"
+    page = lambda k, n: "".join(f"<p>p{k}a{i} {phrase} p{k}b{i}</p>" for i in range(n))
+    rows = [(0, "http://one.org/", page(0, 5)), *((10 + k, "http://two.org/", page(k, 2)) for k in range(2)), *((20 + k, "http://three.org/", page(k, 2)) for k in range(3))]
+    got = dict(tuples(html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id", "text"))
+    text = lambda k, n, middle: "\n".join(f"p{k}a{i} {middle}p{k}b{i}" for i in range(n))
+    assert got == {0: text(0, 5, phrase + " "), **{10 + k: text(k, 2, phrase + " ") for k in range(2)}, **{20 + k: text(k, 2, "") for k in range(3)}}
