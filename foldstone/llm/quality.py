@@ -27,7 +27,7 @@ GRAMS = (3, 4)  # bytes of a character n-gram, spaces included
 
 
 def features(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Buckets of all words, of pairs of words, then of character n-grams by size, and for each where every text's begin."""
+    """Buckets of all words, of whether each word is the one before it again (no other pairs are learned), then of character n-grams by size, and for each where every text's begin."""
     words = Words(column)
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
     hashes = words.hashes()
