@@ -78,7 +78,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The documents that the mix takes words of, all columns and texts whole, with mix_size, mix_target and mix_taken.
 
-    Documents are joined with their decision by id; rows without an id, or that repeat one, share the decision of the row
+    Each document is one row, however often it is taken: mix_taken words, in whole epochs and the rest of one, are for readers
+    to apply, as the rows alone don't have the target weights. Documents are joined with their decision by id; rows without an id, or that repeat one, share the decision of the row
     that takes most; columns of those names are replaced.
     """
     taken = mix(documents, weights, share, most, seed).where("taken > 0").groupBy(F.col("doc_id").alias("__id"))
