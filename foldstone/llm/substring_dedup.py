@@ -151,6 +151,12 @@ def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return possible_hits(_placed(documents), F.xxhash64("place", "raw"), bits).join(wanted, ["place", "raw"]).dropDuplicates(["place", "raw"])
 
 
+def meeting_shards(sizes: DataFrame, shard_fragments: int, least: int) -> int:
+    """Groups for all meetings: a fragment is in one for each chunk of its anchor, and in a second one for each other chunk."""
+    rows = sizes.agg(F.sum(F.col("fragments") * (2 * F.col("chunks") - 1))).first()[0] or 0
+    return max(1, rows // shard_fragments, least)
+
+
 def remove_repeats(documents: DataFrame, window: int = WINDOW, shard_fragments: int = SHARD_FRAGMENTS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256.
 
@@ -168,13 +174,13 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, shard_fragments:
     wanted = stage(shared.join(firsts, "text_sha").select("place", "raw", "text_sha", "anchors"))
     pieces = stage(_texts(documents, wanted).select("place", "text_sha", "anchors", "text").mapInArrow(_fragments(window), FRAGMENT).withColumn("fragment_hash", F.xxhash64("fragment")))
     distinct = stage(pieces.groupBy("anchor", "fragment_hash", "fragment").agg(F.min("place").alias("place")))
-    sizes = distinct.groupBy("anchor").agg(F.ceil(F.count("*") / shard_fragments).cast("int").alias("chunks"))
-    split = distinct.join(sizes, "anchor").withColumn("own", F.pmod("fragment_hash", F.col("chunks")).cast("int"))
+    sizes = distinct.groupBy("anchor").agg(F.ceil(F.count("*") / shard_fragments).cast("int").alias("chunks"), F.count("*").alias("fragments"))
+    split = distinct.join(sizes.drop("fragments"), "anchor").withColumn("own", F.pmod("fragment_hash", F.col("chunks")).cast("int"))
     # Fragments of a hot anchor meet in pairs of chunks, so no index and no set of questions grows with the anchor.
     ask = split.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     sides = F.array(F.struct(F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("indexed"), (F.col("own") == F.col("other")).alias("asked")), F.when(F.col("own") != F.col("other"), F.struct(F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("indexed"), F.lit(True).alias("asked"))))
     meeting = ask.select("anchor", "fragment_hash", "fragment", "place", F.explode(F.filter(sides, lambda s: s.isNotNull())).alias("s")).select("anchor", "fragment_hash", "fragment", "place", "s.*")
-    shards = max(1, distinct.count() // shard_fragments, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shards = meeting_shards(sizes, shard_fragments, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     answers = meeting.withColumn("shard", F.pmod(F.xxhash64("anchor", "i", "j"), F.lit(shards))).groupBy("shard").applyInPandas(_shard(window), "anchor long, fragment_hash long, firsts array<long>")
     answers = stage(answers)
     met = pieces.select("place", "text_sha", "anchor", "fragment_hash", "start").join(answers, ["anchor", "fragment_hash"])

@@ -102,3 +102,8 @@ def test_repeats_equal_brute_force(spark, shard):
 def test_repeats_of_nothing(spark):
     assert substring_dedup.remove_repeats(table(spark, [])).count() == 0
     assert tuples(substring_dedup.remove_repeats(table(spark, [(1, None, "a"), (2, "a b", "a")])), "doc_id", "n_removed") == [(1, 0), (2, 0)]
+
+
+def test_shards_grow_with_the_meetings_of_a_hot_anchor(spark):
+    sizes = spark.createDataFrame([(1, 1_000, 10), (2, 100, 1)], "anchor long, fragments long, chunks int")
+    assert substring_dedup.meeting_shards(sizes, 100, 4) == 191 and substring_dedup.meeting_shards(sizes.limit(0), 100, 4) == 4
