@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foldstone.llm import decontaminate, exact_dedup, html_text, mixing, ngram_join, quality, substring_dedup, token_counts, toxicity, url_filter
+from foldstone.llm import byte_bpe, decontaminate, exact_dedup, hard_negatives, html_text, mixing, ngram_join, quality, spelling, substring_dedup, token_counts, toxicity, url_filter
 from foldstone.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +138,30 @@ def op9_decontamination(spark, folder):
 @query("op10_html_text")
 def op10_html_text(spark, folder):
     return html_text.main_text(table(spark, folder, "pages"))
+
+
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark, folder):
+    decoded = byte_bpe.decode(byte_bpe.encode(table(spark, folder, "documents")))
+    return decoded.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, folder):
+    return spelling.variants(table(spark, folder, "documents"), every=199)
+
+
+@query(
+    "op13_hard_negatives",
+    """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256::DOUBLE * x::DOUBLE)) AS q
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same, list_inner_product(a.q, o.q)::BIGINT AS score FROM v a JOIN v o ON a.vec_id <> o.vec_id WHERE a.vec_id % 50 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 3""",
+)
+def op13_hard_negatives(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.select("vec_id", shifted.alias("label"), "embedding"), lambda vec_id: vec_id % 50 == 0)
