@@ -25,7 +25,7 @@ from foldstone.llm.words import slices
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 # Bytes of text whose distinct words are merged together; words and tokens that are gathered at a time.
-SLICE, STEP = 32 << 20, 1 << 20
+SLICE, STEP = 8 << 20, 1 << 20
 LONG_TEXT = 1 << 22
 
 NONE = np.iinfo(np.int32).max  # stands for "no such pair"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -11,11 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldstone.llm.byte_bpe import merge_words, vocabulary_at
 from foldstone.llm.words import Words, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The library's splitter overflows its stack on long runs of white space; runs from this length on are encoded apart.
+LONG_SPACE = re.compile(r"\s{10000,}")
 SECTIONS = "doc_id long, section int, start_char long, end_char long, n_tokens long, n_crossing long"
 
 
@@ -32,6 +36,20 @@ def _encoding(vocabulary: str, pattern: str):
     return tiktoken.Encoding("sections", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+def encode(text: str, vocabulary: str, pattern: str) -> np.ndarray:
+    """The tokens of a text. A match always ends where white space begins; of a run before other signs all but the last
+    character are one match."""
+    encoding, _ = _encoding(vocabulary, pattern)
+    parts, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        parts.append(np.asarray(encoding.encode_ordinary(text[at : run.start()]), np.int64))
+        parts.append(merge_words([text[run.start() : end].encode("utf-8")], vocabulary_at(vocabulary))[0])
+        at = end
+    parts.append(np.asarray(encoding.encode_ordinary(text[at:] if at else text), np.int64))
+    return np.concatenate(parts)
+
+
 def attribute(token_ends: np.ndarray, section_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Section of every token, and whether it crosses a boundary. Both give ends of spans that cover the same characters.
 
@@ -53,7 +71,7 @@ def attribute(token_ends: np.ndarray, section_ends: np.ndarray) -> tuple[np.ndar
 
 def _sections(vocabulary: str, pattern: str):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, sizes = _encoding(vocabulary, pattern)
+        _, sizes = _encoding(vocabulary, pattern)
         for batch in slices(batches):
             raw, out = Words(batch.column("text")), []
             for t in range(batch.num_rows):
@@ -61,7 +79,7 @@ def _sections(vocabulary: str, pattern: str):
                 data = np.frombuffer(text, np.uint8)
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 ends = chars[np.append(np.flatnonzero(data[:-1] == 10) + 1, len(data))] if len(data) else np.zeros(1, np.int64)
-                tokens = np.asarray(encoding.encode_ordinary(text.decode("utf-8")), np.int64)
+                tokens = encode(text.decode("utf-8"), vocabulary, pattern)
                 owner, crossing = attribute(chars[np.cumsum(sizes[tokens])], ends)
                 count = len(ends)
                 begins = np.concatenate([[0], ends[:-1]])

@@ -1,35 +1,41 @@
 """Toxicity (operator 2): support vector machine on a gappy subsequence kernel with Nystroem landmarks.
 
-The kernel of two words is the gap-weighted count of their common subsequences of three letters, normalised; a sentence
-compares with a landmark by its best matching word, so inserted, dropped and exchanged letters cost only some
-similarity. Words are runs of letters between spaces with all other signs taken out and their start as a letter of its
-own; runs of single letters count as a word, too, so spelled-out and dotted insults are seen. So do two and three
-neighbouring words of a sentence with a short one among them, which finds insults with gaps in them. Only words of one
-letter have no unit of their own. The landmarks are words of the training sentences.
+The kernel of two words is the gap-weighted count of their common subsequences of three letters, normalised, so inserted,
+dropped and exchanged letters cost only some similarity. A text is compared with a landmark by the sum of the kernel values
+of its words, by the square root of their number. Words are runs of letters between spaces with all other signs taken out
+and their start as a letter of its own; runs of single letters count as a word, too, so spelled-out and dotted insults
+are seen. So do two and three neighbouring words of a sentence with a short one among them, which finds insults with gaps
+in them. Only words of one letter have no unit of their own. The landmarks are parts of words of the labelled texts.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldstone.llm.labelled import remainder, training_sample
+from foldstone.llm.labelled import labelled_texts, remainder
 from foldstone.llm.words import STEP, Words, mix, slices
 
 PARTS, HELD_OUT = 3, 1
 SAMPLE_PER_CLASS = 1000
 SAMPLE_CHARS = 20_000
-LANDMARKS, BACKGROUND = 64, 8
-# A letter run must set label 1 apart by this factor and be in so many of its documents; each should have so many
-# landmarks, and no two are more alike than this.
-APART, SUPPORT, COVER, ALIKE = 15, 4, 8, 0.6
+# Landmarks at most. Occurrences of a letter run in a document count up to CAP; the log-likelihood ratio of its counts in the
+# two classes must be SIGNIFICANT, far beyond what the most extreme of a million runs has by chance.
+LANDMARKS, CAP, SIGNIFICANT = 96, 5, 25.0
+# A landmark serves so many documents of label 1 that have fewer than COVER landmarks; no two are more alike than this.
+SUPPORT, COVER, ALIKE = 4, 12, 0.6
+SLICES = 8  # of the letter runs that are counted at a time
 PENALTY, SHRINK = 1e-3, 1e-5
+SIZE_SCALE = 0.1
 THRESHOLD = 0.7
+# Folds of the calibration, and how many false alarms weigh as much as a missed text there.
+FOLDS, MISSED = 4, 3
 
 LETTERS = 34  # a-z, six kinds of bytes of other characters, and the start of a word
 START = 33
@@ -117,52 +123,18 @@ class Units:
 
 def subsequences(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all subsequences of three letters within the span (0 where there is none), and the weight of each column."""
-    codes, weights = [], []
-    padded = np.pad(rows, ((0, 0), (0, SPAN))).astype(np.int32)
-    for i, j in GAPS:
-        a, b, c = padded[:, :PIECE], padded[:, i : i + PIECE], padded[:, j : j + PIECE]
-        codes.append(np.where((a > 0) & (b > 0) & (c > 0), (a * LETTERS + b) * LETTERS + c, 0))
-        weights.append(np.full(PIECE, DECAY ** (j - 2)))
-    return np.concatenate(codes, 1), np.concatenate(weights).astype(np.float32)
-
-
-def embedding(rows: np.ndarray) -> np.ndarray:
-    """The explicit feature vectors of a few words, of length one."""
-    codes, weights = subsequences(rows)
-    out = np.zeros((len(rows), LETTERS**3), np.float32)
-    np.add.at(out, (np.arange(len(rows))[:, None], codes), weights[None, :])
-    out[:, 0] = 0
-    return out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-9)
-
-
-def near_landmarks(rows: np.ndarray, table: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, landmark, kernel value) of all pairs that are near; ``table`` has a row of landmark weights for each code."""
-    found, landmarks = [], table.shape[1]
-    # Most codes are in no landmark: the table's entries by code.
-    code_of, of, entry = *np.nonzero(table), table[table != 0]
-    bounds = np.searchsorted(code_of, np.arange(len(table) + 1))
-    known = np.diff(bounds) > 0
-    for begin in range(0, len(rows), step):
-        part = rows[begin : begin + step]
-        codes, weights = subsequences(part)
-        used = np.flatnonzero(codes.any(0))
-        codes, weights = np.ascontiguousarray(codes[:, used]), weights[used]
-        row, column = np.nonzero(known[codes])
-        code = codes[row, column]
-        times = bounds[code + 1] - bounds[code]
-        spread = np.repeat(np.arange(len(code)), times)
-        at = np.arange(len(spread)) - np.repeat(np.cumsum(times) - times, times) + bounds[code][spread]
-        sums = np.bincount(row[spread] * landmarks + of[at], entry[at] * weights[column[spread]], len(part) * landmarks).reshape(len(part), landmarks).astype(np.float32)
-        # Most words are settled by the least norm that a word can have.
-        least = NEAR * np.where(np.count_nonzero(part, axis=1) > 3, LEAST_NORM, 1.0)
-        maybe = np.flatnonzero((sums >= least[:, None]).any(1))
-        if len(maybe):
-            values = sums[maybe] / np.maximum(norms(codes[maybe], weights), 1e-9)[:, None]
-            w, k = np.nonzero(values >= NEAR)
-            found.append((maybe[w] + begin, k, values[w, k]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    return tuple(np.concatenate(x) for x in zip(*found))
+    width = int(np.flatnonzero(rows.any(0)).max(initial=0)) + 1
+    padded = np.zeros((len(rows), width + SPAN), np.int32)
+    padded[:, :width] = rows[:, :width]
+    pairs = [(padded[:, : width] * LETTERS + padded[:, i : i + width]) * LETTERS for i in range(SPAN - 1)]
+    is_pair = [(padded[:, :width] > 0) & (padded[:, i : i + width] > 0) for i in range(SPAN - 1)]
+    codes, weights = np.zeros((len(rows), len(GAPS) * width), np.int32), np.empty(len(GAPS) * width, np.float32)
+    for k, (i, j) in enumerate(GAPS):
+        part, last = slice(k * width, (k + 1) * width), padded[:, j : j + width]
+        np.multiply(pairs[i] + last, is_pair[i] & (last > 0), out=codes[:, part])
+        weights[part] = DECAY ** (j - 2)
+    used = np.flatnonzero(codes.any(0))
+    return np.ascontiguousarray(codes[:, used]), weights[used]
 
 
 def norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -179,37 +151,83 @@ def norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.sqrt(np.bincount(starts // ordered.shape[1], weights=sums, minlength=len(codes)))
 
 
+class Table:
+    """The subsequences of some landmarks with their weights, by code."""
+
+    def __init__(self, landmarks: np.ndarray):
+        codes, weights = subsequences(landmarks)
+        row, column = np.nonzero(codes)
+        key, at = np.unique(codes[row, column].astype(np.int64) * len(landmarks) + row, return_inverse=True)
+        weight = np.bincount(at.ravel(), weights[column], len(key))
+        self.count, self.of = len(landmarks), key % max(1, len(landmarks))
+        norm = np.sqrt(np.bincount(self.of, weight**2, len(landmarks)))
+        self.entry = weight / np.maximum(norm, 1e-9)[self.of]
+        self.bounds = np.searchsorted(key // max(1, len(landmarks)), np.arange(LETTERS**3 + 1))
+        self.known = np.diff(self.bounds) > 0
+
+    def vectors(self) -> np.ndarray:
+        """The landmarks as explicit feature vectors of length one."""
+        dense = np.zeros((self.count, LETTERS**3), np.float32)
+        dense[self.of, np.repeat(np.arange(LETTERS**3), np.diff(self.bounds))] = self.entry
+        return dense
+
+    def near(self, rows: np.ndarray, step: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, landmark, kernel value) of all pairs that are near."""
+        found = []
+        for begin in range(0, len(rows), step):
+            part = rows[begin : begin + step]
+            codes, weights = subsequences(part)
+            row, column = np.nonzero(self.known[codes])
+            code = codes[row, column]
+            first = self.bounds[code]
+            times = self.bounds[code + 1] - first
+            at = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            pair = np.repeat(row, times) * self.count + self.of[at]
+            sums = np.bincount(pair, self.entry[at] * np.repeat(weights[column], times), len(part) * self.count).reshape(len(part), self.count)
+            # Most words are settled by the least norm that a word can have.
+            least = NEAR * np.where(np.count_nonzero(part, axis=1) > 3, LEAST_NORM, 1.0)
+            maybe = np.flatnonzero(sums.max(1, initial=0) >= least)
+            if len(maybe):
+                values = sums[maybe] / np.maximum(norms(codes[maybe], weights), 1e-9)[:, None]
+                w, k = np.nonzero(values >= NEAR)
+                found.append((maybe[w] + begin, k, values[w, k]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
 @dataclass
 class Model:
-    """Landmark weights per subsequence, the weight of each landmark in the decision, its offset, and the calibration."""
+    """Landmarks, the weight of each in the decision, the weight of a text's size, the offset, and the calibration."""
 
-    table: np.ndarray
+    landmarks: np.ndarray
     beta: np.ndarray
+    size: float
     offset: float
-    slope: float
-    shift: float
+    slope: float = 1.0
+    shift: float = 0.0
+    table: Table = field(init=False, repr=False)
 
-    def sentences(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
-        """Sentences with a near word, and their kernel values with all landmarks."""
-        rows, which = units.distinct()
-        word, landmark, value = near_landmarks(rows, self.table)
-        by_word = np.argsort(which, kind="stable")
-        at = np.searchsorted(which[by_word], np.arange(len(rows) + 1))
-        times = at[word + 1] - at[word]
-        spread = np.repeat(np.arange(len(word)), times)
-        place = np.arange(len(spread)) - np.repeat(np.cumsum(times) - times, times) + at[word][spread]
-        sentence = units.sentence[by_word[place]]
-        known, row = np.unique(sentence, return_inverse=True)
-        kernel = np.zeros((len(known), self.table.shape[1]), np.float32)
-        np.maximum.at(kernel, (row.ravel(), landmark[spread]), value[spread])
-        return known, kernel
+    def __post_init__(self):
+        self.table = Table(self.landmarks)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.table = Table(self.landmarks)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         units = Units(column)
-        known, kernel = self.sentences(units)
-        best = np.full(len(column), self.offset)
-        np.maximum.at(best, units.text_of[known], kernel @ self.beta + self.offset)
-        return 1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -40, 40)))
+        rows, which = units.distinct()
+        word, landmark, value = self.table.near(rows)
+        of_word = np.bincount(word, value * self.beta[landmark], len(rows))
+        text = units.text_of[units.sentence]
+        total = np.bincount(text, of_word[which], len(column))
+        root = np.sqrt(np.maximum(np.bincount(text[units.plain], minlength=len(column)), 1))
+        decision = total / root + self.size * SIZE_SCALE * root + self.offset
+        return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -40, 40)))
 
 
 def _letter_runs(rows: np.ndarray, n: int) -> np.ndarray:
@@ -221,49 +239,73 @@ def _letter_runs(rows: np.ndarray, n: int) -> np.ndarray:
     return np.where(a[:, n - 1 :] > 0, code, 0)
 
 
-def choose_landmarks(units: Units, y: np.ndarray) -> np.ndarray:
-    """Parts of words of the training sentences: runs of letters that set label 1 apart, chosen so that every document of
-    label 1 has some of them, and a few other words.
-
-    Runs are taken by the number of documents that still lack ``COVER`` landmarks, longer ones rather, if at least
-    ``SUPPORT`` do.
-    """
-    rows, which = units.distinct()
-    which, text = which[units.plain], units.text_of[units.sentence[units.plain]]
-    seen = np.unique(text * np.int64(len(rows)) + which)
-    doc, word = seen // len(rows), seen % len(rows)
-    candidates: list[tuple[int, np.ndarray, np.ndarray]] = []
-    ones_of, zeros_of = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
+class Sample:
+    """Units of the labelled texts: occurrences as (text, distinct unit), and how often each pair occurs."""
+
+    def __init__(self, texts: list[str]):
+        units = Units(pa.array(texts, pa.large_string()))
+        self.rows, self.which = units.distinct()
+        self.text, self.count = units.text_of[units.sentence], len(texts)
+        self.words = np.bincount(self.text[units.plain], minlength=len(texts))
+        pairs, self.times = np.unique(self.text[units.plain] * np.int64(len(self.rows)) + self.which[units.plain], return_counts=True)
+        self.doc, self.unit = pairs // max(1, len(self.rows)), pairs % max(1, len(self.rows))
+
+    def features(self, table: Table) -> np.ndarray:
+        """Sums of kernel values with each landmark and the size, both by the root of the size, and a one."""
+        word, landmark, value = table.near(self.rows)
+        kernel = np.zeros((len(self.rows), table.count), np.float32)
+        kernel[word, landmark] = value
+        some = kernel.any(1)[self.which]
+        sums = np.zeros((self.count, table.count))
+        np.add.at(sums, self.text[some], kernel[self.which[some]])
+        root = np.sqrt(np.maximum(self.words, 1))[:, None]
+        return np.hstack([sums / root, SIZE_SCALE * root, np.ones((self.count, 1))])
+
+
+def _contrasts(sample: Sample, y: np.ndarray, used: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """(log-likelihood ratio, letter run, its documents of label 1) of the runs that are significantly more in label 1."""
+    part = used[sample.doc]
+    doc, unit, times = sample.doc[part], sample.unit[part], sample.times[part]
+    share = times[y[doc] == 1].sum() / max(1, times.sum())
     for n in range(3, 11):
-        codes = _letter_runs(rows, n)
+        codes = _letter_runs(sample.rows, n)
         if n == 3:  # whole words of two letters only
-            codes[(rows[:, 0] != START) | (rows[:, 3] > 0)] = 0
-        flat, first, at = np.unique(codes, return_index=True, return_inverse=True)
-        at = at.reshape(codes.shape)[word]
-        pairs = np.unique((at * np.int64(len(y)) + doc[:, None])[flat[at] > 0])
-        number, owner = pairs // len(y), pairs % len(y)
-        ones = np.bincount(number[y[owner] == 1], minlength=len(flat))
-        zeros = np.bincount(number[y[owner] == 0], minlength=len(flat))
-        good = np.flatnonzero((ones >= SUPPORT) & (zeros / zeros_of <= ones / ones_of / APART))
-        bounds = np.searchsorted(number, np.arange(len(flat) + 1))
-        for g in good.tolist():
-            holders = owner[bounds[g] : bounds[g + 1]]
-            place = first[g]
-            w, k = place // codes.shape[1], place % codes.shape[1]
-            candidates.append((n, np.pad(rows[w, k : k + n], (0, PIECE - n)), holders[y[holders] == 1]))
-    candidates.sort(key=lambda c: (-len(c[2]) * c[0] ** 0.5, c[1].tobytes()))
-    lacking, chosen = np.where(y == 1, COVER, 0), []
-    vectors = np.zeros((0, LETTERS**3), np.float32)
+            codes[(sample.rows[:, 0] == START) & (sample.rows[:, 3] > 0)] *= np.arange(codes.shape[1]) > 0
+        for s in range(SLICES):
+            row, column = np.nonzero((codes > 0) & (codes % SLICES == s))
+            flat, first, at = np.unique(codes[row, column], return_index=True, return_inverse=True)
+            by_row = np.searchsorted(row, np.arange(len(codes) + 1))
+            runs_of = by_row[unit + 1] - by_row[unit]
+            place = np.repeat(by_row[unit] - (np.cumsum(runs_of) - runs_of), runs_of) + np.arange(runs_of.sum())
+            pairs, inverse = np.unique(at.ravel()[place] * np.int64(len(y)) + np.repeat(doc, runs_of), return_inverse=True)
+            capped = np.minimum(np.bincount(inverse.ravel(), np.repeat(times, runs_of), len(pairs)), CAP)
+            number, owner = pairs // len(y), pairs % len(y)
+            one = y[owner] == 1
+            ones, zeros = np.bincount(number[one], capped[one], len(flat)), np.bincount(number[~one], capped[~one], len(flat))
+            holders = np.bincount(number[one], minlength=len(flat))
+            expected = np.maximum((ones + zeros) * share, 1e-9)
+            rest = np.maximum(ones + zeros - expected, 1e-9)
+            ratio = ones * np.log(np.maximum(ones, 1e-9) / expected) + np.where(zeros > 0, zeros * np.log(np.maximum(zeros, 1e-9) / rest), 0)
+            bounds = np.searchsorted(number, np.arange(len(flat) + 1))
+            for g in np.flatnonzero((ratio > SIGNIFICANT) & (ones > expected) & (holders >= SUPPORT)).tolist():
+                w, k = row[first[g]], column[first[g]]
+                of_run = owner[bounds[g] : bounds[g + 1]]
+                yield float(ratio[g]), np.pad(sample.rows[w, k : k + n], (0, PIECE - n)), of_run[y[of_run] == 1]
+
+
+def choose_landmarks(sample: Sample, y: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Letter runs by falling contrast, unlike each other, so that every document of label 1 has some of them."""
+    candidates = sorted(_contrasts(sample, y, used), key=lambda c: (-c[0], c[1].tobytes()))
+    lacking, chosen, vectors = np.where(y == 1, COVER, 0), [], np.zeros((LANDMARKS, LETTERS**3), np.float32)
     for _, run, holders in candidates:
         if len(chosen) >= LANDMARKS or (lacking[holders] > 0).sum() < SUPPORT:
             continue
-        vector = embedding(run[None])
-        if not (vectors @ vector[0] > ALIKE).any():
+        vector = Table(run[None]).vectors()[0]
+        if not (vectors[: len(chosen)] @ vector > ALIKE).any():
+            vectors[len(chosen)] = vector
             chosen.append(run)
-            vectors = np.vstack([vectors, vector])
             lacking[holders] -= 1
-    plain = [rows[k] for k in range(0, len(rows), max(1, len(rows) // BACKGROUND))][:BACKGROUND]
-    return np.array([*chosen, *plain], np.uint8).reshape(-1, PIECE) if chosen else np.zeros((0, PIECE), np.uint8)
+    return np.array(chosen, np.uint8).reshape(-1, PIECE)
 
 
 def fit(x: np.ndarray, target: np.ndarray, weight: np.ndarray, penalty: float, steps: int = 30) -> np.ndarray:
@@ -282,40 +324,43 @@ def fit(x: np.ndarray, target: np.ndarray, weight: np.ndarray, penalty: float, s
     return w
 
 
-def train(sample: list[tuple[str, int]], share: float, rounds: int = 4) -> Model | None:
-    """Multiple-instance training: of a document of label 1 the sentence that scores highest stands for it."""
-    y = np.array([label for _, label in sample], np.int64)
-    if len(set(y.tolist())) < 2:
-        return None
-    units = Units(pa.array([text for text, _ in sample], pa.large_string()))
-    landmarks = choose_landmarks(units, y)
+def learn(sample: Sample, y: np.ndarray, used: np.ndarray) -> tuple[Model, np.ndarray] | None:
+    """The machine learnt from the used texts, and its decisions on all of them."""
+    landmarks = choose_landmarks(sample, y, used)
     if not len(landmarks):
         return None
-    vectors = embedding(landmarks)
-    model = Model(np.ascontiguousarray(vectors.T), np.zeros(len(landmarks), np.float32), 0.0, 1.0, 0.0)
-    known, kernel = model.sentences(units)
+    table = Table(landmarks)
+    vectors = table.vectors()
     values, basis = np.linalg.eigh((vectors @ vectors.T).astype(np.float64))
     whiten = basis / np.sqrt(np.maximum(values, 1e-2)) @ basis.T
-    # Every document has an empty sentence, too; one of label 1 that resembles no landmark teaches nothing.
-    text = np.concatenate([units.text_of[known], np.arange(len(y))])
-    features = np.vstack([kernel @ whiten, np.zeros((len(y), len(landmarks)))])
-    x = np.column_stack([features, np.ones(len(features))])
-    decision = np.concatenate([kernel.sum(1), np.zeros(len(y))])
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        order = np.lexsort((-decision, text))
-        best = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])]
-        used = np.concatenate([best[(y[text[best]] == 1) & features[best].any(1)], np.flatnonzero(y[text] == 0)])
-        target = np.where(y[text[used]] == 1, 1.0, -1.0)
-        if (target < 0).all():
-            return None
-        w = fit(x[used], target, np.where(target > 0, 1 / (target > 0).sum(), 1 / (target < 0).sum()), PENALTY)
-        decision = x @ w
-    top = np.full(len(y), -np.inf)
-    np.maximum.at(top, text, decision)
-    weight = np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum()))
-    slope, shift = _calibrated(top, y, weight)
-    return Model(model.table, (whiten @ w[:-1]).astype(np.float32), float(w[-1]), slope, shift)
+    x = sample.features(table)
+    x = np.hstack([x[:, :-2] @ whiten, x[:, -2:]])
+    target = np.where(y == 1, 1.0, -1.0)
+    weight = np.where(y == 1, 1 / max(1, (y[used] == 1).sum()), 1 / max(1, (y[used] == 0).sum()))
+    w = fit(x[used], target[used], weight[used], PENALTY)
+    return Model(landmarks, whiten @ w[:-2], float(w[-2]), float(w[-1])), x @ w
+
+
+def train(rows: list[tuple[str, int]], share: float) -> Model | None:
+    """The machine of all rows, calibrated on decisions for rows that it was not learnt from."""
+    y = np.array([label for _, label in rows], np.int64)
+    if len(set(y.tolist())) < 2:
+        return None
+    sample = Sample([text for text, _ in rows])
+    learnt = learn(sample, y, np.ones(len(y), bool))
+    if learnt is None:
+        return None
+    model, decisions = learnt
+    nth = np.zeros(len(y), np.int64)
+    for label in (0, 1):
+        nth[y == label] = np.arange((y == label).sum())
+    for fold in range(FOLDS):
+        apart = learn(sample, y, nth % FOLDS != fold)
+        if apart is not None:
+            decisions = np.where(nth % FOLDS == fold, apart[1], decisions)
+    weight = np.where(y == 1, MISSED * share / y.sum(), (1 - share) / (len(y) - y.sum()))
+    model.slope, model.shift = _calibrated(decisions, y, weight)
+    return model
 
 
 def _calibrated(decision: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -339,17 +384,31 @@ def _scored(model: Model):
     return of
 
 
+def _fitted(share: float):
+    def of(sample: pa.Table) -> pa.Table:
+        model = train(list(zip(sample["text"].to_pylist(), sample["y"].to_pylist())), share)
+        return pa.table({"model": pa.array([pickle.dumps(model)] if model else [], pa.binary())})
+
+    return of
+
+
+def trained(documents: DataFrame, labels: DataFrame, per_class: int, max_chars: int) -> tuple[Model | None, float]:
+    """The model and the share of label 1. It is learnt in one task from the bounded sample; only the model reaches the driver."""
+    sample, share = labelled_texts(documents, labels, "toxic", PARTS, HELD_OUT, per_class, max_chars)
+    found = sample.orderBy("doc_id", "text").select("text", "y").groupBy().applyInArrow(_fitted(share), "model binary").collect()
+    return (pickle.loads(found[0][0]) if found else None), share
+
+
 def toxicity(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, max_chars: int = SAMPLE_CHARS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Trained on a bounded sample of labelled documents (``per_class``, ``max_chars``) whose crc32 remainder is not the
-    held-out one; scored on whole texts only. ``predicted`` is 1 from a score of 0.7. Texts without words near a landmark,
-    null and empty ones have the score of a sentence that resembles nothing. Without labels of both classes every score is
+    held-out one; scored on whole texts only. ``predicted`` is 1 from a score of 0.7. Null and empty texts have the score of
+    one word that resembles nothing. Without labels of both classes, or without letter runs that set them apart, every score is
     the share of label 1 that was seen. Repeated rows are scored alike, an empty table gives an empty result, and other
     columns are ignored.
     """
-    sample, share = training_sample(documents, labels, "toxic", PARTS, HELD_OUT, per_class, max_chars)
-    model = train(sample, share)
+    model, share = trained(documents, labels, per_class, max_chars)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = rows.mapInArrow(_scored(model), "doc_id long, score double") if model else rows.select("doc_id", F.lit(float(share)).alias("score"))
     return scored.select("doc_id", (remainder(PARTS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -357,8 +416,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PE
 
 def without_toxic(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, max_chars: int = SAMPLE_CHARS) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns; they pass through one scan without a shuffle."""
-    sample, share = training_sample(documents, labels, "toxic", PARTS, HELD_OUT, per_class, max_chars)
-    model = train(sample, share)
+    model, share = trained(documents, labels, per_class, max_chars)
     if model is None:
         return documents if share < THRESHOLD else documents.where("false")
 

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from documents import SCHEMA, awkward, table, tuples
+from pyspark.sql import functions as F
 
 from foldstone.llm import html_text, quality, token_counts, toxicity
 from foldstone.llm.words import Words, runs, sliding_min
@@ -29,6 +30,54 @@ def test_toxicity_on_held_out_rows(spark):
     assert rows[rows[:, 2] == 0, 1].mean() < 0.03
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="supplied tables are not here")
+def test_toxicity_in_every_language(spark):
+    documents, labels = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    rows = toxicity.toxicity(documents, labels).where("held_out").join(labels.where("toxic = 1"), "doc_id").join(documents.select("doc_id", "lang"), "doc_id")
+    found = {r["lang"]: r["found"] for r in rows.groupBy("lang").agg(F.avg("predicted").alias("found")).collect()}
+    assert len(found) > 1 and min(found.values()) > 0.6 and rows.agg(F.avg("predicted")).first()[0] > 0.8
+
+
+def plain_kernel(a, b):
+    """Sums over all common subsequences of three letters within the span, one by one."""
+    def vector(word):
+        out = {}
+        for i in range(len(word)):
+            for j in range(i + 1, len(word)):
+                for k in range(j + 1, min(len(word), i + toxicity.SPAN)):
+                    key = (word[i], word[j], word[k])
+                    out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i - 2)
+        return out
+
+    u, v = vector(a), vector(b)
+    norm = lambda x: sum(w * w for w in x.values()) ** 0.5
+    return sum(w * v.get(k, 0) for k, w in u.items()) / max(norm(u) * norm(v), 1e-9)
+
+
+def letters(row):
+    return [int(c) for c in row if c]
+
+
+def test_kernel_and_scores_equal_plain_ones():
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcde"), rng.integers(1, 19))) for _ in range(150)] + ["idiot", "idxiot", "moron", "zz"]
+    units = toxicity.Units(pa.array([" ".join(words)], pa.large_string()))
+    rows, _ = units.distinct()
+    landmarks = rows[rng.choice(len(rows), 12, replace=False)]
+    want = {(w, k): plain_kernel(letters(r), letters(m)) for w, r in enumerate(rows) for k, m in enumerate(landmarks)}
+    got = {(w, k): v for w, k, v in zip(*(x.tolist() for x in toxicity.Table(landmarks).near(rows)))}
+    assert {p for p, v in want.items() if v > toxicity.NEAR + 1e-6} <= set(got) <= {p for p, v in want.items() if v > toxicity.NEAR - 1e-6}
+    assert all(abs(v - want[p]) < 1e-5 for p, v in got.items())
+    model = toxicity.Model(landmarks, rng.normal(0, 1, 12), -0.3, 0.2, 1.5, -0.5)
+    texts = [" ".join(words[:40]), "b a d  and c.a.b", "", None, words[3]]
+    for text, score in zip(texts, model.scores(pa.array(texts, pa.string())).tolist()):
+        own = toxicity.Units(pa.array([text], pa.large_string()))
+        rows, which = own.distinct()
+        total = sum(b * v for u in which for m, b in zip(landmarks, model.beta) if (v := plain_kernel(letters(rows[u]), letters(m))) >= toxicity.NEAR)
+        root = max(1, int(own.plain.sum())) ** 0.5
+        assert abs(score - 1 / (1 + np.exp(-(1.5 * (total / root - 0.3 * toxicity.SIZE_SCALE * root + 0.2) - 0.5)))) < 1e-5
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="supplied tables are not here")
 def test_quality_on_held_out_rows(spark):
     rows, whole = held_out(spark, quality.quality, "quality")
@@ -101,6 +150,46 @@ def test_tokens_add_up_and_spans_cover_the_text(spark):
     assert token_counts.section_tokens(table(spark, [])).count() == 0
 
 
+def test_very_long_runs(spark):
+    """Runs of 5 million characters, alone and between words; and against the library where it can do them itself."""
+    known = token_counts._encoding(token_counts.VOCABULARY, token_counts.PATTERN)[0]
+    for text in [" " * 12_000 + "x", "a" + "\n" * 11_000, " \t" * 6_000 + "\n\ny " + " " * 10_000 + "12", "b" + " " * 9_999 + "\r" + " c", "\u00a0" * 10_500 + "'s"]:
+        assert token_counts.encode(text, token_counts.VOCABULARY, token_counts.PATTERN).tolist() == known.encode_ordinary(text)
+    n = 5_000_000
+    rows = [(1, " " * n, "a"), (2, "w" + "\n" * 300_000 + "w", "a"), (3, "x" * n, "a"), (4, "-" * n, "a")]
+    got = {r["doc_id"]: r for r in token_counts.section_tokens(table(spark, rows)).groupBy("doc_id").agg(F.sum("n_tokens").alias("tokens"), F.max("end_char").alias("chars"), F.count("*").alias("sections")).collect()}
+    assert {k: r["chars"] for k, r in got.items()} == {1: n, 2: 300_002, 3: n, 4: n} and got[2]["sections"] == 300_001
+    assert all(r["tokens"] > 1000 for r in got.values())
+
+
+def test_sections_equal_a_plain_attribution(spark):
+    """Token by token: its characters are looked up one after the other, most of them decide, the earlier line on ties."""
+    rng = np.random.default_rng(2)
+    signs = ["\n", "\n", " ", "a", "the", "\r\n", "\n\n\n", "\u4e2d", "\U0001f600", "!", "  \n  "]
+    rows = [(k, "".join(rng.choice(signs, 40)), "a") for k in range(60)]
+    known, _ = token_counts._encoding(token_counts.VOCABULARY, token_counts.PATTERN)
+    want = []
+    for i, text, _ in rows:
+        line_of, line = [], 0
+        for c in text:
+            line_of.append(line)
+            line += c == "\n"
+        lines = max(line_of) + 1
+        tokens, crossing, done, at = [0] * lines, [0] * lines, 0, 0
+        for token in known.encode_ordinary(text):
+            done += len(known.decode_single_token_bytes(token))
+            end = len(text.encode()[:done].decode("utf-8", "ignore"))
+            whole = text.encode()[:done].decode("utf-8", "ignore").encode() == text.encode()[:done]
+            own = line_of[at:end] if end > at else [line_of[min(at, len(text) - 1)]]
+            best = min(sorted(set(own)), key=lambda x: -own.count(x))
+            tokens[best] += 1
+            crossing[best] += len(set(own)) > 1
+            at = end if whole else at if end == at else end
+        want += [(i, k, tokens[k], crossing[k]) for k in range(lines)]
+    got = tuples(token_counts.section_tokens(table(spark, rows)), "doc_id", "section", "n_tokens", "n_crossing")
+    assert got == sorted(want, key=str) and sum(w[3] for w in want) > 5
+
+
 def test_attribution_rule():
     owner, crossing = token_counts.attribute(np.array([2, 5, 6, 9]), np.array([3, 4, 9]))
     assert owner.tolist() == [0, 0, 2, 2] and crossing.tolist() == [False, True, False, False]
