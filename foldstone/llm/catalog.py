@@ -124,10 +124,11 @@ def op8_token_counts(spark, folder):
 @query(
     "op9_decontamination",
     r"""WITH i AS (SELECT item_id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM benchmark),
-    q AS (SELECT item_id, list_distinct([array_to_string(w[k:k + 4], ' ') FOR k IN range(1, len(w) - 3)]) AS s FROM i WHERE len(w) >= 5),
+    q AS (SELECT item_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[k:k + 4], ' ') FOR k IN range(1, len(w) - 3)]) END AS s FROM i WHERE len(w) > 0),
     qs AS (SELECT item_id, len(s) AS item_size, unnest(s) AS g FROM q),
+    sizes AS (SELECT DISTINCT least(len(w), 5) AS n FROM i WHERE len(w) > 0),
     d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM documents),
-    ds AS (SELECT doc_id, unnest(list_distinct([array_to_string(w[k:k + 4], ' ') FOR k IN range(1, len(w) - 3)])) AS g FROM d WHERE len(w) >= 5)
+    ds AS (SELECT doc_id, unnest(list_distinct([array_to_string(w[k:k + n - 1], ' ') FOR k IN range(1, len(w) - n + 2)])) AS g FROM d JOIN sizes ON len(w) >= n)
     SELECT doc_id, item_id, item_size, count(*) AS n_shared, round(count(*) / item_size, 6) AS containment FROM ds JOIN qs USING (g)
     GROUP BY doc_id, item_id, item_size HAVING count(*) / item_size >= 0.8""",
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldstone.llm.native import SPACES, repeated_filter, whole_text, with_hits
+from foldstone.llm.native import SPACES, repeated_filter, unused, whole_text, with_hits
 from foldstone.session import stage
 
 
@@ -36,13 +36,15 @@ def keep_first(documents: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: one row of each group of equal texts.
 
     Rows whose hash cannot be repeated pass straight through. Of the others every task first keeps one row for each text,
-    so a group of any size shuffles at most one row per task.
+    so a group of any size shuffles at most one row per task. The smallest doc_id stays, null ids come last, and the text decides
+    among rows of one doc_id.
     """
-    digested = documents.withColumn("__digest", _digest())
-    keys = stage(digested.select(F.xxhash64("__digest").alias("h")))
-    flagged = with_hits(digested, F.xxhash64("__digest"), repeated_filter(keys, "h"), "__maybe")
+    digest, maybe, row = unused(documents, "__digest", "__maybe", "__row")
+    digested = documents.withColumn(digest, _digest())
+    keys = stage(digested.select(F.xxhash64(digest).alias("h")))
+    flagged = with_hits(digested, F.xxhash64(digest), repeated_filter(keys, "h"), maybe)
     columns = documents.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
-    first = flagged.where("__maybe").groupBy("__digest").agg(F.min_by(row, order).alias("__row"))
-    return first.select("__row.*").unionByName(flagged.where("NOT __maybe").select(*[f"`{c}`" for c in columns]))
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns])
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text"))
+    first = flagged.where(F.col(maybe)).groupBy(digest).agg(F.min_by(whole, order).alias(row))
+    return first.select(f"{row}.*").unionByName(flagged.where(~F.col(maybe)).select(*[f"`{c}`" for c in columns]))

@@ -58,17 +58,36 @@ def repeated_filter(keys: DataFrame, key: str, blocks: int = FILTER_BLOCKS) -> D
     return met.groupBy("__block").agg(F.bit_or("__mask").alias("__bits"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores behind them as no column of the table has yet."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _probed(df: DataFrame, key: Column, bits: DataFrame, blocks: int, how: str) -> tuple[DataFrame, Column, list[str]]:
+    """The rows with the bits of their key's block, whether all bits of the key are set there, and the names added."""
+    probe, at, block, found = added = unused(df, "__probe", "__at", "__block", "__bits")
+    mask = _mask(F.col(probe))
+    hit = F.col(found).bitwiseAND(mask) == mask
+    on = F.col(at) == F.col(block)
+    joined = df.withColumn(probe, key).withColumn(at, _block(F.col(probe), blocks))
+    joined = joined.join(F.broadcast(bits.select(F.col("__block").alias(block), F.col("__bits").alias(found))), on if how == "left" else on & hit, how)
+    return joined, hit, added
+
+
 def with_hits(df: DataFrame, key: Column, bits: DataFrame, name: str, blocks: int = FILTER_BLOCKS) -> DataFrame:
     """Adds a boolean: may the key be in the filter? No row moves; the filter is broadcast, its size being bounded."""
-    probed = df.withColumn("__probe", key).withColumn("__at", _block(F.col("__probe"), blocks))
-    joined = probed.join(F.broadcast(bits), F.col("__at") == F.col("__block"), "left")
-    mask = _mask(F.col("__probe"))
-    return joined.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(mask) == mask, F.lit(False))).drop("__probe", "__at", "__block", "__bits")
+    joined, hit, added = _probed(df, key, bits, blocks, "left")
+    return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop(*added)
 
 
 def possible_hits(df: DataFrame, key: Column, bits: DataFrame, blocks: int = FILTER_BLOCKS) -> DataFrame:
     """Only the rows whose key may be in the filter."""
-    probed = df.withColumn("__probe", key).withColumn("__at", _block(F.col("__probe"), blocks))
-    mask = _mask(F.col("__probe"))
-    joined = probed.join(F.broadcast(bits), (F.col("__at") == F.col("__block")) & (F.col("__bits").bitwiseAND(mask) == mask))
-    return joined.drop("__probe", "__at", "__block", "__bits")
+    joined, _, added = _probed(df, key, bits, blocks, "inner")
+    return joined.drop(*added)

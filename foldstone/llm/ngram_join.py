@@ -19,15 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldstone.llm.components import components
-from foldstone.llm.native import blocked_filter, possible_hits, with_hits
+from foldstone.llm.native import blocked_filter, possible_hits, unused, with_hits
 from foldstone.llm.words import Words, lists, mix, runs, slices
 from foldstone.session import stage
 
 LAST = 2**63 - 1
 # Null ids get numbers of their own in the last 2^40, by text.
 NULL_IDS = LAST - (1 << 40)
-# N-grams that one chunk of a block holds, about; a task holds two chunks.
-CHUNK_NGRAMS = 400_000
+# N-grams that one chunk of a block holds, about; a task holds two chunks. A set counts as so many n-grams at least, which
+# bounds the sets of a chunk, too.
+CHUNK_NGRAMS, SET_COST = 400_000, 100
 # Quarters of a prefix that the second look takes.
 CLOSER = 16
 # An n-gram counts as frequent from so many sets on; the filter of frequent n-grams has so many blocks of 64 bits.
@@ -164,6 +165,18 @@ class Trie:
                 begin = stop
 
 
+def _counted(postings: list[np.ndarray], of: np.ndarray, total: int) -> np.ndarray:
+    """How often each of the (ordered) sets stands in the postings."""
+    flat = np.concatenate(postings)
+    if 8 * len(flat) > total:
+        return np.bincount(flat, minlength=total)[of]
+    found, times = np.unique(flat, return_counts=True)
+    out, at = np.zeros(len(of), np.int64), np.minimum(np.searchsorted(of, found), len(of) - 1)
+    same = of[at] == found
+    out[at[same]] = times[same]
+    return out
+
+
 def trie_join(indexed: list[np.ndarray], asking: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each indexed set the asking sets of Jaccard similarity at least percent / 100, by position.
 
@@ -182,19 +195,23 @@ def trie_join(indexed: list[np.ndarray], asking: list[np.ndarray], percent: int)
     elements = np.concatenate(questions)
     by = np.argsort(elements, kind="stable")
     holder, places = holder[by], np.searchsorted(elements[by], np.arange(len(count) + 1))
-    trie = Trie(keys)
-    overlaps: list[np.ndarray | None] = [None] * len(trie.nodes)
-    for at, (parent, run, depth, smallest, largest, here) in enumerate(trie.nodes):
-        above = np.zeros(len(questions), np.int64) if parent < 0 else overlaps[parent]
-        if above is None:
+    # Nodes come depth first, so only the path to a node is kept, and on it only the sets that can still be reached.
+    path = [(-1, np.arange(len(questions)), np.zeros(len(questions), np.int64))]
+    for at, (parent, run, depth, smallest, largest, here) in enumerate(Trie(keys).nodes):
+        while path[-1][0] > parent:
+            path.pop()
+        if path[-1][0] != parent:  # nothing was left there
             continue
+        _, asking_here, above = path[-1]
         postings = [holder[places[e] : places[e + 1]] for e in run.tolist()]
-        overlap = above + np.bincount(np.concatenate(postings), minlength=len(questions)) if postings else above
+        overlap = above + _counted(postings, asking_here, len(questions)) if postings else above
+        own = size[asking_here]
         for i in here:
-            yield i, np.flatnonzero((100 + percent) * overlap >= percent * (depth + size))
-        reach = overlap + np.minimum(largest - depth, size - overlap)
-        alive = ((100 + percent) * reach >= percent * (np.maximum(smallest, reach) + size)) & (100 * largest >= percent * size) & (100 * size >= percent * smallest)
-        overlaps[at] = overlap if alive.any() else None
+            yield i, asking_here[(100 + percent) * overlap >= percent * (depth + own)]
+        reach = overlap + np.minimum(largest - depth, own - overlap)
+        alive = ((100 + percent) * reach >= percent * (np.maximum(smallest, reach) + own)) & (100 * largest >= percent * own) & (100 * own >= percent * smallest)
+        if alive.any():
+            path.append((at, asking_here[alive], overlap[alive]))
 
 
 def _joined(percent: int):
@@ -295,7 +312,7 @@ def _links(placed: DataFrame, profiles: DataFrame, sets: DataFrame, words: int,
     cells = F.explode(F.array(F.struct(size_class.alias("q"), F.lit(True).alias("native")), F.struct((size_class + 1).alias("q"), F.lit(False).alias("native"))))
     placed_in = solid.join(blocks.select(F.col("node").alias("place"), F.col("component").alias("block")), "place").select("place", "n", "block", cells.alias("c"))
     placed_in = stage(placed_in.select("place", "n", F.xxhash64("block", "c.q").alias("cell"), "c.native"))
-    sizes = stage(placed_in.groupBy("cell").agg(F.ceil(F.sum("n") / chunk_ngrams).cast("int").alias("chunks"), F.sum("n").alias("total"), F.count_if("native").alias("natives"), F.count("*").alias("m")).where("natives > 0 and m > 1"))
+    sizes = stage(placed_in.groupBy("cell").agg(F.ceil(F.sum(F.greatest("n", F.lit(SET_COST))) / chunk_ngrams).cast("int").alias("chunks"), F.sum(F.greatest("n", F.lit(SET_COST))).alias("total"), F.count_if("native").alias("natives"), F.count("*").alias("m")).where("natives > 0 and m > 1"))
     dealt = placed_in.join(sizes.select("cell", "chunks"), "cell").withColumn("own", F.pmod(F.xxhash64("place"), F.col("chunks")).cast("int")).drop("n")
     other = held.select("place", "copies", "grams").join(dealt, "place").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     meetings = other.select("place", "copies", "cell", "native", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "grams")
@@ -312,7 +329,8 @@ def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> Data
     The one with the smallest doc_id stays; rows that repeat it stay with it. Only rows that may go are moved.
     """
     found = linked_sets(documents, words, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").isNotNull())
-    gone = stage(found.select(F.col("doc_id").alias("__gone")).distinct())
-    flagged = with_hits(documents, F.xxhash64(F.col("doc_id").cast("long")), blocked_filter(gone.select(F.xxhash64("__gone").alias("h")), "h"), "__maybe")
-    kept = flagged.where("__maybe").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return kept.unionByName(flagged.where("NOT __maybe")).drop("__maybe")
+    flag, left = unused(documents, "__maybe", "__gone")
+    gone = stage(found.select(F.col("doc_id").alias(left)).distinct())
+    flagged = with_hits(documents, F.xxhash64(F.col("doc_id").cast("long")), blocked_filter(gone.select(F.xxhash64(left).alias("h")), "h"), flag)
+    kept = flagged.where(F.col(flag)).join(gone, F.col("doc_id") == F.col(left), "left_anti")
+    return kept.unionByName(flagged.where(~F.col(flag))).drop(flag)

@@ -27,7 +27,7 @@ SAMPLE_PER_CLASS = 1000
 SAMPLE_CHARS = 20_000
 # Landmarks at most. Occurrences of a letter run in a document count up to CAP; the log-likelihood ratio of its counts in the
 # two classes must be SIGNIFICANT, far beyond what the most extreme of a million runs has by chance.
-LANDMARKS, CAP, SIGNIFICANT = 96, 5, 25.0
+LANDMARKS, CAP, SIGNIFICANT = 96, 5, 12.0
 # A landmark serves so many documents of label 1 that have fewer than COVER landmarks; no two are more alike than this.
 SUPPORT, COVER, ALIKE = 4, 12, 0.6
 SLICES = 8  # of the letter runs that are counted at a time
@@ -41,7 +41,7 @@ LETTERS = 34  # a-z, six kinds of bytes of other characters, and the start of a
 START = 33
 SPAN = 6  # three letters lie within so many places
 DECAY = 0.6  # for each place that a subsequence spans
-NEAR = 0.4  # kernel values below count as zero
+NEAR = 0.33  # kernel values below count as zero
 PIECE = 16  # longer words are compared in overlapping pieces
 LEAST_NORM = (2 + 2 * DECAY**2) ** 0.5  # of four codes, such as the start and three letters; more have no less
 SHORT, JOINED = 3, 12  # letters of a short word, and of neighbours that are read as one word, at most

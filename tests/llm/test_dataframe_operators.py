@@ -3,7 +3,9 @@
 import pytest
 from documents import SCHEMA, WORDS, awkward, essay, exact, table, tuples
 
-from foldstone.llm import decontaminate, exact_dedup, mixing, native, url_filter
+from pyspark.sql import functions as F
+
+from foldstone.llm import decontaminate, exact_dedup, mixing, native, ngram_join, url_filter
 
 
 @pytest.fixture(scope="module")
@@ -94,10 +96,30 @@ def test_urls(spark):
 def test_leaks(spark, rows):
     items = spark.createDataFrame([(1, essay(30, 40)), (2, essay(31, 6)), (3, "too short"), (4, None), (5, "Seven  words, which stand\nin this item!")], "item_id long, text string")
     held = essay(30, 40).split()
-    leaky = [(101, "start " * 500 + essay(30, 40).upper() + " end" * 500, "a"), (102, " ".join(held[:36]), "a"), (103, " ".join(held[:30]), "a"), (104, "- seven words; which stand in this ITEM", "b"), (105, essay(31, 6), None)]
+    leaky = [(101, "start " * 500 + essay(30, 40).upper() + " end" * 500, "a"), (102, " ".join(held[:36]), "a"), (103, " ".join(held[:30]), "a"), (104, "- seven words; which stand in this ITEM", "b"), (105, essay(31, 6), None), (106, "it is Too - SHORT, they say", "b"), (107, "too much, too short", "b"), (108, "too very short", "b")]
     got = tuples(decontaminate.leaks(table(spark, rows + leaky), items), "doc_id", "item_id", "item_size", "n_shared")
-    assert got == [(101, 1, 36, 36), (102, 1, 36, 32), (104, 5, 3, 3), (105, 2, 2, 2)]
+    assert got == [(101, 1, 36, 36), (102, 1, 36, 32), (104, 5, 3, 3), (105, 2, 2, 2), (106, 3, 1, 1), (107, 3, 1, 1)]
     kept = decontaminate.without_leaks(table(spark, rows + leaky), items)
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _, _ in [*rows, leaky[2]])
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _, _ in [*rows, leaky[2], leaky[7]])
     assert decontaminate.leaks(table(spark, []), items).count() == 0
     assert decontaminate.leaks(table(spark, rows), items.where("false")).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    """Columns that are named like those the operators use inside pass through unchanged."""
+    rows = [(1, essay(1), "a"), (2, essay(1), "a"), (2, essay(1).replace(" ", "  "), "b"), (3, essay(2), "a"), (4, " ".join(essay(2).split()[:59]), "a"), (5, essay(30, 40), "a")]
+    names = ["__maybe", "__digest", "__row", "__probe", "__at", "__block", "__bits", "__gone", "__held", "__mask"]
+    documents = table(spark, rows).select("*", *[F.lit(n).alias(n) for n in names])
+    items = spark.createDataFrame([(1, essay(30, 40))], "item_id long, text string")
+    exact = exact_dedup.keep_first(documents)
+    near = ngram_join.one_of_each(documents)
+    clean = decontaminate.without_leaks(documents, items)
+    for kept, ids in ((exact, [1, 3, 4, 5]), (near, [1, 3, 5]), (clean, [1, 2, 2, 3, 4])):
+        assert kept.columns == documents.columns and sorted(r["doc_id"] for r in kept.collect()) == ids
+        assert {tuple(r) for r in kept.select(*names).collect()} == {tuple(names)}
+
+
+def test_one_row_of_an_id_with_two_spellings(spark):
+    rows = [(7, "a  b", "x"), (7, "a b", "y"), (8, "a b", "z")]
+    for order in (rows, rows[::-1]):
+        assert [(r["doc_id"], r["text"], r["source"]) for r in exact_dedup.keep_first(table(spark, order)).collect()] == [(7, "a  b", "x")]

@@ -1,6 +1,7 @@
 """N-gram join and substring dedup against brute force, with tiny chunks and shards as well."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -107,3 +108,25 @@ def test_repeats_of_nothing(spark):
 def test_shards_grow_with_the_meetings_of_a_hot_anchor(spark):
     sizes = spark.createDataFrame([(1, 1_000, 10), (2, 100, 1)], "anchor long, fragments long, chunks int")
     assert substring_dedup.meeting_shards(sizes, 100, 4) == 191 and substring_dedup.meeting_shards(sizes.limit(0), 100, 4) == 4
+
+
+def test_trie_join_equals_brute_force_in_little_memory():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        base = [rng.choice(200, rng.integers(3, 30), replace=False) for _ in range(8)]
+
+        def changed():
+            own = base[rng.integers(8)].copy()
+            own[rng.integers(len(own), size=rng.integers(0, 4))] = rng.integers(200)
+            return np.unique(own.astype(np.uint64))
+
+        left, right = [changed() for _ in range(60)], [changed() for _ in range(50)]
+        for percent in (60, 80, 85):
+            got = {(i, int(j)) for i, found in ngram_join.trie_join(left, right, percent) for j in found}
+            assert got == {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))}
+    sets = [np.append(np.arange(8), 100 + i).astype(np.uint64) for i in range(4000)]  # a chunk of short sets that all link
+    tracemalloc.start()
+    assert sum(len(found) for _, found in ngram_join.trie_join(sets, sets, 80)) == 4000**2
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
