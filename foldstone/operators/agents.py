@@ -13,8 +13,8 @@ KEY = ["agent_type", "agent_id", "model_version"]
 _OUTPUTS = ("CreditAnalysisCompleted", "FraudScreeningCompleted", "ComplianceCheckCompleted", "DecisionGenerated")
 
 
-def attributed_outputs(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Session starts and outputs, each output with the latest earlier start of its session (dropped when none)."""
+def session_facts(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Session starts and outputs with the few fields that count, by session."""
     wanted = ledger.where(F.col("event_type").isin(*ANCHOR_TYPES, *_OUTPUTS))
     parsed = P.with_fields(
         wanted, "session_id", "orchestrator_session_id", "application_id", *KEY,
@@ -23,31 +23,37 @@ def attributed_outputs(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFra
     t = F.col("event_type")
     session = F.coalesce(P.filled(F.col("p.session_id")), P.filled(F.col("p.orchestrator_session_id")))
     start = F.when(t.isin(*ANCHOR_TYPES), F.struct(*[F.col(f"p.{c}").alias(c) for c in KEY], F.col("recorded_at").alias("started_at")))
-    rows = stage(parsed.select(
+    return parsed.select(
         *keys, session.alias("session_id"), "global_position", "recorded_at", t, start.alias("_start"),
         F.col("p.application_id").alias("application_id"),
         F.when(t == "CreditAnalysisCompleted", F.col("p.decision.confidence"))
         .when(t == "DecisionGenerated", F.col("p.confidence")).try_cast("decimal(18,6)").alias("confidence"),
         F.when(t == "CreditAnalysisCompleted", F.col("p.analysis_duration_ms")).try_cast("decimal(18,3)").alias("duration_ms"),
         F.when(t == "DecisionGenerated", F.upper("p.recommendation")).alias("recommendation"),
-    ).where("session_id is not null"))
-    seen = running(rows, [*keys, "session_id"], "global_position", {"_session": last(F.col("_start"))})
+    ).where("session_id is not null")
+
+
+def override_facts(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Overriding human reviews by application."""
+    reviews = P.with_fields(ledger.where("event_type = 'HumanReviewCompleted'"), "application_id", "override")
+    return reviews.where(P.truthy(F.col("p.override"))).select(*keys, F.col("p.application_id").alias("application_id"), "global_position", "recorded_at")
+
+
+def attributed(facts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Session starts and outputs, each output with the latest earlier start of its session (dropped when none)."""
+    seen = running(facts, [*keys, "session_id"], "global_position", {"_session": last(F.col("_start"))})
     return seen.where("_session is not null").select(
         *keys, *[F.col(f"_session.{c}").alias(c) for c in KEY], "session_id", "application_id", "global_position", "recorded_at",
         "event_type", "confidence", "duration_ms", "recommendation",
     )
 
 
-def override_credits(ledger: DataFrame, attributed: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def override_credits(reviews: DataFrame, outputs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Overriding human reviews, credited to the agent of the latest attributed decision before them."""
-    reviews = P.with_fields(ledger.where("event_type = 'HumanReviewCompleted'"), "application_id", "override")
-    reviews = reviews.where(P.truthy(F.col("p.override"))).select(
-        *keys, F.col("p.application_id").alias("application_id"), "global_position", "recorded_at", F.lit(None).alias("_agent")
-    )
-    decisions = attributed.where("event_type = 'DecisionGenerated'").select(
+    decisions = outputs.where("event_type = 'DecisionGenerated'").select(
         *keys, "application_id", "global_position", "recorded_at", F.struct(*KEY).alias("_agent")
     )
-    both = decisions.unionByName(reviews).where("application_id is not null")
+    both = decisions.unionByName(reviews.withColumn("_agent", F.lit(None))).where("application_id is not null")
     seen = running(both, [*keys, "application_id"], "global_position", {"_by": last(F.col("_agent"))})
     return seen.where("_agent is null and _by is not null").select(
         *keys, *[F.col(f"_by.{c}").alias(c) for c in KEY], "application_id", "global_position", "recorded_at"
@@ -56,9 +62,19 @@ def override_credits(ledger: DataFrame, attributed: DataFrame, keys: tuple[str,
 
 def agent_performance(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Sessions, outputs, confidence, duration, recommendation mix and overrides per agent and model."""
+    return performance_of(stage(session_facts(ledger, keys)), override_facts(ledger, keys), keys)
+
+
+def agent_parts(events: DataFrame) -> dict[str, DataFrame]:
+    """What agent performance needs of any events, without their payloads; parts merge as sets."""
+    return {"sessions": session_facts(events), "overrides": override_facts(events)}
+
+
+def performance_of(facts: DataFrame, reviews: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Agent performance of session facts and overriding reviews."""
     by = [*keys, *KEY]
-    outputs = stage(attributed_outputs(ledger, keys))
-    overrides = override_credits(ledger, outputs, keys)
+    outputs = stage(attributed(facts, keys))
+    overrides = override_credits(reviews, outputs, keys)
     rows = outputs.select(*by, "global_position", "recorded_at", "event_type", "confidence", "duration_ms", "recommendation").unionByName(
         overrides.select(*by, "global_position", "recorded_at", F.lit("override").alias("event_type")), allowMissingColumns=True
     )

@@ -42,8 +42,16 @@ def compliance_history(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFra
     A re-opened check starts a new segment that clears the rules. Counts keep duplicates; ``hard_block_rules`` holds
     distinct rule ids. Rule ids come from the regulation set, so the per-segment id lists stay small.
     """
-    by = [*keys, "application_id"]
-    rows = stage(_parsed(ledger, keys))
+    return history_of(stage(_parsed(ledger, keys)), [*keys, "application_id"])
+
+
+def compliance_parts(events: DataFrame) -> dict[str, DataFrame]:
+    """What the history needs of any events, without their payloads; parts merge as sets."""
+    return {"facts": _parsed(events, ())}
+
+
+def history_of(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The history of parsed events."""
     opened = F.col("event_type") == "ComplianceCheckInitiated"
     marked = stage(running(rows, by, "global_position", {
         "snapshot_version": count_so_far(),

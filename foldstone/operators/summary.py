@@ -51,14 +51,8 @@ def _at(types, extra: Column | None = None) -> Column:
     return F.when(hit if extra is None else hit & extra, F.col("global_position"))
 
 
-def application_summary(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Fold to one row per application (and per extra key, e.g. a branch label).
-
-    Everything is a latest-value aggregate over one scan, combined before the shuffle. Only the outcome of a decline
-    depends on what was known at that moment, and it needs a second look only where a later check changed the status.
-    """
-    by = [*keys, "application_id"]
-    handled = _handled(ledger)
+def registers() -> dict[str, tuple[Column, Column]]:
+    """What the summary remembers of an application: the latest value of each name, and the position that sets it (or null)."""
     t, p = F.col("event_type"), "p."
     amount = P.money(F.col(p + "approved_amount_usd"))
     is_decision = ["DecisionGenerated", "HumanReviewCompleted", "ApplicationApproved", "ApplicationDeclined"]
@@ -76,31 +70,51 @@ def application_summary(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFr
     has_applicant = F.get_json_object("payload", "$.applicant_id").isNotNull() | F.array_contains(F.json_object_keys("payload"), "applicant_id")
     final_types = ["ApplicationApproved", "ApplicationDeclined"]
     stated = F.when(t == "ApplicationApproved", F.col(p + "approved_at")).otherwise(F.col(p + "declined_at"))
-
-    state_types = [*SUMMARY_STATES, "DecisionGenerated", "ApplicationDeclined"]
     reasoned = F.exists("p.decline_reasons", lambda r: F.coalesce(r.contains(HARD_BLOCK_REASON), F.lit(False)))
-    session = F.when(t == "AgentSessionCompleted", P.filled(F.col("p.session_id")))
+    return {
+        "_state": (state, _at([*SUMMARY_STATES, "DecisionGenerated", "ApplicationDeclined"])),
+        "_hard_reason": (F.coalesce(reasoned, F.lit(False)), _at("ApplicationDeclined")),
+        "applicant_id": (F.col(p + "applicant_id"), _at("ApplicationSubmitted", has_applicant)),
+        "requested_amount_usd": (P.money(F.col(p + "requested_amount_usd")), _at("ApplicationSubmitted")),
+        "approved_amount_usd": (amount, _at(["DecisionGenerated", "ApplicationApproved"], amount.isNotNull())),
+        "risk_tier": (F.col(p + "decision.risk_tier"), _at("CreditAnalysisCompleted")),
+        "fraud_score": (F.col(p + "fraud_score").try_cast("double"), _at("FraudScreeningCompleted")),
+        "compliance_status": (F.col(p + "overall_verdict"), _at("ComplianceCheckCompleted")),
+        "decision": (decision, _at(is_decision)),
+        "last_event_type": (t, F.col("global_position")),
+        "last_event_at": (F.col("recorded_at"), F.col("global_position")),
+        "human_reviewer_id": (F.col(p + "reviewer_id"), _at("HumanReviewCompleted")),
+        "final_decision_at": (F.coalesce(P.instant(stated), F.col("recorded_at")), _at(final_types)),
+    }
+
+
+def _session() -> Column:
+    return F.when(F.col("event_type") == "AgentSessionCompleted", P.filled(F.col("p.session_id")))
+
+
+def _checks(handled: DataFrame, by: list[str]) -> DataFrame:
+    checks = handled.where("event_type = 'ComplianceCheckCompleted'")
+    return checks.select(*by, "global_position", F.col("p.overall_verdict").alias("_status"))
+
+
+def application_summary(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Fold to one row per application (and per extra key, e.g. a branch label).
+
+    Everything is a latest-value aggregate over one scan, combined before the shuffle. Only the outcome of a decline
+    depends on what was known at that moment, and it needs a second look only where a later check changed the status.
+    """
+    by = [*keys, "application_id"]
+    handled, names = _handled(ledger), registers()
     folded = handled.groupBy(*by).agg(
-        F.max_by(state, _at(state_types)).alias("_state"),
-        F.max(_at(state_types)).alias("_state_at"),
-        F.max(_at("ApplicationDeclined")).alias("_declined_at"),
-        F.max_by(F.coalesce(reasoned, F.lit(False)), _at("ApplicationDeclined")).alias("_hard_reason"),
-        F.max(_at("ComplianceCheckCompleted")).alias("_status_at"),
-        F.max_by(F.col(p + "applicant_id"), _at("ApplicationSubmitted", has_applicant)).alias("applicant_id"),
-        F.max_by(P.money(F.col(p + "requested_amount_usd")), _at("ApplicationSubmitted")).alias("requested_amount_usd"),
-        F.max_by(amount, _at(["DecisionGenerated", "ApplicationApproved"], amount.isNotNull())).alias("approved_amount_usd"),
-        F.max_by(F.col(p + "decision.risk_tier"), _at("CreditAnalysisCompleted")).alias("risk_tier"),
-        F.max_by(F.col(p + "fraud_score").try_cast("double"), _at("FraudScreeningCompleted")).alias("fraud_score"),
-        F.max_by(F.col(p + "overall_verdict"), _at("ComplianceCheckCompleted")).alias("compliance_status"),
-        F.max_by(decision, _at(is_decision)).alias("decision"),
-        F.count_distinct(session).alias("sessions_completed"),
-        F.max_by(t, F.col("global_position")).alias("last_event_type"),
-        F.max_by(F.col("recorded_at"), F.col("global_position")).alias("last_event_at"),
-        F.max_by(F.col(p + "reviewer_id"), _at("HumanReviewCompleted")).alias("human_reviewer_id"),
-        F.max_by(F.coalesce(P.instant(stated), F.col("recorded_at")), _at(final_types)).alias("final_decision_at"),
+        *[F.max_by(value, at).alias(name) for name, (value, at) in names.items()],
+        F.max(names["_state"][1]).alias("_state_at"), F.max(names["_hard_reason"][1]).alias("_declined_at"),
+        F.max(names["compliance_status"][1]).alias("_status_at"), F.count_distinct(_session()).alias("sessions_completed"),
     )
-    folded = stage(folded)
-    resolved = folded.join(_status_when_declined(handled, folded, by), by, "left")
+    return _finished(stage(folded), _checks(handled, by), by)
+
+
+def _finished(folded: DataFrame, checks: DataFrame, by: list[str]) -> DataFrame:
+    resolved = folded.join(_status_when_declined(checks, folded, by), by, "left")
     status_then = F.when(F.col("_status_at") < F.col("_declined_at"), F.col("compliance_status")).otherwise(F.col("_earlier_status"))
     declined = F.when((status_then == "BLOCKED") | F.col("_hard_reason"), F.lit("DECLINED_COMPLIANCE")).otherwise(F.lit("FINAL_DECLINED"))
     return resolved.select(
@@ -121,11 +135,9 @@ def application_summary(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFr
     )
 
 
-def _status_when_declined(handled: DataFrame, folded: DataFrame, by: list[str]) -> DataFrame:
+def _status_when_declined(checks: DataFrame, folded: DataFrame, by: list[str]) -> DataFrame:
     """Compliance status at the final decline, for the few applications that completed another check after it."""
     late = folded.where("_state_at = _declined_at and _status_at > _declined_at").select(*by, "_declined_at")
-    checks = handled.where("event_type = 'ComplianceCheckCompleted'")
-    checks = checks.select(*by, "global_position", F.col("p.overall_verdict").alias("_status"))
     return (
         checks.join(late, by)
         .where("global_position < _declined_at")
@@ -134,6 +146,30 @@ def _status_when_declined(handled: DataFrame, folded: DataFrame, by: list[str])
     )
 
 
+def summary_parts(events: DataFrame) -> dict[str, DataFrame]:
+    """Any events as tables that merge in any order: registers of (position, value), completed sessions, completed checks."""
+    handled = _handled(events)
+    set_by = [F.max(F.when(at.isNotNull(), F.struct(at.alias("at"), value.alias("value")))).alias(name) for name, (value, at) in registers().items()]
+    sessions = handled.select("application_id", _session().alias("session_id")).where("session_id IS NOT NULL").distinct()
+    return {"registers": handled.groupBy("application_id").agg(*set_by), "sessions": sessions, "checks": _checks(handled, ["application_id"]).distinct()}
+
+
+def merge_registers(rows: DataFrame) -> DataFrame:
+    """The latest value of every register: the largest (position, value), whatever the order of the parts."""
+    return rows.groupBy("application_id").agg(*[F.max(c).alias(c) for c in rows.columns if c != "application_id"])
+
+
+def summary_from(parts: dict[str, DataFrame]) -> DataFrame:
+    """The summary of merged parts."""
+    names = registers()
+    sessions = parts["sessions"].groupBy("application_id").agg(F.count("*").alias("sessions_completed"))
+    folded = parts["registers"].join(sessions, "application_id", "left").select(
+        "application_id", *[F.col(f"{name}.value").alias(name) for name in names], F.col("_state.at").alias("_state_at"),
+        F.col("_hard_reason.at").alias("_declined_at"), F.col("compliance_status.at").alias("_status_at"), F.coalesce("sessions_completed", F.lit(0).cast("long")).alias("sessions_completed"),
+    )
+    return _finished(stage(folded), parts["checks"], ["application_id"])
+
+
 def completed_sessions(ledger: DataFrame) -> DataFrame:
     """Sessions completed per application in order of first completion, one row each."""
     handled = _handled(ledger).where("event_type = 'AgentSessionCompleted'")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from foldstone.operators import branches, lineage
-from foldstone.operators.model import AGENT_PERFORMANCE, APPLICATION_SUMMARY, COMPLIANCE_AUDIT
+from foldstone.operators import branches, lineage, views
+from foldstone.operators.model import AGENT_PERFORMANCE, APPLICATION_SUMMARY, COMPLIANCE_AUDIT, READ_MODELS
 from foldstone.plans import compliance as compliance_plans, log as log_plans, readmodels
-from foldstone.plans.ctes import LOAN, summary_cte
+from foldstone.plans.ctes import LOAN, SUMMARY_TYPES
 from foldstone.plans.lineage import OUTCOMES
 from foldstone.plans.registry import SQL, query
 from foldstone.session import shared_folder, stage
@@ -77,7 +78,13 @@ def outbox_stream(spark, folder):
     return spark.read.schema(appends.OUTBOX_DDL).json(out).select("id", F.get_json_object("payload", "$.event_type").alias("event_type"))
 
 
-def _followed(spark, model, *parts):
+def _dealt(ledger, parts=4):
+    """The log in parts that have nothing to do with the order of its events."""
+    deal = F.pmod(F.xxhash64("event_id"), F.lit(parts))
+    return [ledger.where(deal == k) for k in range(parts)]
+
+
+def _followed(spark, model, parts):
     log, root = _fresh(spark, "log"), _fresh(spark, "models")
     for part in parts:
         follow.write_log(part, log)
@@ -85,43 +92,76 @@ def _followed(spark, model, *parts):
     return root, follow.current_rows(spark, model, root)
 
 
-def _halves(ledger):
-    half = F.lit("2024-01-16").cast("timestamp")
-    return ledger.where(F.col("recorded_at") < half), ledger.where(F.col("recorded_at") >= half)
-
-
 @query("followed_summary", SQL["application_summary"])
 def followed_summary(spark, folder):
-    """The log arrives in two parts; the followed model equals a rebuild."""
-    _, rows = _followed(spark, APPLICATION_SUMMARY, *_halves(stored.loan_ledger(spark, folder)))
+    """The log arrives in four shuffled parts; the followed model equals a rebuild in all columns."""
+    _, rows = _followed(spark, APPLICATION_SUMMARY, _dealt(stored.loan_ledger(spark, folder)))
     return readmodels.summary_columns(rows)
 
 
 @query("followed_compliance", SQL["compliance_history"])
 def followed_compliance(spark, folder):
-    _, rows = _followed(spark, COMPLIANCE_AUDIT, *_halves(stored.rule_ledger(spark, folder)))
+    _, rows = _followed(spark, COMPLIANCE_AUDIT, _dealt(stored.rule_ledger(spark, folder)))
     return compliance_plans._flat(rows)
 
 
-@query("followed_agents", f"WITH {LOAN} SELECT 'agent-' || (k % 7) AS agent_id, count(*) AS total_sessions FROM led WHERE t = 'AgentSessionStarted' GROUP BY 1")
+@query("followed_agents", SQL["agent_performance"])
 def followed_agents(spark, folder):
-    _, rows = _followed(spark, AGENT_PERFORMANCE, *_halves(stored.loan_ledger(spark, folder)))
-    return rows.groupBy("agent_id").agg(F.sum("total_sessions").alias("total_sessions"))
+    _, rows = _followed(spark, AGENT_PERFORMANCE, _dealt(stored.loan_ledger(spark, folder)))
+    return readmodels.agent_columns(rows)
+
+
+@query(
+    "quarantined_events",
+    f"""WITH {LOAN}, m(model, types) AS (VALUES ('application_summary', [{SUMMARY_TYPES.strip("()")}]),
+      ('agent_performance', ['AgentSessionStarted','CreditAnalysisCompleted','FraudScreeningCompleted','ComplianceCheckCompleted','DecisionGenerated','HumanReviewCompleted']),
+      ('compliance_audit', ['ComplianceCheckInitiated','ComplianceRulePassed','ComplianceRuleFailed','ComplianceRuleNoted','ComplianceCheckCompleted']))
+    SELECT model, eid AS event_id, t AS event_type, gpos AS global_position, 'payload is no JSON' AS error, 2 AS attempts FROM led JOIN m ON list_contains(types, t) WHERE gpos % 10 = 7""",
+)
+def quarantined_events(spark, folder):
+    """Events whose payload was cut short; each model tries those it handles twice and goes on without them."""
+    ledger = stored.loan_ledger(spark, folder)
+    cut = ledger.withColumn("payload", F.when(F.col("global_position") % 10 == 7, F.lit('{"cut')).otherwise(F.col("payload")))
+    log, root, out = _fresh(spark, "log"), _fresh(spark, "models"), []
+    follow.write_log(cut, log)
+    for model in (APPLICATION_SUMMARY, AGENT_PERFORMANCE, COMPLIANCE_AUDIT):
+        strict = replace(model, problem=lambda events: F.when(F.try_parse_json("payload").isNull(), F.lit("payload is no JSON")))
+        follow.follow(spark, log, strict, root, max_attempts=2).awaitTermination()
+        out.append(follow.quarantined(spark, strict, root).select(F.lit(model.name).alias("model"), "event_id", "event_type", "global_position", "error", "attempts"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(
+    "followed_health",
+    """WITH half AS (SELECT max(event_id) AS p1, max(ts) AS t1 FROM events WHERE ts < TIMESTAMP '2024-01-16'), top AS (SELECT max(event_id) AS p, max(ts) AS t FROM events)
+    SELECT m.name AS projection_name, p - p1 AS lag_positions, (epoch_us(t) - epoch_us(t1)) // 1000 AS lag_ms FROM half, top, (VALUES ('application_summary'), ('agent_performance'), ('compliance_audit')) m(name)""",
+)
+def followed_health(spark, folder):
+    """How far followers of the first half of the log are behind the whole log, by what they report of themselves."""
+    ledger = stored.loan_ledger(spark, folder)
+    log, root, running = _fresh(spark, "log"), _fresh(spark, "models"), []
+    follow.write_log(ledger.where(F.col("recorded_at") < F.lit("2024-01-16").cast("timestamp")), log)
+    for model in READ_MODELS:
+        running.append(follow.follow(spark, log, model, root))
+        running[-1].awaitTermination()
+    points = follow.freshness(running).groupBy("projection_name").agg(F.max("last_position").alias("last_position"), F.max("updated_at").alias("updated_at"))
+    return views.read_model_lag(points, ledger).select("projection_name", "lag_positions", "lag_ms")
 
 
-@query("stateful_summary", f"WITH {LOAN}, {summary_cte()} SELECT app AS application_id, state, compliance_status, decision, last_event_type FROM summ")
+@query("stateful_summary", SQL["application_summary"])
 def stateful_summary(spark, folder):
-    """The same fold kept in streaming state, one application per state entry."""
+    """The same fold kept in streaming state, one application per state entry; files arrive in shuffled order."""
     out = _fresh(spark, "stateful")
     source = _fresh(spark, "log")
     ledger = stored.loan_ledger(spark, folder)
-    ledger.write.parquet(source)
-    stream = spark.readStream.schema(ledger.schema).parquet(source)
+    for part in _dealt(ledger):
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(ledger.schema).option("maxFilesPerTrigger", 1).parquet(source)
     writer = state.stateful_summary(stream).writeStream.outputMode("update").option("checkpointLocation", _fresh(spark, "cp")).trigger(availableNow=True)
     writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).start().awaitTermination()
     rows = spark.read.parquet(out)
-    latest = rows.groupBy("application_id").agg(F.max_by(F.struct("state", "compliance_status", "decision", "last_event_type"), "last_position").alias("s"))
-    return latest.select("application_id", "s.*")
+    latest = rows.groupBy("application_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "application_id"]), "batch").alias("s"))
+    return readmodels.summary_columns(latest.select("application_id", "s.*"))
 
 
 @query(

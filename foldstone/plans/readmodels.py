@@ -44,7 +44,10 @@ def application_session_lists(spark, folder):
     FROM perf""",
 )
 def agent_performance(spark, folder):
-    df = agents.agent_performance(stored.loan_ledger(spark, folder))
+    return agent_columns(agents.agent_performance(stored.loan_ledger(spark, folder)))
+
+
+def agent_columns(df):
     return df.select(
         *agents.KEY, "total_sessions", "analyses_completed", "decisions_generated", rounded("avg_confidence_score"),
         rounded("avg_duration_ms"), "approve_count", "decline_count", "refer_count", "human_override_count",

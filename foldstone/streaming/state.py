@@ -1,4 +1,8 @@
-"""Per-application fold kept in streaming state: the alternative to folding touched keys again."""
+"""Per-application fold kept in streaming state: the alternative to parts that are merged when they are read.
+
+The state of an application has a (value, position) register for each field, the sessions it completed and its compliance
+checks. Every register keeps the value of the largest position, so events may come in any order and more than once.
+"""
 
 from __future__ import annotations
 
@@ -8,51 +12,77 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from foldstone.operators.model import application_key
-from foldstone.schema import HARD_BLOCK_REASON, OTHER_RECOMMENDATION_STATE, RECOMMENDATION_STATES, SUMMARY_STATES, SUMMARY_TYPES
+from foldstone.operators.summary import _handled, _session, registers
 
-OUTPUT = "application_id string, state string, compliance_status string, decision string, last_event_type string, last_position bigint, events bigint"
-STATE = "state string, compliance_status string, decision string, last_event_type string, last_position bigint, events bigint"
-_STATE_TYPES = (*SUMMARY_STATES, "DecisionGenerated")
+# Fixed by the summary: its registers and their types.
+KINDS = {
+    "_state": "string", "_hard_reason": "boolean", "applicant_id": "string", "requested_amount_usd": "decimal(18,2)", "approved_amount_usd": "decimal(18,2)",
+    "risk_tier": "string", "fraud_score": "double", "compliance_status": "string", "decision": "string", "last_event_type": "string",
+    "last_event_at": "timestamp", "human_reviewer_id": "string", "final_decision_at": "timestamp",
+}
+_HIDDEN = ("_state", "_hard_reason")
+SHOWN = [name for name in KINDS if name not in _HIDDEN]
+STATE = ", ".join(f"{name} {kind}, {name}_at bigint" for name, kind in KINDS.items()) + ", sessions array<string>, check_at array<bigint>, check_status array<string>"
+OUTPUT = "application_id string, state string, sessions_completed bigint, last_position bigint, " + ", ".join(f"{name} {KINDS[name]}" for name in SHOWN)
 
 
 def _assignments(events: DataFrame) -> DataFrame:
-    """Narrow rows for the state fold: what each event assigns, worked out on the JVM side."""
-    t = F.col("event_type")
-    rec = F.get_json_object("payload", "$.recommendation")
-    known = F.create_map(*[F.lit(x) for pair in SUMMARY_STATES.items() for x in pair])
-    advice = F.create_map(*[F.lit(x) for pair in RECOMMENDATION_STATES.items() for x in pair])
-    state = F.when(t == "DecisionGenerated", F.coalesce(advice[rec], F.lit(OTHER_RECOMMENDATION_STATE))).otherwise(known[t])
-    decision = (
-        F.when(t == "DecisionGenerated", rec).when(t == "HumanReviewCompleted", F.get_json_object("payload", "$.final_decision"))
-        .when(t == "ApplicationApproved", F.lit("APPROVE")).when(t == "ApplicationDeclined", F.lit("DECLINE"))
-    )
-    reasons = F.get_json_object("payload", "$.decline_reasons")
-    return events.where(t.isin(*SUMMARY_TYPES)).select(
-        application_key(events).alias("application_id"), "global_position", t, state.alias("new_state"), decision.alias("new_decision"),
-        F.get_json_object("payload", "$.overall_verdict").alias("verdict"), F.coalesce(reasons.contains(HARD_BLOCK_REASON), F.lit(False)).alias("hard_reason"),
-    ).where("application_id is not null")
+    """Narrow rows for the fold: which registers an event sets, and to what, worked out on the JVM side."""
+    handled = _handled(events)
+    columns = [c for name, (value, at) in registers().items() for c in (value.cast(KINDS[name]).alias(name), at.alias(f"{name}_at"))]
+    check = F.when(F.col("event_type") == "ComplianceCheckCompleted", F.col("global_position"))
+    return handled.select("application_id", "recorded_at", _session().alias("session_id"), check.alias("checked_at"), F.col("p.overall_verdict").alias("verdict"), *columns)
+
+
+def _missing(value: object) -> bool:
+    return value is None or value is pd.NaT or value != value
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Advance one application by its new events; only its seven scalar values are kept."""
-    current, status, decision, last_type, last_pos, n = state.get if state.exists else ("NEW", None, None, None, -1, 0)
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("global_position")
-    rows = rows[rows["global_position"] > last_pos]
-    for r in rows.itertuples(index=False):
-        if r.event_type == "ApplicationDeclined":
-            current = "DECLINED_COMPLIANCE" if status == "BLOCKED" or r.hard_reason else "FINAL_DECLINED"
-        elif r.event_type in _STATE_TYPES:
-            current = r.new_state
-        if r.event_type == "ComplianceCheckCompleted":
-            status = r.verdict
-        if r.event_type in ("DecisionGenerated", "HumanReviewCompleted", "ApplicationApproved", "ApplicationDeclined"):
-            decision = r.new_decision
-        last_type, last_pos, n = r.event_type, int(r.global_position), n + 1
-    state.update((current, status, decision, last_type, last_pos, n))
-    yield pd.DataFrame([(key[0], current, status, decision, last_type, last_pos, n)], columns=[p.split(" ")[0] for p in OUTPUT.split(", ")])
+    """Merge the new events of one application into its registers."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    held = list(state.get) if state.exists else [None, None] * len(KINDS) + [[], [], []]
+    rows = pd.concat(list(batches), ignore_index=True)
+    found: dict[str, tuple[object, int | None]] = {}
+    for k, name in enumerate(KINDS):
+        value, at = held[2 * k], held[2 * k + 1]
+        positions = rows[f"{name}_at"].dropna()
+        if len(positions) and (at is None or positions.max() > at):
+            latest = rows.loc[positions.idxmax(), name]
+            value, at = None if _missing(latest) else latest, int(positions.max())
+        found[name] = (value, at)
+    sessions = sorted({*held[-3], *rows["session_id"].dropna()})
+    checks = dict(zip(held[-2], held[-1]))
+    checks.update((int(p), None if _missing(v) else v) for p, v in zip(rows["checked_at"], rows["verdict"]) if not _missing(p))
+    check_at = sorted(checks)
+    current, state_at = found["_state"]
+    reasoned, declined_at = found["_hard_reason"]
+    if state_at is not None and state_at == declined_at:
+        before = [p for p in check_at if p < declined_at]
+        blocked = bool(before) and checks[before[-1]] == "BLOCKED"
+        current = "DECLINED_COMPLIANCE" if blocked or reasoned else "FINAL_DECLINED"
+    state.update((*[x for pair in found.values() for x in pair], sessions, check_at, [checks[p] for p in check_at]))
+    out = {"application_id": key[0], "state": current or "NEW", "sessions_completed": len(sessions), "last_position": found["last_event_type"][1]}
+    yield pd.DataFrame([out | {name: found[name][0] for name in SHOWN}])
 
 
 def stateful_summary(stream: DataFrame) -> DataFrame:
-    """Updated rows per application, in update mode."""
+    """Updated rows per application, in update mode: all fields of the application summary, and the last position."""
     return _assignments(stream).groupBy("application_id").applyInPandasWithState(_advance, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def expiring_summary(stream: DataFrame, idle: str) -> DataFrame:
+    """As ``stateful_summary``, but the state of an application is dropped when the stream's time has gone on by ``idle`` since
+    its last event, so state is bounded by the active applications. An event that comes later than that starts anew."""
+    rows = _assignments(stream).withWatermark("recorded_at", idle)
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from _advance(key, batches, state)
+        if state.exists:
+            latest = state.get[2 * list(KINDS).index("last_event_at")]
+            after = int(pd.Timestamp(latest).timestamp() * 1000) + 1
+            state.setTimeoutTimestamp(max(after, state.getCurrentWatermarkMs() + 1))
+
+    return rows.groupBy("application_id").applyInPandasWithState(advance, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)

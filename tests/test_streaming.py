@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -43,16 +44,93 @@ def test_poison_event_is_quarantined_once_and_others_finish(spark, tmp_path):
     assert follow.current_rows(spark, COMPLIANCE_AUDIT, root).count() == 5 + 0
 
 
-def test_stateful_fold_equals_the_batch_fold(spark, tmp_path):
-    log, sink = str(tmp_path / "log"), "folded"
-    frame = approved_path(approved_path(Log(), "A1"), "B1", hard=True).frame(spark)
-    frame.write.parquet(log)
-    stream = spark.readStream.schema(frame.schema).parquet(log)
-    q = state.stateful_summary(stream).writeStream.outputMode("update").format("memory").queryName(sink).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination()
-    got = {r.application_id: (r.state, r.compliance_status, r.decision, r.last_event_type) for r in spark.table(sink).collect()}
-    want = {r.application_id: (r.state, r.compliance_status, r.decision, r.last_event_type) for r in application_summary(frame).collect()}
-    assert got == want
+def _shuffled(frame, path, parts):
+    """The events as files in an order that has nothing to do with their positions, some of them twice."""
+    deal = F.pmod(F.xxhash64("event_id"), F.lit(parts))
+    for k in range(parts):
+        frame.where(deal == k).coalesce(1).write.mode("append").parquet(path)
+    frame.where(deal == 0).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_stateful_fold_of_late_and_repeated_events_equals_the_batch_fold(spark, tmp_path):
+    log = str(tmp_path / "log")
+    frame = approved_path(approved_path(approved_path(Log(), "A1"), "B1", hard=True), "C1").frame(spark)
+    _shuffled(frame, log, 6)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(log)
+    out = str(tmp_path / "out")
+    writer = state.stateful_summary(stream).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp"))
+    writer.foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)).start().awaitTermination()
+    rows = spark.read.parquet(out)
+    assert rows.select("batch").distinct().count() >= 6
+    want = application_summary(frame)
+    latest = rows.groupBy("application_id").agg(F.max_by(F.struct(*[c for c in want.columns if c != "application_id"]), "batch").alias("s")).select("application_id", "s.*")
+    assert _same(latest.select(*want.columns), want) and want.count() == 3
+
+
+def test_idle_state_expires(spark, tmp_path):
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    frame = approved_path(Log(), "A1").frame(spark)
+    first = frame.where("global_position <= 3")
+    tick = frame.where("global_position = 4").withColumn("stream_id", F.lit("loan-Z")).withColumn("payload", F.lit("{}")).withColumn("event_type", F.lit("DecisionRequested"))
+    late = frame.where("global_position = 5")
+    for k, part in enumerate((first, tick.withColumn("recorded_at", F.expr("recorded_at + interval 90 days")), tick.withColumn("recorded_at", F.expr("recorded_at + interval 91 days")), late.withColumn("recorded_at", F.expr("recorded_at + interval 92 days")))):
+        part.coalesce(1).write.mode("append").parquet(log)
+        stream = spark.readStream.schema(frame.schema).parquet(log)
+        writer = state.expiring_summary(stream, "30 days").writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp"))
+        writer.foreachBatch(lambda df, i: df.write.mode("append").parquet(out)).start().awaitTermination()
+    rows = spark.read.parquet(out).where("application_id = 'A1'").orderBy("last_position").collect()
+    assert rows[0].applicant_id is not None and rows[-1].last_position == 5 and rows[-1].applicant_id is None
+
+
+def test_models_follow_a_shuffled_log_in_many_batches(spark, tmp_path, monkeypatch):
+    """Files out of order and events delivered twice; parts of earlier batches are merged; batches don't read earlier events."""
+    monkeypatch.setattr(follow, "MERGE_EVERY", 3)
+    log, root = str(tmp_path / "log"), str(tmp_path / "root")
+    frame = approved_path(approved_path(approved_path(Log(), "A1"), "B1", hard=True), "C1").frame(spark)
+    deal = F.pmod(F.xxhash64("event_id"), F.lit(5))
+    for k in (3, 0, 4, 1, 2, 3):
+        follow.write_log(frame.where(deal == k).coalesce(1), log, buckets=1)
+    for model in READ_MODELS:
+        query = follow.follow(spark, log, model, root, files_per_batch=1)
+        query.awaitTermination()
+        stored, want = follow.current_rows(spark, model, root), model.rebuild(frame)
+        assert _same(stored.select(*want.columns), want), model.name
+        assert len(follow._folders(spark, f"{root}/{model.name}/parts/{next(iter(model.parts.merge))}")) >= 7
+        assert {p["numInputRows"] for p in query.recentProgress} <= {0, *[frame.where(deal == k).count() for k in range(5)]}
+        seen = follow.freshness([query])
+        assert seen.agg(F.max("last_position")).first()[0] == frame.agg(F.max("global_position")).first()[0] + 1
+        assert seen.agg(F.sum("events")).first()[0] == frame.count() + frame.where(deal == 3).count()
+
+
+def test_a_failing_event_is_found_by_halving(spark, tmp_path):
+    """The fold itself fails at two events; the other events of their batch are folded, other models don't notice."""
+    log, root = str(tmp_path / "log"), str(tmp_path / "root")
+    frame = approved_path(Log(), "A1").frame(spark)
+    follow.write_log(frame, log)
+    bad_types = ("DecisionGenerated", "FraudScreeningCompleted")
+
+    def strict(events):
+        failing = F.when(F.col("event_type").isin(*bad_types), F.raise_error(F.concat(F.lit("unreadable "), "event_id")).cast("string"))
+        return events.withColumn("payload", F.coalesce(failing, F.col("payload")))
+
+    for model in READ_MODELS:
+        parts = replace(model.parts, split=lambda events, own=model.parts.split: own(strict(events)))
+        for picky in (replace(model, name=f"{model.name}_parts", parts=parts), replace(model, name=f"{model.name}_fold", parts=None, key=None, fold=lambda events, own=model.fold: own(strict(events)))):
+            follow.follow(spark, log, picky, root, max_attempts=2).awaitTermination()
+            handled = [t for t in bad_types if t in model.handled_types]
+            bad = follow.quarantined(spark, picky, root).collect()
+            assert sorted(r.event_type for r in bad) == sorted(handled) and {r.attempts for r in bad} <= {2}
+            assert all(f"unreadable {r.event_id}" in r.error for r in bad)
+            want = model.rebuild(frame.where(~F.col("event_type").isin(*bad_types)))
+            assert _same(follow.current_rows(spark, picky, root).select(*want.columns), want), picky.name
+
+
+def test_bucket_number_is_kept_with_the_log(spark, tmp_path):
+    log = str(tmp_path / "log")
+    frame = approved_path(Log(), "A1").frame(spark)
+    follow.write_log(frame.limit(3), log, buckets=7)
+    follow.write_log(frame.limit(3), log, buckets=1000)
+    assert follow.log_buckets(spark, log) == 7 and spark.read.parquet(log).agg(F.max("key_bucket")).first()[0] < 7
 
 
 def test_streamed_appends_and_publication(spark, tmp_path):
