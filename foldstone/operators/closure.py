@@ -1,18 +1,56 @@
-"""Reachability over reference edges, in rounds that halve chain length.
+"""Reachability over reference edges: an edge says "child refers to parent", and a node is reached when it is a seed or
+refers to a reached node.
 
-An edge says "child refers to parent". A node is reached when it is a seed or refers to a reached node. In every round
-an edge into a node that has one reference of its own is redirected to that reference (same truth, half the distance),
-an edge into a node that leads nowhere is dropped, and edges into reached nodes resolve. Chains of length n take about
-log2(n) rounds; the driver only learns whether edges remain.
+``reachable`` is for chains, where a node has one reference. In every round an edge into a node that has one reference of
+its own is redirected to that reference (same truth, half the distance), an edge into a node that leads nowhere is dropped,
+and edges into reached nodes resolve. Chains of length n take about log2(n) rounds. With several references per node the
+rounds grow with depth.
+
+``reached_in_order`` is for nodes that have a place in an order and refer to earlier ones only, by any number of
+references. Places are cut into blocks; a block is folded in order in one go, whatever the depth inside it, and only what
+it reached goes on to later blocks. Rounds are the block borders that a path of references crosses, at most the number of
+blocks. In both the driver only learns whether something is left.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from foldstone.session import cut_lineage
+from foldstone.session import block_rows, cut_lineage
+
+
+def _reached_in_block(edges: pd.DataFrame) -> pd.DataFrame:
+    """Children that refer to a hit, or to a child found before them."""
+    found: set[str] = set()
+    for child, parent, hit in edges.sort_values("place", kind="stable")[["child", "parent", "hit"]].itertuples(index=False):
+        if hit or parent in found:
+            found.add(child)
+    return pd.DataFrame({"id": pd.Series(sorted(found), dtype=object)})
+
+
+def reached_in_order(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """All ids reached from ``seeds(id)`` over ``edges(key, place, child, parent)``, seeds included.
+
+    ``place`` is the child's 1-based place among the nodes of its key; parents of a node come before it. A block has as many
+    places as ``foldstone.block.rows``, so a task holds the references of so many nodes, however large a key is.
+    """
+    block = F.floor((F.col("place") - 1) / F.lit(block_rows(edges.sparkSession)))
+    found = [cut_lineage(seeds.select("id").distinct())]
+    left = _without_children(edges.select("key", block.alias("block"), "place", "child", "parent"), found[0])
+    left = cut_lineage(left)
+    while not left.isEmpty():
+        hits = found[-1].select(F.col("id").alias("parent"), F.lit(True).alias("hit"))
+        marked = cut_lineage(left.join(hits, "parent", "left").withColumn("hit", F.coalesce("hit", F.lit(False))))
+        touched = marked.join(marked.where("hit").select("key", "block").distinct(), ["key", "block"], "left_semi")
+        fresh = cut_lineage(touched.groupBy("key", "block").applyInPandas(_reached_in_block, "id string"))
+        if fresh.isEmpty():
+            break
+        left = cut_lineage(_without_children(marked.drop("hit"), fresh))
+        found.append(fresh)
+    return reduce(DataFrame.unionByName, found)
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldstone.functions import ids, payload as P
-from foldstone.operators.closure import reachable
+from foldstone.operators.closure import reached_in_order
 from foldstone.operators.scan import number_rows
 from foldstone.schema import STAGE_RANKS
 from foldstone.session import stage
@@ -117,8 +117,9 @@ def dependents(related: DataFrame, branches: DataFrame) -> DataFrame:
         "application_id", "event_id", "event_type", "stream_id", "stream_position", "global_position", node.alias("id"),
         reference_tokens().alias("refs"), identity_tokens().alias("names"), is_branch.alias("is_branch"), (is_branch | F.coalesce(later | output, F.lit(False))).alias("seed"),
     ))
-    children = rows.where("not is_branch and not seed").select("application_id", F.explode("refs").alias("token"), F.col("id").alias("child"), F.col("global_position").alias("_c"))
+    referring = number_rows(rows.where("not is_branch and not seed and size(refs) > 0").select("application_id", "refs", "id", "global_position"), ["application_id"], "global_position", "place")
+    children = referring.select("application_id", F.explode("refs").alias("token"), F.col("id").alias("child"), F.col("global_position").alias("_c"), "place")
     parents = rows.select("application_id", F.explode("names").alias("token"), F.col("id").alias("parent"), F.col("global_position").alias("_p"))
-    edges = children.join(parents, ["application_id", "token"]).where("_p < _c").select("child", "parent")
-    reached = reachable(edges, rows.where("seed").select("id"))
+    edges = children.join(parents, ["application_id", "token"]).where("_p < _c").select(F.col("application_id").alias("key"), "place", "child", "parent")
+    reached = reached_in_order(edges, rows.where("seed").select("id"))
     return rows.where("not is_branch").join(reached, "id", "left_semi").select("application_id", "event_id", "event_type", "stream_id", "stream_position", "global_position")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldstone.functions.digest import Tree, canonical_json
+from foldstone.operators.scan import number_rows
 from foldstone.operators import branches, integrity, lineage
 from foldstone.plans.ctes import LOAN, summary_cte
 from foldstone.plans.registry import as_double, micros, query
@@ -180,6 +181,32 @@ def branch_dependents(spark, folder):
     return lineage.dependents(related, points).select("application_id", "event_id", "event_type")
 
 
+SEVERAL = BRANCH.replace("lk AS (", "lk1 AS (", 1).replace("br AS (", """lk AS (SELECT *, CASE WHEN gpos % 2 = 0 THEN lag(eid, 2) OVER w END AS trig, CASE WHEN gpos % 5 = 0 THEN lag(eid, 5) OVER w END AS decided
+  FROM lk1 WINDOW w AS (PARTITION BY app ORDER BY gpos)),
+br AS (""", 1).replace("c.cause = d.eid", "(c.cause = d.eid OR c.trig = d.eid OR c.decided = d.eid)")
+
+
+def _with_several_references(ledger):
+    """Every second event also names the one two before it as its trigger, every fifth the one five before it as its decision."""
+    named = ledger.withColumn("_app", F.get_json_object("payload", "$.application_id"))
+    numbered = stage(number_rows(named, ["_app"], "global_position", "_n"))
+    for back, every, field in ((2, 2, "triggered_by_event_id"), (5, 5, "decision_event_id")):
+        earlier = numbered.select("_app", (F.col("_n") + back).alias("_n"), F.col("event_id").alias("_ref"))
+        joined = numbered.join(earlier, ["_app", "_n"], "left")
+        added = F.concat(F.expr("left(payload, length(payload) - 1)"), F.lit(f',"{field}":"'), F.col("_ref"), F.lit('"}'))
+        payload = F.when((F.col("global_position") % every == 0) & F.col("_ref").isNotNull(), added).otherwise(F.col("payload"))
+        numbered = joined.withColumn("payload", payload).drop("_ref")
+    return numbered.select(*ledger.columns)
+
+
+@query("branch_dependents_several", f"""WITH RECURSIVE {SEVERAL} SELECT app AS application_id, eid AS event_id, t AS event_type FROM fall""")
+def branch_dependents_several(spark, folder):
+    """Dependents where events have up to three references each."""
+    related = stage(lineage.application_events(_with_several_references(stored.linked_ledger(spark, folder))))
+    points = lineage.branch_points(related, "CreditAnalysisCompleted")
+    return lineage.dependents(related, points).select("application_id", "event_id", "event_type")
+
+
 OUTCOMES = f"""{BRANCH},
 keep AS (SELECT lk.* FROM lk JOIN br USING (app) WHERE eid <> be AND eid NOT IN (SELECT eid FROM fall)),
 inj AS (SELECT * REPLACE (1000000000000 AS gpos, TIMESTAMP '2024-06-01' AS ts, 'CreditAnalysisCompleted' AS t, 'LOW' AS tier, 750000 AS lim, 'i' || app AS eid) FROM lk WHERE eid IN (SELECT be FROM br)),

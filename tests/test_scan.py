@@ -4,7 +4,8 @@ import random
 from pyspark.sql import functions as F
 
 from foldstone.functions import digest
-from foldstone.operators.closure import reachable
+from foldstone.operators import closure
+from foldstone.operators.closure import reachable, reached_in_order
 from foldstone.operators.scan import asof, before, count_so_far, highest, last, listed, number_rows, running, total
 
 
@@ -60,6 +61,37 @@ def test_reachability_of_chains_and_random_graphs(spark):
     assert {r.id for r in got.collect()} == want
 
 
+def _backward(nodes, references, seed):
+    """Nodes of two keys in order, each with up to ``references`` references to earlier ones of its key."""
+    rng = random.Random(seed)
+    pairs = [(key, c, f"{key}{c}", f"{key}{p}") for key in "ab" for c in range(2, nodes + 1) for p in {rng.randint(max(1, c - 6), c - 1) for _ in range(rng.randint(0, references))}]
+    want = {"a3", "b1", "b9"}
+    for key, c, child, parent in sorted(pairs, key=lambda x: x[1]):
+        if parent in want:
+            want.add(child)
+    return pairs, want
+
+
+def test_references_to_earlier_nodes_in_blocks(spark, tiny_blocks):
+    for references in (1, 2, 3):
+        pairs, want = _backward(40, references, references)
+        edges = spark.createDataFrame(pairs, "key string, place bigint, child string, parent string")
+        got = reached_in_order(edges, spark.createDataFrame([("a3",), ("b1",), ("b9",)], "id string")).collect()
+        assert sorted(r.id for r in got) == sorted(want)
+
+
+def test_rounds_do_not_grow_with_depth(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(closure, "cut_lineage", lambda df, own=closure.cut_lineage: cuts.append(1) or own(df))
+    seen = set()
+    for depth in (50, 1500):
+        pairs = [("a", c, str(c), str(p)) for c in range(2, depth + 1) for p in {c - 1, max(1, c - 2)}]
+        cuts.clear()
+        assert reached_in_order(spark.createDataFrame(pairs, "key string, place bigint, child string, parent string"), spark.createDataFrame([("1",)], "id string")).count() == depth
+        seen.add(len(cuts))
+    assert len(seen) == 1 and max(seen) <= 5
+
+
 def tree_root(items, fan_in, levels):
     level, tag = items, "leaf:"
     for _ in range(levels):
