@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldstone.functions import payload as P
-from foldstone.operators.scan import asof, count_so_far, last, listed, running, total
+from foldstone.operators.scan import asof, count_so_far, last, listed, number_rows, running, total
 from foldstone.schema import COMPLIANCE_TYPES, NOTE_ONLY_RULES
 from foldstone.session import stage
 
@@ -109,6 +109,58 @@ def compliance_at(history: DataFrame, probes: DataFrame, block_us: int = HOUR_US
     return found.select(*probes.columns, "state.*")
 
 
+# What a rule result says besides its rule, by class; the rest is null there.
+RESULT_FIELDS = {
+    "passed": ("rule_name", "rule_version", "evidence_hash", "evaluation_notes", "evaluated_at"),
+    "failed": ("rule_name", "rule_version", "failure_reason", "is_hard_block", "remediation_available", "remediation_description", "evidence_hash", "evaluated_at"),
+    "noted": ("rule_name", "note_type", "note_text", "evaluated_at"),
+}
+_FLAGS, _DETAILS = ("is_hard_block", "remediation_available"), sorted({f for fields in RESULT_FIELDS.values() for f in fields})
+
+
+def rule_results(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per rule result with all it says, and the interval in which it belongs to the state of its application.
+
+    A result counts from its own event until the next opening of a check, which clears the lists (null: until today).
+    ``segment`` numbers the openings as in ``compliance_history`` (0 before the first); ``ordinal`` is the place in the list of
+    its class. A state after any event, or at any time, is the results whose interval holds it, so nothing is copied.
+    """
+    by = [*keys, "application_id"]
+    wanted = P.with_fields(ledger.where(F.col("event_type").isin("ComplianceCheckInitiated", *RULE_CLASSES)), "application_id", "rule_id", *_DETAILS)
+    known = F.create_map(*[F.lit(x) for pair in RULE_CLASSES.items() for x in pair])
+    rule_class = known[F.col("event_type")]
+
+    def detail(name: str) -> Column:
+        value = F.col(f"p.{name}")
+        value = P.truthy(value) if name in _FLAGS else P.instant(value) if name == "evaluated_at" else value
+        return F.when(F.col("rule_class").isin(*[c for c, fields in RESULT_FIELDS.items() if name in fields]), value).alias(name)
+
+    rows = wanted.withColumn("rule_class", rule_class).select(
+        *keys, F.col("p.application_id").alias("application_id"), "global_position", "recorded_at", "rule_class", F.col("p.rule_id").alias("rule_id"), *[detail(d) for d in _DETAILS]
+    ).where("application_id is not null")
+    rows = stage(running(stage(rows), by, "global_position", {"segment": total(F.col("rule_class").isNull().cast("bigint"))}))
+    openings = rows.where("rule_class is null").select(*by, (F.col("segment") - 1).alias("segment"), F.col("global_position").alias("valid_until_position"), F.col("recorded_at").alias("valid_until"))
+    numbered = number_rows(rows.where("rule_class is not null"), [*by, "segment", "rule_class"], "global_position")
+    return numbered.join(openings, [*by, "segment"], "left").select(
+        *by, "segment", "rule_class", "ordinal", "rule_id", *_DETAILS, F.col("global_position").alias("valid_from_position"), F.col("recorded_at").alias("valid_from"), "valid_until_position", "valid_until"
+    )
+
+
+def current_rule_results(results: DataFrame) -> DataFrame:
+    """The results of the open state of every application."""
+    return results.where("valid_until_position is null")
+
+
+def rule_results_at(results: DataFrame, history: DataFrame, probes: DataFrame, block_us: int = HOUR_US) -> DataFrame:
+    """The results in the state of an application at a time: the probe's columns with one row per result.
+
+    The state comes from the as-of join of ``compliance_at``; its results are those of the same segment that began at it or
+    before. A probe without a state, or whose state has no results, has no rows.
+    """
+    found = compliance_at(history, probes, block_us).select(*probes.columns, "segment", F.col("global_position").alias("_at"))
+    return found.where("_at is not null").join(results, ["application_id", "segment"]).where("valid_from_position <= _at").drop("_at")
+
+
 def rule_lists(ledger: DataFrame) -> DataFrame:
     """Rule results of the open segment per application and class, in order, duplicates kept, one row each."""
     rows = stage(_parsed(ledger, ()))

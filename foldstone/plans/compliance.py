@@ -71,6 +71,49 @@ def compliance_as_of(spark, folder):
     return found.select("probe", "application_id", "snapshot_version", "passed_count", "failed_count", joined("hard_block_rules"), "completed", "overall_verdict")
 
 
+RESULTS = """rs AS (SELECT *, sum(CASE WHEN t = 'ComplianceCheckInitiated' THEN 1 ELSE 0 END) OVER (PARTITION BY app ORDER BY gpos ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM rl),
+opened AS (SELECT app, segment - 1 AS segment, gpos, ts FROM rs WHERE t = 'ComplianceCheckInitiated'),
+res AS (SELECT rs.app AS application_id, rs.segment, lower(t[15:]) AS rule_class, row_number() OVER (PARTITION BY rs.app, rs.segment, t ORDER BY rs.gpos) AS ordinal, rule AS rule_id, 'Rule ' || rule AS rule_name,
+    CASE WHEN t <> 'ComplianceRuleNoted' THEN 'v' || (k % 3) END AS rule_version, CASE WHEN t <> 'ComplianceRuleNoted' THEN 'ev' || rs.gpos END AS evidence_hash,
+    CASE WHEN t = 'ComplianceRulePassed' THEN 'checked ' || k END AS evaluation_notes, CASE WHEN t = 'ComplianceRuleFailed' THEN 'failed ' || k END AS failure_reason,
+    CASE WHEN t = 'ComplianceRuleFailed' THEN k % 10 = 0 END AS is_hard_block, CASE WHEN t = 'ComplianceRuleFailed' THEN k % 2 = 0 END AS remediation_available,
+    CASE WHEN t = 'ComplianceRuleFailed' AND k % 2 = 0 THEN 'remedy ' || k END AS remediation_description, CASE WHEN t = 'ComplianceRuleNoted' THEN (['INFO','LIMIT'])[k % 2 + 1] END AS note_type,
+    CASE WHEN t = 'ComplianceRuleNoted' THEN 'note ' || k END AS note_text, epoch_us(rs.ts) AS evaluated_at, rs.gpos AS valid_from_position, epoch_us(rs.ts) AS valid_from,
+    opened.gpos AS valid_until_position, epoch_us(opened.ts) AS valid_until
+  FROM rs LEFT JOIN opened ON opened.app = rs.app AND opened.segment = rs.segment WHERE t LIKE 'ComplianceRule%')
+"""
+
+
+def _told(df):
+    instants = ("evaluated_at", "valid_from", "valid_until")
+    return df.select(*[micros(c) if c in instants else c for c in df.columns])
+
+
+@query("compliance_rule_results", f"WITH {RULES}, {RESULTS} SELECT * FROM res")
+def compliance_rule_results(spark, folder):
+    return _told(compliance.rule_results(stored.rule_ledger(spark, folder)))
+
+
+@query("compliance_rule_results_current", f"WITH {RULES}, {RESULTS} SELECT * FROM res WHERE valid_until_position IS NULL")
+def compliance_rule_results_current(spark, folder):
+    return _told(compliance.current_rule_results(compliance.rule_results(stored.rule_ledger(spark, folder))))
+
+
+@query(
+    "compliance_rule_results_as_of",
+    f"""WITH {HISTORY}, {RESULTS}, probes AS (SELECT gpos, app, ts - INTERVAL 30 MINUTE AS at FROM ev)
+    SELECT p.gpos AS probe, res.* FROM probes p ASOF JOIN hist h ON p.app = h.application_id AND p.at >= h.ts JOIN res ON res.application_id = h.application_id AND res.segment = h.segment AND valid_from_position <= h.global_position""",
+)
+def compliance_rule_results_as_of(spark, folder):
+    """All that the rule results said in the state of an application half an hour before each of its events."""
+    ledger = stored.rule_ledger(spark, folder)
+    probes = ledger.select(
+        F.col("global_position").alias("probe"), F.regexp_replace("stream_id", "^compliance-", "").alias("application_id"),
+        (F.col("recorded_at") - F.expr("interval 30 minutes")).alias("at"),
+    )
+    return _told(compliance.rule_results_at(compliance.rule_results(ledger), compliance.compliance_history(ledger), probes).drop("at"))
+
+
 @query(
     "compliance_rule_lists",
     f"""WITH {RULES}, o AS (SELECT app, max(gpos) AS g FROM rl WHERE t = 'ComplianceCheckInitiated' GROUP BY 1)

@@ -174,6 +174,16 @@ def rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
             F.when(t == "ComplianceCheckInitiated", first_rules).alias("rules_to_evaluate"),
             F.when(ruled, rule).alias("rule_id"),
             F.when(t == "ComplianceRuleFailed", k % 10 == 0).alias("is_hard_block"),
+            F.when(ruled, F.concat(F.lit("Rule "), rule)).alias("rule_name"),
+            F.when(ruled & (t != "ComplianceRuleNoted"), F.concat(F.lit("v"), (k % 3).cast("string"))).alias("rule_version"),
+            F.when(ruled & (t != "ComplianceRuleNoted"), F.concat(F.lit("ev"), F.col("event_id").cast("string"))).alias("evidence_hash"),
+            F.when(t == "ComplianceRulePassed", F.concat(F.lit("checked "), k.cast("string"))).alias("evaluation_notes"),
+            F.when(t == "ComplianceRuleFailed", F.concat(F.lit("failed "), k.cast("string"))).alias("failure_reason"),
+            F.when(t == "ComplianceRuleFailed", k % 2 == 0).alias("remediation_available"),
+            F.when((t == "ComplianceRuleFailed") & (k % 2 == 0), F.concat(F.lit("remedy "), k.cast("string"))).alias("remediation_description"),
+            F.when(t == "ComplianceRuleNoted", _pick(k % 2, ("INFO", "LIMIT"))).alias("note_type"),
+            F.when(t == "ComplianceRuleNoted", F.concat(F.lit("note "), k.cast("string"))).alias("note_text"),
+            F.when(ruled, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("evaluated_at"),
             F.when(t == "ComplianceCheckCompleted", k % 5 == 0).alias("has_hard_block"),
             F.when(t == "ComplianceCheckCompleted", _pick(k % 3, ("CLEAR", "BLOCKED", "CONDITIONAL"))).alias("overall_verdict"),
         )

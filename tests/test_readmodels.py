@@ -75,6 +75,32 @@ def test_reopened_check_clears_rules_and_verdict_takes_over_failures(spark, tiny
     assert [r.failed_count for r in rows] == [1, 1, 2, 0] and rows[3].overall_verdict is None and not rows[3].completed
 
 
+def test_rule_results_keep_their_details_over_time(spark, tiny_blocks):
+    b = {"application_id": "R", "session_id": "s"}
+    passed = {**b, "rule_id": "REG-001", "rule_name": "One", "rule_version": "v2", "evidence_hash": "h1", "evaluation_notes": "fine", "evaluated_at": "2026-01-05T10:00:00Z"}
+    failed = {**b, "rule_id": "REG-002", "rule_name": "Two", "rule_version": "v3", "failure_reason": "late", "is_hard_block": True, "remediation_available": False, "evidence_hash": "h2"}
+    noted = {**b, "rule_id": "REG-003", "rule_name": "Three", "note_type": "INFO", "note_text": "seen", "rule_version": "not of a note"}
+    opening = {**b, "regulation_set_version": "v", "rules_to_evaluate": ["REG-001"]}
+    log, at = Log(), lambda n: START + timedelta(seconds=n)
+    for n, (kind, payload) in enumerate([("Initiated", opening), ("Passed", passed), ("Passed", passed), ("Noted", noted), ("Initiated", opening), ("Failed", failed)]):
+        log.add("compliance-R", f"ComplianceCheck{kind}" if kind == "Initiated" else f"ComplianceRule{kind}", payload, at=at(n))
+    frame = log.frame(spark)
+    results = compliance.rule_results(frame)
+    rows = {(r.rule_class, r.ordinal): r for r in results.collect()}
+    assert set(rows) == {("passed", 1), ("passed", 2), ("noted", 1), ("failed", 1)}
+    one, two, note = rows["passed", 1], rows["failed", 1], rows["noted", 1]
+    assert (one.rule_name, one.rule_version, one.evidence_hash, one.evaluation_notes, one.failure_reason, one.is_hard_block) == ("One", "v2", "h1", "fine", None, None)
+    assert (two.failure_reason, two.is_hard_block, two.remediation_available, two.remediation_description) == ("late", True, False, None)
+    assert (note.note_type, note.note_text, note.rule_version) == ("INFO", "seen", None)
+    assert one.valid_from == at(1) and one.valid_until == at(4) and two.valid_until is None
+    assert [r.rule_id for r in compliance.current_rule_results(results).collect()] == ["REG-002"]
+    probes = spark.createDataFrame([(n, "R", at(n - 0.5)) for n in range(8)], "n int, application_id string, at timestamp")
+    found = compliance.rule_results_at(results, compliance.compliance_history(frame), probes)
+    assert {r["n"]: r["ids"] for r in found.groupBy("n").agg(F.sort_array(F.collect_list("rule_id")).alias("ids")).collect()} == {
+        2: ["REG-001"], 3: ["REG-001"] * 2, 4: ["REG-001", "REG-001", "REG-003"], 6: ["REG-002"], 7: ["REG-002"]
+    }
+
+
 def test_replay_good_path_errors_and_snapshots(spark, tiny_blocks):
     log = approved_path(approved_path(Log(), "A1"), "B1", hard=True)
     log.add("loan-X", "ApplicationSubmitted", submitted("X")).add("loan-X", "DecisionRequested", {"application_id": "X"}).add("loan-X", "CreditAnalysisRequested", {})
