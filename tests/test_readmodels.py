@@ -92,7 +92,8 @@ def test_rule_results_keep_their_details_over_time(spark, tiny_blocks):
     assert (one.rule_name, one.rule_version, one.evidence_hash, one.evaluation_notes, one.failure_reason, one.is_hard_block) == ("One", "v2", "h1", "fine", None, None)
     assert (two.failure_reason, two.is_hard_block, two.remediation_available, two.remediation_description) == ("late", True, False, None)
     assert (note.note_type, note.note_text, note.rule_version) == ("INFO", "seen", None)
-    assert one.valid_from == at(1) and one.valid_until == at(4) and two.valid_until is None
+    plain = lambda n: at(n).replace(tzinfo=None)
+    assert one.valid_from == plain(1) and one.valid_until == plain(4) and two.valid_until is None
     assert [r.rule_id for r in compliance.current_rule_results(results).collect()] == ["REG-002"]
     probes = spark.createDataFrame([(n, "R", at(n - 0.5)) for n in range(8)], "n int, application_id string, at timestamp")
     found = compliance.rule_results_at(results, compliance.compliance_history(frame), probes)
