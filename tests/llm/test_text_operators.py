@@ -1,6 +1,7 @@
 """Classifiers on held-out rows, token counts as an exact round trip, and page texts."""
 
 import os
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -220,6 +221,68 @@ def test_pages(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+KEPT = [
+    ('<p title="the hidden city">Real text</p>', "Real text"), ('<p data-id="banner">Kept</p>', "Kept"), ("<p title=it's>one</p><p>don't stop</p>", "one\ndon't stop"),
+    ('<p class="related-work">Work</p><h2 id="social-history">History</h2>', "Work\nHistory"), ('<div class="ad-box">x</div><div class=comment-list>y</div><p hidden>z</p><p style="color:red; display: none">q</p><p>a</p>', "a"),
+    ("a &lt;b&gt; < 3 <3 </> <p", "a <b> < 3 <3 <p"), ("<script>x</script >a<STYLE>b</style>c<textarea>d", "ac"), ('<p id="a>b">c</p><!-- <p>no --><?x y?><!doctype z>d', "c\nd"),
+    ("<i><b>x</i>y</b>z", "xyz"), ('<p x="1>unclosed quote<p>b', "unclosed quote\nb"), ("</p></div>x", "x"),
+]
+
+
+def test_blocks_by_attributes_and_whole_names():
+    for page, text in KEPT:
+        assert "\n".join(html_text.blocks(page)[0]) == text, page
+
+
+def test_parsing_is_linear():
+    n = 1 << 20
+    for page in ["<a " * (n // 3), "<a x='" * (n // 6), '<a x="y ' * (n // 8), "<" * n, "<b>" * (n // 3) + "</i>" * (n // 4), "<!--" * (n // 4), "<script>" * (n // 8), "</" * (n // 2), "<p>" * (n // 3), "<div><p>" * (n // 8), "<a " + "x=1 " * (n // 4)]:
+        begin = time.process_time()
+        html_text.blocks(page)
+        assert time.process_time() - begin < 4, page[:20]
+
+
+def test_suffix_classes_are_those_of_equal_sequences():
+    rng = np.random.default_rng(3)
+    for depth in (1, 3, 8, 11):
+        words = rng.integers(0, 3, 200)
+        classes = html_text.suffix_classes(words, depth)
+        whole = [tuple(words[k : k + depth]) for k in range(len(words) - depth + 1)]
+        assert len(set(zip(whole, classes.tolist()))) == len(set(whole)) == len(set(classes[: len(whole)].tolist()))
+
+
+@pytest.mark.parametrize("shard", [1, 3, 20_000])
+def test_host_repetitions_equal_brute_force(spark, monkeypatch, shard):
+    """Sequences of eight words on three or more different pages of a host go, wherever they stand; also where keys are hot."""
+    rng = np.random.default_rng(shard)
+    parts = [" ".join(f"p{k}w{i}" for i in range(rng.integers(5, 15))) for k in range(6)]
+    rows = []
+    for k in range(60):
+        own = [[f"own{k}x{j}"] * int(rng.integers(0, 2)) + [parts[i] for i in rng.integers(0, 6, rng.integers(1, 4))] + [f"end{k}"] * int(rng.integers(0, 2)) for j in range(3)]
+        rows.append((k, f"http://h{k % 4}.org/", "".join(f"<div>{' '.join(b)}</div>" for b in own)))
+    pages_of: dict[tuple, set] = {}
+    blocks_of: dict[tuple, set] = {}
+    parsed = [(k, k % 4, html_text.blocks(page)[0]) for k, _, page in rows]
+    for k, host, own in parsed:
+        for block in own:
+            words = block.split(" ")
+            blocks_of.setdefault((host, block), set()).add(tuple(own))
+            for p in range(len(words) - 7):
+                pages_of.setdefault((host, *words[p : p + 8]), set()).add(tuple(own))
+    want = []
+    for k, host, own in parsed:
+        kept = []
+        for block in own:
+            words = block.split(" ")
+            gone = {p + i for p in range(len(words) - 7) if len(pages_of[host, *words[p : p + 8]]) >= 3 for i in range(8)}
+            if len(blocks_of[host, block]) < 3:
+                kept.append(" ".join(w for i, w in enumerate(words) if i not in gone))
+        want.append((k, "\n".join(b for b in kept if b)))
+    monkeypatch.setattr(html_text, "_kept_blocks", lambda placed, own=html_text._kept_blocks: own(placed, shard))
+    got = tuples(html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id", "text")
+    assert got == sorted(want, key=str) and sum(len(t) for _, t in want) > 500
+
+
 def test_host_repetitions_are_boilerplate(spark):
     notice = "this sentence of the house stands on every single page of it"
     rows = [(k, "http://one.org/", f"<div>{notice}</div><div>own{k} text{k} of{k}</div><div>lead{k} {notice} tail{k}</div><div>short line</div>") for k in range(4)]
