@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foldstone.functions import ids, payload as P
+from foldstone.operators.agents import KEY, override_facts, session_facts
 from foldstone.operators.scan import last, running
-from foldstone.schema import HARD_BLOCK_REASON, OTHER_RECOMMENDATION_STATE, RECOMMENDATION_STATES, SUMMARY_STATES, SUMMARY_TYPES
+from foldstone.schema import COMPLIANCE_TYPES, HARD_BLOCK_REASON, OTHER_RECOMMENDATION_STATE, RECOMMENDATION_STATES, SUMMARY_STATES, SUMMARY_TYPES
 from foldstone.session import stage
 
 SUMMARY_FIELDS = ("state", "applicant_id", "requested_amount_usd", "approved_amount_usd", "risk_tier", "fraud_score", "compliance_status", "decision",
@@ -50,6 +51,26 @@ def compare_models(stored: DataFrame, expected: DataFrame, keys: Sequence[str],
     return joined.select(*keys, F.inline(F.array_compact(F.array(whole, *diffs))))
 
 
+def compare_by_buckets(stored: DataFrame, expected: DataFrame, keys: Sequence[str], fields: Sequence[str], buckets: int = 4096) -> DataFrame:
+    """The differences of ``compare_models``, looking only at the buckets of keys whose digests differ.
+
+    Both sides are reduced to one digest per bucket (number and sum of the hashes of all rows, in any order); where these agree
+    no row is joined, so two models that agree cost one aggregate each.
+    """
+    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets))
+
+    def hashed(model: DataFrame) -> DataFrame:
+        kinds = {f.name: f.dataType.simpleString() for f in model.schema.fields}
+        row = F.xxhash64(*[F.col(k) for k in keys], *[F.struct(as_text(F.col(f), kinds[f])) for f in fields])
+        return model.select(bucket.alias("_bucket"), row.cast("decimal(38,0)").alias("_hash")).groupBy("_bucket").agg(F.count("*").alias("_n"), F.sum("_hash").alias("_sum"))
+
+    left, right = hashed(stored), hashed(expected)
+    same = left.join(right, ["_bucket", "_n", "_sum"], "left_semi").select("_bucket")
+    differing = stage(left.select("_bucket").union(right.select("_bucket")).distinct().join(same, "_bucket", "left_anti"))
+    inside = [model.withColumn("_bucket", bucket).join(differing, "_bucket", "left_semi").drop("_bucket") for model in (stored, expected)]
+    return compare_models(*inside, keys, fields)
+
+
 def distribution(model: DataFrame, field: str, when_null: str | None = None) -> DataFrame:
     """Row counts by one field."""
     value = F.coalesce(F.col(field), F.lit(when_null)) if when_null is not None else F.col(field)
@@ -116,3 +137,78 @@ def verify_summary(stored: DataFrame, ledger: DataFrame) -> DataFrame:
     wanted = F.when(F.col("_hit"), F.col("expected")).otherwise(blank[F.col("field")])
     wrong = compared.withColumn("expected", wanted).where(~F.col("stored").eqNullSafe(F.col("expected")))
     return lost.union(extra).union(wrong.select("application_id", F.lit("mismatch"), "field", "stored", "expected"))
+
+
+COMPLIANCE_FIELDS = ("session_id", "regulation_set_version", "required_rules", "passed_count", "failed_count", "noted_count", "hard_block_rules", "completed", "overall_verdict",
+                     "last_event_type", "checkpoint_position", "snapshot_version")
+_OPEN, _DONE = "ComplianceCheckInitiated", "ComplianceCheckCompleted"
+
+
+def expected_compliance(ledger: DataFrame) -> DataFrame:
+    """Current compliance state by another route: minima, maxima and counts over the events since the last opening, no scan in order."""
+    rows = P.with_fields(
+        ledger.where(F.col("event_type").isin(*COMPLIANCE_TYPES)), "application_id", "session_id", "regulation_set_version", "rules_to_evaluate array<string>", "rule_id",
+        "is_hard_block", "has_hard_block", "overall_verdict",
+    ).withColumn("application_id", F.col("p.application_id")).where("application_id is not null")
+    by, pos, t = "application_id", F.col("global_position"), F.col("event_type")
+    rows = stage(rows.select(by, "global_position", "event_type", "p"))
+    opening = F.when(t == _OPEN, pos)
+    whole = rows.groupBy(by).agg(
+        F.count("*").alias("snapshot_version"), F.max_by("event_type", "global_position").alias("last_event_type"), (F.max("global_position") + 1).alias("checkpoint_position"),
+        F.max(opening).alias("_opened"), F.max_by(F.struct("p.session_id", "p.regulation_set_version", "p.rules_to_evaluate"), opening).alias("_o"),
+    )
+    since = stage(rows.join(whole.select(by, "_opened"), by).where("_opened is null or global_position > _opened").drop("_opened"))
+    failed, hard = t == "ComplianceRuleFailed", (t == "ComplianceRuleFailed") & P.truthy(F.col("p.is_hard_block"))
+    counted = since.groupBy(by).agg(
+        F.count_if(t == "ComplianceRulePassed").alias("passed_count"), F.count_if(failed).alias("failed_count"), F.count_if(t == "ComplianceRuleNoted").alias("noted_count"),
+        F.bool_or(t == _DONE).alias("completed"), F.max_by("p.overall_verdict", F.when(t == _DONE, pos)).alias("overall_verdict"),
+        F.min(F.when(failed, pos)).alias("_first_failed"), F.min(F.when(hard, pos)).alias("_first_hard"),
+    )
+    # The first hard verdict after a failure and before any listed block makes blocks of the failures before it.
+    verdicts = since.where((t == _DONE) & P.truthy(F.col("p.has_hard_block"))).select(by, "global_position").join(counted.select(by, "_first_failed", "_first_hard"), by)
+    taken = verdicts.where("global_position > _first_failed and (_first_hard is null or global_position < _first_hard)").groupBy(by).agg(F.min("global_position").alias("_cut"))
+    blocks = since.where(failed).join(taken, by, "left").where(P.truthy(F.col("p.is_hard_block")) | (pos < F.col("_cut"))).groupBy(by).agg(F.collect_set("p.rule_id").alias("hard_block_rules"))
+    none = F.array().cast("array<string>")
+    joined = whole.join(counted, by, "left").join(blocks, by, "left")
+    return joined.select(
+        by, F.col("_o.session_id").alias("session_id"), F.col("_o.regulation_set_version").alias("regulation_set_version"), F.coalesce("_o.rules_to_evaluate", none).alias("required_rules"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("passed_count", "failed_count", "noted_count")], F.coalesce("hard_block_rules", none).alias("hard_block_rules"),
+        F.coalesce("completed", F.lit(False)).alias("completed"), "overall_verdict", "last_event_type", "checkpoint_position", "snapshot_version",
+    )
+
+
+AGENT_FIELDS = ("total_sessions", "analyses_completed", "decisions_generated", "avg_confidence_score", "avg_duration_ms", "approve_count", "decline_count", "refer_count", "human_override_count")
+
+
+def _credited(events: DataFrame, starts: DataFrame, key: str) -> DataFrame:
+    """Each event with the interval (``since``, ``until``) of its key that it falls into; others are dropped."""
+    after = Window.partitionBy(key).orderBy("since")
+    spans = starts.withColumn("until", F.lead("since").over(after))
+    return events.join(spans, key).where("global_position > since and (until is null or global_position < until)")
+
+
+def expected_agents(ledger: DataFrame) -> DataFrame:
+    """Agent performance by another route: starts and decisions become intervals of positions, and events are joined into them."""
+    facts = stage(session_facts(ledger))
+    starts = facts.where("_start is not null").select("session_id", F.col("global_position").alias("since"), F.struct(*[F.col(f"_start.{k}").alias(k) for k in KEY]).alias("agent"))
+    outputs = stage(_credited(facts.where("_start is null").drop("_start"), starts, "session_id"))
+    decided = outputs.where("event_type = 'DecisionGenerated' and application_id is not null").select("application_id", F.col("global_position").alias("since"), "agent")
+    reviews = _credited(override_facts(ledger).where("application_id is not null"), decided, "application_id")
+    work = outputs.select("agent", "event_type", "confidence", "duration_ms", "recommendation")
+    rows = work.unionByName(starts.select("agent", F.lit("start").alias("event_type")), allowMissingColumns=True).unionByName(reviews.select("agent", F.lit("override").alias("event_type")), allowMissingColumns=True)
+    t, decision = F.col("event_type"), F.col("event_type") == "DecisionGenerated"
+    return rows.groupBy("agent").agg(
+        F.count_if(t == "start").alias("total_sessions"), F.count_if(~t.isin("start", "override", "DecisionGenerated")).alias("analyses_completed"), F.count_if(decision).alias("decisions_generated"),
+        (F.sum("confidence").cast("double") / F.count("confidence")).alias("avg_confidence_score"), (F.sum("duration_ms").cast("double") / F.count("duration_ms")).alias("avg_duration_ms"),
+        *[F.count_if(decision & (F.col("recommendation") == r)).alias(f"{r.lower()}_count") for r in ("APPROVE", "DECLINE", "REFER")], F.count_if(t == "override").alias("human_override_count"),
+    ).select("agent.*", *AGENT_FIELDS)
+
+
+def verify_compliance(stored: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Differences between stored current compliance states and their recomputation."""
+    return compare_by_buckets(stored, stage(expected_compliance(ledger)), ["application_id"], COMPLIANCE_FIELDS)
+
+
+def verify_agents(stored: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Differences between stored agent rows and their recomputation."""
+    return compare_by_buckets(stored, stage(expected_agents(ledger)), KEY, AGENT_FIELDS)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldstone.operators import compliance, loans
+from foldstone.operators import compliance, loans, verify
 from foldstone.plans.ctes import LOAN, RULES
 from foldstone.plans.registry import as_double, joined, micros, query
+from foldstone.session import stage
 from foldstone.sources import stored
 
 HISTORY = f"""{RULES},
@@ -54,6 +55,29 @@ def compliance_current(spark, folder):
     return _flat(compliance.compliance_current(stored.rule_ledger(spark, folder)))
 
 
+@query(
+    "rebuild_compliance",
+    f"""WITH {HISTORY}, cur AS (SELECT *, application_id::BIGINT AS u FROM hist QUALIFY row_number() OVER (PARTITION BY application_id ORDER BY global_position DESC) = 1)
+    SELECT application_id, 'missing' AS problem, NULL AS field, NULL AS stored, NULL AS expected FROM cur WHERE u % 37 = 0
+    UNION ALL SELECT 'ghost-' || application_id, 'unexpected', NULL, NULL, NULL FROM cur WHERE u % 17 = 1
+    UNION ALL SELECT application_id, 'mismatch', 'passed_count', (passed_count + 1)::VARCHAR, passed_count::VARCHAR FROM cur WHERE u % 37 <> 0 AND u % 11 = 3
+    UNION ALL SELECT application_id, 'mismatch', 'hard_block_rules', 'REG-999', hard_block_rules FROM cur WHERE u % 37 <> 0 AND u % 13 = 5
+    UNION ALL SELECT application_id, 'mismatch', 'completed', (NOT completed)::VARCHAR, completed::VARCHAR FROM cur WHERE u % 37 <> 0 AND u % 19 = 2""",
+)
+def rebuild_compliance(spark, folder):
+    """Current states with lost, invented and changed rows against a recomputation."""
+    ledger = stored.rule_ledger(spark, folder)
+    rows = stage(compliance.compliance_current(ledger))
+    u = F.col("application_id").cast("bigint")
+    changed = rows.where(u % 37 != 0).withColumns({
+        "passed_count": F.col("passed_count") + (u % 11 == 3).cast("int"),
+        "hard_block_rules": F.when(u % 13 == 5, F.array(F.lit("REG-999"))).otherwise(F.col("hard_block_rules")),
+        "completed": F.when(u % 19 == 2, ~F.col("completed")).otherwise(F.col("completed")),
+    })
+    ghosts = rows.where(u % 17 == 1).withColumn("application_id", F.concat(F.lit("ghost-"), "application_id"))
+    return verify.verify_compliance(stage(changed.unionByName(ghosts)), ledger)
+
+
 @query(
     "compliance_as_of",
     f"""WITH {HISTORY}, probes AS (SELECT gpos, app, ts - INTERVAL 30 MINUTE AS at FROM ev)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from foldstone.operators import agents, summary
+from pyspark.sql import functions as F
+
+from foldstone.operators import agents, summary, verify
 from foldstone.plans.ctes import LOAN, agents_cte, summary_cte
 from foldstone.plans.registry import as_double, joined, micros, query, rounded
+from foldstone.session import stage
 from foldstone.sources import stored
 
 
@@ -54,3 +57,24 @@ def agent_columns(df):
         micros("first_seen_at"), micros("last_seen_at"), rounded("approve_rate"), rounded("decline_rate"),
         rounded("refer_rate"), rounded("human_override_rate"),
     )
+
+
+@query(
+    "rebuild_agents",
+    f"""WITH {LOAN}, {agents_cte()}
+    SELECT agent_type, agent_id, model_version, 'missing' AS problem, NULL AS field, NULL AS stored, NULL AS expected FROM perf WHERE agent_id = 'agent-5'
+    UNION ALL SELECT agent_type, 'other-' || agent_id, model_version, 'unexpected', NULL, NULL, NULL FROM perf WHERE agent_id = 'agent-2'
+    UNION ALL SELECT agent_type, agent_id, model_version, 'mismatch', 'total_sessions', (total_sessions + 2)::VARCHAR, total_sessions::VARCHAR FROM perf WHERE agent_id = 'agent-3'
+    UNION ALL SELECT agent_type, agent_id, model_version, 'mismatch', 'refer_count', '-1', refer_count::VARCHAR FROM perf WHERE agent_id = 'agent-6' AND model_version = 'm0'""",
+)
+def rebuild_agents(spark, folder):
+    """Agent rows with lost, invented and changed ones against a recomputation."""
+    ledger = stored.loan_ledger(spark, folder)
+    rows = stage(agents.agent_performance(ledger))
+    name = F.col("agent_id")
+    changed = rows.where(name != "agent-5").withColumns({
+        "total_sessions": F.col("total_sessions") + F.when(name == "agent-3", 2).otherwise(0),
+        "refer_count": F.when((name == "agent-6") & (F.col("model_version") == "m0"), F.lit(-1).cast("bigint")).otherwise(F.col("refer_count")),
+    })
+    added = rows.where(name == "agent-2").withColumn("agent_id", F.concat(F.lit("other-"), "agent_id"))
+    return verify.verify_agents(stage(changed.unionByName(added)), ledger)

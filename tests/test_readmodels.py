@@ -150,3 +150,26 @@ def test_long_streams_replay_like_a_plain_loop(spark, tiny_blocks):
     got = {r.application_id: (r.state, (r.error_position, r.error_target) if r.error_position is not None else None) for r in loans.replay_loans(log.frame(spark)).collect()}
     assert got == want
     assert any(e for _, e in want.values()) and any(e is None for _, e in want.values())
+
+
+def test_only_differing_buckets_are_compared(spark):
+    rows = [(f"k{i}", i, float(i), ["b", "a"]) for i in range(200)]
+    ddl = "k string, n int, x double, l array<string>"
+    stored, expected = spark.createDataFrame(rows, ddl), spark.createDataFrame([(k, n, x + 1e-9, l[::-1]) for k, n, x, l in rows[::-1]], ddl)
+    for buckets in (1, 64):
+        assert verify.compare_by_buckets(stored, expected, ["k"], ["n", "x", "l"], buckets).count() == 0
+        other = stored.where("k <> 'k7'").withColumn("n", F.when(F.col("k") == "k9", None).otherwise(F.col("n"))).union(spark.createDataFrame([("new", 1, 1.0, None), ("k3", 3, 3.0, ["a", "b"])], ddl).where("k = 'new'"))
+        got = {(r.k, r.problem, r.field, r.stored, r.expected) for r in verify.compare_by_buckets(other, expected, ["k"], ["n", "x", "l"], buckets).collect()}
+        assert got == {("k7", "missing", None, None, None), ("new", "unexpected", None, None, None), ("k9", "mismatch", "n", None, "9")}
+
+
+def test_recomputed_compliance_and_agents_agree_with_the_folds(spark, tiny_blocks):
+    b, log = {"application_id": "R", "session_id": "s"}, approved_path(approved_path(Log(), "A1"), "B1", hard=True)
+    for kind, more in [("RuleFailed", {"rule_id": "X"}), ("CheckCompleted", {"has_hard_block": True}), ("RuleFailed", {"rule_id": "Y", "is_hard_block": True}), ("CheckInitiated", {}), ("CheckCompleted", {"has_hard_block": True}),
+                       ("RuleFailed", {"rule_id": "Z"}), ("RuleFailed", {"rule_id": "Z"}), ("CheckCompleted", {"has_hard_block": True, "overall_verdict": "BLOCKED"}), ("RuleFailed", {"rule_id": "V"})]:
+        log.add("compliance-R", f"Compliance{kind}", {**b, **more})
+    frame = log.frame(spark)
+    assert verify.verify_compliance(compliance.compliance_current(frame), frame).count() == 0
+    assert verify.verify_agents(agents.agent_performance(frame), frame).count() == 0
+    forged = compliance.compliance_current(frame).withColumn("overall_verdict", F.lit("CLEAR"))
+    assert verify.verify_compliance(forged, frame).where("field = 'overall_verdict'").count() >= 1
