@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foldstone.functions import ids, payload as P
 from foldstone.functions.digest import TREE, Tree, chain_digest, event_digest, ordered_digest, prefix_digests
+from foldstone.functions.mountain import RANGE, Range, differing, grown, leaves, peaks, roots
 from foldstone.operators.scan import before, running
 from foldstone.schema import LEDGER_COLUMNS
 from foldstone.session import stage
@@ -69,6 +72,52 @@ def integrity_checks(ledger: DataFrame, entities: DataFrame, audit_events: DataF
     )
 
 
+@dataclass(frozen=True)
+class RangeCheck:
+    """``results``: stream_id, verified, root, previous_root, consistent, hashed; ``nodes``: those to append to the kept ones."""
+
+    results: DataFrame
+    nodes: DataFrame
+
+
+def range_check(ledger: DataFrame, nodes: DataFrame | None = None, previous: DataFrame | None = None, digest: Column | None = None, shape: Range = RANGE) -> RangeCheck:
+    """Extend the hash range of every stream by the events that came since ``previous`` (stream_id, verified, root).
+
+    Only those events are hashed, whatever the streams' lengths; of the kept ``nodes`` only the peaks are read. A stream is
+    consistent if its kept peaks still give the root of the last check, so the new root proves that the old events are its
+    beginning. Whether the stored events still are what was hashed is what ``tampered_events`` looks at.
+    """
+    by = ["stream_id"]
+    fresh = ledger.select(*by, "stream_position", (digest if digest is not None else event_digest(ledger)).alias("event_hash"))
+    if previous is not None:
+        fresh = fresh.join(previous.select(*by, F.col("verified").alias("_known")), by, "left").where("_known is null or stream_position > _known").drop("_known")
+    fresh = stage(fresh)
+    before_peaks = stage(peaks(nodes, previous, by, "verified", shape)) if previous is not None else None
+    made = stage(grown(leaves(fresh, by, "stream_position", "event_hash"), before_peaks, by, shape))
+    added = fresh.groupBy(*by).agg(F.count("*").alias("hashed"))
+    known = previous.select(*by, F.col("verified").alias("_known"), F.col("root").alias("previous_root")) if previous is not None else added.select(*by, F.lit(0).cast("bigint").alias("_known"), F.lit(None).cast("string").alias("previous_root")).limit(0)
+    counts = known.join(added, by, "full").select(*by, F.coalesce("hashed", F.lit(0)).cast("bigint").alias("hashed"), "_known", "previous_root")
+    counts = stage(counts.withColumn("verified", F.coalesce("_known", F.lit(0)) + F.col("hashed")))
+    present = made if before_peaks is None else made.unionByName(before_peaks.select(*made.columns))
+    found = counts.join(roots(peaks(present, counts, by, "verified", shape), counts, by, "verified", "root").select(*by, "root"), by)
+    if previous is not None:
+        again = roots(before_peaks, previous, by, "verified", "_again").select(*by, "_again")
+        found = found.join(again, by, "left")
+    else:
+        found = found.withColumn("_again", F.lit(None).cast("string"))
+    consistent = F.col("previous_root").isNull() | F.coalesce(F.col("_again") == F.col("previous_root"), F.lit(False))
+    return RangeCheck(found.select(*by, "verified", "root", "previous_root", consistent.alias("consistent"), "hashed"), made)
+
+
+def tampered_events(ledger: DataFrame, nodes: DataFrame, digest: Column | None = None, shape: Range = RANGE) -> DataFrame:
+    """(stream_id, stream_position, problem, recorded_hash, found_hash) of events that are not what was hashed, or are gone."""
+    now = ledger.select("stream_id", "stream_position", (digest if digest is not None else event_digest(ledger)).alias("event_hash"))
+    recomputed = stage(grown(leaves(now, ["stream_id"], "stream_position", "event_hash"), None, ["stream_id"], shape))
+    wrong = differing(nodes, recomputed, ["stream_id"], shape)
+    problem = F.when(F.col("found").isNull(), F.lit("missing")).otherwise(F.lit("changed"))
+    return wrong.select("stream_id", (F.col("idx") + 1).alias("stream_position"), problem.alias("problem"), F.col("digest").alias("recorded_hash"), F.col("found").alias("found_hash"))
+
+
 def check_events(results: DataFrame, first_global_position: int) -> DataFrame:
     """Results as audit events, one per audit stream, to be appended to the log."""
     from foldstone.operators.scan import number_rows

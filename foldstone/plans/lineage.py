@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldstone.functions.digest import Tree, canonical_json
+from foldstone.functions.mountain import Range
 from foldstone.operators.scan import number_rows
 from foldstone.operators import branches, integrity, lineage
 from foldstone.plans.ctes import LOAN, summary_cte
@@ -240,3 +241,58 @@ def branch_outcomes(spark, folder):
     )
     o = branches.branch_outcomes(branches.branch_timelines(ledger, "CreditAnalysisCompleted", injected))
     return o.select("application_id", "branch", "events", "state", "risk_tier", "fraud_score", "overall_verdict", as_double("requested_amount_usd"), "recommendation", as_double("amount_usd"))
+
+
+# Widths that the streams of the supplied tables exceed several times over.
+SMALL_RANGE = Range(fan_in=4, levels=5)
+
+
+def _range_sql() -> str:
+    """CTEs up to roots(stream_id, verified, root, early): ranges over the streams of all families, with digests of all nine columns."""
+    digest = """sha256('{"event_id":"' || eid || '","event_type":"' || t || '","event_version":1,"global_position":' || gpos || ',"metadata":"{\\"chain\\":\\"c' || app || '\\"}","payload":"{\\"k\\":' || gpos || ',\\"t\\":\\"'
+      || t || '\\"}","recorded_at":' || epoch_us(ts) || ',"stream_id":"' || stream_id || '","stream_position":' || pos || '}')"""
+    f, top = SMALL_RANGE
+    steps = [f"n0 AS (SELECT stream_id AS s, 0 AS l, pos - 1 AS i, {digest} AS d FROM nn)"]
+    steps += [f"n{j} AS (SELECT s, {j} AS l, i // {f} AS i, sha256('node:' || string_agg(d, '' ORDER BY n{j - 1}.i)) AS d FROM n{j - 1} GROUP BY s, n{j - 1}.i // {f} HAVING count(*) = {f})" for j in range(1, top + 1)]
+    every = " UNION ALL ".join(f"SELECT * FROM n{j}" for j in range(top + 1))
+    return f"""{LOAN},
+nn AS (SELECT stream_id, gpos, ts, t, app, eid, row_number() OVER (PARTITION BY stream_id ORDER BY gpos) AS pos FROM led),
+{", ".join(steps)}, every AS ({every}),
+counts AS (SELECT stream_id AS s, count(*) AS n, true AS early FROM nn WHERE ts < TIMESTAMP '{CUT}' GROUP BY 1 UNION ALL SELECT stream_id, count(*), false FROM nn GROUP BY 1),
+roots AS (SELECT c.s AS stream_id, n AS verified, early, sha256('root:' || n || ':' || string_agg(d, '' ORDER BY l DESC, i)) AS root FROM counts c JOIN every e ON e.s = c.s
+  AND i < n // ({f} ** l)::BIGINT AND (l = {top} OR i >= (n // ({f} ** (l + 1))::BIGINT) * {f}) GROUP BY 1, 2, 3)
+"""
+
+
+def _plain_events(spark, folder):
+    """The ledger of all stream families with documents that SQL can write out."""
+    ledger = stored.loan_ledger(spark, folder)
+    app = F.get_json_object("payload", "$.application_id")
+    payload = F.concat(F.lit('{ "t":"'), "event_type", F.lit('", "k":'), F.col("global_position").cast("string"), F.lit("}"))
+    return stage(ledger.withColumns({"metadata": F.concat(F.lit('{"chain": "c'), app, F.lit('"}')), "payload": payload, "event_version": F.lit(1)}))
+
+
+@query(
+    "integrity_ranges",
+    f"""WITH {_range_sql()} SELECT w.stream_id, w.verified, w.root, o.root AS previous_root, true AS consistent, w.verified - coalesce(o.verified, 0) AS hashed
+    FROM roots w LEFT JOIN roots o ON o.stream_id = w.stream_id AND o.early WHERE NOT w.early""",
+)
+def integrity_ranges(spark, folder):
+    """Two checks of all streams; the second one hashes only what came after the first."""
+    ledger = _plain_events(spark, folder)
+    first = integrity.range_check(ledger.where(F.col("recorded_at") < F.lit(CUT).cast("timestamp")), shape=SMALL_RANGE)
+    return integrity.range_check(ledger, stage(first.nodes), stage(first.results), shape=SMALL_RANGE).results
+
+
+@query(
+    "tampered_events",
+    f"""WITH {LOAN}, nn AS (SELECT stream_id, gpos, row_number() OVER (PARTITION BY stream_id ORDER BY gpos) AS pos FROM led)
+    SELECT stream_id, pos AS stream_position, CASE WHEN gpos % 89 = 5 THEN 'missing' ELSE 'changed' END AS problem FROM nn WHERE gpos % 89 = 5 OR gpos % 97 = 3""",
+)
+def tampered_events(spark, folder):
+    """Events that were changed or taken out after they had been hashed."""
+    ledger = _plain_events(spark, folder)
+    nodes = stage(integrity.range_check(ledger, shape=SMALL_RANGE).nodes)
+    at = F.col("global_position")
+    forged = ledger.where(at % 89 != 5).withColumn("recorded_at", F.when(at % 97 == 3, F.col("recorded_at") + F.expr("interval 1 second")).otherwise(F.col("recorded_at")))
+    return integrity.tampered_events(forged, nodes, shape=SMALL_RANGE).select("stream_id", "stream_position", "problem")
