@@ -126,13 +126,21 @@ def correlation_chains(spark, folder):
 
 @query(
     "causal_violations",
-    f"""WITH {LOAN}, ef AS (SELECT app, eid, gpos, 'e' || (gpos - k) AS cause FROM led WHERE k > 0)
-    SELECT ef.app AS application_id, ef.eid AS event_id, ef.cause AS causation_id, 'causation target is missing from the related event set' AS reason
-    FROM ef LEFT JOIN led c ON c.app = ef.app AND c.eid = ef.cause WHERE c.eid IS NULL""",
+    f"""WITH {LOAN}, f AS (SELECT app, min(gpos) AS g0 FROM led GROUP BY 1),
+    ef AS (SELECT *, CASE gpos % 3 WHEN 0 THEN eid WHEN 1 THEN 'e' || g0 ELSE 'nowhere' || gpos END AS cause FROM led JOIN f USING (app))
+    SELECT app AS application_id, eid AS event_id, cause AS causation_id, 'causation target is missing from the related event set' AS reason FROM ef WHERE gpos % 3 = 2
+    UNION ALL SELECT app, eid, cause, 'causation target appears at or after the dependent event in global order' FROM ef WHERE gpos % 3 = 0 OR (gpos % 3 = 1 AND gpos = g0)
+    UNION ALL SELECT app, eid, cause, 'causation target belongs to a different correlation chain' FROM ef WHERE gpos % 3 = 1 AND gpos % 2 <> g0 % 2""",
 )
 def causal_violations(spark, folder):
-    related = lineage.audited_events(stored.loan_ledger(spark, folder))
-    return lineage.causal_violations(related).select("application_id", "event_id", "causation_id", "reason")
+    """Events that name themselves, the first event of their application or nothing as their cause, in two chains."""
+    ledger = stored.loan_ledger(spark, folder).withColumn("_app", F.get_json_object("payload", "$.application_id"))
+    at = F.col("global_position")
+    first = ledger.groupBy("_app").agg(F.min_by("event_id", "global_position").alias("_first"))
+    cause = F.when(at % 3 == 0, F.col("event_id")).when(at % 3 == 1, F.col("_first")).otherwise(F.concat(F.lit("nowhere"), at.cast("string")))
+    meta = F.to_json(F.struct(F.concat(F.lit("c"), (at % 2).cast("string")).alias("correlation_id"), cause.alias("causation_id")))
+    told = ledger.join(first, "_app").withColumn("metadata", meta).drop("_app", "_first")
+    return lineage.causal_violations(lineage.audited_events(told)).select("application_id", "event_id", "causation_id", "reason")
 
 
 @query(

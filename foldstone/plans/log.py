@@ -51,12 +51,17 @@ def log_after_position(spark, folder):
     return log_after(ledger, half).select("event_id", "global_position", "stream_id", "event_type")
 
 
-@query("log_check", f"""WITH {LOAN}, d AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY gpos) AS pos, gpos, t FROM led),
-    kept AS (SELECT *, lag(pos) OVER (PARTITION BY stream_id ORDER BY pos) AS prev FROM d WHERE t <> 'DocumentUploadRequested')
-    SELECT 'gap' AS problem, stream_id || ':' || pos AS subject, pos - coalesce(prev, 0) - 1 AS detail FROM kept WHERE pos <> coalesce(prev, 0) + 1""")
+@query("log_check", f"""WITH {LOAN}, d AS (SELECT eid, stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY gpos) AS pos, gpos, CASE WHEN gpos % 103 = 0 THEN 0 ELSE gpos END AS g, t FROM led),
+    k0 AS (SELECT * FROM d WHERE t <> 'DocumentUploadRequested'), kept AS (SELECT *, lag(pos) OVER w AS prev, lag(g) OVER w AS pg FROM k0 WINDOW w AS (PARTITION BY stream_id ORDER BY pos))
+    SELECT 'gap' AS problem, stream_id || ':' || pos AS subject, pos - coalesce(prev, 0) - 1 AS detail FROM kept WHERE pos <> coalesce(prev, 0) + 1
+    UNION ALL SELECT 'duplicate_event_id', eid, 2 FROM k0 WHERE gpos % 101 = 0 UNION ALL SELECT 'duplicate_position', stream_id || ':' || pos, 2 FROM k0 WHERE gpos % 101 = 0
+    UNION ALL SELECT 'global_order', stream_id || ':' || pos, g FROM kept WHERE g <= pg""")
 def log_check(spark, folder):
-    """Constraint check of a log that lost its upload requests."""
-    return append.check_log(stored.loan_ledger(spark, folder).where("event_type <> 'DocumentUploadRequested'"))
+    """Constraint check of a log that lost its upload requests, has some events twice and others at position 0."""
+    at = F.col("global_position")
+    kept = stored.loan_ledger(spark, folder).where("event_type <> 'DocumentUploadRequested'")
+    twice = kept.where(at % 101 == 0)
+    return append.check_log(kept.unionByName(twice).withColumn("global_position", F.when(at % 103 == 0, F.lit(0).cast("bigint")).otherwise(at)))
 
 
 def _requests(spark, folder):
@@ -134,14 +139,20 @@ def appended_events(spark, folder):
 
 @query(
     "conflict_statistics",
-    f"""WITH RECURSIVE {APPENDS} SELECT 'q-' || u AS stream_id, count(*) FILTER (WHERE status = 'accepted') AS accepted, count(*) FILTER (WHERE status = 'conflict') AS conflicts
-    FROM run WHERE rn > 0 GROUP BY u""",
+    f"""WITH RECURSIVE {APPENDS}, {LOAN.replace("ev AS (", "ev0 AS (", 1).replace("FROM ev)", "FROM ev0)", 1)},
+    decided AS (SELECT 'q-' || u AS stream_id, count(*) FILTER (WHERE status = 'accepted') AS accepted, count(*) FILTER (WHERE status = 'conflict') AS conflicts FROM run WHERE rn > 0 GROUP BY u),
+    logged AS (SELECT 'q-' || app AS stream_id, count(*) FILTER (WHERE t = 'CreditAnalysisCompleted') AS completions, count(*) FILTER (WHERE t = 'HumanReviewRequested') AS failed_sessions, min(gpos) FILTER (WHERE t = 'ApplicationSubmitted') AS opened_position FROM led GROUP BY 1)
+    SELECT stream_id, coalesce(accepted, 0) AS accepted, coalesce(conflicts, 0) AS conflicts, coalesce(completions, 0) AS completions, coalesce(failed_sessions, 0) AS failed_sessions, opened_position FROM decided FULL JOIN logged USING (stream_id)""",
 )
 def conflict_statistics(spark, folder):
+    """Requests decided in a batch beside what the log says of their streams."""
     requests, heads = _requests(spark, folder)
     decided = append.decide_appends(requests, heads)
-    none = stored.loan_ledger(spark, folder).where("stream_id like 'q-%'")
-    return append.conflict_statistics(decided, none).select("stream_id", "accepted", "conflicts")
+    ledger = stored.loan_ledger(spark, folder)
+    failed = F.when(F.col("event_type") == "HumanReviewRequested", F.lit("AgentSessionFailed")).otherwise(F.col("event_type"))
+    own = ledger.select(F.concat(F.lit("q-"), F.get_json_object("payload", "$.application_id")).alias("stream_id"), F.col("global_position").alias("stream_position"), failed.alias("event_type"))
+    found = append.conflict_statistics(decided, own, opening="ApplicationSubmitted")
+    return found.select("stream_id", "accepted", "conflicts", "completions", "failed_sessions", "opened_position")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foldstone.operators import append, integrity, loans, package, summary, views
 from foldstone.plans.commands import WORK
+from foldstone.plans.compliance import REPLAY
 from foldstone.plans.ctes import LOAN, RULES, summary_cte
 from foldstone.plans.registry import as_double, joined, micros, query
 from foldstone.sources import adapters, stored
@@ -243,14 +244,14 @@ def top_event_types(spark, folder):
 
 @query(
     "ledger_totals",
-    f"""WITH {LOAN}, z AS (SELECT count(DISTINCT app) AS apps FROM led WHERE stream_id LIKE 'loan-%') SELECT (SELECT count(*) FROM led) AS total_events, (SELECT max(gpos) FROM led) AS latest_global_position, (SELECT epoch_us(arg_max(ts, gpos)) FROM led) AS latest_recorded_at,
-      (SELECT count(DISTINCT stream_id) FROM led) AS total_streams, (SELECT count(DISTINCT stream_id) FROM led WHERE stream_id LIKE 'fraud-%') AS archived_streams, 0 AS aggregate_snapshots FROM z""",
+    f"""WITH RECURSIVE {REPLAY.replace("FROM led WHERE stream_id LIKE 'loan-%')", "FROM led WHERE stream_id LIKE 'loan-%' AND ts < TIMESTAMP '2024-01-02')")}, z AS (SELECT count(*) AS apps FROM fin WHERE NOT bad) SELECT (SELECT count(*) FROM led) AS total_events, (SELECT max(gpos) FROM led) AS latest_global_position, (SELECT epoch_us(arg_max(ts, gpos)) FROM led) AS latest_recorded_at,
+      (SELECT count(DISTINCT stream_id) FROM led) AS total_streams, (SELECT count(DISTINCT stream_id) FROM led WHERE stream_id LIKE 'fraud-%') AS archived_streams, apps AS aggregate_snapshots FROM z""",
 )
 def ledger_totals(spark, folder):
     ledger = stored.loan_ledger(spark, folder)
     archive = append.archive_streams(spark.createDataFrame([], "stream_id string, archived_at timestamp"), ledger.where("stream_id like 'fraud-%'"), F.lit("2024-02-01").cast("timestamp"))
-    none = loans.save_snapshots(loans.replay_loans(ledger).where("false"), F.lit("2024-02-01").cast("timestamp"))
-    t = views.ledger_totals(ledger, append.stream_heads(ledger, archive), none)
+    saved = loans.save_snapshots(loans.replay_loans(ledger.where(F.col("recorded_at") < F.lit("2024-01-02").cast("timestamp"))), F.lit("2024-02-01").cast("timestamp"))
+    t = views.ledger_totals(ledger, append.stream_heads(ledger, archive), saved)
     return t.select("total_events", "latest_global_position", micros("latest_recorded_at"), "total_streams", "archived_streams", "aggregate_snapshots")
 
 
