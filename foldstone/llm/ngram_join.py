@@ -28,7 +28,7 @@ LAST = 2**63 - 1
 NULL_IDS = LAST - (1 << 40)
 # N-grams that one chunk of a block holds, about; a task holds two chunks. A set counts as so many n-grams at least, which
 # bounds the sets of a chunk, too.
-CHUNK_NGRAMS, SET_COST = 400_000, 100
+CHUNK_NGRAMS, SET_COST = 400_000, 20
 # Quarters of a prefix that the second look takes.
 CLOSER = 16
 # An n-gram counts as frequent from so many sets on; the filter of frequent n-grams has so many blocks of 64 bits.
