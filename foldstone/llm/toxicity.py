@@ -26,8 +26,8 @@ PARTS, HELD_OUT = 3, 1
 SAMPLE_PER_CLASS = 1000
 SAMPLE_CHARS = 20_000
 # Landmarks at most. Occurrences of a letter run in a document count up to CAP; the log-likelihood ratio of its counts in the
-# two classes must be SIGNIFICANT, far beyond what the most extreme of a million runs has by chance.
-LANDMARKS, CAP, SIGNIFICANT = 96, 5, 12.0
+# two classes must exceed the logarithm of the number of runs by MARGIN, which no run is expected to do by chance.
+LANDMARKS, CAP, MARGIN = 96, 5, 1.0
 # A landmark serves so many documents of label 1 that have fewer than COVER landmarks; no two are more alike than this.
 SUPPORT, COVER, ALIKE = 4, 12, 0.6
 SLICES = 8  # of the letter runs that are counted at a time
@@ -262,8 +262,9 @@ class Sample:
         return np.hstack([sums / root, SIZE_SCALE * root, np.ones((self.count, 1))])
 
 
-def _contrasts(sample: Sample, y: np.ndarray, used: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+def _contrasts(sample: Sample, y: np.ndarray, used: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """(log-likelihood ratio, letter run, its documents of label 1) of the runs that are significantly more in label 1."""
+    found, looked_at = [], 1
     part = used[sample.doc]
     doc, unit, times = sample.doc[part], sample.unit[part], sample.times[part]
     share = times[y[doc] == 1].sum() / max(1, times.sum())
@@ -287,10 +288,12 @@ def _contrasts(sample: Sample, y: np.ndarray, used: np.ndarray) -> Iterator[tupl
             rest = np.maximum(ones + zeros - expected, 1e-9)
             ratio = ones * np.log(np.maximum(ones, 1e-9) / expected) + np.where(zeros > 0, zeros * np.log(np.maximum(zeros, 1e-9) / rest), 0)
             bounds = np.searchsorted(number, np.arange(len(flat) + 1))
-            for g in np.flatnonzero((ratio > SIGNIFICANT) & (ones > expected) & (holders >= SUPPORT)).tolist():
+            looked_at += len(flat)
+            for g in np.flatnonzero((ratio > np.log(looked_at) + MARGIN) & (ones > expected) & (holders >= SUPPORT)).tolist():
                 w, k = row[first[g]], column[first[g]]
                 of_run = owner[bounds[g] : bounds[g + 1]]
-                yield float(ratio[g]), np.pad(sample.rows[w, k : k + n], (0, PIECE - n)), of_run[y[of_run] == 1]
+                found.append((float(ratio[g]), np.pad(sample.rows[w, k : k + n], (0, PIECE - n)), of_run[y[of_run] == 1]))
+    return [f for f in found if f[0] > np.log(looked_at) + MARGIN]
 
 
 def choose_landmarks(sample: Sample, y: np.ndarray, used: np.ndarray) -> np.ndarray:
