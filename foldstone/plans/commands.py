@@ -29,17 +29,17 @@ def _cases(spark, folder):
 
 
 def _states(spark, folder) -> C.States:
-    kept = C.replay_states
-    parts = {}
+    replayed = []
 
     def build(name):
         def run(s, f):
-            states = kept(stored.lifecycle_ledger(s, f))
-            return {"applications": states.applications, "sessions": states.sessions}[name]
+            # One replay gives both tables.
+            if not replayed:
+                replayed.append(C.replay_states(stored.lifecycle_ledger(s, f)))
+            return getattr(replayed[0], name)
         return run
 
-    for name in ("applications", "sessions"):
-        parts[name] = stored.derived(f"lifecycle-{name}", build(name), spark, folder)
+    parts = {name: stored.derived(f"lifecycle-{name}", build(name), spark, folder) for name in ("applications", "sessions")}
     from foldstone.operators.sessions import session_outputs
 
     outputs = session_outputs(stored.lifecycle_ledger(spark, folder)).select(F.col("stream_id").alias("session_stream"), "output_event_type", "output_stream_id")

@@ -385,7 +385,10 @@ def summary_rows(spark: SparkSession, folder: str) -> DataFrame:
 # ---- one well-formed application per customer, advanced to a depth given by its key ---------------------------------
 def lifecycle_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """customer -> applications W<key> that went 1 to 18 steps through the loan process."""
-    c = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"))
+    # The key column of all customers fits one split, but their events are many times as large, so they are built in parallel.
+    # The number is given, as partitions sized by the keys alone would be joined to a few.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    c = table(spark, folder, "customer").select(F.col("c_custkey").alias("k")).repartition(parts, "k")
     k = F.col("k")
     key, app = k.cast("string"), F.concat(F.lit("W"), k.cast("string"))
     hard = k % 5 == 0
@@ -427,7 +430,7 @@ def lifecycle_ledger(spark: SparkSession, folder: str) -> DataFrame:
     ]
     depth = F.when(hard, F.least(k % 18 + 1, F.lit(15))).otherwise(k % 18 + 1)
     structs = F.array(*[
-        F.struct(F.lit(i).alias("step"), s.alias("stream_id"), (t if isinstance(t, Column) else F.lit(t)).alias("event_type"), p.alias("payload")) for i, (s, t, p) in enumerate(steps, start=1)
+        F.struct(F.lit(i).alias("step"), s.alias("stream_id"), (t if isinstance(t, Column) else F.lit(t)).alias("event_type"), F.when(depth >= i, p).alias("payload")) for i, (s, t, p) in enumerate(steps, start=1)
     ])
     rows = c.select("k", F.inline(F.slice(structs, F.lit(1), depth.cast("int"))))
     position = F.col("k") * 32 + F.col("step")
