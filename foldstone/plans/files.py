@@ -154,9 +154,12 @@ def stateful_summary(spark, folder):
     out = _fresh(spark, "stateful")
     source = _fresh(spark, "log")
     ledger = stored.loan_ledger(spark, folder)
-    for part in _dealt(ledger):
-        part.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(ledger.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    parts = _dealt(ledger)
+    for part in parts:
+        part.write.mode("append").parquet(source)
+    # A part is written side by side into as many files as its tasks, and a trigger takes as many.
+    files = parts[0].rdd.getNumPartitions()
+    stream = spark.readStream.schema(ledger.schema).option("maxFilesPerTrigger", max(files, 1)).parquet(source)
     writer = state.stateful_summary(stream).writeStream.outputMode("update").option("checkpointLocation", _fresh(spark, "cp")).trigger(availableNow=True)
     writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).start().awaitTermination()
     rows = spark.read.parquet(out)

@@ -44,19 +44,19 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         state.remove()
         return
     held = list(state.get) if state.exists else [None, None] * len(KINDS) + [[], [], []]
-    rows = pd.concat(list(batches), ignore_index=True)
-    found: dict[str, tuple[object, int | None]] = {}
-    for k, name in enumerate(KINDS):
-        value, at = held[2 * k], held[2 * k + 1]
-        positions = rows[f"{name}_at"].dropna()
-        if len(positions) and (at is None or positions.max() > at):
-            latest = rows.loc[positions.idxmax(), name]
-            value, at = None if _missing(latest) else latest, int(positions.max())
-        found[name] = (value, at)
-    sessions = sorted({*held[-3], *rows["session_id"].dropna()})
-    checks = dict(zip(held[-2], held[-1]))
-    checks.update((int(p), None if _missing(v) else v) for p, v in zip(rows["checked_at"], rows["verdict"]) if not _missing(p))
-    check_at = sorted(checks)
+    found = {name: (held[2 * k], held[2 * k + 1]) for k, name in enumerate(KINDS)}
+    sessions, checks = set(held[-3]), dict(zip(held[-2], held[-1]))
+    # Plain lists: a call per register and application on a frame of a few rows costs far more than walking through them.
+    for rows in batches:
+        listed = {c: rows[c].tolist() for c in rows.columns}
+        for name, (value, at) in found.items():
+            for v, p in zip(listed[name], listed[f"{name}_at"]):
+                if not _missing(p) and (at is None or p > at):
+                    value, at = None if _missing(v) else v, int(p)
+            found[name] = (value, at)
+        sessions.update(s for s in listed["session_id"] if not _missing(s))
+        checks.update((int(p), None if _missing(v) else v) for p, v in zip(listed["checked_at"], listed["verdict"]) if not _missing(p))
+    sessions, check_at = sorted(sessions), sorted(checks)
     current, state_at = found["_state"]
     reasoned, declined_at = found["_hard_reason"]
     if state_at is not None and state_at == declined_at:
@@ -69,13 +69,29 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
 
 def stateful_summary(stream: DataFrame) -> DataFrame:
-    """Updated rows per application, in update mode: all fields of the application summary, and the last position."""
-    return _assignments(stream).groupBy("application_id").applyInPandasWithState(_advance, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """Updated rows per application, in update mode: all fields of the application summary, and the last position.
+
+    The registers merge as aggregates, so Spark keeps and updates the state of all applications itself, without a call to
+    Python and a frame per application and batch.
+    """
+    folded = _assignments(stream).groupBy("application_id").agg(
+        *[F.max_by(name, f"{name}_at").alias(name) for name in KINDS],
+        *[F.max(f"{name}_at").alias(f"{name}_at") for name in (*_HIDDEN, "last_event_type")],
+        F.collect_set("session_id").alias("sessions"), F.collect_set(F.when(F.col("checked_at").isNotNull(), F.struct("checked_at", "verdict"))).alias("checks"),
+    )
+    declined_at = F.col("_hard_reason_at")
+    known = F.array_max(F.filter("checks", lambda c: c["checked_at"] < declined_at))
+    declined = F.when(F.coalesce(known["verdict"] == "BLOCKED", F.lit(False)) | F.col("_hard_reason"), "DECLINED_COMPLIANCE").otherwise("FINAL_DECLINED")
+    return folded.select(
+        "application_id", F.when(F.col("_state_at") == declined_at, declined).otherwise(F.coalesce("_state", F.lit("NEW"))).alias("state"),
+        F.size("sessions").cast("bigint").alias("sessions_completed"), F.col("last_event_type_at").alias("last_position"), *SHOWN,
+    )
 
 
 def expiring_summary(stream: DataFrame, idle: str) -> DataFrame:
     """As ``stateful_summary``, but the state of an application is dropped when the stream's time has gone on by ``idle`` since
-    its last event, so state is bounded by the active applications. An event that comes later than that starts anew."""
+    its last event, so state is bounded by the active applications. An event that comes later than that starts anew.
+    Dropping it needs a timer per application, which aggregates do not have, so this fold runs in Python."""
     rows = _assignments(stream).withWatermark("recorded_at", idle)
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
