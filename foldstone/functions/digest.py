@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
-
+from pyspark.sql.types import BinaryType
 
 
 class Tree(NamedTuple):
@@ -42,12 +42,16 @@ def event_digest(df: DataFrame) -> Column:
     return F.sha2(envelope, 256)
 
 
-def _hashed(tag: str) -> Column:
-    """Digest of a group: its tag and its members' digests in order."""
-    members = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_d"))), lambda x: x["_d"])
+def _hashed(tag: str, binary: bool = False) -> Column:
+    """Digest of a group: its tag and its members' digests in order, as text also where they came as bytes."""
+    members = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_d"))), lambda x: F.lower(F.hex(x["_d"])) if binary else x["_d"])
     return F.sha2(F.concat(F.lit(tag), F.array_join(members, "")), 256)
 
 
+def _is_binary(df: DataFrame, digest: str) -> bool:
+    return isinstance(df.schema[digest].dataType, BinaryType)
+
+
 def _climb(level: DataFrame, keys: Sequence[str], name: str, tree: Tree) -> DataFrame:
     """Hash groups of digests level by level. Every level hashes, also a group of one, so all sizes have one definition."""
     for _ in range(tree.levels - 1):
@@ -58,12 +62,12 @@ def _climb(level: DataFrame, keys: Sequence[str], name: str, tree: Tree) -> Data
 
 def _leaves(df: DataFrame, keys: Sequence[str], ordinal: str, digest: str, tree: Tree) -> DataFrame:
     items = df.select(*keys, (F.col(ordinal) - 1).alias("_i"), F.col(digest).alias("_d"))
-    grouped = items.groupBy(*keys, F.floor(F.col("_i") / tree.fan_in).alias("_g")).agg(_hashed("leaf:").alias("_d"))
+    grouped = items.groupBy(*keys, F.floor(F.col("_i") / tree.fan_in).alias("_g")).agg(_hashed("leaf:", _is_binary(df, digest)).alias("_d"))
     return grouped.withColumnRenamed("_g", "_i")
 
 
 def ordered_digest(df: DataFrame, keys: Sequence[str], ordinal: str, digest: str, name: str, tree: Tree = TREE) -> DataFrame:
-    """One digest per key over ``digest`` in order of the dense 1-based ``ordinal``.
+    """One digest per key over ``digest`` (hex text, or the same as bytes, which are half as long) in order of the dense 1-based ``ordinal``.
 
     A tree of ``levels`` levels: ``fan_in`` items make a leaf, as many leaves a node, and so on up to the root, so no task
     joins more than that many digests.
@@ -82,7 +86,7 @@ def prefix_digests(df: DataFrame, keys: Sequence[str], ordinal: str, digest: str
     whole = leaves.join(asked, [*keys]).where(F.col("_i") < F.floor(F.col("_n") / tree.fan_in)).select("probe_id", "_i", "_d")
     rest = asked.where(F.col("_n") % tree.fan_in > 0).withColumn("_g", F.floor(F.col("_n") / tree.fan_in))
     tail = df.select(*keys, (F.col(ordinal) - 1).alias("_i"), F.col(digest).alias("_d")).withColumn("_g", F.floor(F.col("_i") / tree.fan_in))
-    partial = tail.join(rest, [*keys, "_g"]).where("_i < _n").groupBy("probe_id", "_g").agg(_hashed("leaf:").alias("_d"))
+    partial = tail.join(rest, [*keys, "_g"]).where("_i < _n").groupBy("probe_id", "_g").agg(_hashed("leaf:", _is_binary(df, digest)).alias("_d"))
     level = whole.unionByName(partial.select("probe_id", F.col("_g").alias("_i"), "_d"))
     found = _climb(level, ["probe_id"], name, tree)
     return asked.select("probe_id").join(found, "probe_id", "left").withColumn(name, F.coalesce(name, F.sha2(F.lit(""), 256)))

@@ -93,10 +93,11 @@ def package_rows(ledger: DataFrame, audit_events: DataFrame, integrity: DataFram
     the checks run for the packages (source_stream_id, events_verified, flags and hashes per application stream).
     """
     related = stage(number_rows(lineage.application_events(ledger), ["application_id"], "global_position", "n"))
-    events = related.select("application_id", F.lit(0).alias("s"), F.col("n"), envelope().alias("content"))
+    # Events and their sentences already have their ordinals; only the other sections are numbered below.
+    events = related.select("application_id", F.lit(0).alias("s"), F.col("n").alias("ordinal"), envelope().alias("content"))
     told = related.select("application_id", F.lit(4), "n", narrative_sentence())
     owner = F.regexp_extract("stream_id", "^audit-(?:loan|application)-(.*)$", 1)
-    audits = audit_events.where(F.col("stream_id").rlike("^audit-(loan|application)-")).select(owner.alias("application_id"), F.lit(1), "global_position", envelope())
+    audits = audit_events.where(F.col("stream_id").rlike("^audit-(loan|application)-")).select(owner.alias("application_id"), F.lit(1).alias("s"), F.col("global_position").alias("n"), envelope().alias("content"))
     scoped = related.where(F.col("recorded_at") <= examined_at).withColumnRenamed("application_id", "scope").drop("n")
     keys = ("scope",)
     summary = application_summary(scoped, keys).where("application_id = scope")
@@ -117,9 +118,9 @@ def package_rows(ledger: DataFrame, audit_events: DataFrame, integrity: DataFram
     )
     models = model_provenance(related.drop("n"))
     provenance = models.select("application_id", F.lit(5), "global_position", F.to_json(F.struct(*[c for c in models.columns if c not in ("application_id", "global_position")])))
-    rows = events.union(audits).union(states).union(checked).union(told).union(provenance)
-    ranked = number_rows(stage(rows), ["application_id", "s"], "n", "ordinal")
-    return ranked.select("application_id", F.element_at(F.array(*[F.lit(x) for x in SECTIONS]), F.col("s") + 1).alias("section"), "ordinal", "content")
+    rest = number_rows(stage(audits.union(states).union(checked).union(provenance)), ["application_id", "s"], "n", "ordinal")
+    rows = events.union(told).union(rest.select("application_id", "s", "ordinal", "content"))
+    return rows.select("application_id", F.element_at(F.array(*[F.lit(x) for x in SECTIONS]), F.col("s") + 1).alias("section"), "ordinal", "content")
 
 
 def _rank() -> Column:
@@ -128,8 +129,10 @@ def _rank() -> Column:
 
 def package_digests(rows: DataFrame, examined_at: Column) -> DataFrame:
     """Header per package: version, examination date, row count and digest over all rows."""
-    ordered = number_rows(rows.withColumn("_o", _rank() * (1 << 40) + F.col("ordinal")), ["application_id"], "_o", "_n")
-    hashed = stage(ordered.select("application_id", "_n", F.sha2(F.concat_ws("|", "section", F.col("ordinal").cast("string"), "content"), 256).alias("_h")))
+    # Rows are hashed where they lie; the shuffles see their digests as bytes, never the contents.
+    digest = F.unhex(F.sha2(F.concat_ws("|", "section", F.col("ordinal").cast("string"), "content"), 256))
+    narrow = rows.select("application_id", (_rank() * (1 << 40) + F.col("ordinal")).alias("_o"), digest.alias("_h"))
+    hashed = stage(number_rows(narrow, ["application_id"], "_o", "_n").select("application_id", "_n", "_h"))
     sizes = hashed.groupBy("application_id").agg(F.count("*").alias("rows"))
     head = F.concat_ws("|", F.lit(VERSION), "application_id", iso_time(examined_at), F.col("_tree"))
     return ordered_digest(hashed, ["application_id"], "_n", "_h", "_tree").join(sizes, "application_id").select(
@@ -144,8 +147,10 @@ def verify_packages(rows: DataFrame, headers: DataFrame, examined_at: Column) ->
         "application_id", F.get_json_object("content", "$.source_stream_id").alias("source"), F.get_json_object("content", "$.latest_integrity_hash").alias("latest")
     )
     parsed = F.from_json("content", "stream_id string, stream_position bigint, payload string, event_type string")
-    events = rows.where("section = 'event_stream'").select("application_id", parsed.alias("e"), F.sha2("content", 256).alias("event_hash")).join(block.select("application_id", "source"), "application_id", "left")
-    events = stage(events.where("source is null or e.stream_id = source").select("application_id", F.col("e.stream_position").alias("pos"), "event_hash"))
+    place = F.from_json("content", "stream_id string, stream_position bigint")
+    placed = rows.where("section = 'event_stream'").select("application_id", place.alias("e"), F.unhex(F.sha2("content", 256)).alias("event_hash"))
+    events = placed.select("application_id", "e.stream_id", F.col("e.stream_position").alias("pos"), "event_hash").join(block.select("application_id", "source"), "application_id", "left")
+    events = stage(events.where("source is null or stream_id = source").select("application_id", "pos", "event_hash"))
     check = F.from_json(F.col("e.payload"), "events_verified_count bigint, integrity_hash string, tamper_detected boolean")
     audits = rows.where("section = 'audit_stream'").select("application_id", "ordinal", parsed.alias("e")).where(F.col("e.event_type") == CHECK)
     audits = audits.select("application_id", "ordinal", F.col("e.stream_id").alias("audit_stream_id"), check.alias("c"), F.concat_ws("/", "application_id", F.col("ordinal").cast("string")).alias("probe_id"))

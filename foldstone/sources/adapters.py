@@ -308,7 +308,9 @@ def company_figures(spark: SparkSession, folder: str) -> DataFrame:
     """Whole-dollar revenue per customer; every other figure of its documents follows from it."""
     o = table(spark, folder, "orders")
     revenue = F.floor(F.sum(F.col("o_totalprice").cast("decimal(18,2)"))).cast("bigint")
-    return o.groupBy(F.col("o_custkey").alias("k")).agg(revenue.alias("r")).withColumn("company_id", company_key(F.col("k")))
+    # A row of figures is a few bytes, its documents are texts; the number is given so that they are built and read in parallel.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return o.groupBy(F.col("o_custkey").alias("k")).agg(revenue.alias("r")).withColumn("company_id", company_key(F.col("k"))).repartition(parts, "company_id")
 
 
 def _share(numerator: int, denominator: int) -> Column:
