@@ -41,11 +41,13 @@ def grouped_events(ledger: DataFrame) -> DataFrame:
     sessions = named.where("_session_id is not null").groupBy("_session_id").agg(F.max_by("_application_id", "global_position").alias("_by_session"))
     streams = named.groupBy("stream_id").agg(F.max_by("_application_id", "global_position").alias("_by_stream"))
     audit = P.filled(F.regexp_extract("stream_id", "^audit-(?:loan|application)-(.*)$", 1))
-    owner = F.coalesce("_application_id", P.filled(F.col("_by_session")), ids.package_owner(F.col("_package_id")), P.filled(F.col("_by_stream")), ids.stream_owner(), audit)
+    # Only events that do not name their application look for it; the others, payloads and all, stay where they are.
+    owner = F.coalesce(P.filled(F.col("_by_session")), ids.package_owner(F.col("_package_id")), P.filled(F.col("_by_stream")), ids.stream_owner(), audit)
     # Events without a session would all meet in one partition; their own id spreads them and matches nothing.
-    spread = rows.withColumn("_session_id", F.coalesce("_session_id", F.concat(F.lit("\x01"), "event_id")))
+    spread = rows.where("_application_id is null").withColumn("_session_id", F.coalesce("_session_id", F.concat(F.lit("\x01"), "event_id")))
     joined = spread.join(sessions, "_session_id", "left").join(streams, "stream_id", "left")
-    return joined.select(owner.alias("application_id"), *ledger.columns).where("application_id is not null")
+    found = joined.select(owner.alias("application_id"), *ledger.columns).where("application_id is not null")
+    return named.select(F.col("_application_id").alias("application_id"), *ledger.columns).union(found)
 
 
 def timeline(grouped: DataFrame, family: str | None = None, search: str | None = None) -> DataFrame:

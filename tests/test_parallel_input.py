@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from foldstone.functions import digest
-from foldstone.operators import commands as C, integrity, package
+from foldstone.operators import commands as C, integrity, package, views
 from foldstone.plans import commands
 from foldstone.sources import adapters
 from foldstone.streaming import state
@@ -65,3 +65,12 @@ def test_documents_of_companies_are_built_by_many_tasks(spark, tmp_path):
     spark.range(90).selectExpr("id as o_orderkey", "id % 30 as o_custkey", "id * 1000.5 as o_totalprice").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     texts = adapters.statement_texts(spark, str(tmp_path))
     assert texts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and texts.count() == 90
+
+
+def test_events_that_name_their_application_are_not_joined(spark):
+    log = Log().add("agent-x-s1", "AgentSessionStarted", {"application_id": "A", "session_id": "s1"}).add("agent-x-s1", "AgentNodeExecuted", {"session_id": "s1"})
+    log.add("docpkg-B", "PackageReadyForAnalysis", {"package_id": "docpkg-B"}).add("agent-y-s2", "AgentNodeExecuted", {"session_id": "s2"}).add("loan-C", "DocumentUploaded", {})
+    grouped = views.grouped_events(log.frame(spark))
+    assert sorted((r.application_id, r.event_id) for r in grouped.collect()) == [("A", "ev1"), ("A", "ev2"), ("B", "ev3"), ("C", "ev5")]
+    plan = grouped._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan.splitlines()[0] and "isnull(_application_id" in plan
