@@ -14,6 +14,7 @@ blocks. In both the driver only learns whether something is left.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -22,21 +23,30 @@ from pyspark.sql import DataFrame, functions as F
 from foldstone.session import block_rows, cut_lineage
 
 
-def _reached_in_block(edges: pd.DataFrame) -> pd.DataFrame:
-    """Children that refer to a hit, or to a child found before them."""
-    found: set[str] = set()
-    for child, parent, hit in edges.sort_values("place", kind="stable")[["child", "parent", "hit"]].itertuples(index=False):
-        if hit or parent in found:
-            found.add(child)
-    return pd.DataFrame({"id": pd.Series(sorted(found), dtype=object)})
+def _reached_in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Children that refer to a hit, or to a child found before them in their block. Blocks come one after the other, each in
+    order of its places, and may go on from one batch to the next; only what was found in the present one is held."""
+    at, found = None, set()
+    for batch in batches:
+        fresh = []
+        for key, block, child, parent, hit in zip(*(batch[c].tolist() for c in ("key", "block", "child", "parent", "hit"))):
+            if (key, block) != at:
+                at, found = (key, block), set()
+            if (hit or parent in found) and child not in found:
+                found.add(child)
+                fresh.append(child)
+        yield pd.DataFrame({"id": pd.Series(fresh, dtype=object)})
 
 
 def reached_in_order(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """All ids reached from ``seeds(id)`` over ``edges(key, place, child, parent)``, seeds included.
 
     ``place`` is the child's 1-based place among the nodes of its key; parents of a node come before it. A block has as many
-    places as ``foldstone.block.rows``, so a task holds the references of so many nodes, however large a key is.
+    places as ``foldstone.block.rows``, so a task holds the references of so many nodes, however large a key is. Most keys
+    are small, so a task folds many blocks in one pass. Blocks are dealt over a given number of tasks, as edges are few bytes
+    for their work; by a hash, as the partitions of the join before would be taken over and joined to a few.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = F.floor((F.col("place") - 1) / F.lit(block_rows(edges.sparkSession)))
     found = [cut_lineage(seeds.select("id").distinct())]
     left = _without_children(edges.select("key", block.alias("block"), "place", "child", "parent"), found[0])
@@ -45,7 +55,8 @@ def reached_in_order(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         hits = found[-1].select(F.col("id").alias("parent"), F.lit(True).alias("hit"))
         marked = cut_lineage(left.join(hits, "parent", "left").withColumn("hit", F.coalesce("hit", F.lit(False))))
         touched = marked.join(marked.where("hit").select("key", "block").distinct(), ["key", "block"], "left_semi")
-        fresh = cut_lineage(touched.groupBy("key", "block").applyInPandas(_reached_in_block, "id string"))
+        dealt = touched.repartition(parts, F.xxhash64("key", "block")).sortWithinPartitions("key", "block", "place")
+        fresh = cut_lineage(dealt.mapInPandas(_reached_in_blocks, "id string"))
         if fresh.isEmpty():
             break
         left = cut_lineage(_without_children(marked.drop("hit"), fresh))

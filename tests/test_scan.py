@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from foldstone.functions import digest
@@ -92,6 +93,21 @@ def test_rounds_do_not_grow_with_depth(spark, monkeypatch):
     assert len(seen) == 1 and max(seen) <= 5
 
 
+def test_small_keys_are_folded_side_by_side(spark):
+    pairs = [(f"k{k}", c, f"k{k}-{c}", f"k{k}-{c - 1}") for k in range(60) for c in range(1, 4)]
+    seeds = spark.createDataFrame([(f"k{k}-0",) for k in range(60)], "id string")
+    got = reached_in_order(spark.createDataFrame(pairs, "key string, place bigint, child string, parent string"), seeds).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.id for r in got) == sorted([f"k{k}-{c}" for k in range(60) for c in range(4)])
+    assert len({r.task for r in got if not r.id.endswith("-0")}) > 1
+
+
+def test_blocks_go_on_over_batches_and_end_with_their_key():
+    rows = [("a", 0, "x2", "x1", True), ("a", 0, "x3", "x2", False), ("a", 0, "x3", "x1", True), ("a", 1, "x9", "x3", False), ("b", 0, "y2", "x3", False)]
+    edges = pd.DataFrame(rows, columns=["key", "block", "child", "parent", "hit"])
+    for cut in range(len(rows) + 1):
+        assert [i for found in closure._reached_in_blocks(iter([edges[:cut], edges[cut:]])) for i in found["id"]] == ["x2", "x3"]
+
+
 def tree_root(items, fan_in, levels):
     level, tag = items, "leaf:"
     for _ in range(levels):
