@@ -78,10 +78,14 @@ def written_provenance(writes: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def reference_tokens() -> Column:
     """What an event refers to: its cause, trigger, decision, recovered session and written events."""
+    def told(name: str) -> Column:
+        # Few events have the field. Only a text that holds its name, or an escape that may spell it, is parsed for it.
+        return F.when(F.col("payload").contains(name) | F.col("payload").contains("\\"), F.get_json_object("payload", f"$.{name}"))
+
     def field(name: str) -> Column:
-        return P.filled(F.get_json_object("payload", f"$.{name}"))
+        return P.filled(told(name))
 
-    written = F.from_json(F.get_json_object("payload", "$.events_written"), "array<struct<stream_id:string,stream_position:string>>")
+    written = F.from_json(told("events_written"), "array<struct<stream_id:string,stream_position:string>>")
     written = F.transform(written, lambda w: F.when(w["stream_id"].isNotNull() & w["stream_position"].isNotNull(), F.concat_ws(":", w["stream_id"], w["stream_position"])))
     named = F.array(P.filled(F.get_json_object("metadata", "$.causation_id")), field("triggered_by_event_id"), field("decision_event_id"), field("recovered_from_session_id"))
     return F.array_distinct(F.array_compact(F.concat(named, F.coalesce(written, F.array().cast("array<string>")))))

@@ -136,6 +136,13 @@ def test_dependents_follow_references_through_others(spark):
     assert got == {"c", "d", "f"}
 
 
+def test_reference_tokens_however_a_field_is_spelled(spark):
+    rows = [('{"triggered_by_event_id":"a"}', "{}"), ('{"\\u0074riggered_by_event_id":"b"}', "{}"), ('{"note":"decision_event_id"}', "{}"), (None, None), ("{decision_event_id", "{}"), ('{"recovered_from_session_id":5}', "{}"),
+            ('{"events_written":[{"stream_id":"x","stream_position":3}],"decision_event_id":""}', '{"causation_id":"c"}')]
+    got = spark.createDataFrame(rows, "payload string, metadata string").select(lineage.reference_tokens().alias("t")).collect()
+    assert [r.t for r in got] == [["a"], ["b"], [], [], [], ["5"], ["c", "x:3"]]
+
+
 def test_packages_verify_and_notice_changes(spark, tiny_blocks):
     at = F.lit("2026-03-01").cast("timestamp")
     log = approved_path(approved_path(Log(), "A1"), "B1", hard=True).frame(spark)
