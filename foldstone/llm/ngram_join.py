@@ -2,9 +2,9 @@
 
 The n-grams of a document are a set of 64-bit hashes. Two sets of the wanted similarity lack few of each other's n-grams,
 so each of them must find enough of its smallest n-grams in other sets; what does not is left out early. The rest falls
-into blocks connected by n-grams of their prefixes, in an order that puts frequent n-grams last. Within a block the sets of
-neighbouring size classes are compared, large classes in chunks: sets ordered by falling frequency are stored in a trie,
-and one walk carries the overlaps of all asking sets along shared paths.
+into cells: sets of two neighbouring size classes that n-grams of their prefixes connect, in an order that puts frequent
+n-grams last. The sets of a cell are compared, large cells in chunks: sets ordered by falling frequency are stored in a
+trie, and one walk carries the overlaps of all asking sets along shared paths. Sets travel as texts where these are short.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldstone.llm.components import components
@@ -26,15 +27,18 @@ from foldstone.session import stage
 LAST = 2**63 - 1
 # Null ids get numbers of their own in the last 2^40, by text.
 NULL_IDS = LAST - (1 << 40)
-# N-grams that one chunk of a block holds, about; a task holds two chunks. A set counts as so many n-grams at least, which
+# N-grams that one chunk of a cell holds, about; a task holds two chunks. A set counts as so many n-grams at least, which
 # bounds the sets of a chunk, too.
 CHUNK_NGRAMS, SET_COST = 400_000, 20
 # Quarters of a prefix that the second look takes.
 CLOSER = 16
+# A set is kept as its text if that has so many bytes for each n-gram at most: texts are compressed, hashes can't be.
+TEXT_BYTES = 16
 # An n-gram counts as frequent from so many sets on; the filter of frequent n-grams has so many blocks of 64 bits.
 FREQUENT, FREQUENT_BLOCKS = 64, 1 << 16
 
-PROFILE = "place long, raw long, doc_id long, n long, a long, b long, prefix array<long>"
+PROFILE = "place long, raw long, row long, doc_id long, n long, a long, b long, prefix array<long>"
+MEMBER = "place long, n long, copies long, text binary, grams binary, leads array<long>"
 
 
 def _place():
@@ -93,8 +97,8 @@ def _profiles(words: int, percent: int):
                 prefixes.append(grams[: looked_at(size, percent)].view(np.int64))
             counts = [len(p) for p in prefixes]
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            own = [batch.column("place"), batch.column("raw"), batch.column("doc_id")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists(flat, counts, pa.int64())], ["place", "raw", "doc_id", "n", "a", "b", "prefix"])
+            own = [batch.column(c) for c in ("place", "raw", "row", "doc_id")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists(flat, counts, pa.int64())], ["place", "raw", "row", "doc_id", "n", "a", "b", "prefix"])
 
     return of
 
@@ -109,28 +113,37 @@ def _passes(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def _members(words: int, percent: int, bits: np.ndarray):
-    """Whole sets, and their prefixes with frequent n-grams put last."""
+    """Whole sets, as texts or n-grams, and their prefixes with frequent n-grams put last."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            text = batch.column("text").cast(pa.binary())
             sets, leads = [], []
-            for grams in _sets(batch, words):
+            for grams, size in zip(_sets(batch, words), pc.binary_length(text).to_pylist()):
                 frequent = _passes(grams, bits)
                 ordered = np.concatenate([grams[~frequent], grams[frequent]])
                 leads.append(ordered[: len(grams) * (100 - percent) // 100 + 1].view(np.int64))
-                sets.append(grams.tobytes())
+                sets.append(grams.tobytes() if size > TEXT_BYTES * len(grams) else None)
             flat = np.concatenate(leads) if leads else np.zeros(0, np.int64)
             keep = [batch.column(c) for c in ("place", "n", "copies")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(sets, pa.binary()), lists(flat, [len(x) for x in leads], pa.int64())], ["place", "n", "copies", "grams", "leads"])
+            grams = pa.array(sets, pa.binary())
+            text = text.take(pa.array([k if g is None else None for k, g in enumerate(sets)], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*keep, text, grams, lists(flat, [len(x) for x in leads], pa.int64())], ["place", "n", "copies", "text", "grams", "leads"])
 
     return of
 
 
-def _closer(percent: int):
+def _kept_sets(text: pa.Array, grams: pa.Array, words: int) -> list[np.ndarray]:
+    """The sets that ``_members`` has made."""
+    both = pa.RecordBatch.from_arrays([text.cast(pa.large_binary()).view(pa.large_string()), grams], ["text", "grams"])
+    return [np.frombuffer(g.as_buffer(), np.uint64) if g.is_valid else own for part in slices(iter([both])) for own, g in zip(_sets(part, words), part.column("grams"))]
+
+
+def _closer(words: int, percent: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.frombuffer(g.as_buffer(), np.int64) for g in batch.column("grams")]
-            parts = [g[: looked_at(len(g), percent, CLOSER)] for g in sets]
+            sets = _kept_sets(batch.column("text"), batch.column("grams"), words)
+            parts = [g[: looked_at(len(g), percent, CLOSER)].view(np.int64) for g in sets]
             flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("place"), lists(flat, [len(p) for p in parts], pa.int64())], ["place", "part"])
 
@@ -214,15 +227,15 @@ def trie_join(indexed: list[np.ndarray], asking: list[np.ndarray], percent: int)
             path.append((at, asking_here[alive], overlap[alive]))
 
 
-def _joined(percent: int):
+def _joined(words: int, percent: int):
     """Links found in the meetings (cell, i, j) of a task: rows (u, v) of a spanning forest, and (u, links) counts.
 
-    A cell has the sets of one size class of a block as natives and those of the class below as guests; natives meet
-    natives and guests. Chunks i and j of a cell meet in one task.
+    A cell has sets of one size class as natives and sets of the class below as guests; natives meet natives and guests.
+    Chunks i and j of a cell meet in one task.
     """
 
     def meeting(rows: pd.DataFrame, out: list[tuple]) -> None:
-        sets = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
+        sets = _kept_sets(pa.array(rows["text"], pa.binary(), from_pandas=True), pa.array(rows["grams"], pa.binary(), from_pandas=True), words)
         place, copies = rows["place"].to_numpy(), rows["copies"].to_numpy()
         native, first = rows["native"].to_numpy(), (rows["own"] == rows["i"]).to_numpy()
         group, links = np.arange(len(rows)), np.zeros(len(rows), np.int64)
@@ -271,8 +284,8 @@ def linked_sets(documents: DataFrame, words: int = 4, percent: int = 85, chunk_n
     an empty result; other columns are ignored.
     """
     placed = documents.select(_place().alias("place"), F.xxhash64("text").alias("raw"), F.col("doc_id").cast("long"), "text")
-    profiles = stage(placed.mapInArrow(_profiles(words, percent), PROFILE))
-    sets = stage(profiles.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("place", "raw")).alias("first"), F.count("*").alias("copies")).select("a", "b", "n", "first.*", "copies"))
+    profiles = stage(placed.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_profiles(words, percent), PROFILE))
+    sets = stage(profiles.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("place", "raw", "row")).alias("first"), F.count("*").alias("copies")).select("a", "b", "n", "first.*", "copies"))
     edges, links = _links(placed, profiles, sets, words, percent, chunk_ngrams)
     found = stage(components(edges))
     of_set = sets.join(found.withColumnRenamed("node", "place"), "place", "left").join(links, "place", "left")
@@ -283,12 +296,13 @@ def linked_sets(documents: DataFrame, words: int = 4, percent: int = 85, chunk_n
 
 
 def _links(placed: DataFrame, profiles: DataFrame, sets: DataFrame, words: int, percent: int, chunk_ngrams: int) -> tuple[DataFrame, DataFrame]:
-    """Edges (u, v) between first documents of linked sets, a spanning forest of each block, and their numbers of links."""
-    grams = profiles.select("place", F.col("a").alias("of"), F.explode("prefix").alias("gram"))
-    several = stage(grams.groupBy("gram").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count("*").alias("m")).where("x <> y").select("gram", "m"))
+    """Edges (u, v) between first documents of linked sets, a spanning forest of each cell, and their numbers of links."""
+    # One row of each set is counted. A copy that the filter lets pass by chance only has more sets looked at.
+    firsts = possible_hits(profiles, F.xxhash64("row"), blocked_filter(sets.select(F.xxhash64("row").alias("h")), "h"))
+    several = stage(firsts.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"))
     # Most n-grams are in one set only; the filter keeps those from being shuffled again.
-    repeated = possible_hits(grams.select("place", "gram"), F.col("gram"), blocked_filter(several, "gram"))
-    enough = repeated.join(several, "gram").groupBy("place").count()
+    repeated = possible_hits(profiles.select("place", F.explode("prefix").alias("gram")), F.col("gram"), blocked_filter(several, "gram"))
+    enough = repeated.join(several.select("gram"), "gram").groupBy("place").count()
     near = stage(sets.join(enough, "place").where(F.col("count") >= needed(F.col("n"), percent)).select("place", "raw", "n", "copies"))
     # What many sets share, such as a common passage, comes last in the order, so it brings only sets together that have
     # little else. The filter has a fixed size; an n-gram that passes by chance is last for all sets alike.
@@ -297,32 +311,63 @@ def _links(placed: DataFrame, profiles: DataFrame, sets: DataFrame, words: int,
         bits[block] = found
     known = blocked_filter(near.select(F.xxhash64("place", "raw").alias("h")), "h")
     texts = possible_hits(placed.drop("doc_id"), F.xxhash64("place", "raw"), known).join(near, ["place", "raw"]).dropDuplicates(["place", "raw"])
-    held = stage(texts.select("place", "n", "copies", "text").mapInArrow(_members(words, percent, bits), "place long, n long, copies long, grams binary, leads array<long>"))
-    # The few sets that are left are looked at more closely, among themselves.
-    grams = held.select("place", "grams").mapInArrow(_closer(percent), "place long, part array<long>").select("place", F.explode("part").alias("gram"))
-    twice = stage(grams.groupBy("gram").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("gram"))
-    enough = possible_hits(grams, F.col("gram"), blocked_filter(twice, "gram")).join(twice, "gram").groupBy("place").count()
+    held = stage(texts.select("place", "n", "copies", "text").mapInArrow(_members(words, percent, bits), MEMBER))
+    # The few sets that are left are looked at more closely, among themselves. A set has an n-gram once, so the rows of one
+    # n-gram are as many as the sets at most.
+    grams = held.select("place", "text", "grams").mapInArrow(_closer(words, percent), "place long, part array<long>").select("place", F.explode("part").alias("gram"))
+    same = Window.partitionBy("gram")
+    enough = grams.select("place", F.min("place").over(same).alias("x"), F.max("place").over(same).alias("y")).where("x <> y").groupBy("place").count()
     solid = stage(held.select("place", "n").join(enough, "place").where(F.col("count") >= needed(F.col("n"), percent, CLOSER)).select("place", "n"))
-    leads = held.select("place", "leads").join(solid.select("place"), "place").select("place", F.explode("leads").alias("gram"))
-    heads = stage(leads.groupBy("gram").agg(F.min("place").alias("head"), F.max("place").alias("other")).where("head <> other").select("gram", "head"))
-    blocks = stage(components(leads.join(heads, "gram").select(F.col("place").alias("u"), F.col("head").alias("v"))))
-    # Sizes of linked sets differ by less than a class is wide (a little more than the similarity allows).
-    width = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9
-    size_class = F.floor(F.log("n") / width)
-    cells = F.explode(F.array(F.struct(size_class.alias("q"), F.lit(True).alias("native")), F.struct((size_class + 1).alias("q"), F.lit(False).alias("native"))))
-    placed_in = solid.join(blocks.select(F.col("node").alias("place"), F.col("component").alias("block")), "place").select("place", "n", "block", cells.alias("c"))
-    placed_in = stage(placed_in.select("place", "n", F.xxhash64("block", "c.q").alias("cell"), "c.native"))
-    sizes = stage(placed_in.groupBy("cell").agg(F.ceil(F.sum(F.greatest("n", F.lit(SET_COST))) / chunk_ngrams).cast("int").alias("chunks"), F.sum(F.greatest("n", F.lit(SET_COST))).alias("total"), F.count_if("native").alias("natives"), F.count("*").alias("m")).where("natives > 0 and m > 1"))
-    dealt = placed_in.join(sizes.select("cell", "chunks"), "cell").withColumn("own", F.pmod(F.xxhash64("place"), F.col("chunks")).cast("int")).drop("n")
-    other = held.select("place", "copies", "grams").join(dealt, "place").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    meetings = other.select("place", "copies", "cell", "native", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "grams")
-    total = sizes.agg(F.sum(F.col("total") * F.col("chunks"))).first()[0] or 0
+    placed_in = stage(_cells(held, solid, percent))
+    dealt = stage(_dealt(placed_in, chunk_ngrams))
+    moved = possible_hits(held.select("place", "copies", "text", "grams"), F.xxhash64("place"), blocked_filter(dealt.select(F.xxhash64("place").alias("h")), "h"))
+    other = moved.join(dealt, "place").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
+    meetings = other.select("place", "copies", "cell", "native", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "text", "grams")
+    total = dealt.agg(F.sum(F.col("cost") * F.col("meets"))).first()[0] or 0
     tasks = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // chunk_ngrams + 1)
-    found = meetings.withColumn("task", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(tasks))).groupBy("task").applyInPandas(_joined(percent), "u long, v long, links long")
+    found = meetings.withColumn("task", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(tasks))).groupBy("task").applyInPandas(_joined(words, percent), "u long, v long, links long")
     found = stage(found)
     return found.where("v IS NOT NULL").select("u", "v"), found.where("links IS NOT NULL").groupBy(F.col("u").alias("place")).agg(F.sum("links").alias("links"))
 
 
+def _cells(held: DataFrame, solid: DataFrame, percent: int) -> DataFrame:
+    """The cells of each set: place, n, cell, native.
+
+    Sizes of linked sets differ by less than a class is wide (a little more than the similarity allows), so they meet in
+    the class of the larger one, where the class below are guests. Only sets of one class and its guests are connected: over
+    all sizes, n-grams of passages that a few sets share connect ever more of the sets as these become more.
+    """
+    width = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9
+    size_class = F.floor(F.log("n") / width)
+    classes = F.explode(F.array(F.struct(size_class.alias("q"), F.lit(True).alias("native")), F.struct((size_class + 1).alias("q"), F.lit(False).alias("native"))))
+    leads = held.select("place", "n", "leads").join(solid.select("place"), "place", "left_semi").select("place", "leads", classes.alias("c")).select("place", "c.q", "c.native", F.explode("leads").alias("gram"))
+    heads = leads.groupBy("gram", "q").agg(F.min("place").alias("head"), F.max("place").alias("other"), F.bool_or("native").alias("met"))
+    heads = stage(heads.where("head <> other AND met").select("gram", "q", "head"))
+    # A set is a node in each of its classes.
+    cells = stage(components(leads.join(heads, ["gram", "q"]).select(F.xxhash64("place", "q").alias("u"), F.xxhash64("head", "q").alias("v"))))
+    nodes = solid.select("place", "n", classes.alias("c")).select("place", "n", "c.native", F.xxhash64("place", "c.q").alias("node"))
+    return nodes.join(cells, "node").select("place", "n", F.col("component").alias("cell"), "native")
+
+
+def _dealt(placed_in: DataFrame, chunk_ngrams: int) -> DataFrame:
+    """The sets that meet others: place, cell, native, cost, own chunk, and with the chunks of how many first numbers it meets.
+
+    A cell that is too large for one chunk has its natives in chunks 0 to k - 1 and its guests in those behind. Guests meet
+    natives only, so they are sent once for each chunk of natives.
+    """
+    cost = F.greatest("n", F.lit(SET_COST))
+    placed_in = placed_in.withColumn("cost", cost)
+    sizes = placed_in.groupBy("cell").agg(F.sum("cost").alias("total"), F.sum(F.when(F.col("native"), F.col("cost"))).alias("of_natives"), F.count("*").alias("m")).where("of_natives > 0 and m > 1")
+    chunks = lambda n: F.ceil(F.col(n) / chunk_ngrams).cast("int")
+    one = F.col("total") <= chunk_ngrams
+    sizes = sizes.withColumn("rest", F.col("total") - F.col("of_natives"))
+    sizes = sizes.select("cell", F.when(one, 1).otherwise(chunks("of_natives")).alias("natives"), F.when(one, 0).otherwise(chunks("rest")).alias("guests"))
+    number = lambda n: F.pmod(F.xxhash64("place"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    own = F.when(F.col("native"), number("natives")).when(F.col("guests") == 0, 0).otherwise(F.col("natives") + number("guests"))
+    meets = F.when(F.col("native"), F.col("natives") + F.col("guests")).otherwise(F.col("natives"))
+    return placed_in.join(sizes, "cell").select("place", "cell", "native", "cost", own.alias("own"), meets.alias("meets"))
+
+
 def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay when one of each component of linked documents stays, with all their columns.
 

@@ -4,11 +4,13 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from documents import awkward, essay, linked, table, tuples, windows_removed
 
 from foldstone.llm import components, ngram_join, substring_dedup
 from foldstone.llm.fm_index import FmIndex
+from foldstone.llm.words import slices
 
 
 def family(seed=5):
@@ -60,6 +62,48 @@ def test_join_of_every_pair_of_sizes(spark, words, percent):
     assert got == sorted([(i, 1) for i, _, _ in rows], key=str)
 
 
+def test_cells_connect_sets_of_neighbouring_sizes_only(spark):
+    """Two sets of 100 that share nothing with each other, only both something with one of 1000, don't meet; near copies do."""
+    held = [(1, 100, [1, 5]), (2, 100, [2, 6]), (3, 1000, [1, 2]), (4, 100, [5, 8]), (5, 110, [5, 9])]
+    held = spark.createDataFrame(held, "place long, n long, leads array<long>")
+    cells: dict[int, set] = {}
+    for r in ngram_join._cells(held, held.select("place", "n"), 85).collect():
+        cells.setdefault(r["cell"], set()).add(r["place"])
+    assert {frozenset(c) for c in cells.values()} == {frozenset({1, 4, 5})}
+
+
+def test_guests_are_sent_once_for_each_chunk_of_natives(spark):
+    placed_in = [(k, 100, 7, k < 2) for k in range(40)] + [(100 + k, 100, 8, k < 25) for k in range(50)] + [(200, 100, 9, True), (201, 100, 9, False), (300, 100, 10, False), (301, 100, 10, False)]
+    rows = ngram_join._dealt(spark.createDataFrame(placed_in, "place long, n long, cell long, native boolean"), 500).collect()
+    of = {(r["place"], r["cell"]): (r["own"], r["meets"]) for r in rows}
+    assert len(of) == 92 and not any(c == 10 for _, c in of)
+    assert {of[k, 7] for k in range(2)} == {(0, 9)} and all(1 <= of[k, 7][0] < 9 and of[k, 7][1] == 1 for k in range(2, 40))
+    assert all(of[100 + k, 8][0] < 5 and of[100 + k, 8][1] == 10 for k in range(25)) and all(5 <= of[100 + k, 8][0] < 10 and of[100 + k, 8][1] == 5 for k in range(25, 50))
+    assert of[200, 9] == of[201, 9] == (0, 1)
+
+
+@pytest.mark.parametrize("chunk", [400_000, 300])
+def test_join_of_sets_kept_as_texts_and_as_n_grams(spark, chunk):
+    """Texts of long words or many repetitions have many bytes for each n-gram; sets of neighbouring classes in many chunks."""
+    rng = random.Random(8)
+    rows = [(k, " ".join([f"word{i}" if i != k else "other" for i in range(60)] + ["la"] * (700 + k)), "a") for k in range(12)]
+    rows += [(20 + k, " ".join(f"{'long' * 9}{i if i != 3 * k else 'x'}" for i in range(50)), "a") for k in range(12)]
+    rows += [(40 + k, " ".join(f"s{i if rng.random() > 0.01 else rng.randrange(99)}" for i in range(88 + k)), "a") for k in range(24)]
+    got = tuples(ngram_join.linked_sets(table(spark, rows), 4, 85, chunk), "doc_id", "n_shingles", "component_id", "n_links")
+    assert got == sorted(linked(rows, 4, 85), key=str) and max(r[3] for r in got) > 5
+
+
+def test_sets_kept_from_slices_of_batches():
+    rng = random.Random(1)
+    texts = [" ".join(f"\u00e9{rng.randrange(10**digits)}" for _ in range(rng.randrange(9000))) for digits in [3, 5, 30] * 100]
+    ones = pa.array([1] * len(texts), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ones, ones, ones, pa.array(texts)], ["place", "n", "copies", "text"])
+    want = [s.tolist() for part in slices(iter([batch])) for s in ngram_join._sets(part, 4)]
+    kept = list(ngram_join._members(4, 85, np.zeros(ngram_join.FREQUENT_BLOCKS, np.int64))(iter([batch.slice(0, 100), batch.slice(100)])))
+    assert [s.tolist() for b in kept for s in ngram_join._kept_sets(b.column("text"), b.column("grams"), 4)] == want
+    assert 0 < sum(b.column("text").null_count for b in kept) < len(texts) and all(len(a) <= 16 * len(s) for b in kept for a, s in zip(b.column("text").to_pylist(), ngram_join._sets(b, 4)) if a)
+
+
 def test_trie_join_equals_all_pairs():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(60)]
